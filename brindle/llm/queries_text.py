@@ -1,10 +1,12 @@
-"""Queries over texts: token counts."""
+"""Queries over texts: token counts, record files and packing."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
 from brindle.llm.common import plain_table
+from brindle.llm.packing import pack
+from brindle.llm.record_files import records_of
 from brindle.llm.registry import query
 from brindle.llm.token_counts import count_tokens
 
@@ -14,3 +16,18 @@ def op1_token_counts(spark, sf_dir):
     """Tokens of every text under the byte-level vocabulary; no SQL form, tested against the library."""
     docs = plain_table(spark, sf_dir, "documents")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op6_record_files")
+def op6_record_files(spark, sf_dir):
+    """Every document's ids with the end id, written as record files and read back; an exact round trip is its test."""
+    docs = plain_table(spark, sf_dir, "documents")
+    found = records_of(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset")
+
+
+@query("op10_packing")
+def op10_packing(spark, sf_dir):
+    """Pieces of every document in sequences of at most 4096 tokens; tested against brute force on small streams."""
+    docs = plain_table(spark, sf_dir, "documents")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
