@@ -101,10 +101,10 @@ def line_fails(line: Column, words: Column) -> Column:
     return punctuation | fragment | navigation | ((n <= 30) & phrase) | ((n >= 10) & (distinct * distinct < n))
 
 
-def judge(docs: DataFrame, text_column: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: float = 0.3) -> DataFrame:
-    """docs plus a struct column `quality` of the measures, the cleaned text and the verdict.
+def judge(docs: DataFrame, text_column: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: float = 0.3, into: str = "quality") -> DataFrame:
+    """docs plus a struct column (`quality` by default; a column of that name is replaced) of the measures, the cleaned text and the verdict.
 
-    quality: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_failed_lines, lost_chars, cleaned (lines that pass, joined by line feeds)."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     # Values used more than once are bound by let(): the optimizer would write a struct's fields
@@ -144,14 +144,15 @@ def judge(docs: DataFrame, text_column: str = "text", most_lost: float = 0.3, le
             *[m["lines"][k].alias(k) for k in ("n_dup_lines", "n_failed_lines", "line_chars", "lost_chars", "kept_words", "cleaned")],
         ),
     )
-    d = docs.withColumn("quality", flat)
-    q = F.col("quality")
+    d = docs.withColumn(into, flat)
+    q = F.col(into)
     base_failed = (q["n_words"] < least_words) | (q["n_repeat_words"] * 100 > q["n_words"] * int(round(most_repeated * 100)))
     passes = (q["lost_chars"] * 100 <= q["line_chars"] * int(round(most_lost * 100))) & (q["kept_words"] >= least_words)
-    return d.withColumn("quality", q.withField("base_failed", base_failed).withField("kept", ~base_failed & passes))
+    return d.withColumn(into, q.withField("base_failed", base_failed).withField("kept", ~base_failed & passes))
 
 
 def clean(docs: DataFrame, text_column: str = "text", **limits) -> DataFrame:
     """The documents that pass, with their failed lines taken out; the columns of docs."""
-    d = judge(docs, text_column, **limits).filter(F.col("quality.kept"))
-    return d.withColumn(text_column, F.col("quality.cleaned")).select(*docs.columns)
+    own = "__line_quality"
+    d = judge(docs, text_column, into=own, **limits).filter(F.col(own)["kept"])
+    return d.withColumn(text_column, F.col(own)["cleaned"]).select(*docs.columns)

@@ -51,15 +51,15 @@ def test_clean_keeps_columns_rows_and_long_texts(spark):
     good = GOOD
     long = " ".join(f"w{i}" for i in range(60_000)) + "."
     df = spark.createDataFrame([(1, good, "a"), (1, good, "a"), (2, None, None), (3, long, "b")], "doc_id bigint, text string, quality string")
-    got = clean(df.withColumnRenamed("quality", "source")).collect()
-    assert sorted(r.doc_id for r in got) == [1, 1, 3] and got[0].asDict().keys() == {"doc_id", "text", "source"}
+    got = clean(df).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 3] and got[0].asDict().keys() == {"doc_id", "text", "quality"} and got[0].quality in ("a", "b")
     assert clean(df.limit(0)).count() == 0
 
 
 def test_labelled_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = judge(docs).join(labels, "doc_id").groupBy("quality.base_failed", "quality.kept", labels["quality"]).count().collect()
-    n = {(r.base_failed, r.kept, r.quality): r["count"] for r in got}
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "label")
+    got = judge(docs).join(labels, "doc_id").groupBy("quality.base_failed", "quality.kept", "label").count().collect()
+    n = {(r.base_failed, r.kept, r.label): r["count"] for r in got}
     assert n.get((False, False, 1), 0) == 0, n
     assert n.get((False, True, 0), 0) <= 0.1 * sum(v for (_, _, q), v in n.items() if q == 0), n
