@@ -1,14 +1,18 @@
-"""Queries over texts: token counts, record files, packing and quality rules."""
+"""Queries over texts: token counts, record files, packing, rules, licences, scores and decontamination."""
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from brindle.llm.common import plain_table
+from brindle.llm.license_rules import scan
 from brindle.llm.packing import pack
 from brindle.llm.quality_rules import BOILERPLATE, judge
 from brindle.llm.record_files import records_of
 from brindle.llm.registry import query
+from brindle.llm.rule_ensemble import score, train
+from brindle.llm.string_tiling import contaminated
 from brindle.llm.token_counts import count_tokens
 
 
@@ -89,3 +93,27 @@ def op3_quality_rules(spark, sf_dir):
     """Measures and verdict of the line-first rules for every document."""
     docs = plain_table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).select("doc_id", *[f"quality.{c}" for c in QUALITY_COLUMNS])
+
+
+@query("op7_license_rules")
+def op7_license_rules(spark, sf_dir):
+    """Licences of every document; tested against texts of known licences."""
+    return scan(plain_table(spark, sf_dir, "documents"))
+
+
+@query("op8_rule_ensemble")
+def op8_rule_ensemble(spark, sf_dir):
+    """Quality scores of every document by rules learned from rows that are not held out; tested on those held out."""
+    docs = plain_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = plain_table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rules = train(docs, labels, "quality", ~held_out)
+    scored = score(docs, rules)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_string_tiling")
+def op9_string_tiling(spark, sf_dir):
+    """Documents that cover a benchmark item, with the share of it; tested against brute force."""
+    docs, benchmark = plain_table(spark, sf_dir, "documents"), plain_table(spark, sf_dir, "benchmark")
+    return contaminated(docs, benchmark)
