@@ -17,7 +17,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 700_000
 LONGEST_REMEMBERED = 48
 
 
@@ -30,6 +30,11 @@ def drops_white_space(spec: dict) -> bool:
 
 
 class TokenIds:
+    """Encodes UTF-8 texts. Chunks are looked up in lower ASCII case (the file's normalizer lowers
+    them anyway) and without one closing stop or comma behind a letter, which is a pretoken of its
+    own; unknown words of letters alone go through the library many at a time, and their ids part
+    where a word ends."""
+
     def __init__(self, path: str, max_remembered: int = MAX_REMEMBERED):
         from tokenizers import Tokenizer
 
@@ -42,36 +47,73 @@ class TokenIds:
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.max_remembered = max_remembered
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.specials = [t["content"].encode() for t in spec["added_tokens"]] if lowers else None
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.size, bool)
+        if suffix:
+            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
+        self.closing = {c: self._each([c.decode()])[0] for c in (b".", b",")} if self.by_chunk and suffix else {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, each one pretoken: encoded together, parted at word ends."""
+        groups = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+        ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.library.encode_batch_fast(groups, add_special_tokens=False)])
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+        if len(stops) != len(words):
+            return self._each(words)
+        data, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+        return [data[a:b] for a, b in zip(starts, stops.tolist())]
+
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        words, others = [], []
+        for c in chunks:
+            (words if self.closing and (c.isalpha() or c.decode("utf-8").isalpha()) else others).append(c)
+        found = dict(zip(others, self._each([c.decode("utf-8") for c in others]))) if others else {}
+        if words:
+            found.update(zip(words, self._words([c.decode("utf-8") for c in words])))
+        return found
+
     def ids(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text, as bytes of self.dtype."""
         if not self.by_chunk:
-            return self._encode([text.decode("utf-8")])[0]
+            return self._each([text.decode("utf-8")])[0]
+        if self.specials is not None and not any(s in text.lower() for s in self.specials):
+            text = text.lower()
         chunks = text.split()
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = [c for c in set(chunks) if c not in known]
-        if len(known) + len(new) > self.max_remembered:
-            known.clear()
-            new = list(set(chunks))
-        fresh = dict(zip(new, self._encode([c.decode("utf-8") for c in new])))
-        long = [c for c in new if len(c) > LONGEST_REMEMBERED]
-        if not long and len(new) <= self.max_remembered:
-            known.update(fresh)
-            return b"".join(map(known.__getitem__, chunks))
-        out = b"".join([fresh[c] if c in fresh else known[c] for c in chunks])
-        for c in long:
-            del fresh[c]
-        if len(fresh) <= self.max_remembered:
-            known.update(fresh)
-        return out
+        found = list(map(known.get, chunks))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if not missing:
+            return b"".join(found)
+        closing, late, new = self.closing, [], set()
+        for k in missing:
+            c = chunks[k]
+            close = closing.get(c[-1:])
+            if close is not None and (c[-2:-1].isalpha()):
+                base = c[:-1]
+                x = known.get(base)
+                if x is not None:
+                    found[k] = x + close
+                    continue
+                late.append((k, base, close))
+                new.add(base)
+            else:
+                late.append((k, c, b""))
+                new.add(c)
+        if new:
+            fresh = self._encode(list(new))
+            for k, c, close in late:
+                found[k] = fresh[c] + close
+            if len(known) + len(fresh) > self.max_remembered:
+                known.clear()
+            if len(fresh) <= self.max_remembered:
+                known.update((c, x) for c, x in fresh.items() if len(c) <= LONGEST_REMEMBERED)
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, TokenIds] = {}
