@@ -1,15 +1,72 @@
-"""Corpus cleaning pipeline: documents in, packed training sequences out."""
+"""Corpus cleaning pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
+documents (doc_id, text, lang, source, n_chars). A stage's rows are written as Parquet in the shared
+folder and read again as the next stage's documents, so a lost executor costs one stage at most.
+
+Defined cases are those of the operators: null and blank texts go at the first stage, copies keep
+their document of least id, and extra columns of documents are carried along unread.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm.chosen_path import near_duplicates
+from brindle.llm.common import written
+from brindle.llm.packing import pack
+from brindle.llm.paragraph_dedup import duplicates, remove
+from brindle.llm.quality_rules import clean
+from brindle.llm.string_tiling import decontaminate
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text, where there is such a column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail the rules go, and documents that are rejected."""
+    return _measured(clean(docs))
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one of least id. Of rows with equal ids in a class
+    one stays, by its text."""
+    classes = near_duplicates(docs).filter("doc_id = class_id or class_id is null or n_links = 0").select("doc_id").distinct()
+    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again are cut from all documents but the first that holds them."""
+    return _measured(remove(docs, duplicates(docs)))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+
+
+STAGES = [("quality", quality), ("jaccard", jaccard), ("passages", passages), ("benchmark", benchmark), ("packing", packing)]
 
-STAGES: list = []
+# The stages' verification, components and packing have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
