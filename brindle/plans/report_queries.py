@@ -248,7 +248,7 @@ def reference_expansion(spark, sf_dir):
 @query("project_references", """
 SELECT n_nationkey AS ref_id, s_suppkey FROM nation JOIN supplier ON list_contains([n_nationkey, n_nationkey + 1], s_suppkey)""")
 def project_references(spark, sf_dir):
-    refs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ref_id"), F.explode(F.array(F.col("n_nationkey"), F.col("n_nationkey") + 1)).cast("bigint").alias("s_suppkey"))
+    refs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ref_id"), F.explode(F.array(F.col("n_nationkey").cast("bigint"), F.col("n_nationkey").cast("bigint") + 1)).alias("s_suppkey"))
     return refs.join(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("ref_id", "s_suppkey")
 
 
