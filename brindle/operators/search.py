@@ -121,8 +121,9 @@ def merged(hits: DataFrame, query: str = "query_id", key: str = "doc_id") -> Dat
 
 def grams(text: Column, n: int = 3) -> Column:
     """Different n-grams of the characters that are not white space; a shorter text is its own only one."""
-    t = F.regexp_replace(text, r"\s+", "")
-    return F.when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: t.substr(i, F.lit(n)))))
+    squeezed = F.array(F.regexp_replace(text, r"\s+", ""))  # a list of one binds the value, which is computed once
+    cut = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: t.substr(i, F.lit(n))))
+    return F.element_at(F.transform(squeezed, lambda t: F.when(F.length(t) < n, F.array(t)).otherwise(cut(t))), 1)
 
 
 def overlap(a: Column, b: Column) -> Column:
