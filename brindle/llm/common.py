@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no table reads any more; else they stay until the driver happens to collect
+    garbage. The scheduler still knows the last job, so a trivial one is run first."""
+    gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete the files of frames made by written() that nothing reads any more."""
     for df in frames:

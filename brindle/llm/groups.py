@@ -43,7 +43,24 @@ def dealt(df: DataFrame, group: str, members: str, member: str, per_block: int)
 
 def in_cells(df: DataFrame, function: Callable, schema: str, key: str = "cell", *then: str) -> DataFrame:
     """function over Arrow batches in which rows of a cell follow each other."""
-    return df.repartition(key).sortWithinPartitions(key, *then).mapInArrow(function, schema)
+    return df.repartition(key).sortWithinPartitions(key, *then).mapInArrow(tidied(function), schema)
+
+
+def tidied(function: Callable) -> Callable:
+    """function over Arrow batches that gives unused memory of the worker back when its task ends: workers live on, beside
+    the executor's heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
