@@ -101,12 +101,11 @@ def line_fails(line: Column, words: Column) -> Column:
     return punctuation | fragment | navigation | ((n <= 30) & phrase) | ((n >= 10) & (distinct * distinct < n))
 
 
-def judge(docs: DataFrame, text_column: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: float = 0.3, into: str = "quality") -> DataFrame:
-    """docs plus a struct column (`quality` by default; a column of that name is replaced) of the measures, the cleaned text and the verdict.
-
-    Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_failed_lines, lost_chars, cleaned (lines that pass, joined by line feeds)."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
+def quality_of(text: Column, most_lost: float = 0.3, least_words: int = 20, most_repeated: float = 0.3) -> Column:
+    """A struct of the measures of a text, its cleaned form and the verdict: n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed, kept, n_failed_lines, line_chars, lost_chars, kept_words,
+    cleaned (lines that pass, joined by line feeds)."""
+    text = F.coalesce(text, F.lit(""))
     # Values used more than once are bound by let(): the optimizer would write a struct's fields
     # out at each use, and words would be split again for each window.
     lines = F.filter(
@@ -136,23 +135,28 @@ def judge(docs: DataFrame, text_column: str = "text", most_lost: float = 0.3, le
         of_words.alias("words"),
         let(marked, of_lines).alias("lines"),
     )
-    flat = let(
-        measures,
-        lambda m: F.struct(
-            *[m[k].alias(k) for k in ("word_chars", "n_symbols")],
-            *[m["words"][k].alias(k) for k in ("n_words", "n_repeat_words")],
-            *[m["lines"][k].alias(k) for k in ("n_dup_lines", "n_failed_lines", "line_chars", "lost_chars", "kept_words", "cleaned")],
-        ),
-    )
-    d = docs.withColumn(into, flat)
-    q = F.col(into)
-    base_failed = (q["n_words"] < least_words) | (q["n_repeat_words"] * 100 > q["n_words"] * int(round(most_repeated * 100)))
-    passes = (q["lost_chars"] * 100 <= q["line_chars"] * int(round(most_lost * 100))) & (q["kept_words"] >= least_words)
-    return d.withColumn(into, q.withField("base_failed", base_failed).withField("kept", ~base_failed & passes))
+    fields = {k: (lambda m, k=k: m[k]) for k in ("word_chars", "n_symbols")}
+    fields |= {k: (lambda m, k=k: m["words"][k]) for k in ("n_words", "n_repeat_words")}
+    fields |= {k: (lambda m, k=k: m["lines"][k]) for k in ("n_dup_lines", "n_failed_lines", "line_chars", "lost_chars", "kept_words", "cleaned")}
+
+    def verdict(m: Column) -> Column:
+        n = m["words"]["n_words"]
+        base_failed = (n < least_words) | (m["words"]["n_repeat_words"] * 100 > n * int(round(most_repeated * 100)))
+        passes = (m["lines"]["lost_chars"] * 100 <= m["lines"]["line_chars"] * int(round(most_lost * 100))) & (m["lines"]["kept_words"] >= least_words)
+        return F.struct(*[get(m).alias(k) for k, get in fields.items()], base_failed.alias("base_failed"), (~base_failed & passes).alias("kept"))
+
+    return let(measures, verdict)
+
+
+def judge(docs: DataFrame, text_column: str = "text", into: str = "quality", **limits) -> DataFrame:
+    """docs plus a struct column of measures and verdict (`quality` by default; a column of that name is replaced)."""
+    return docs.withColumn(into, quality_of(F.col(text_column), **limits))
 
 
 def clean(docs: DataFrame, text_column: str = "text", **limits) -> DataFrame:
     """The documents that pass, with their failed lines taken out; the columns of docs."""
+    # A list of one or no verdict is exploded: a filter would be pushed below the projection, and everything computed twice.
     own = "__line_quality"
-    d = judge(docs, text_column, into=own, **limits).filter(F.col(own)["kept"])
+    passed = F.filter(F.array(quality_of(F.col(text_column), **limits)), lambda q: q["kept"])
+    d = docs.withColumn(own, F.explode(passed))
     return d.withColumn(text_column, F.col(own)["cleaned"]).select(*docs.columns)
