@@ -274,3 +274,43 @@ def fenced_html(text: Column) -> Column:
 def form_title(html: Column) -> Column:
     heading = F.regexp_extract(html, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1)
     return stripped(F.regexp_replace(F.when(heading != "", heading).otherwise(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), "<[^>]*>", ""))
+
+
+def translated(term: Column, dictionary: dict[str, str]) -> Column:
+    """A field's name with its meaning in brackets, where the dictionary knows it."""
+    known = F.create_map(*[F.lit(x) for pair in dictionary.items() for x in pair]) if dictionary else F.create_map()
+    meaning = known[F.upper(term)]
+    return F.when(meaning.isNotNull(), F.concat(term, F.lit("("), meaning, F.lit(")"))).otherwise(term)
+
+
+def final_part(text: Column, marker: str = "【最终裁决】", draft: str = "【草稿】") -> Column:
+    """What stands behind the arbiter's mark of a discussion, else behind the draft's, else the text."""
+    behind = lambda m: F.trim(F.regexp_extract(text, rf"(?s).*{m}(.*)$", 1))
+    return F.when(behind(marker) != "", behind(marker)).when(behind(draft) != "", behind(draft)).otherwise(F.trim(text))
+
+
+def charts(text: Column, marker: str = r"\[图表[:：]([^\]]*)\]") -> Column:
+    """Array of (title, labels, series) of chart marks that a markdown table follows: its first column and its second as numbers."""
+    from brindle.operators.tables import markdown_rows
+
+    found = F.regexp_extract_all(text, F.lit(rf"(?m){marker}\s*\n((?:\s*\|.*\|\s*(?:\n|$))+)"), 0)
+
+    def chart(block: Column) -> Column:
+        rows = F.slice(markdown_rows(block), 2, 1 << 30)
+        numbers = F.transform(rows, lambda r: F.replace(F.get(r, F.lit(1)), F.lit(","), F.lit("")).try_cast("double"))
+        return F.struct(F.regexp_extract(block, marker, 1).alias("title"), F.transform(rows, lambda r: F.get(r, F.lit(0))).alias("labels"), numbers.alias("series"))
+
+    return F.transform(found, chart)
+
+
+def is_citation_list(text: Column, mark: str = r"[《〔\[【]|〔\d{4}〕", long: int = 80, most_long: int = 2) -> Column:
+    """True if over half the lines hold a citation mark and hardly any is long."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.trim(line) != "")
+    cited = F.size(F.filter(lines, lambda line: line.rlike(mark)))
+    return (F.size(lines) > 0) & (cited * 2 > F.size(lines)) & (F.size(F.filter(lines, lambda line: F.length(line) > long)) <= most_long)
+
+
+def is_figure_note(text: Column) -> Column:
+    """Chunks that only describe a figure, without saying anything of their own."""
+    t = stripped(text)
+    return t.startswith("[图") & ~t.rlike(r"\d+(\.\d+)?\s*(m|km|亩|公顷|万元|%)")

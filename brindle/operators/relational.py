@@ -256,3 +256,12 @@ def same_entity_candidate(a: Column, b: Column) -> Column:
     latin = ~F.concat(a, b).rlike(r"[^\x00-\xff]")
     near = F.when(latin, F.levenshtein(F.lower(a), F.lower(b)) <= F.floor(F.length(short) / 2)).otherwise(characters_alike(a, b))
     return (a != b) & ~digits_differ(a, b) & ((long.contains(short) & (F.length(short) >= 2)) | near)
+
+
+def deferred(jobs: DataFrame, projects: DataFrame) -> DataFrame:
+    """Jobs that wait: their project is paused, or another project of first priority has active work and theirs has not that
+    priority. projects: project_id, is_paused, priority, active."""
+    j = jobs.join(projects, "project_id", "left")
+    busy = projects.filter((F.coalesce("priority", F.lit(2)) == 1) & (F.col("active") > 0)).agg((F.count("*") > 0).alias("busy"))
+    j = j.join(F.broadcast(busy))  # a single value
+    return j.filter(F.coalesce("is_paused", F.lit(False)) | (F.col("busy") & (F.coalesce("priority", F.lit(2)) != 1))).select(*jobs.columns)

@@ -227,3 +227,28 @@ def hybrid_search(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = S.hybrid_search(q, chunks(spark, sf_dir).drop("total_chunks"))
     return found.select("query_id", "rank0", "doc_id", "chunk_index", F.round("score", 9).alias("score"), F.length("document").alias("n_chars"))
+
+
+@query("vector_map")
+def vector_map(spark, sf_dir):
+    """Principal components of the vectors; signs are arbitrary, tested by the variance they hold."""
+    from brindle.operators.models import projected
+
+    d = projected(table(spark, sf_dir, "embeddings"))
+    return d.select("vec_id", F.round(F.get("xy", F.lit(0)), 6).alias("x"), F.round(F.get("xy", F.lit(1)), 6).alias("y"))
+
+
+@query("vector_clusters")
+def vector_clusters(spark, sf_dir):
+    """Components of a Gaussian mixture chosen by BIC; an iterative fit."""
+    from brindle.operators.models import mixture
+
+    return mixture(table(spark, sf_dir, "embeddings"), 4).select("vec_id", F.col("cluster").cast("bigint").alias("cluster"))
+
+
+@query("table_search", f"""
+WITH {FUSED.replace('K +', '2 +')} SELECT query_id, doc_id AS table_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank0
+FROM fused WHERE score >= 0.35 AND doc_id NOT IN (1, 2, 3) QUALIFY rank0 < 2""")
+def table_search(spark, sf_dir):
+    f = fusion(spark, sf_dir, 2).withColumnRenamed("doc_id", "table_id")
+    return S.table_search(f, 2, gone=[1, 2, 3]).withColumn("score", F.round("score", 6))

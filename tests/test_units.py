@@ -222,3 +222,29 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, monitors.one_pass(events, "event_type", "value").collect()))
     got = run_stream(spark, events, str(tmp_path / "v"), monitors.snapshots, "complete")
     assert got.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_more_text(spark):
+    c = F.col("t")
+    assert one(spark, text.translated(c, {"DLMC": "地类名称"}), t="dlmc") == "dlmc(地类名称)" and one(spark, text.translated(c, {"A": "b"}), t="x") == "x"
+    assert one(spark, text.final_part(c), t="讨论【草稿】旧稿【最终裁决】 定稿") == "定稿" and one(spark, text.final_part(c), t=" 无标记 ") == "无标记"
+    chart = one(spark, F.to_json(text.charts(c)), t="前\n[图表：面积]\n| 名 | 值 |\n| - | - |\n| 甲 | 1,200 |\n| 乙 | 3 |\n后")
+    assert chart == '[{"title":"面积","labels":["甲","乙"],"series":[1200.0,3.0]}]'
+    assert one(spark, text.is_citation_list(c), t="《水法》\n《土地管理法》\n其他") and not one(spark, text.is_citation_list(c), t="无")
+    assert one(spark, text.is_figure_note(c), t="[图1] 示意") and not one(spark, text.is_figure_note(c), t="[图1] 坝高 30 m")
+
+
+def test_deferral_and_models(spark):
+    from brindle.operators.models import mixture, projected
+
+    jobs = spark.createDataFrame([("j1", "a"), ("j2", "b"), ("j3", "c")], "job string, project_id string")
+    projects = spark.createDataFrame([("a", False, 1, 2), ("b", False, None, 0), ("c", True, 1, 0)], "project_id string, is_paused boolean, priority int, active int")
+    assert {r.job for r in relational.deferred(jobs, projects).collect()} == {"j2", "j3"}
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 0.1, (60, 5)), rng.normal(3, 0.1, (60, 5))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id int, embedding array<double>")
+    got = np.array([r.xy for r in projected(df).orderBy("vec_id").collect()])
+    centred = x - x.mean(axis=0)
+    assert np.allclose(np.sort(got.var(axis=0))[::-1], np.linalg.svd(centred)[1][:2] ** 2 / len(x))
+    labels = [r.cluster for r in mixture(df, 3, dimensions=2).orderBy("vec_id").collect()]
+    assert len(set(labels[:60])) == 1 and set(labels[:60]).isdisjoint(labels[60:])
