@@ -164,3 +164,27 @@ def inner_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(community_id, src, relation, dst) of edges with both ends in one community (members: community_id, node)."""
     a = edges.join(members.select("community_id", F.col("node").alias("src")), "src")
     return a.join(members.select("community_id", F.col("node").alias("dst")), ["community_id", "dst"]).select("community_id", "src", "relation", "dst")
+
+
+def document_tree(chunks: DataFrame, fields: Column) -> DataFrame:
+    """(src, relation, dst): documents to their elements, and form fields to the elements that give evidence of them.
+    chunks: doc_id, chunk_index, document."""
+    element = F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("chunk_index").cast("string"))
+    d = chunks.withColumn("element", element)
+    has = d.select(F.col("doc_id").cast("string").alias("src"), F.lit("HAS_ELEMENT").alias("relation"), F.col("element").alias("dst"))
+    return has.unionByName(d.select(F.explode(fields).alias("src"), F.lit("EVIDENCE_BY").alias("relation"), F.col("element").alias("dst")))
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, ranks: DataFrame, most_paths: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) around seeds within two steps: entities by falling rank and name, relations by their ends."""
+    paths = hops(edges, seeds, 2, most_paths)
+    entities = paths.select(F.explode("nodes").alias("node")).distinct().join(ranks, "node", "left").orderBy(F.desc_nulls_last("pagerank"), "node")
+    near = entities.select("node")
+    e = edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return entities, e.select("src", "relation", "dst").distinct().orderBy("src", "relation", "dst")
+
+
+def pending(communities: DataFrame, summaries: DataFrame, page: int = 5) -> tuple[DataFrame, bool]:
+    """(the next communities without a summary, are there more): one more is looked at than is given."""
+    left = communities.join(summaries.select("community_id"), "community_id", "left_anti").orderBy("community_id").limit(page + 1)
+    return left.limit(page), left.count() > page

@@ -265,3 +265,24 @@ def deferred(jobs: DataFrame, projects: DataFrame) -> DataFrame:
     busy = projects.filter((F.coalesce("priority", F.lit(2)) == 1) & (F.col("active") > 0)).agg((F.count("*") > 0).alias("busy"))
     j = j.join(F.broadcast(busy))  # a single value
     return j.filter(F.coalesce("is_paused", F.lit(False)) | (F.col("busy") & (F.coalesce("priority", F.lit(2)) != 1))).select(*jobs.columns)
+
+
+def spread_rows(df: DataFrame, key: str, order: str, most: int = 15) -> DataFrame:
+    """A sample of each group's rows for a summary: evenly spaced in their order, the first one included."""
+    w = Window.partitionBy(key)
+    d = df.withColumn("__r", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
+    step = F.greatest(F.lit(1), F.ceil(F.col("__n") / most))
+    return d.filter(F.col("__r") % step == 0).drop("__r", "__n")
+
+
+def natural_order(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """Rows in the order a reader expects: numbers by value, with thousands separators, before other text; empty cells last."""
+    number = F.expr(f"try_cast(replace(`{column}`, ',', '') as double)")
+    empty = F.coalesce(F.trim(column), F.lit("")) == ""
+    sort = (lambda c: c.asc_nulls_last()) if ascending else (lambda c: c.desc_nulls_last())
+    return df.orderBy(empty, sort(number), sort(F.col(column)))
+
+
+def document_listing(documents: DataFrame) -> DataFrame:
+    """(id, title, n_sections, updated_at) of saved documents, newest first, without their bodies."""
+    return documents.select("id", "title", F.size("sections").alias("n_sections"), "updated_at").orderBy(F.desc("updated_at"), "id")

@@ -248,3 +248,21 @@ def test_deferral_and_models(spark):
     assert np.allclose(np.sort(got.var(axis=0))[::-1], np.linalg.svd(centred)[1][:2] ** 2 / len(x))
     labels = [r.cluster for r in mixture(df, 3, dimensions=2).orderBy("vec_id").collect()]
     assert len(set(labels[:60])) == 1 and set(labels[:60]).isdisjoint(labels[60:])
+
+
+def test_more_graph_and_order(spark):
+    chunks = spark.createDataFrame([(1, 0, "罚款"), (1, 1, "x")], "doc_id int, chunk_index int, document string")
+    tree = {tuple(r) for r in graph.document_tree(chunks, nlp.form_fields(F.col("document"))).collect()}
+    assert tree == {("1", "HAS_ELEMENT", "1#0"), ("1", "HAS_ELEMENT", "1#1"), ("penalty_type", "EVIDENCE_BY", "1#0"), ("fine_amount_yuan", "EVIDENCE_BY", "1#0")}
+    e = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "d")], "src string, relation string, dst string")
+    ranks = spark.createDataFrame([("a", 0.1), ("b", 0.4), ("c", 0.4)], "node string, pagerank double")
+    entities, relations = graph.subgraph(e, spark.createDataFrame([("a",)], "seed string"), ranks)
+    assert [r.node for r in entities.collect()] == ["b", "c", "a"] and [tuple(r) for r in relations.collect()] == [("a", "r", "b"), ("b", "r", "c")]
+    c = spark.createDataFrame([(k,) for k in range(7)], "community_id int")
+    page, more = graph.pending(c, c.filter("community_id = 0"))
+    assert [r.community_id for r in page.collect()] == [1, 2, 3, 4, 5] and more
+    v = spark.createDataFrame([("10",), ("9",), ("",), ("1,000",), ("x",), (None,)], "v string")
+    assert [r.v for r in relational.natural_order(v, "v").collect()][:4] == ["9", "10", "1,000", "x"]
+    assert relational.spread_rows(spark.range(100).withColumn("k", F.lit(1)), "k", "id").count() == 15
+    d = spark.createDataFrame([(1, "t", ["a", "b"], "2"), (2, "u", [], "3")], "id int, title string, sections array<string>, updated_at string")
+    assert [(r.id, r.n_sections) for r in relational.document_listing(d).collect()] == [(2, 0), (1, 2)]
