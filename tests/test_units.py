@@ -253,7 +253,7 @@ def test_deferral_and_models(spark):
 def test_more_graph_and_order(spark):
     chunks = spark.createDataFrame([(1, 0, "罚款"), (1, 1, "x")], "doc_id int, chunk_index int, document string")
     tree = {tuple(r) for r in graph.document_tree(chunks, nlp.form_fields(F.col("document"))).collect()}
-    assert tree == {("1", "HAS_ELEMENT", "1#0"), ("1", "HAS_ELEMENT", "1#1"), ("penalty_type", "EVIDENCE_BY", "1#0"), ("fine_amount_yuan", "EVIDENCE_BY", "1#0")}
+    assert tree == {("1", "HAS_ELEMENT", "1#0"), ("1", "HAS_ELEMENT", "1#1"), ("penalty_type", "EVIDENCE_BY", "1#0"), ("fine_amount_yuan", "EVIDENCE_BY", "1#0"), ("legal_basis", "EVIDENCE_BY", "1#0")}
     e = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "d")], "src string, relation string, dst string")
     ranks = spark.createDataFrame([("a", 0.1), ("b", 0.4), ("c", 0.4)], "node string, pagerank double")
     entities, relations = graph.subgraph(e, spark.createDataFrame([("a",)], "seed string"), ranks)
