@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import discard, written
 from brindle.llm.components import components
-from brindle.llm.groups import dealt, forest, grouped, in_cells, similar
+from brindle.llm.groups import dealt, forest, grouped, in_cells, similar, tidied
 from brindle.llm.shingles import SHINGLE, coefficients, minhashes, mixed, shingle_set
 
 COORDINATES = 128
 THRESHOLD, RECALL = 0.8, 0.9999
-LEAF, BLOCK, BLOCK_TOKENS = 1024, 1024, 1_000_000
+LEAF, BLOCK, BLOCK_TOKENS = 1024, 512, 500_000
 MOST_LEVELS = 12
 NO_ID = (1 << 63) - 1
 TWO_IN = 4  # at one tree node in four, two coordinates are sampled
@@ -82,7 +82,7 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, shingle: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "node", "coordinates"])
 
     rows = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id bigint, node bigint, coordinates binary")
+    return rows.mapInArrow(tidied(sketch), "doc_id bigint, node bigint, coordinates binary")
 
 
 def _coordinates_at(path: np.ndarray, k: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def _descend(frame: DataFrame, runs: int | None) -> DataFrame:
                 rows, child = _children(mixed(path), values)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(nodes[rows]), pa.array(above[rows])], names=["path", "node", "above"])
 
-    return frame.mapInArrow(step, "path bigint, node bigint, above bigint")
+    return frame.mapInArrow(tidied(step), "path bigint, node bigint, above bigint")
 
 
 def leaves(nodes: DataFrame, runs: int, leaf: int = LEAF) -> list[DataFrame]:
@@ -177,7 +177,7 @@ def candidate_edges(nodes: DataFrame, found: list[DataFrame], threshold: float,
     rows = found[0].select("path", "node", "members")
     for table in found[1:]:
         rows = rows.unionByName(table.select("path", "node", "members"))
-    bits = nodes.select("node", "coordinates").mapInArrow(low_bytes, "node bigint, bits binary")
+    bits = nodes.select("node", "coordinates").mapInArrow(tidied(low_bytes), "node bigint, bits binary")
     cells = dealt(rows.join(bits, "node"), "path", "members", "node", block)
     return in_cells(cells.select("cell", "node", "bits"), compare, "a bigint, b bigint")
 
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     chosen = classes.join(nodes.select("node", "copies", "id"), "node")
     texts = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_column).cast("binary").alias("text"))
     members = chosen.join(texts, "id").select("class", "node", "copies", "id", "text")
-    members = members.mapInArrow(exact_sets, "class bigint, node bigint, copies bigint, id bigint, shingles binary")
+    members = members.mapInArrow(tidied(exact_sets), "class bigint, node bigint, copies bigint, id bigint, shingles binary")
     members = written(members.dropDuplicates(["node"]), "members")
 
     compared = written(exact_links(members, threshold, block_tokens, block), "links")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import discard, written
+from brindle.llm.groups import tidied
 
 LOCAL_EDGES = 1 << 20
 
@@ -58,7 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for every vertex of edges (a, b: bigint); the component is its least vertex.
     Edges from a vertex to itself make a component of one. An empty table gives no rows."""
     pairs = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
-    current = written(pairs.mapInArrow(_local_forest, "a bigint, b bigint").distinct(), "edges")
+    current = written(pairs.mapInArrow(tidied(_local_forest), "a bigint, b bigint").distinct(), "edges")
     before = _state(current)
     while before[0]:
         # Large star: the larger neighbours of u (and u) are linked to the least vertex around u.

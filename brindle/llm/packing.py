@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import written
+from brindle.llm.groups import tidied
 from brindle.llm.record_files import by_id_ranges
 from brindle.llm.token_ids import encoder
 
@@ -196,7 +197,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             yield batch_of(rows)
 
     rows = by_id_ranges(docs, rows_per_range, id_column, text_column)
-    pieces = written(rows.mapInArrow(packed, "shard bigint, " + ", ".join(f"{f} bigint" for f in _FIELDS)), "packed-pieces")
+    pieces = written(rows.mapInArrow(tidied(packed), "shard bigint, " + ", ".join(f"{f} bigint" for f in _FIELDS)), "packed-pieces")
     # Sequences of the ranges before: a row for each range only.
     ranges = pieces.groupBy("shard").agg((F.max("local") + 1).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import scratch_path, written
+from brindle.llm.groups import tidied
 from brindle.llm.shared_files import filesystem, publish
 from brindle.llm.token_ids import encoder
 
@@ -130,7 +131,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int | N
             yield pa.RecordBatch.from_pylist([{"shard": shard, "data": data, "index": index, "records": totals[0], "tokens": totals[1]}], schema=pa.schema([("shard", pa.int64()), ("data", pa.string()), ("index", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())]))
 
     rows = by_id_ranges(docs, rows_per_shard, id_column, text_column)
-    shards = rows.mapInArrow(write, "shard bigint, data string, index string, records bigint, tokens bigint")
+    shards = rows.mapInArrow(tidied(write), "shard bigint, data string, index string, records bigint, tokens bigint")
     shards = written(shards, "record-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard only
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("bigint"))
@@ -166,7 +167,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     dealt = manifest.select("shard", "data", "index", "records", "start")
     dealt = dealt.repartition(max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard")
-    return dealt.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard bigint, offset bigint")
+    return dealt.mapInArrow(tidied(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard bigint, offset bigint")
 
 
 def records_of(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:

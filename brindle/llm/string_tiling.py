@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.groups import tidied
+
 SEED = 5
 LEAST_MATCH = 5
 COVERAGE = 0.6
@@ -225,7 +227,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         for batch in batches:
             yield batch.filter(pa.array([not bench.matches(x.as_py() or "", coverage) for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)
 
 
 def _by_broadcast(texts: DataFrame, items: list[tuple[int, str]], coverage: float, seed: int, least: int) -> DataFrame:
@@ -242,7 +244,7 @@ def _by_broadcast(texts: DataFrame, items: list[tuple[int, str]], coverage: floa
             if rows:
                 yield _batch(ids, rows)
 
-    return texts.mapInArrow(find, f"doc_id bigint, {_SCHEMA}")
+    return texts.mapInArrow(tidied(find), f"doc_id bigint, {_SCHEMA}")
 
 
 def _by_join(texts: DataFrame, items: DataFrame, coverage: float, seed: int, least: int) -> DataFrame:
@@ -266,7 +268,7 @@ def _by_join(texts: DataFrame, items: DataFrame, coverage: float, seed: int, lea
                             keys += [k] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.int64())], names=[key, "seed"])
 
-        return frame.mapInArrow(cut, f"{key} bigint, seed bigint")
+        return frame.mapInArrow(tidied(cut), f"{key} bigint, seed bigint")
 
     of_items = seeds(items.select("item_id", "text"), "item_id", True).distinct()
     of_docs = seeds(own.select("key", "text"), "key", False)
@@ -283,4 +285,4 @@ def _by_join(texts: DataFrame, items: DataFrame, coverage: float, seed: int, lea
             if rows:
                 yield _batch(ids, rows)
 
-    return joined.mapInArrow(tile, f"doc_id bigint, {_SCHEMA}")
+    return joined.mapInArrow(tidied(tile), f"doc_id bigint, {_SCHEMA}")

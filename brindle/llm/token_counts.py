@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from brindle.llm.groups import tidied
+
 # Fixed values of the byte-level scheme: the pretoken pattern and the printable bytes that stand for themselves.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
@@ -176,4 +178,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
             )
 
     schema = f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean"
-    return docs.select(id_column, text_column).mapInArrow(counted, schema)
+    return docs.select(id_column, text_column).mapInArrow(tidied(counted), schema)

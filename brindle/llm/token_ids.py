@@ -17,7 +17,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MAX_REMEMBERED = 700_000
+MAX_REMEMBERED = 400_000
 LONGEST_REMEMBERED = 48
 
 
@@ -94,7 +94,7 @@ class TokenIds:
         for k in missing:
             c = chunks[k]
             close = closing.get(c[-1:])
-            if close is not None and (c[-2:-1].isalpha()):
+            if close is not None and len(c) > 1 and (c[-2:-1].isalpha() or c[-2] >= 0x80 and c[:-1].decode("utf-8")[-1].isalpha()):
                 base = c[:-1]
                 x = known.get(base)
                 if x is not None:
