@@ -113,7 +113,7 @@ def rrf_fusion_inner(spark, sf_dir):
 
 
 @query("recommended_files", f"""
-WITH {SPARSE} SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank0), 9) AS score, 1::BIGINT AS n_rows, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rank0), 9) DESC, doc_id) - 1 AS rank0 FROM sparse WHERE rank0 < 40 QUALIFY rank0 < 10""".replace("QUALIFY rank0 < 10\"\"\"", ""))
+WITH {SPARSE} SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank0), 9) AS score, 1::BIGINT AS n_rows, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rank0), 9) DESC, doc_id) - 1 AS rank0 FROM sparse WHERE rank0 < 40 QUALIFY rank0 < 10""")
 def recommended_files(spark, sf_dir):
     return S.recommended_files(sparse(spark, sf_dir))
 
