@@ -42,7 +42,7 @@ def words_of(text: str) -> list[str]:
 
 
 def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """Karp-Rabin hashes, modulo 2**64, of all windows of a length; prefix sums roll them along."""
+    """Hashes, modulo 2**64, of all windows of a length: the polynomial is built up for all windows at once."""
     n = len(codes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
