@@ -15,6 +15,11 @@ first occurrence (least doc_id, then place) stays and the others are removals.
 Bands: two bands of two values meet with 1 - (1 - 0.8**2)**2 = 0.87 at a similarity of 0.8 and for
 certain when equal; a passage of a hundred words holds about seven paragraphs, each with its own chance.
 
+Paragraphs alone would miss the ends of a passage. So texts are also winnowed for seeds, runs of SEED words of which
+any SEED + SEED_STEP - 1 = 22 equal words hold one. Seeds that occur again, in a row on one diagonal, are a run; each run
+is compared word by word with the first occurrence and goes on to both sides as far as the words agree. Runs of at least
+SIZE words are reported and cut whole.
+
 Defined cases: null, blank and shorter texts hold no paragraph and stay as they are; rows without
 doc_id come last in the order of occurrences; rows with equal ids count as one document, and a
 removal is made only in a text that holds the paragraph at that place; an empty table gives
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +42,7 @@ from brindle.llm.groups import dealt, forest, grouped, in_cells, similar, tidied
 from brindle.llm.shingles import SHINGLE, coefficients, mixed, windows, words
 
 SIZE, STEP = 24, 26
+SEED, SEED_STEP, CONTEXT = 12, 11, 96
 BANDS, ROWS = 2, 2
 THRESHOLD = 0.8
 LARGE, BLOCK = 2048, 512
@@ -229,8 +236,132 @@ def repeated(distinct: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     return alone.select("paragraph", F.col("paragraph").alias("cluster"), "first").unionByName(linked.select("paragraph", F.col("component").alias("cluster"), "first"))
 
 
+def _key(text: bytes) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(text))))
+
+
+def seeds(docs: DataFrame, least: int, shingle: int) -> DataFrame:
+    """(doc_id, text_key, start, seed) of the seeds of every text that can hold a passage."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_numpy(), []
+            for k, value in enumerate(batch.column(1)):
+                text = value.as_py() or b""
+                hashes = words(text)[2]
+                if len(hashes) < least:
+                    continue
+                at = places(windows(hashes, shingle), SEED, SEED_STEP, shingle)
+                out.append((np.full(len(at), ids[k]), np.full(len(at), _key(text)), at.astype(np.int32), windows(hashes, SEED)[at].view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "text_key", "start", "seed"])
+
+    return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, text_key bigint, start int, seed bigint")
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, seed, r_doc, r_key, r_start): seeds in a row that repeat a row of first occurrences."""
+    at = F.struct("doc_id", "start", "text_key")
+    firsts = found.groupBy("seed").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(apart(F.col("first"), F.col("last"), SEED))
+    rows = found.join(firsts.select("seed", "first"), "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
+    rows = rows.select("doc_id", "text_key", "start", "seed", F.col("first.doc_id").alias("r_doc"), F.col("first.text_key").alias("r_key"), F.col("first.start").alias("r_start"))
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start")
+    same = [F.lag(c).over(order) == F.col(c) for c in ("r_doc", "r_key")]
+    on = same[0] & same[1] & (F.lag(F.col("r_start") - F.col("start")).over(order) == F.col("r_start") - F.col("start")) & (F.lag("start").over(order) + SEED >= F.col("start"))
+    rows = rows.withColumn("new", F.coalesce((~on).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), (F.max("start") + SEED).alias("end"), F.min_by("seed", "start").alias("seed"), F.first("r_doc").alias("r_doc"), F.first("r_key").alias("r_key"), F.min("r_start").alias("r_start"))
+    return out.drop("run")
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(r_doc, r_key, r_start, n, left, right): the words (32 bits of each hash) before and behind first occurrences."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["r_doc", "r_key", "r_start", "n", "left", "right"]
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, key, text, starts, lengths in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if _key(text or b"") != key:
+                    continue
+                hashes = words(text)[2].astype(np.uint32)
+                out += [(doc, key, s, n, hashes[max(0, s - CONTEXT) : s].tobytes(), hashes[s + n : s + n + CONTEXT].tobytes()) for s, n in zip(starts, lengths)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    of_text = wanted.groupBy("r_doc", "r_key").agg(F.collect_list(F.struct("r_start", "n")).alias("w"))
+    rows = of_text.join(_texts(docs).withColumnRenamed("doc_id", "r_doc"), "r_doc").select("r_doc", "r_key", "text", "w.r_start", "w.n")
+    found = rows.mapInArrow(tidied(cut), "r_doc bigint, r_key bigint, r_start int, n int, left binary, right binary")
+    return found.dropDuplicates(["r_doc", "r_key", "r_start", "n"])
+
+
+def reach(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """Ends to which a run goes on in two texts: (words of a, words of b, shingles won)."""
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    return [(n, n, n)]
+
+
+def extended(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, paragraph, cluster, kept, words) of the passages that runs are part of, and of their first occurrences."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, key, text, rows in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if _key(text or b"") != key:
+                    continue
+                hashes = words(text)[2]
+                low = hashes.astype(np.uint32)
+                for r in rows:
+                    s, e, here = r["start"], r["end"], r["r_start"]
+                    # Within one text the first occurrence stays whole.
+                    room = min(CONTEXT, s, s - here - SEED) if r["r_doc"] == doc else min(CONTEXT, s)
+                    before = reach(low[s - room : s][::-1].tolist(), np.frombuffer(r["left"], "<u4")[::-1].tolist())
+                    behind = reach(low[e : e + CONTEXT].tolist(), np.frombuffer(r["right"], "<u4").tolist())
+                    x, y = widest(e - s, before, behind)
+                    begin, end = s - x[0], e + y[0]
+                    if end - begin >= least:
+                        out.append((doc, begin, span_hash(hashes, begin, end), r["seed"], False, end - begin))
+                        out.append((r["r_doc"], here - x[1], 0, r["seed"], True, e - s + x[1] + y[1]))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "paragraph", "cluster", "kept", "words"])
+
+    of_text = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "seed", "r_doc", "r_start", "left", "right")).alias("w"))
+    rows = of_text.join(_texts(docs), "doc_id").select("doc_id", "text_key", "text", "w")
+    return rows.mapInArrow(tidied(extend), "doc_id bigint, start int, paragraph bigint, cluster bigint, kept boolean, words int").distinct()
+
+
+def widest(n: int, before: list[tuple[int, int, int]], behind: list[tuple[int, int, int]]) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+    """The ends of the widest passage around a run of n words."""
+    return before[-1], behind[-1]
+
+
+def span_hash(hashes: np.ndarray, begin: int, end: int) -> int:
+    return _key(hashes[begin:end].tobytes())
+
+
+def passages(docs: DataFrame, least: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, start, paragraph, cluster, kept, words) of whole passages of at least so many words that occur again."""
+    spark = docs.sparkSession
+    found = written(seeds(docs, least, shingle), "seeds")
+    release(spark)
+    again = written(runs(found), "runs")
+    discard(found)
+    release(spark)
+    n = (F.col("end") - F.col("start")).alias("n")
+    around = written(contexts(docs, again.select("r_doc", "r_key", "r_start", n).distinct()), "contexts")
+    release(spark)
+    rows = again.select("*", n).join(around, ["r_doc", "r_key", "r_start", "n"])
+    out = written(extended(docs, rows, least), "passages-found")
+    discard(again, around)
+    release(spark)
+    return out
+
+
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, step: int = STEP, shingle: int = SHINGLE, large: int = LARGE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, start, paragraph, cluster, kept) of every paragraph that occurs again, equal or similar."""
+    """(doc_id, start, paragraph, cluster, kept, words) of every paragraph that occurs again, equal or similar, and of the
+    whole passages; paragraph is a hash of the words of the place."""
     spark, parts = docs.sparkSession, Paragraphs(size, step, shingle)
     found = written(occurrences(docs, parts), "paragraphs")
     distinct = written(distinct_paragraphs(found), "distinct")
@@ -248,26 +379,32 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     # Paragraphs of the first text that overlap its first occurrence are that occurrence.
     here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") < F.col("first.start") + size)
     out = found.select("doc_id", "start", "paragraph").join(again, "paragraph").withColumn("kept", here)
-    out = written(out.select("doc_id", "start", "paragraph", "cluster", "kept"), "duplicates")
+    out = written(out.select("doc_id", "start", "paragraph", "cluster", "kept", F.lit(size).alias("words")), "duplicates")
     discard(found, again)
     release(spark)
-    return out
+    return out.unionByName(passages(docs, size, shingle))
 
 
 def spans(found: DataFrame, size: int = SIZE) -> DataFrame:
     """Runs of words that the duplicates cover: doc_id, start_word, end_word (behind the last), kept,
     passage, passages and paragraphs. Kept and removed runs are apart; a run of several passages has the least as passage. A passage is a component of the clusters
     whose paragraphs overlap in some text, so all texts that hold it, or parts of it, name it alike."""
-    order = Window.partitionBy("doc_id").orderBy("start", "paragraph")
-    pairs = found.select("cluster", F.lag("cluster").over(order).alias("other"), (F.col("start") < F.lag("start").over(order) + size).alias("overlap"))
+    end = F.col("start") + F.col("words")
+    order = Window.partitionBy("doc_id").orderBy("start", "paragraph", "cluster")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    # What lies in a removed passage is no kept place, though it is the first of its own words.
+    gone = F.max(F.when(~F.col("kept"), end)).over(Window.partitionBy("doc_id").orderBy("start"))
+    found = found.withColumn("kept", F.col("kept") & F.coalesce(gone < end, F.lit(True)))
+    pairs = found.select("cluster", F.lag("cluster").over(order).alias("other"), (F.col("start") < F.max(end).over(past)).alias("overlap"))
     passages = components(pairs.filter("overlap and cluster <> other").select(F.col("cluster").alias("a"), F.col("other").alias("b")).distinct())
     passages = written(passages, "passages")
     release(found.sparkSession)
     rows = found.join(passages.withColumnRenamed("vertex", "cluster"), "cluster", "left").withColumn("passage", F.coalesce("component", "cluster"))
-    order = Window.partitionBy("doc_id", "kept").orderBy("start", "paragraph")
-    rows = rows.withColumn("new", F.coalesce(F.col("start") > F.lag("start").over(order) + size, F.lit(True)).cast("int"))
+    order = Window.partitionBy("doc_id", "kept").orderBy("start", "paragraph", "cluster")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("new", F.coalesce(F.col("start") > F.max(end).over(past), F.lit(True)).cast("int"))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start_word"), (F.max("start") + size).alias("end_word"), F.min("passage").alias("passage"), F.array_sort(F.collect_set("passage")).alias("passages"), F.count("*").alias("paragraphs"))
+    out = rows.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start_word"), F.max(end).alias("end_word"), F.min("passage").alias("passage"), F.array_sort(F.collect_set("passage")).alias("passages"), F.count("*").alias("paragraphs"))
     return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "start_word", "end_word", "kept", "passage", "passages", "paragraphs")
 
 
@@ -280,33 +417,33 @@ def remove(docs: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, starts, names in zip(batch.column(at), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+            for text, starts, names, lengths in zip(batch.column(at), *(batch.column(n + k).to_pylist() for k in range(3))):
                 whole = text.as_py()
                 if starts and whole:
-                    whole = without(whole, starts, names, size)
+                    whole = without(whole, starts, names, size, lengths)
                 texts.append(whole)
                 keep.append(whole != "" or not starts)
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(n)]
             yield pa.RecordBatch.from_arrays(columns, names=names_of).filter(pa.array(keep, pa.bool_()))
 
-    gone = found.filter("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "paragraph")).alias("w"))
-    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("w.start").alias("__starts"), F.col("w.paragraph").alias("__paragraphs"))
+    gone = found.filter("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "paragraph", "words")).alias("w"))
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("w.start").alias("__starts"), F.col("w.paragraph").alias("__paragraphs"), F.col("w.words").alias("__words"))
     rows = docs.join(gone, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col("__gone"), "left").drop("__gone")
     return rows.mapInArrow(tidied(cut), docs.schema)
 
 
-def without(text: str, starts: list[int], paragraphs: list[int], size: int) -> str:
-    """A text without the paragraphs that it holds at these places."""
+def without(text: str, starts: list[int], paragraphs: list[int], size: int, lengths: list[int] | None = None) -> str:
+    """A text without the paragraphs and passages that it holds at these places; lengths are in words, size for all if absent."""
     data = text.encode("utf-8")
     begin, _, hashes = words(data)
     if len(hashes) < size:
         return text
     whole = windows(hashes, size).view(np.int64)
     gone = np.zeros(len(begin) + 1, np.int64)
-    for s, p in zip(starts, paragraphs):
-        if s < len(whole) and whole[s] == p:
+    for s, p, n in zip(starts, paragraphs, lengths or [size] * len(starts)):
+        if s + n <= len(hashes) and (n == size and whole[s] == p or span_hash(hashes, s, s + n) == p):
             gone[s] += 1
-            gone[s + size] -= 1
+            gone[s + n] -= 1
     drop = np.cumsum(gone[:-1]) > 0
     if not drop.any():
         return text

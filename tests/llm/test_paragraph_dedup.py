@@ -93,3 +93,23 @@ def test_empty_and_cut(spark):
     whole = windows(words(text.encode())[2], 24).view(np.int64).tolist()
     assert pd_.without(text, [0, 10], [whole[0], whole[10]], 24) == " ".join(text.split()[34:])
     assert pd_.without(text, [5], [whole[6]], 24) == text
+
+
+def test_exact_copies_go_whole(spark):
+    passages, rows = [prose(n) for n in (55, 55, 55, 60, 83, 100, 200, 30, 24, 800)], []
+    for k, p in enumerate(passages):
+        rows.append((2 * k, " ".join(prose(37 + k) + p + prose(29))))
+        rows.append((2 * k + 1, " ".join(prose(20) + p + prose(3 * k))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = pd_.duplicates(df)
+    out, texts = {r.doc_id: r.text for r in pd_.remove(df, found).collect()}, dict(rows)
+    got = {(r.doc_id, r.kept): (r.start_word, r.end_word) for r in pd_.spans(found).collect()}
+    for k, p in enumerate(passages):
+        assert out[2 * k] == texts[2 * k]
+        start, end = got[2 * k + 1, False]
+        # Similar paragraphs, and those similar to them, may stand out by some words.
+        assert 12 <= start <= 20 and 0 <= end - 20 - len(p) <= 8
+        kept_start, kept_end = got[2 * k, True]
+        assert kept_start <= 37 + k and kept_end >= 37 + k + len(p)
+        words_ = texts[2 * k + 1].split()
+        assert out[2 * k + 1].split() == words_[:start] + words_[end:]
