@@ -17,8 +17,12 @@ certain when equal; a passage of a hundred words holds about seven paragraphs, e
 
 Paragraphs alone would miss the ends of a passage. So texts are also winnowed for seeds, runs of SEED words of which
 any SEED + SEED_STEP - 1 = 22 equal words hold one. Seeds that occur again, in a row on one diagonal, are a run; each run
-is compared word by word with the first occurrence and goes on to both sides as far as the words agree. Runs of at least
-SIZE words are reported and cut whole.
+is compared word by word with the first occurrence and goes on to both sides as far as the words agree, and past edits of
+up to GAP words while the whole passage keeps a similarity of at least the threshold (over the places of its shingles; it
+begins and ends with a shared shingle, within CONTEXT words of a run). Passages of at least SIZE words are reported and cut
+whole. At 0.8 a passage of n words with changed words has at most (n - 4) / 45 edits inside, so one of its agreeing
+stretches has 22 words or more and holds a seed: nothing is left to the chance of the bands. A seed is compared with
+its first occurrence only.
 
 Defined cases: null, blank and shorter texts hold no paragraph and stay as they are; rows without
 doc_id come last in the order of occurrences; rows with equal ids count as one document, and a
@@ -42,7 +46,7 @@ from brindle.llm.groups import dealt, forest, grouped, in_cells, similar, tidied
 from brindle.llm.shingles import SHINGLE, coefficients, mixed, windows, words
 
 SIZE, STEP = 24, 26
-SEED, SEED_STEP, CONTEXT = 12, 11, 96
+SEED, SEED_STEP, CONTEXT, GAP = 12, 11, 96, 8
 BANDS, ROWS = 2, 2
 THRESHOLD = 0.8
 LARGE, BLOCK = 2048, 512
@@ -294,15 +298,33 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["r_doc", "r_key", "r_start", "n"])
 
 
-def reach(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Ends to which a run goes on in two texts: (words of a, words of b, shingles won)."""
+def _agreeing(a: list[int], b: list[int], i: int, j: int) -> int:
     n = 0
-    while n < len(a) and n < len(b) and a[n] == b[n]:
+    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
         n += 1
-    return [(n, n, n)]
+    return n
+
+
+def reach(a: list[int], b: list[int], shingle: int = SHINGLE, gap: int = GAP) -> list[tuple[int, int, int]]:
+    """Ends to which a run goes on in two texts, each behind an agreeing stretch: (words of a, words of b, shingles won).
+    Edits of up to `gap` words are passed where a whole shingle agrees behind them."""
+    n = _agreeing(a, b, 0, 0)
+    out = [(n, n, n)]
+    i = j = won = n
+    while True:
+        for t in range(1, 2 * gap + 1):
+            steps = sorted(range(max(0, t - gap), min(t, gap) + 1), key=lambda x: abs(2 * x - t))
+            x = next((x for x in steps if i + x + shingle <= len(a) and a[i + x : i + x + shingle] == b[j + t - x : j + t - x + shingle]), None)
+            if x is not None:
+                break
+        else:
+            return out
+        n = _agreeing(a, b, i + x, j + t - x)
+        i, j, won = i + x + n, j + t - x + n, won + n - shingle + 1
+        out.append((i, j, won))
 
 
-def extended(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+def extended(docs: DataFrame, found: DataFrame, least: int, threshold: float, shingle: int) -> DataFrame:
     """(doc_id, start, paragraph, cluster, kept, words) of the passages that runs are part of, and of their first occurrences."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +339,9 @@ def extended(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                     s, e, here = r["start"], r["end"], r["r_start"]
                     # Within one text the first occurrence stays whole.
                     room = min(CONTEXT, s, s - here - SEED) if r["r_doc"] == doc else min(CONTEXT, s)
-                    before = reach(low[s - room : s][::-1].tolist(), np.frombuffer(r["left"], "<u4")[::-1].tolist())
-                    behind = reach(low[e : e + CONTEXT].tolist(), np.frombuffer(r["right"], "<u4").tolist())
-                    x, y = widest(e - s, before, behind)
+                    before = reach(low[s - room : s][::-1].tolist(), np.frombuffer(r["left"], "<u4")[::-1].tolist(), shingle)
+                    behind = reach(low[e : e + CONTEXT].tolist(), np.frombuffer(r["right"], "<u4").tolist(), shingle)
+                    x, y = widest(e - s, before, behind, threshold, shingle)
                     begin, end = s - x[0], e + y[0]
                     if end - begin >= least:
                         out.append((doc, begin, span_hash(hashes, begin, end), r["seed"], False, end - begin))
@@ -332,16 +354,23 @@ def extended(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(tidied(extend), "doc_id bigint, start int, paragraph bigint, cluster bigint, kept boolean, words int").distinct()
 
 
-def widest(n: int, before: list[tuple[int, int, int]], behind: list[tuple[int, int, int]]) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
-    """The ends of the widest passage around a run of n words."""
-    return before[-1], behind[-1]
+def widest(n: int, before: list[tuple[int, int, int]], behind: list[tuple[int, int, int]], threshold: float = THRESHOLD, shingle: int = SHINGLE) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+    """The ends of the widest passage around a run of n words whose similarity, over its places, reaches the threshold."""
+    best = before[0], behind[0]
+    for x in before:
+        for y in behind:
+            both = n - shingle + 1 + x[2] + y[2]
+            either = 2 * (n - shingle + 1) + x[0] + x[1] + y[0] + y[1] - both
+            if both >= threshold * either - 1e-9 and x[0] + y[0] > best[0][0] + best[1][0]:
+                best = x, y
+    return best
 
 
 def span_hash(hashes: np.ndarray, begin: int, end: int) -> int:
     return _key(hashes[begin:end].tobytes())
 
 
-def passages(docs: DataFrame, least: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
+def passages(docs: DataFrame, threshold: float = THRESHOLD, least: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, start, paragraph, cluster, kept, words) of whole passages of at least so many words that occur again."""
     spark = docs.sparkSession
     found = written(seeds(docs, least, shingle), "seeds")
@@ -353,7 +382,7 @@ def passages(docs: DataFrame, least: int = SIZE, shingle: int = SHINGLE) -> Data
     around = written(contexts(docs, again.select("r_doc", "r_key", "r_start", n).distinct()), "contexts")
     release(spark)
     rows = again.select("*", n).join(around, ["r_doc", "r_key", "r_start", "n"])
-    out = written(extended(docs, rows, least), "passages-found")
+    out = written(extended(docs, rows, least, threshold, shingle), "passages-found")
     discard(again, around)
     release(spark)
     return out
@@ -382,7 +411,7 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     out = written(out.select("doc_id", "start", "paragraph", "cluster", "kept", F.lit(size).alias("words")), "duplicates")
     discard(found, again)
     release(spark)
-    return out.unionByName(passages(docs, size, shingle))
+    return out.unionByName(passages(docs, threshold, size, shingle))
 
 
 def spans(found: DataFrame, size: int = SIZE) -> DataFrame:

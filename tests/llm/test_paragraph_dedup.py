@@ -113,3 +113,22 @@ def test_exact_copies_go_whole(spark):
         assert kept_start <= 37 + k and kept_end >= 37 + k + len(p)
         words_ = texts[2 * k + 1].split()
         assert out[2 * k + 1].split() == words_[:start] + words_[end:]
+
+
+def test_edited_passages_at_every_place(spark):
+    cases = [(60, [k]) for k in range(60)] + [(49, [24]), (100, [20, 75]), (100, [33, 66]), (100, [5, 94]), (150, [30, 70, 110])]
+    rows, places = [], {}
+    for k, (n, edits) in enumerate(cases):
+        p = prose(n)
+        changed = ["x" + w if i in edits else w for i, w in enumerate(p)]
+        a, b = ({tuple(q[i : i + 5]) for i in range(n - 4)} for q in (p, changed))
+        assert len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * k, " ".join(prose(31) + p + prose(26))), (2 * k + 1, " ".join(prose(23) + changed + prose(30)))]
+        # Less than a shingle between an edit and the end of the passage stays.
+        places[2 * k + 1] = (23 + max([e + 1 for e in edits if e < 5], default=0), 23 + min([e for e in edits if n - e <= 5], default=n))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    gone = {}
+    for r in pd_.spans(pd_.duplicates(df)).filter("not kept").collect():
+        gone.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert {k for k, (a, b) in places.items() if not set(range(a, b)) <= gone.get(k, set())} == set()
+    assert all(k % 2 for k in gone)
