@@ -7,9 +7,8 @@ wherever the passage lies in them.
 
 Each paragraph gets bands of MinHash values of its shingles. Paragraphs that collide in a band are
 joined: equal ones are one by their hash, others are verified by the exact Jaccard similarity of
-their shingles. Bands that collide too widely are split by further MinHash values, and what stays
-large is compared in cells of two blocks, so that no task holds a group of unbounded size and
-no pair is dropped. Verified links are clustered by connected components; of each cluster the
+their shingles. A band of over LARGE paragraphs is dealt out in cells of two blocks, so that no task
+holds a group of unbounded size and no pair of a band is dropped. Verified links are clustered by connected components; of each cluster the
 first occurrence (least doc_id, then place) stays and the others are removals.
 
 Bands: two bands of two values meet with 1 - (1 - 0.8**2)**2 = 0.87 at a similarity of 0.8 and for
@@ -50,7 +49,6 @@ SEED, SEED_STEP, CONTEXT, GAP = 12, 11, 96, 8
 BANDS, ROWS = 2, 2
 THRESHOLD = 0.8
 LARGE, BLOCK = 2048, 512
-MOST_SPLITS, WAYS = 6, 3
 NO_ID = (1 << 63) - 1
 
 
@@ -171,23 +169,6 @@ def shingle_lists(docs: DataFrame, wanted: DataFrame, parts: Paragraphs) -> Data
     return rows.mapInArrow(tidied(cut), "paragraph bigint, shingles binary").dropDuplicates(["paragraph"])
 
 
-def _split(groups: DataFrame, level: int) -> DataFrame:
-    """(band, paragraph, above) with each band cut by WAYS further MinHash values."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = coefficients(WAYS, 100 + level)
-        for batch in batches:
-            band = batch.column(0).to_numpy().view(np.uint64)
-            x = [np.frombuffer(s, "<u8") for s in batch.column(2).to_pylist()]
-            for k in range(WAYS):
-                least = np.array([((s >> np.uint64(32)).astype(np.uint32) * a[k] + b[k]).min() for s in x], np.uint64)
-                with np.errstate(over="ignore"):
-                    key = mixed(mixed(band + np.uint64(k + 1)) ^ least)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1), batch.column(3)], names=["band", "paragraph", "above"])
-
-    return groups.select("band", "paragraph", "shingles", F.col("members").alias("above")).mapInArrow(tidied(split), "band bigint, paragraph bigint, above bigint")
-
-
 def near_edges(pairs: DataFrame, lists: DataFrame, threshold: float, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """(a, b) of paragraphs with a similarity of at least the threshold: a spanning forest of each cell.
     pairs: band, paragraph; lists: paragraph, shingles."""
@@ -212,21 +193,14 @@ def near_edges(pairs: DataFrame, lists: DataFrame, threshold: float, large: int
                 b.append(int(names[j]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    here, out = pairs.withColumn("above", F.lit(NO_ID)), None
-    for level in range(MOST_SPLITS + 1):
-        # Groups are counted and dealt out before their shingles are fetched.
-        sizes = here.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-        table = written(here.join(sizes, "band"), "collisions")
-        split = (F.col("members") > large) & (F.col("members") <= F.col("above") * 0.75) & F.lit(level < MOST_SPLITS)
-        cells = dealt(table.filter(~split), "band", "members", "paragraph", block).select("cell", "paragraph")
-        cells = cells.join(lists, "paragraph").select("cell", "paragraph", "shingles")
-        edges = written(in_cells(cells, compare, "a bigint, b bigint").distinct(), "near-edges")
-        out = edges if out is None else out.unionByName(edges)
-        rest = table.filter(split)
-        if rest.isEmpty():
-            discard(table)
-            return out
-        here = _split(rest.join(lists, "paragraph").select("band", "paragraph", "shingles", "members"), level)
+    # Groups are counted and dealt out before their shingles are fetched.
+    sizes = pairs.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    table = written(pairs.join(sizes, "band"), "collisions")
+    whole = table.withColumn("members", F.when(F.col("members") > large, F.col("members")).otherwise(1))
+    cells = dealt(whole, "band", "members", "paragraph", block).select("cell", "paragraph")
+    cells = cells.join(lists, "paragraph").select("cell", "paragraph", "shingles")
+    out = written(in_cells(cells, compare, "a bigint, b bigint").distinct(), "near-edges")
+    discard(table)
     return out
 
 

@@ -132,3 +132,17 @@ def test_edited_passages_at_every_place(spark):
         gone.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert {k for k, (a, b) in places.items() if not set(range(a, b)) <= gone.get(k, set())} == set()
     assert all(k % 2 for k in gone)
+
+
+def test_large_bands_keep_every_pair(spark):
+    r = np.random.default_rng(3)
+    sets, rows = [], []
+    for k in range(300):  # pairs at 16 / 20 = 0.8, far from all others, in one band
+        shared, own = r.integers(0, 1 << 63, 16), r.integers(0, 1 << 63, 4)
+        for tail in (own[:2], own[2:]):
+            sets.append(np.unique(np.concatenate((shared, tail)).astype(np.uint64)))
+            rows.append((len(rows), sets[-1].tobytes()))
+    lists = spark.createDataFrame([(k, bytearray(s)) for k, s in rows], "paragraph bigint, shingles binary")
+    pairs = lists.selectExpr("7L band", "paragraph")
+    got = {tuple(sorted(e)) for e in pd_.near_edges(pairs, lists, 0.8, 100, 64).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(300)}
