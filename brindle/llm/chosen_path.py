@@ -208,8 +208,8 @@ def exact_links(members: DataFrame, threshold: float, block_tokens: int = BLOCK_
             n = len(sets)
             alone = blocks[0] == 1
             near = similar(sets, threshold) if n > 1 else np.zeros((n, n), bool)
-            if not alone and len(set(block_of.tolist())) > 1:
-                near &= block_of[:, None] != block_of[None, :]  # pairs within a block meet in its own cell
+            if not alone and group.column(7)[0].as_py() != group.column(8)[0].as_py():
+                near &= block_of[:, None] != block_of[None, :]  # pairs within a block meet in its own cell, even if the other is empty
             links = near @ copies if n > 1 else np.zeros(n, np.int64)
             edges = forest(n, lambda i, others: near[i, others])
             label = [None] * n
@@ -238,7 +238,7 @@ def exact_links(members: DataFrame, threshold: float, block_tokens: int = BLOCK_
                 yield flush()
         yield flush()
 
-    rows = cells.select("cell", "node", "shingles", "copies", "id", "block", "blocks")
+    rows = cells.select("cell", "node", "shingles", "copies", "id", "block", "blocks", "low", "high")
     return in_cells(rows, compare, "node bigint, id bigint, label bigint, links bigint, other bigint")
 
 

@@ -31,14 +31,15 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Tabl
 
 
 def dealt(df: DataFrame, group: str, members: str, member: str, per_block: int) -> DataFrame:
-    """df with columns cell, block and blocks: a group of at most per_block members is one cell; a
+    """df with columns cell, block, blocks, low and high (the cell's two blocks): a group of at most per_block members is one cell; a
     larger one is cut into blocks, and each pair of blocks is a cell, so that every pair of members
     meets in a cell and no cell is larger than two blocks. A member goes to as many cells as there
     are blocks."""
     df = df.withColumn("blocks", F.ceil(F.col(members) / per_block).cast("int"))
     df = df.withColumn("block", F.pmod(F.xxhash64(F.lit(17), F.col(member)), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return df.withColumn("cell", F.xxhash64(F.col(group), F.least("block", "other"), F.greatest("block", "other"))).drop("other")
+    df = df.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return df.withColumn("cell", F.xxhash64(F.col(group), "low", "high")).drop("other")
 
 
 def in_cells(df: DataFrame, function: Callable, schema: str, key: str = "cell", *then: str) -> DataFrame:

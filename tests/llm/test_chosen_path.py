@@ -110,3 +110,14 @@ def test_shingles_and_intersections():
 def test_runs():
     assert chosen_path.meeting_chance(0.8, 1) == pytest.approx(0.84)
     assert (1 - chosen_path.meeting_chance(0.8, 2)) ** chosen_path.runs_for(0.8, 0.9999, 2) <= 1e-4
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_links_with_more_blocks_than_members(spark, n):
+    rows = []
+    for c in range(8):
+        base = np.random.default_rng(c).integers(0, 1 << 60, 400)
+        rows += [(c, 100 * c + k, 1, 100 * c + k, bytearray(np.unique(base[k : k + 397].astype(np.uint64)).tobytes())) for k in range(n)]
+    members = spark.createDataFrame(rows, "class bigint, node bigint, copies bigint, id bigint, shingles binary")
+    got = chosen_path.exact_links(members, 0.8, block_tokens=200).groupBy("node").sum("links").collect()
+    assert sorted(r[1] for r in got) == [n - 1] * 8 * n
