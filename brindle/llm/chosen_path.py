@@ -9,7 +9,8 @@ average), and every set goes on to the children of its values there, so similar
 while others part. Children of one set are dropped; a small child is a leaf; a large child goes on
 down, unless it did not shrink, in which case its members are alike and it is a leaf too. Leaves are compared by
 brute force on eight bits of each coordinate; large leaves are dealt out in cells of two blocks.
-Runs are repeated until the chance to have missed a pair at the threshold is below 1 - recall.
+Runs are repeated until the chance to have missed a pair at the threshold is below 1 - recall at the depth that the
+deepest tree reaches.
 
 The pairs that meet give candidate classes (components of a spanning forest of each leaf, so that
 a group of copies never becomes all its pairs). Within a class the exact sets are compared, each pair
@@ -104,7 +105,7 @@ def _children(path: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _descend(frame: DataFrame, runs: int | None) -> DataFrame:
+def _descend(frame: DataFrame, runs: int | None, done: int = 0) -> DataFrame:
     """(path, node, above) one level down. frame: node, coordinates[, path, members]; with runs, from the roots."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def _descend(frame: DataFrame, runs: int | None) -> DataFrame:
             nodes = batch.column(0).to_numpy()
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, COORDINATES)
             if runs:
-                todo = [(np.full(len(nodes), r + 1, np.uint64), np.full(len(nodes), NO_ID)) for r in range(runs)]
+                todo = [(np.full(len(nodes), r + 1, np.uint64), np.full(len(nodes), NO_ID)) for r in range(done, done + runs)]
             else:
                 todo = [(batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy())]
             for path, above in todo:
@@ -124,10 +125,22 @@ def _descend(frame: DataFrame, runs: int | None) -> DataFrame:
     return frame.mapInArrow(tidied(step), "path bigint, node bigint, above bigint")
 
 
-def leaves(nodes: DataFrame, runs: int, leaf: int = LEAF) -> list[DataFrame]:
-    """Written tables (path, node, members) of the leaves of all runs, a table for each level."""
+def repeated_leaves(nodes: DataFrame, threshold: float, recall: float, leaf: int = LEAF) -> list[DataFrame]:
+    """leaves() of as many runs as the recall takes at the depth that the trees reach."""
+    done, depth, out = 0, 2, []
+    while done < runs_for(threshold, recall, depth):
+        wanted = runs_for(threshold, recall, depth)
+        found = leaves(nodes, wanted - done, leaf, done)
+        out += found
+        done, depth = wanted, max(depth, len(found))
+    return out
+
+
+def leaves(nodes: DataFrame, runs: int, leaf: int = LEAF, done: int = 0) -> list[DataFrame]:
+    """Written tables (path, node, members) of the leaves of all runs, a table for each level; runs that are done are
+    not made again."""
     out: list[DataFrame] = []
-    here = _descend(nodes.select("node", "coordinates"), runs)
+    here = _descend(nodes.select("node", "coordinates"), runs, done)
     for level in range(1, MOST_LEVELS + 1):
         here = here.distinct() if level > 1 else here
         sizes = here.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
@@ -249,7 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     nodes = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.first("coordinates").alias("coordinates"))
     nodes = written(nodes, "nodes")
 
-    found = leaves(nodes, runs_for(threshold, recall, 2), leaf)
+    found = repeated_leaves(nodes, threshold, recall, leaf)
     classes = components(candidate_edges(nodes, found, threshold, block)).withColumnRenamed("component", "class")
     classes = written(classes.withColumnRenamed("vertex", "node"), "candidate-classes")
     discard(*found)

@@ -112,6 +112,23 @@ def test_runs():
     assert (1 - chosen_path.meeting_chance(0.8, 2)) ** chosen_path.runs_for(0.8, 0.9999, 2) <= 1e-4
 
 
+def test_runs_follow_the_depth(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    values = r.integers(0, 2, (600, chosen_path.COORDINATES)).astype("<u4")  # every level halves a bucket
+    nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(values)], "node bigint, coordinates binary")
+    calls, leaves = [], chosen_path.leaves
+
+    def noted(nodes, runs, leaf, done):
+        calls.append((runs, done, out := leaves(nodes, runs, leaf, done)))
+        return out
+
+    monkeypatch.setattr(chosen_path, "leaves", noted)
+    chosen_path.repeated_leaves(nodes, 0.8, 0.99, 40)
+    depth, total = max(len(x[2]) for x in calls), sum(x[0] for x in calls)
+    assert depth > 2 and (1 - chosen_path.meeting_chance(0.8, depth)) ** total <= 0.01
+    assert [x[1] for x in calls] == [sum(x[0] for x in calls[:k]) for k in range(len(calls))]
+
+
 @pytest.mark.parametrize("n", [2, 3])
 def test_links_with_more_blocks_than_members(spark, n):
     rows = []
