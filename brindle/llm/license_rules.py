@@ -1,9 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends and behind stops). Each sentence is normalised: lower
-case, words and version numbers only, holders and years of copyright lines blanked. Normalised
-sentences that are known get an identifier; a known sentence inside a longer one counts at its
-place. A document is then a sequence of identifiers, and ordered rules say which runs of them
+A text is normalised as a whole: lower case, words and version numbers only, line ends and comment
+marks as spaces. Known sentences get an identifier wherever they stand in it at word bounds, across line
+ends and behind the holder and years of a copyright line too. A document is then a sequence of identifiers, and ordered rules say which runs of them
 make a licence: rules are tried from specific to general, each place belongs to the first rule that takes
 it, and identifiers of a rule may have other known sentences between them.
 
@@ -74,26 +73,20 @@ RULES = (
 KINDS = ("permissive", "copyleft", "restricted")
 HINTS = ("licen", "reserved", "permission", "redistribution", "warranty", "public", "copyright", "copying", "proprietary", "promote", "any later version")
 
-SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-YEARS = re.compile(r"^copyright\b.*")
 
 
 def normalised(sentence: str) -> str:
-    """Words in lower case, one space between; a copyright line is the one word copyright."""
-    words = " ".join(WORD.findall(sentence.lower()))
-    return YEARS.sub("copyright", words)
+    """Words in lower case, one space between."""
+    return " ".join(WORD.findall(sentence.lower()))
 
 
 class Scanner:
     def __init__(self, sentences=None, rules=RULES):
-        self.exact: dict[str, str] = {}
-        for name, forms in (sentences or SENTENCES).items():
-            for form in forms:
-                self.exact[normalised(form)] = name
         self.inside = ahocorasick.Automaton()
-        for text, name in self.exact.items():
-            self.inside.add_word(f" {text} ", (len(text) + 2, name))
+        for name, forms in (sentences or SENTENCES).items():
+            for text in map(normalised, forms):
+                self.inside.add_word(f" {text} ", (len(text) + 2, name))
         self.inside.make_automaton()
         self.rules = rules
 
@@ -102,22 +95,12 @@ class Scanner:
         low = text.lower()
         if not any(h in low for h in HINTS):
             return []
-        out = []
-        for sentence in SENTENCE_GAP.split(text):
-            if not sentence or not any(h in sentence.lower() for h in HINTS):
-                continue
-            plain = normalised(sentence)
-            name = self.exact.get(plain)
-            if name:
+        out, end = [], -1
+        # Of known sentences that overlap, the one that begins first, then the longest.
+        for start, n, name in sorted((stop - n + 1, -n, name) for stop, (n, name) in self.inside.iter(f" {normalised(low)} ")):
+            if start >= end:
                 out.append(name)
-                continue
-            end = -1
-            # Known sentences within: of those that overlap, the one that begins first, then the longest.
-            found = sorted((stop - n + 1, -n, name) for stop, (n, name) in self.inside.iter(f" {plain} "))
-            for start, n, name in found:
-                if start >= end:
-                    out.append(name)
-                    end = start - n - 1
+                end = start - n - 1
         return out
 
     def licences(self, identifiers: list[str]) -> list[tuple[str, str]]:

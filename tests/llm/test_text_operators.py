@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -109,6 +110,23 @@ def test_licences():
         assert look(none) == []
 
 
+@pytest.mark.parametrize("width", [20, 40, 72])
+def test_wrapped_licences(width):
+    s = license_rules.Scanner()
+    look = lambda t: [x for x, _ in s.licences(s.identifiers(t))]
+    texts = {
+        "MIT": ("mit.grant", "mit.notice", "as.is"),
+        "BSD-3-Clause": ("bsd.use", "bsd.source", "bsd.binary", "bsd.endorse"),
+        "BSD-2-Clause": ("bsd.use", "bsd.source", "bsd.binary"),
+        "GPL-3.0-or-later": ("gpl.free", "gpl.later"),
+    }
+    for licence, names in texts.items():
+        text = "Copyright (c) 2024 Some Holder. " + ". ".join(license_rules.SENTENCES[k][0] for k in names)
+        assert look("\n".join("# " + line for line in textwrap.wrap(text, width))) == [licence]
+        assert look("\r\n".join(textwrap.wrap(text, width))) == [licence]
+    assert look("Copyright (c) 2024 X, All rights reserved") == ["All-Rights-Reserved"]
+
+
 def test_licence_table(spark):
     rows = [(1, None, "a"), (2, "All rights reserved.", "b"), (2, "All rights reserved.", "b"), (3, "x " * 50_000 + "Released under the MIT License.", "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, licences string")
