@@ -240,10 +240,10 @@ def vector_map(spark, sf_dir):
 
 @query("vector_clusters")
 def vector_clusters(spark, sf_dir):
-    """Components of a Gaussian mixture chosen by BIC; an iterative fit."""
+    """Components of a Gaussian mixture, 1 to 9 as in the reference, chosen by BIC; an iterative fit."""
     from brindle.operators.models import mixture
 
-    return mixture(table(spark, sf_dir, "embeddings"), 4).select("vec_id", F.col("cluster").cast("bigint").alias("cluster"))
+    return mixture(table(spark, sf_dir, "embeddings"), 9).select("vec_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
 @query("table_search", f"""

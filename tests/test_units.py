@@ -266,3 +266,14 @@ def test_more_graph_and_order(spark):
     assert relational.spread_rows(spark.range(100).withColumn("k", F.lit(1)), "k", "id").count() == 15
     d = spark.createDataFrame([(1, "t", ["a", "b"], "2"), (2, "u", [], "3")], "id int, title string, sections array<string>, updated_at string")
     assert [(r.id, r.n_sections) for r in relational.document_listing(d).collect()] == [(2, 0), (1, 2)]
+
+
+def test_mixture_of_one(spark):
+    import numpy as np
+
+    from brindle.operators.models import mixture
+
+    r = np.random.default_rng(6)
+    one = [(k, [float(x) for x in r.normal(0, 1, 2)]) for k in range(300)]
+    got = mixture(spark.createDataFrame(one, "vec_id int, embedding array<double>"), 3, dimensions=2).collect()
+    assert {x.cluster for x in got} == {0} and len(got) == 300
