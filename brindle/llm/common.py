@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_BATCH_BYTES = 8 << 20
+# Spark's own setting by which the shuffle files of an execution go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one is made only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir). In local mode one is made where it is unset; on a
+    cluster that would be a folder of each machine's own, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brindle-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,26 +30,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet to the shared folder and read it back. The shuffle files of the write are
+    deleted with its end, as nothing reads them again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no table reads any more; else they stay until the driver happens to collect
-    garbage. The scheduler still knows the last job, so a trivial one is run first."""
-    gc.collect()
-    spark.range(1).write.format("noop").mode("overwrite").save()
-    gc.collect()
-    for _ in range(2):
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def discard(*frames: DataFrame | None) -> None:
     """Delete the files of frames made by written() that nothing reads any more."""
     for df in frames:

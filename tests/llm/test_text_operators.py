@@ -75,6 +75,37 @@ def test_contaminated_by_both_ways(bench, leaks):
         assert string_tiling.contaminated(leaks, bench.limit(0), broadcast_bytes=limit).count() == 0
 
 
+def test_rows_not_ids_are_judged_by_both_ways(spark, bench):
+    rows = [(None, ITEM), (None, "clean words that no item holds"), (4, "x " + ITEM), (4, "also clean words"), (4, "also clean words"), (5, None), (5, ITEM)]
+    docs = spark.createDataFrame([(*r, "k", "m") for r in rows], "doc_id bigint, text string, key string, __row string")
+    items = bench.unionByName(spark.createDataFrame([(None, "one item without an identifier has words", "x"), (1, ITEM, "x")], bench.schema))
+    for limit in (1 << 20, 0):
+        kept = string_tiling.decontaminate(docs, items, broadcast_bytes=limit)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+        found = string_tiling.contaminated(docs.unionByName(spark.createDataFrame([(6, "one item without an identifier has words", "", "")], docs.schema)), items, broadcast_bytes=limit)
+        assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == sorted([(None, 1), (None, 1), (4, 1), (4, 1), (5, 1), (5, 1), (6, None)], key=str)
+
+
+def test_many_items_of_one_document_by_both_ways(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 3, 5, 9]))) for _ in range(150)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(texts)), (2, " - ".join(texts[:70])), (3, "none of them")], "doc_id bigint, text string")
+    got = [sorted(tuple(r) for r in string_tiling.contaminated(docs, items, broadcast_bytes=limit).collect()) for limit in (1 << 20, 0)]
+    assert got[0] == got[1] and [r[:2] for r in got[0]] == [(1, k) for k in range(150)] + [(2, k) for k in range(70)]
+
+
+def test_a_word_repeated_a_million_times():
+    import resource
+    import time
+
+    bench = string_tiling.Benchmark([(1, "na " * 100), (2, "na na na na na batman")])
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert bench.matches("na " * 1_000_000, 0.6) == [(1, 1.0, 100, 100), (2, 5 / 6, 5, 5)]
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
 def test_contaminated_data_by_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -86,8 +117,7 @@ def test_contaminated_data_by_brute_force(spark):
         seeds = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
         for item_id, i in items:
             if any(tuple(i[k : k + 5]) in seeds for k in range(len(i) - 4)):
-                code = {}
-                t = string_tiling.tiles([code.setdefault(x, len(code) + 1) for x in i], [code.get(x, 0) for x in w], 5)
+                t = brute_tiles(i, w, 5)
                 if sum(n for _, _, n in t) >= 0.6 * len(i):
                     want.add((r.doc_id, item_id))
     assert got == want and got
