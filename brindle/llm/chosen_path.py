@@ -22,10 +22,14 @@ alone), n_links (other rows with a similarity of at least the threshold, equal s
 Node keys are 64-bit hashes of the sets, so of n different sets about n**2 / 2**65 pairs would be
 taken for equal.
 
+thinned() gives one row of each class instead, of the least doc_id, then of the least hash of its text.
+
 Defined cases: null and blank texts have no shingles, are alone and have no links; texts under
 five words have one shingle; rows without doc_id are counted as links and get null as their own
-id (class_id is the least id of the class, null if there is none); rows with equal ids are rows of
-their own; an empty table gives no rows; extra columns are not read.
+id (class_id is the least id of the class, null if there is none), and texts are fetched by id and
+hash, so rows without id do not meet in one key; rows with equal ids are rows of their own, their
+classes are apart unless their texts are similar; an empty table gives no rows; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -69,21 +73,26 @@ def runs_for(threshold: float, recall: float, depth: int) -> int:
     return max(1, ceil(log(1 - recall) / log(1 - meeting_chance(threshold, depth))))
 
 
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, text_key, text): ids that are null last, a hash of each text, and its bytes."""
+    text = F.col(text_column).cast("binary")
+    return docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """(doc_id, node, coordinates) of each row; node and coordinates are null where there are no words."""
+    """(id, text_key, node, coordinates) of each row; node and coordinates are null where there are no words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(COORDINATES, 1)
         for batch in batches:
             nodes, values = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingle_set(text.as_py() or b"", shingle)
                 nodes.append(set_key(found) if len(found) else None)
                 values.append(minhashes(found, a, b).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "node", "coordinates"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["id", "text_key", "node", "coordinates"])
 
-    rows = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    return rows.mapInArrow(tidied(sketch), "doc_id bigint, node bigint, coordinates binary")
+    return _keyed(docs, id_column, text_column).mapInArrow(tidied(sketch), "id bigint, text_key bigint, node bigint, coordinates binary")
 
 
 def _coordinates_at(path: np.ndarray, k: int) -> np.ndarray:
@@ -198,15 +207,15 @@ def candidate_edges(nodes: DataFrame, found: list[DataFrame], threshold: float,
 def exact_links(members: DataFrame, threshold: float, block_tokens: int = BLOCK_TOKENS, block: int = BLOCK) -> DataFrame:
     """Compare exact sets within candidate classes. members: class, node, shingles, copies, id (least doc_id).
 
-    Returns rows (node, id, label, links, other): a node's links with their copies in one cell; label is its
-    class's least id where the class is one cell, else null, and then rows with `other` are exact edges."""
+    Returns rows (node, label, links, other): a node's links with their copies in one cell; label is the node of the
+    least id of its class where the class is one cell, else null, and then rows with `other` are exact edges."""
     of_class = members.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("t"))
     of_class = of_class.withColumn("weight", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("t") / block_tokens)))
     cells = dealt(members.join(of_class, "class"), "class", "weight", "node", 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "id", "label", "links", "other"]
-        kinds = [pa.int64()] * 5
+        names = ["node", "label", "links", "other"]
+        kinds = [pa.int64()] * len(names)
         out: list[list] = [[] for _ in names]
 
         def flush() -> pa.RecordBatch:
@@ -236,35 +245,36 @@ def exact_links(members: DataFrame, threshold: float, block_tokens: int = BLOCK_
 
                 for i, j in edges:
                     i, j = root(i), root(j)
-                    if ids[i] > ids[j]:
+                    if (ids[i], nodes[i]) > (ids[j], nodes[j]):
                         i, j = j, i
                     up[j] = i
-                label = [int(ids[root(v)]) for v in range(n)]
+                label = [int(nodes[root(v)]) for v in range(n)]
                 edges = []
-            for row in zip(nodes.tolist(), ids.tolist(), label, np.asarray(links).tolist(), [None] * n):
+            for row in zip(nodes.tolist(), label, np.asarray(links).tolist(), [None] * n):
                 for c, v in zip(out, row):
                     c.append(v)
             for i, j in edges:
-                for c, v in zip(out, (int(nodes[i]), None, None, 0, int(nodes[j]))):
+                for c, v in zip(out, (int(nodes[i]), None, 0, int(nodes[j]))):
                     c.append(v)
             if len(out[0]) > 50_000:
                 yield flush()
         yield flush()
 
     rows = cells.select("cell", "node", "shingles", "copies", "id", "block", "blocks", "low", "high")
-    return in_cells(rows, compare, "node bigint, id bigint, label bigint, links bigint, other bigint")
+    return in_cells(rows, compare, "node bigint, label bigint, links bigint, other bigint")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", leaf: int = LEAF, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, class_id, n_links for each row of docs."""
+def classes_of(docs: DataFrame, threshold: float, recall: float, shingle: int, id_column: str, text_column: str, leaf: int, block: int, block_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables of the rows (id, text_key, node) and of the nodes: node, first (least id and text_key of its rows),
+    class (a node that stands for the class), n_links of each row; and the table that the rows are read from."""
     rows = written(sketches(docs, id_column, text_column, shingle), "sketches")
     # Equal sets have equal coordinates, so any of a node's rows gives them.
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.first("coordinates").alias("coordinates"))
-    nodes = written(nodes, "nodes")
+    first = F.min(F.struct("id", "text_key")).alias("first")
+    nodes = written(rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), first, F.first("coordinates").alias("coordinates")), "nodes")
 
     found = repeated_leaves(nodes, threshold, recall, leaf)
-    classes = components(candidate_edges(nodes, found, threshold, block)).withColumnRenamed("component", "class")
-    classes = written(classes.withColumnRenamed("vertex", "node"), "candidate-classes")
+    candidates = components(candidate_edges(nodes, found, threshold, block)).withColumnRenamed("component", "class")
+    candidates = written(candidates.withColumnRenamed("vertex", "node"), "candidate-classes")
     discard(*found)
 
     def exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,27 +282,49 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             sets = [shingle_set(x.as_py() or b"", shingle) for x in batch.column(4)]
             same = pa.array([len(s) > 0 and set_key(s) == n for s, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())
             done = pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "node", "copies", "id", "shingles"])
-            yield done.filter(same)  # rows of another text under the same id
+            yield done.filter(same)  # another text with the hash of this one
 
-    chosen = classes.join(nodes.select("node", "copies", "id"), "node")
-    texts = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_column).cast("binary").alias("text"))
-    members = chosen.join(texts, "id").select("class", "node", "copies", "id", "text")
+    chosen = candidates.join(nodes.select("node", "copies", "first.id", "first.text_key"), "node")
+    members = chosen.join(_keyed(docs, id_column, text_column), ["id", "text_key"]).select("class", "node", "copies", "id", "text")
     members = members.mapInArrow(tidied(exact_sets), "class bigint, node bigint, copies bigint, id bigint, shingles binary")
     members = written(members.dropDuplicates(["node"]), "members")
 
     compared = written(exact_links(members, threshold, block_tokens, block), "links")
-    linked = compared.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"), F.min("id").alias("id"))
+    linked = compared.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
     edges = compared.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     if not edges.isEmpty():
-        parts = components(edges).withColumnRenamed("vertex", "node")
-        ids = parts.join(nodes.select("node", F.col("id").alias("least")), "node").groupBy("component").agg(F.min("least").alias("least"))
-        parts = parts.join(ids, "component").select("node", "least")
-        linked = linked.join(parts, "node", "left").withColumn("label", F.coalesce("label", "least", "id")).drop("least")
-    of_node = nodes.select("node", "copies", "id").join(linked.select("node", "links", "label"), "node", "left")
-    of_node = of_node.select("node", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "node").join(of_node, "node", "left")
+        parts = components(edges).select(F.col("vertex").alias("node"), "component")
+        linked = linked.join(parts, "node", "left").select("node", "links", F.coalesce("label", "component").alias("label"))
+    of_node = nodes.select("node", "copies", "first").join(linked, "node", "left")
+    of_node = of_node.select("node", "first", F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of_node = written(of_node, "node-classes")
+    discard(nodes, candidates, members, compared)
+    return rows.select("id", "text_key", "node"), of_node, rows
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", leaf: int = LEAF, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, class_id, n_links for each row of docs."""
+    rows, of_node, sketched = classes_of(docs, threshold, recall, shingle, id_column, text_column, leaf, block, block_tokens)
+    ids = of_node.groupBy("class").agg(F.min("first.id").alias("class_id"))
+    out = rows.select("id", "node").join(of_node.select("node", "class", "n_links").join(ids, "class"), "node", "left")
 
     def real(c):
         return F.when(c != NO_ID, c)
 
-    return out.select(real(F.col("doc_id")).alias("doc_id"), real(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = out.select(real(F.col("id")).alias("doc_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = written(out, "near-duplicates")
+    discard(sketched, of_node)
+    return out
+
+
+def thinned(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", leaf: int = LEAF, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row of each class, with the columns of docs; rows without words are alone and all stay."""
+    _, of_node, sketched = classes_of(docs, threshold, recall, shingle, id_column, text_column, leaf, block, block_tokens)
+    kept = of_node.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key"))
+    kept = written(kept, "kept-rows")
+    discard(sketched, of_node)
+    keyed = docs.withColumn("__kept_id", F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID))).withColumn("__kept_key", F.xxhash64(F.col(text_column).cast("binary")))
+    # Rows of equal id and text become one in their own tasks first; the join then needs no other exchange of the texts.
+    one = keyed.dropDuplicates(["__kept_id", "__kept_key"]).join(kept, ["__kept_id", "__kept_key"], "left_semi").select(*docs.columns)
+    blank = ~F.coalesce(F.col(text_column), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return one.unionByName(docs.filter(blank))

@@ -59,6 +59,17 @@ def test_all_links_by_brute_force(spark, sizes):
     assert got == truth(rows)
 
 
+def test_one_row_of_each_class(spark):
+    a, b = ("alpha beta gamma delta epsilon " * 3).strip(), "zeta eta theta iota kappa lambda mu"
+    rows = [(1, a), (None, a), (None, b), (None, b), (5, "one more text of its own words here"), (5, "and another under the same id"), (5, "and another under the same id"), (6, None), (6, None), (7, " \n"), (None, "")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, node string, id string").repartition(3)
+    got = chosen_path.thinned(df)
+    assert got.columns == df.columns
+    want = [rows[0], rows[2], rows[4], rows[5], *rows[7:]]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert chosen_path.thinned(df.limit(0)).collect() == []
+
+
 def test_data_by_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
