@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.chosen_path import near_duplicates
+from brindle.llm.chosen_path import thinned
 from brindle.llm.common import written
 from brindle.llm.packing import pack
 from brindle.llm.paragraph_dedup import duplicates, remove
@@ -31,30 +31,41 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail the rules go, and documents that are rejected."""
+    """Lines that fail the rules go, and documents that are rejected.
+
+    Null, empty and blank texts are rejected (fewer than twenty words), as are texts that mostly repeat themselves;
+    repeated rows and rows without an id are judged each; very long texts are judged whole; extra columns stay as they are."""
     return _measured(clean(docs))
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one of least id. Of rows with equal ids in a class
-    one stays, by its text."""
-    classes = near_duplicates(docs).filter("doc_id = class_id or class_id is null or n_links = 0").select("doc_id").distinct()
-    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each class of near copies stays: the one of least id, then of the least hash of its text.
+
+    Rows without an id come last in that order; rows that share an id, or have none, are rows of their own unless their
+    texts are similar; a row that is repeated whole stays once; texts without words are alone and all stay."""
+    return thinned(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur again are cut from all documents but the first that holds them."""
+    """Passages that occur again are cut from all documents but the first that holds them.
+
+    Null and blank texts, and those of fewer than 24 words, stay as they are; a text of which nothing is left goes; rows
+    without an id come last in the order of occurrence, and those that share an id count as one document."""
     return _measured(remove(docs, duplicates(docs)))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover a benchmark item go."""
+    """Rows whose text covers a benchmark item go; each row is judged by its own text, whatever its id.
+
+    Null and empty texts meet nothing and stay, and so do all rows where the benchmark is empty."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens.
+
+    A null or empty text is its end id alone; rows without an id come first; repeated rows are packed each; texts longer
+    than a window lie in several pieces; no documents give no pieces. Columns that are not packed are not read."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
