@@ -42,6 +42,25 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed} == set(texts)
 
 
+def test_rows_without_ids(spark, folder):
+    rest = (None,) * 12
+    rows = [(1, good("a"), *rest), (None, good("a"), *rest), (None, good("b"), *rest), (None, good("b"), *rest), (None, good("c"), *rest)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = corpus_pipeline.jaccard(spark, docs, folder)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, good("a")), (None, good("b")), (None, good("c"))], key=str)
+
+
+def test_large_benchmark(spark, folder, tmp_path, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", partial(corpus_pipeline.decontaminate, broadcast_bytes=0))
+    leak = "\nleaked words of a test item that nobody should have seen."
+    rows = [(k, good(f"n{i}") + (leak if i % 2 else ""), *(None,) * 12) for i, k in enumerate([None, None, 4, 4])]
+    out = corpus_pipeline.benchmark(spark, spark.createDataFrame(rows, SCHEMA), folder)
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("None", good("n0")), ("4", good("n2"))])
+
+
 def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
