@@ -11,8 +11,9 @@ their shingles. A band of over LARGE paragraphs is dealt out in cells of two blo
 holds a group of unbounded size and no pair of a band is dropped. Verified links are clustered by connected components; of each cluster the
 first occurrence (least doc_id, then place) stays and the others are removals.
 
-Bands: two bands of two values meet with 1 - (1 - 0.8**2)**2 = 0.87 at a similarity of 0.8 and for
-certain when equal; a passage of a hundred words holds about seven paragraphs, each with its own chance.
+Bands are tuned to the threshold: as many bands of ROWS values as it takes to meet a pair at the threshold with RECALL
+(three bands of two values: 1 - (1 - 0.8**2)**3 = 0.953); equal paragraphs meet for certain. A passage of a hundred words
+holds about seven paragraphs, each with its own chance.
 
 Paragraphs alone would miss the ends of a passage. So texts are also winnowed for seeds, runs of SEED words of which
 any SEED + SEED_STEP - 1 = 22 equal words hold one. Seeds that occur again, in a row on one diagonal, are a run; each run
@@ -24,7 +25,8 @@ stretches has 22 words or more and holds a seed: nothing is left to the chance o
 its first occurrence only.
 
 Defined cases: null, blank and shorter texts hold no paragraph and stay as they are; rows without
-doc_id come last in the order of occurrences; rows with equal ids count as one document, and a
+doc_id come last in the order of occurrences, each different text of them being a document of its own
+(they are named by a hash of it inside); rows with equal ids count as one document, and a
 removal is made only in a text that holds the paragraph at that place; an empty table gives
 no rows; extra columns pass by.
 """
@@ -32,11 +34,12 @@ no rows; extra columns pass by.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import discard, written
@@ -46,10 +49,14 @@ from brindle.llm.shingles import SHINGLE, coefficients, mixed, windows, words
 
 SIZE, STEP = 24, 26
 SEED, SEED_STEP, CONTEXT, GAP = 12, 11, 96, 8
-BANDS, ROWS = 2, 2
-THRESHOLD = 0.8
+THRESHOLD, RECALL, ROWS = 0.8, 0.95, 2
 LARGE, BLOCK = 2048, 512
-NO_ID = (1 << 63) - 1
+NO_IDS = 1 << 62  # rows without an id are named from here on
+
+
+def bands_for(threshold: float, recall: float = RECALL, rows: int = ROWS) -> int:
+    """Bands by which a pair at the threshold meets with at least that chance."""
+    return max(1, ceil(log(1 - recall) / log(1 - threshold**rows) - 1e-9))
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -77,7 +84,7 @@ def places(shingles: np.ndarray, size: int, step: int, shingle: int) -> np.ndarr
 
 
 class Paragraphs:
-    def __init__(self, size: int = SIZE, step: int = STEP, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, size: int = SIZE, step: int = STEP, shingle: int = SHINGLE, bands: int = bands_for(THRESHOLD), rows: int = ROWS):
         self.size, self.step, self.shingle, self.bands, self.rows = size, step, shingle, bands, rows
         self.a, self.b = coefficients(bands * rows, 2)
 
@@ -119,8 +126,14 @@ def occurrences(docs: DataFrame, parts: Paragraphs) -> DataFrame:
     return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, start int, paragraph bigint, bands array<bigint>")
 
 
+def _document(docs: DataFrame) -> Column:
+    """The id of a row's document; a name made of its text where there is none."""
+    name = F.xxhash64(docs["text"].cast("binary")).bitwiseAND(F.lit(NO_IDS - 1)) + F.lit(NO_IDS)
+    return F.coalesce(docs["doc_id"].cast("bigint"), name)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(_document(docs).alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def distinct_paragraphs(found: DataFrame) -> DataFrame:
@@ -360,7 +373,7 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD, least: int = SIZE, s
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, step: int = STEP, shingle: int = SHINGLE, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, start, paragraph, cluster, kept, words) of every paragraph that occurs again, equal or similar, and of the
     whole passages; paragraph is a hash of the words of the place."""
-    parts = Paragraphs(size, step, shingle)
+    parts = Paragraphs(size, step, shingle, bands_for(threshold))
     found = written(occurrences(docs, parts), "paragraphs")
     distinct = written(distinct_paragraphs(found), "distinct")
     pairs = written(collisions(distinct, size), "band-members")
@@ -397,7 +410,7 @@ def spans(found: DataFrame, size: int = SIZE) -> DataFrame:
     rows = rows.withColumn("new", F.coalesce(F.col("start") > F.max(end).over(past), F.lit(True)).cast("int"))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start_word"), F.max(end).alias("end_word"), F.min("passage").alias("passage"), F.array_sort(F.collect_set("passage")).alias("passages"), F.count("*").alias("paragraphs"))
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "start_word", "end_word", "kept", "passage", "passages", "paragraphs")
+    return out.select(F.when(F.col("doc_id") < NO_IDS, F.col("doc_id")).alias("doc_id"), "start_word", "end_word", "kept", "passage", "passages", "paragraphs")
 
 
 def remove(docs: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame:
@@ -420,7 +433,7 @@ def remove(docs: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame:
 
     gone = found.filter("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "paragraph", "words")).alias("w"))
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("w.start").alias("__starts"), F.col("w.paragraph").alias("__paragraphs"), F.col("w.words").alias("__words"))
-    rows = docs.join(gone, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col("__gone"), "left").drop("__gone")
+    rows = docs.join(gone, _document(docs) == F.col("__gone"), "left").drop("__gone")
     return rows.mapInArrow(tidied(cut), docs.schema)
 
 
