@@ -45,10 +45,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import discard, written
 from brindle.llm.components import components
 from brindle.llm.groups import dealt, forest, grouped, in_cells, similar, tidied
-from brindle.llm.shingles import SHINGLE, coefficients, mixed, windows, words
+from brindle.llm.shingles import SHINGLE, coefficients, mixed, windows, windows_at, words
 
 SIZE, STEP = 24, 26
-SEED, SEED_STEP, CONTEXT, GAP = 12, 11, 96, 8
+SEED, SEED_STEP, AROUND, CONTEXT, GAP = 12, 11, 10, 96, 8
 THRESHOLD, RECALL, ROWS = 0.8, 0.95, 2
 LARGE, BLOCK = 2048, 512
 NO_IDS = 1 << 62  # rows without an id are named from here on
@@ -59,16 +59,6 @@ def bands_for(threshold: float, recall: float = RECALL, rows: int = ROWS) -> int
     return max(1, ceil(log(1 - recall) / log(1 - threshold**rows) - 1e-9))
 
 
-def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
-    """Least value of each run of n values."""
-    out, have = x, 1
-    while have < n:
-        step = min(have, n - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
-
-
 def places(shingles: np.ndarray, size: int, step: int, shingle: int) -> np.ndarray:
     """Word positions at which paragraphs begin: the rightmost least shingle of each run of `step` positions."""
     n = len(shingles) - (size - shingle)
@@ -88,42 +78,45 @@ class Paragraphs:
         self.size, self.step, self.shingle, self.bands, self.rows = size, step, shingle, bands, rows
         self.a, self.b = coefficients(bands * rows, 2)
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, hash, bands, shingles) of the paragraphs of a text; start in words, bands a row for each."""
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, hash, bands) of the paragraphs of a text; start in words, bands a row for each."""
         hashes = words(text)[2]
         if len(hashes) < self.size:
             none = np.zeros(0, np.int64)
-            return none, none, none.reshape(0, self.bands), none
+            return none, none, none.reshape(0, self.bands)
         shingles = windows(hashes, self.shingle)
         at = places(shingles, self.size, self.step, self.shingle)
-        whole = windows(hashes, self.size)[at].view(np.int64)
-        x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-        count = self.size - self.shingle + 1
+        whole = windows_at(hashes, at, self.size).view(np.int64)
         out = np.zeros((len(at), self.bands), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(self.bands * self.rows):
-                least = sliding_least(x * self.a[k] + self.b[k], count)[at].astype(np.uint64)
-                band = k // self.rows
-                out[:, band] = mixed(out[:, band] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(band + 1))
-        return at, whole, out.view(np.int64), shingles
+        for part in range(0, len(at), 8192):  # the shingles of so many paragraphs at a time
+            own = shingles[at[part : part + 8192, None] + np.arange(self.size - self.shingle + 1)]
+            x = (own >> np.uint64(32)).astype(np.uint32) ^ own.astype(np.uint32)
+            bands = out[part : part + 8192]
+            with np.errstate(over="ignore"):
+                for k in range(self.bands * self.rows):
+                    least = (x * self.a[k] + self.b[k]).min(axis=1).astype(np.uint64)
+                    band = k // self.rows
+                    bands[:, band] = mixed(bands[:, band] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(band + 1))
+        return at, whole, out.view(np.int64)
 
 
 def occurrences(docs: DataFrame, parts: Paragraphs) -> DataFrame:
-    """(doc_id, start, paragraph, bands) of every paragraph of every text."""
+    """(doc_id, start, paragraph, band_0, band_1, ...) of every paragraph of every text."""
+    names = [f"band_{k}" for k in range(parts.bands)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0).to_numpy(), []
             for k, text in enumerate(batch.column(1)):
-                at, whole, bands, _ = parts.of(text.as_py() or b"")
+                at, whole, bands = parts.of(text.as_py() or b"")
                 if len(at):
                     out.append((np.full(len(at), ids[k]), at, whole, bands))
             if out:
                 ids, at, whole, bands = (np.concatenate(c) for c in zip(*out))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, parts.bands, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at.astype(np.int32)), pa.array(whole), lists], names=["doc_id", "start", "paragraph", "bands"])
+                columns = [np.ascontiguousarray(bands[:, k]) for k in range(parts.bands)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, at.astype(np.int32), whole, *columns)], names=["doc_id", "start", "paragraph", *names])
 
-    return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, start int, paragraph bigint, bands array<bigint>")
+    return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, start int, paragraph bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def _document(docs: DataFrame) -> Column:
@@ -136,11 +129,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(_document(docs).alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def distinct_paragraphs(found: DataFrame) -> DataFrame:
-    """(paragraph, bands, first, last): each different paragraph with its first and last occurrence (doc_id, start)."""
-    at = F.struct("doc_id", "start")
+def distinct_paragraphs(found: DataFrame, size: int) -> DataFrame:
+    """(paragraph, bands, doc_id, start, again): each different paragraph with one of its places; again: it occurs at two
+    places that are in different documents or do not overlap. Plain numbers only, which are aggregated without a sort."""
+    bands = [c for c in found.columns if c.startswith("band_")]
     # Equal paragraphs have equal bands, so any of them gives the bands.
-    return found.groupBy("paragraph").agg(F.first("bands").alias("bands"), F.min(at).alias("first"), F.max(at).alias("last"))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
+    g = found.groupBy("paragraph").agg(*[F.first(c).alias(c) for c in (*bands, "doc_id", "start")], *ends)
+    again = (F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + size)
+    return g.select("paragraph", F.array(*bands).alias("bands"), "doc_id", "start", again.alias("again"))
 
 
 def apart(first, last, size: int):
@@ -151,7 +148,7 @@ def apart(first, last, size: int):
 def collisions(distinct: DataFrame, size: int) -> DataFrame:
     """(band, paragraph) of the different paragraphs that share a band with another one elsewhere. Neighbours in one
     text, which overlap, do not count by themselves: they repeat only as that text's passage repeats."""
-    rows = distinct.select(F.explode("bands").alias("band"), "paragraph", "first.doc_id", "first.start")
+    rows = distinct.select(F.explode("bands").alias("band"), "paragraph", "doc_id", "start")
     bounds = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
     shared = rows.groupBy("band").agg(*bounds)
     shared = shared.filter((F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + size)).select("band")
@@ -168,9 +165,10 @@ def shingle_lists(docs: DataFrame, wanted: DataFrame, parts: Paragraphs) -> Data
                 hashes = words(text.as_py() or b"")[2]
                 if len(hashes) < parts.size:
                     continue
-                shingles, whole = windows(hashes, parts.shingle), windows(hashes, parts.size).view(np.int64)
-                for start, paragraph in zip(starts, paragraphs):
-                    if start < len(whole) and whole[start] == paragraph:
+                shingles, at = windows(hashes, parts.shingle), np.array(starts)
+                whole = windows_at(hashes, np.minimum(at, len(hashes) - parts.size), parts.size).view(np.int64).tolist()
+                for start, here, paragraph in zip(starts, whole, paragraphs):
+                    if here == paragraph and start + parts.size <= len(hashes):
                         names.append(paragraph)
                         lists.append(np.unique(shingles[start : start + parts.size - parts.shingle + 1]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.binary())], names=["paragraph", "shingles"])
@@ -217,22 +215,42 @@ def near_edges(pairs: DataFrame, lists: DataFrame, threshold: float, large: int
     return out
 
 
-def repeated(distinct: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """(paragraph, cluster, first) of the paragraphs of clusters that occur at two places or more."""
-    d = distinct.select("paragraph", "first", "last").join(labels.withColumnRenamed("vertex", "paragraph"), "paragraph", "left")
-    alone = d.filter("component is null").filter(apart(F.col("first"), F.col("last"), size))
-    linked = d.filter("component is not null")
-    whole = linked.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(apart(F.col("first"), F.col("last"), size))
-    linked = linked.select("paragraph", "component").join(whole.select("component", "first"), "component")
-    return alone.select("paragraph", F.col("paragraph").alias("cluster"), "first").unionByName(linked.select("paragraph", F.col("component").alias("cluster"), "first"))
+def repeated(found: DataFrame, distinct: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """(doc_id, start, paragraph, cluster, kept) of the occurrences of clusters at two places or more. A paragraph that is
+    linked to no other is a cluster of its own. Kept: the first occurrence, and what overlaps it in its text."""
+    named = distinct.filter("again").select("paragraph").join(labels.withColumnRenamed("vertex", "paragraph"), "paragraph", "full")
+    named = named.select("paragraph", F.coalesce("component", "paragraph").alias("cluster"))
+    rows = written(found.select("doc_id", "start", "paragraph").join(named, "paragraph"), "cluster-places")
+    at = F.struct("doc_id", "start")
+    of = rows.groupBy("cluster").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(apart(F.col("first"), F.col("last"), size))
+    here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") < F.col("first.start") + size)
+    out = written(rows.join(of, "cluster").select("doc_id", "start", "paragraph", "cluster", here.alias("kept"), F.lit(size).alias("words")), "duplicates")
+    discard(rows)
+    return out
 
 
 def _key(text: bytes) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(text))))
 
 
+def surroundings(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Three bits of each of the AROUND words before and behind the seeds at these places, nearest word lowest."""
+    bits, out = np.concatenate((np.zeros(AROUND, np.uint64), hashes >> np.uint64(61), np.zeros(AROUND, np.uint64))), np.zeros(len(at), np.uint64)
+    for k in range(AROUND):
+        out |= bits[at + AROUND - 1 - k] << np.uint64(3 * k)
+        out |= bits[at + AROUND + SEED + k] << np.uint64(3 * (AROUND + k))
+    return out.view(np.int64)
+
+
+def agreeing_around(a: Column, b: Column) -> Column:
+    """Words that agree around two seeds, by their surroundings, at most AROUND on each side; never too few."""
+    differ = a.bitwiseXOR(b)
+    mask = lambda k, by: F.lit(((1 << 3 * k) - 1) << by)
+    return sum((F.when(differ.bitwiseAND(mask(k, by)) == 0, 1).otherwise(0) for by in (0, 3 * AROUND) for k in range(1, AROUND + 1)), F.lit(0))
+
+
 def seeds(docs: DataFrame, least: int, shingle: int) -> DataFrame:
-    """(doc_id, text_key, start, seed) of the seeds of every text that can hold a passage."""
+    """(doc_id, text_key, start, seed, around) of the seeds of every text that can hold a passage."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,18 +261,20 @@ def seeds(docs: DataFrame, least: int, shingle: int) -> DataFrame:
                 if len(hashes) < least:
                     continue
                 at = places(windows(hashes, shingle), SEED, SEED_STEP, shingle)
-                out.append((np.full(len(at), ids[k]), np.full(len(at), _key(text)), at.astype(np.int32), windows(hashes, SEED)[at].view(np.int64)))
+                out.append((np.full(len(at), ids[k]), np.full(len(at), _key(text)), at.astype(np.int32), windows_at(hashes, at, SEED).view(np.int64), surroundings(hashes, at)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "text_key", "start", "seed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "text_key", "start", "seed", "around"])
 
-    return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, text_key bigint, start int, seed bigint")
+    return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, text_key bigint, start int, seed bigint, around bigint")
 
 
 def runs(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, seed, r_doc, r_key, r_start): seeds in a row that repeat a row of first occurrences."""
-    at = F.struct("doc_id", "start", "text_key")
+    """(doc_id, text_key, start, end, seed, r_doc, r_key, r_start): seeds in a row that repeat a row of first occurrences.
+    Only seeds in a stretch of SEED + AROUND words or more that agree: every passage holds one of those."""
+    at = F.struct("doc_id", "start", "text_key", "around")
     firsts = found.groupBy("seed").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(apart(F.col("first"), F.col("last"), SEED))
     rows = found.join(firsts.select("seed", "first"), "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
+    rows = rows.filter(agreeing_around(F.col("around"), F.col("first.around")) >= AROUND)
     rows = rows.select("doc_id", "text_key", "start", "seed", F.col("first.doc_id").alias("r_doc"), F.col("first.text_key").alias("r_key"), F.col("first.start").alias("r_start"))
     order = Window.partitionBy("doc_id", "text_key").orderBy("start")
     same = [F.lag(c).over(order) == F.col(c) for c in ("r_doc", "r_key")]
@@ -285,6 +305,13 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["r_doc", "r_key", "r_start", "n"])
 
 
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
 def _agreeing(a: list[int], b: list[int], i: int, j: int) -> int:
     n = 0
     while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
@@ -326,8 +353,12 @@ def extended(docs: DataFrame, found: DataFrame, least: int, threshold: float, sh
                     s, e, here = r["start"], r["end"], r["r_start"]
                     # Within one text the first occurrence stays whole.
                     room = min(CONTEXT, s, s - here - SEED) if r["r_doc"] == doc else min(CONTEXT, s)
-                    before = reach(low[s - room : s][::-1].tolist(), np.frombuffer(r["left"], "<u4")[::-1].tolist(), shingle)
-                    behind = reach(low[e : e + CONTEXT].tolist(), np.frombuffer(r["right"], "<u4").tolist(), shingle)
+                    back, left = low[s - room : s][::-1], np.frombuffer(r["left"], "<u4")[::-1]
+                    on, right = low[e : e + CONTEXT], np.frombuffer(r["right"], "<u4")
+                    if e - s + _equal(back, left) + _equal(on, right) < min(least, SEED + AROUND):
+                        continue  # another stretch of its passage, if there is one, is longer
+                    before = reach(back.tolist(), left.tolist(), shingle)
+                    behind = reach(on.tolist(), right.tolist(), shingle)
                     x, y = widest(e - s, before, behind, threshold, shingle)
                     begin, end = s - x[0], e + y[0]
                     if end - begin >= least:
@@ -375,19 +406,14 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     whole passages; paragraph is a hash of the words of the place."""
     parts = Paragraphs(size, step, shingle, bands_for(threshold))
     found = written(occurrences(docs, parts), "paragraphs")
-    distinct = written(distinct_paragraphs(found), "distinct")
+    distinct = written(distinct_paragraphs(found, size), "distinct")
     pairs = written(collisions(distinct, size), "band-members")
-    wanted = distinct.join(pairs.select("paragraph").distinct(), "paragraph", "left_semi").select("paragraph", "first.doc_id", "first.start")
+    wanted = distinct.join(pairs.select("paragraph").distinct(), "paragraph", "left_semi").select("paragraph", "doc_id", "start")
     lists = written(shingle_lists(docs, wanted, parts), "shingle-lists")
     edges = near_edges(pairs, lists, threshold, large, block)
     labels = written(components(edges), "labels")
-    again = written(repeated(distinct, labels, size), "repeated")
-    discard(pairs, lists, labels, distinct)
-    # Paragraphs of the first text that overlap its first occurrence are that occurrence.
-    here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") < F.col("first.start") + size)
-    out = found.select("doc_id", "start", "paragraph").join(again, "paragraph").withColumn("kept", here)
-    out = written(out.select("doc_id", "start", "paragraph", "cluster", "kept", F.lit(size).alias("words")), "duplicates")
-    discard(found, again)
+    out = repeated(found, distinct, labels, size)
+    discard(pairs, lists, labels, distinct, found)
     return out.unionByName(passages(docs, threshold, size, shingle))
 
 
@@ -443,10 +469,10 @@ def without(text: str, starts: list[int], paragraphs: list[int], size: int, leng
     begin, _, hashes = words(data)
     if len(hashes) < size:
         return text
-    whole = windows(hashes, size).view(np.int64)
+    whole = windows_at(hashes, np.clip(np.array(starts), 0, len(hashes) - size), size).view(np.int64).tolist()
     gone = np.zeros(len(begin) + 1, np.int64)
-    for s, p, n in zip(starts, paragraphs, lengths or [size] * len(starts)):
-        if s + n <= len(hashes) and (n == size and whole[s] == p or span_hash(hashes, s, s + n) == p):
+    for s, here, p, n in zip(starts, whole, paragraphs, lengths or [size] * len(starts)):
+        if s + n <= len(hashes) and (n == size and here == p or span_hash(hashes, s, s + n) == p):
             gone[s] += 1
             gone[s + n] -= 1
     drop = np.cumsum(gone[:-1]) > 0

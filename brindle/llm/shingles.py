@@ -83,6 +83,15 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def windows_at(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Those of windows() that begin at the given places; all must have `size` words."""
+    out = np.full(len(at), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = out * np.uint64(_BASE) + hashes[at + k]
+    return mixed(out)
+
+
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """The different shingles of a text, ascending."""
     return np.unique(windows(words(text)[2], size))

@@ -79,7 +79,7 @@ def test_equal_paragraphs_by_brute_force(spark):
     found = {(r.doc_id, r.start) for r in pd_.duplicates(df).collect()}
     parts, seen = pd_.Paragraphs(), {}
     for r in df.collect():
-        at, whole, _, _ = parts.of((r.text or "").encode())
+        at, whole, _ = parts.of((r.text or "").encode())
         for s, w in zip(at.tolist(), whole.tolist()):
             seen.setdefault(w, []).append((r.doc_id, s))
     want = {x for places in seen.values() if len({d for d, _ in places}) > 1 for x in places}
