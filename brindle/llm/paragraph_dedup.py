@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import discard, written
 from brindle.llm.components import components
 from brindle.llm.groups import dealt, forest, grouped, in_cells, similar, tidied
-from brindle.llm.shingles import SHINGLE, coefficients, mixed, windows, windows_at, words
+from brindle.llm.shingles import SHINGLE, batched, coefficients, mixed, windows, windows_at, words
 
 SIZE, STEP = 24, 26
 SEED, SEED_STEP, AROUND, CONTEXT, GAP = 12, 11, 10, 96, 8
@@ -73,6 +73,31 @@ def places(shingles: np.ndarray, size: int, step: int, shingle: int) -> np.ndarr
     return np.unique(best)
 
 
+def places_of_texts(shingles: np.ndarray, offsets: np.ndarray, size: int, step: int) -> np.ndarray:
+    """places() of texts whose words follow each other: ascending word positions. shingles: of all words, those that reach into
+    the next text included; offsets: of the texts' first words, with the number of words last."""
+    n = np.maximum(np.diff(offsets) - (size - 1), 0)  # places at which a paragraph of each text can begin
+    total = int(n.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    # Texts are laid out with `step` greatest keys behind each, so that no run of places reaches the next text.
+    word = np.arange(total) + np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    laid = np.arange(total) + np.repeat(step * np.arange(len(n)), n)
+    keys = np.full(total + step * len(n), np.iinfo(np.uint64).max, np.uint64)
+    keys[laid] = shingles[word]
+    best, have = np.arange(len(keys)), 1
+    while have < step:
+        by = min(have, step - have)
+        left, right = best[: len(best) - by], best[by:]
+        best = np.where(keys[right] <= keys[left], right, left)
+        have += by
+    first = np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    inside = np.arange(total) - first  # place within its text
+    runs = np.repeat(np.maximum(n - step + 1, 1), n)  # runs of a text: one, if it is shorter
+    chosen = np.unique(best[laid[inside < runs]])
+    return word[np.searchsorted(laid, chosen)]
+
+
 class Paragraphs:
     def __init__(self, size: int = SIZE, step: int = STEP, shingle: int = SHINGLE, bands: int = bands_for(THRESHOLD), rows: int = ROWS):
         self.size, self.step, self.shingle, self.bands, self.rows = size, step, shingle, bands, rows
@@ -81,11 +106,15 @@ class Paragraphs:
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, hash, bands) of the paragraphs of a text; start in words, bands a row for each."""
         hashes = words(text)[2]
+        return self.of_words(hashes, np.array([0, len(hashes)]))
+
+    def of_words(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of texts whose words follow each other; start counts from the first word of the first text."""
         if len(hashes) < self.size:
             none = np.zeros(0, np.int64)
             return none, none, none.reshape(0, self.bands)
         shingles = windows(hashes, self.shingle)
-        at = places(shingles, self.size, self.step, self.shingle)
+        at = places_of_texts(shingles, offsets, self.size, self.step)
         whole = windows_at(hashes, at, self.size).view(np.int64)
         out = np.zeros((len(at), self.bands), np.uint64)
         for part in range(0, len(at), 8192):  # the shingles of so many paragraphs at a time
@@ -100,21 +129,22 @@ class Paragraphs:
         return at, whole, out.view(np.int64)
 
 
+def _texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column(1).to_pylist()]
+
+
 def occurrences(docs: DataFrame, parts: Paragraphs) -> DataFrame:
     """(doc_id, start, paragraph, band_0, band_1, ...) of every paragraph of every text."""
     names = [f"band_{k}" for k in range(parts.bands)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0).to_numpy(), []
-            for k, text in enumerate(batch.column(1)):
-                at, whole, bands = parts.of(text.as_py() or b"")
-                if len(at):
-                    out.append((np.full(len(at), ids[k]), at, whole, bands))
-            if out:
-                ids, at, whole, bands = (np.concatenate(c) for c in zip(*out))
-                columns = [np.ascontiguousarray(bands[:, k]) for k in range(parts.bands)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, at.astype(np.int32), whole, *columns)], names=["doc_id", "start", "paragraph", *names])
+            ids = batch.column(0).to_numpy()
+            for first, hashes, offsets in batched(_texts_of(batch)):
+                at, whole, bands = parts.of_words(hashes, offsets)
+                text = np.searchsorted(offsets, at, "right") - 1
+                columns = [ids[first + text], (at - offsets[text]).astype(np.int32), whole, *(np.ascontiguousarray(bands[:, k]) for k in range(parts.bands))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "paragraph", *names])
 
     return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, start int, paragraph bigint, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -216,15 +246,19 @@ def near_edges(pairs: DataFrame, lists: DataFrame, threshold: float, large: int
 
 
 def repeated(found: DataFrame, distinct: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """(doc_id, start, paragraph, cluster, kept) of the occurrences of clusters at two places or more. A paragraph that is
-    linked to no other is a cluster of its own. Kept: the first occurrence, and what overlaps it in its text."""
+    """(doc_id, start, paragraph, ref_doc, ref_start, kept, words) of the occurrences of clusters at two places or more. A paragraph
+    that is linked to no other is a cluster of its own. ref: the first occurrence of the cluster, which is kept, with what
+    overlaps it in its text."""
     named = distinct.filter("again").select("paragraph").join(labels.withColumnRenamed("vertex", "paragraph"), "paragraph", "full")
     named = named.select("paragraph", F.coalesce("component", "paragraph").alias("cluster"))
     rows = written(found.select("doc_id", "start", "paragraph").join(named, "paragraph"), "cluster-places")
     at = F.struct("doc_id", "start")
     of = rows.groupBy("cluster").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(apart(F.col("first"), F.col("last"), size))
     here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") < F.col("first.start") + size)
-    out = written(rows.join(of, "cluster").select("doc_id", "start", "paragraph", "cluster", here.alias("kept"), F.lit(size).alias("words")), "duplicates")
+    # A kept place stands for itself.
+    ref = lambda c: F.when(here, F.col(c)).otherwise(F.col(f"first.{c}"))
+    out = rows.join(of, "cluster").select("doc_id", "start", "paragraph", ref("doc_id").alias("ref_doc"), ref("start").alias("ref_start"), here.alias("kept"), F.lit(size).alias("words"))
+    out = written(out, "duplicates")
     discard(rows)
     return out
 
@@ -254,55 +288,56 @@ def seeds(docs: DataFrame, least: int, shingle: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0).to_numpy(), []
-            for k, value in enumerate(batch.column(1)):
-                text = value.as_py() or b""
-                hashes = words(text)[2]
+            ids, texts = batch.column(0).to_numpy(), _texts_of(batch)
+            keys = np.array([_key(t) for t in texts], np.int64)
+            for first, hashes, offsets in batched(texts):
                 if len(hashes) < least:
                     continue
-                at = places(windows(hashes, shingle), SEED, SEED_STEP, shingle)
-                out.append((np.full(len(at), ids[k]), np.full(len(at), _key(text)), at.astype(np.int32), windows_at(hashes, at, SEED).view(np.int64), surroundings(hashes, at)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "text_key", "start", "seed", "around"])
+                at = places_of_texts(windows(hashes, shingle), offsets, SEED, SEED_STEP)
+                text = np.searchsorted(offsets, at, "right") - 1
+                at, text = (x[(np.diff(offsets) >= least)[text]] for x in (at, text))
+                columns = [ids[first + text], keys[first + text], (at - offsets[text]).astype(np.int32), windows_at(hashes, at, SEED).view(np.int64), surroundings(hashes, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_key", "start", "seed", "around"])
 
     return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, text_key bigint, start int, seed bigint, around bigint")
 
 
 def runs(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, seed, r_doc, r_key, r_start): seeds in a row that repeat a row of first occurrences.
-    Only seeds in a stretch of SEED + AROUND words or more that agree: every passage holds one of those."""
+    """(doc_id, text_key, start, end, low, high): stretches of a text covered by seeds that occurred before, with the first
+    occurrences of the first seed (low: r_doc, r_key, r_start) and of the last one (high). Only seeds in a stretch of SEED + AROUND
+    words or more that agree: every passage holds one of those."""
     at = F.struct("doc_id", "start", "text_key", "around")
     firsts = found.groupBy("seed").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(apart(F.col("first"), F.col("last"), SEED))
     rows = found.join(firsts.select("seed", "first"), "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
     rows = rows.filter(agreeing_around(F.col("around"), F.col("first.around")) >= AROUND)
-    rows = rows.select("doc_id", "text_key", "start", "seed", F.col("first.doc_id").alias("r_doc"), F.col("first.text_key").alias("r_key"), F.col("first.start").alias("r_start"))
+    place = F.struct(F.col("first.doc_id").alias("r_doc"), F.col("first.text_key").alias("r_key"), F.col("first.start").alias("r_start"))
+    rows = rows.select("doc_id", "text_key", "start", place.alias("place"))
     order = Window.partitionBy("doc_id", "text_key").orderBy("start")
-    same = [F.lag(c).over(order) == F.col(c) for c in ("r_doc", "r_key")]
-    on = same[0] & same[1] & (F.lag(F.col("r_start") - F.col("start")).over(order) == F.col("r_start") - F.col("start")) & (F.lag("start").over(order) + SEED >= F.col("start"))
-    rows = rows.withColumn("new", F.coalesce((~on).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), (F.max("start") + SEED).alias("end"), F.min_by("seed", "start").alias("seed"), F.first("r_doc").alias("r_doc"), F.first("r_key").alias("r_key"), F.min("r_start").alias("r_start"))
-    return out.drop("run")
+    rows = rows.withColumn("new", F.coalesce((F.lag("start").over(order) + SEED < F.col("start")).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("doc_id", "text_key", "run").agg(F.min(F.struct("start", "place")).alias("a"), F.max(F.struct("start", "place")).alias("z"))
+    return ends.select("doc_id", "text_key", F.col("a.start").alias("start"), (F.col("z.start") + SEED).alias("end"), F.col("a.place").alias("low"), F.col("z.place").alias("high"))
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(r_doc, r_key, r_start, n, left, right): the words (32 bits of each hash) before and behind first occurrences."""
+    """(r_doc, r_key, r_start, left, right): the words (32 bits of each hash) before and behind the seeds at first occurrences."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["r_doc", "r_key", "r_start", "n", "left", "right"]
+        names = ["r_doc", "r_key", "r_start", "left", "right"]
         for batch in batches:
             out: list[tuple] = []
-            for doc, key, text, starts, lengths in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for doc, key, text, starts in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if _key(text or b"") != key:
                     continue
                 hashes = words(text)[2].astype(np.uint32)
-                out += [(doc, key, s, n, hashes[max(0, s - CONTEXT) : s].tobytes(), hashes[s + n : s + n + CONTEXT].tobytes()) for s, n in zip(starts, lengths)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                out += [(doc, key, s, hashes[max(0, s - CONTEXT) : s].tobytes(), hashes[s + SEED : s + SEED + CONTEXT].tobytes()) for s in starts]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    of_text = wanted.groupBy("r_doc", "r_key").agg(F.collect_list(F.struct("r_start", "n")).alias("w"))
-    rows = of_text.join(_texts(docs).withColumnRenamed("doc_id", "r_doc"), "r_doc").select("r_doc", "r_key", "text", "w.r_start", "w.n")
-    found = rows.mapInArrow(tidied(cut), "r_doc bigint, r_key bigint, r_start int, n int, left binary, right binary")
-    return found.dropDuplicates(["r_doc", "r_key", "r_start", "n"])
+    of_text = wanted.groupBy("r_doc", "r_key").agg(F.collect_list("r_start").alias("starts"))
+    rows = of_text.join(_texts(docs).withColumnRenamed("doc_id", "r_doc"), "r_doc").select("r_doc", "r_key", "text", "starts")
+    found = rows.mapInArrow(tidied(cut), "r_doc bigint, r_key bigint, r_start int, left binary, right binary")
+    return found.dropDuplicates(["r_doc", "r_key", "r_start"])
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> int:
@@ -339,7 +374,8 @@ def reach(a: list[int], b: list[int], shingle: int = SHINGLE, gap: int = GAP) ->
 
 
 def extended(docs: DataFrame, found: DataFrame, least: int, threshold: float, shingle: int) -> DataFrame:
-    """(doc_id, start, paragraph, cluster, kept, words) of the passages that runs are part of, and of their first occurrences."""
+    """(doc_id, start, paragraph, ref_doc, ref_start, kept, words) of the passages that runs are part of, and of the ends of their first
+    occurrences (one piece where both ends lie on one diagonal)."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,26 +386,30 @@ def extended(docs: DataFrame, found: DataFrame, least: int, threshold: float, sh
                 hashes = words(text)[2]
                 low = hashes.astype(np.uint32)
                 for r in rows:
-                    s, e, here = r["start"], r["end"], r["r_start"]
+                    s, e, first, last = r["start"], r["end"], r["low"], r["high"]
                     # Within one text the first occurrence stays whole.
-                    room = min(CONTEXT, s, s - here - SEED) if r["r_doc"] == doc else min(CONTEXT, s)
+                    room = min(CONTEXT, s, s - first["r_start"] - SEED) if first["r_doc"] == doc else min(CONTEXT, s)
                     back, left = low[s - room : s][::-1], np.frombuffer(r["left"], "<u4")[::-1]
                     on, right = low[e : e + CONTEXT], np.frombuffer(r["right"], "<u4")
                     if e - s + _equal(back, left) + _equal(on, right) < min(least, SEED + AROUND):
                         continue  # another stretch of its passage, if there is one, is longer
-                    before = reach(back.tolist(), left.tolist(), shingle)
-                    behind = reach(on.tolist(), right.tolist(), shingle)
-                    x, y = widest(e - s, before, behind, threshold, shingle)
+                    x, y = widest(e - s, reach(back.tolist(), left.tolist(), shingle), reach(on.tolist(), right.tolist(), shingle), threshold, shingle)
                     begin, end = s - x[0], e + y[0]
-                    if end - begin >= least:
-                        out.append((doc, begin, span_hash(hashes, begin, end), r["seed"], False, end - begin))
-                        out.append((r["r_doc"], here - x[1], 0, r["seed"], True, e - s + x[1] + y[1]))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "paragraph", "cluster", "kept", "words"])
-
-    of_text = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "seed", "r_doc", "r_start", "left", "right")).alias("w"))
+                    if end - begin < least:
+                        continue
+                    ref = first["r_doc"], first["r_start"] - x[1]
+                    out.append((doc, begin, span_hash(hashes, begin, end), *ref, False, end - begin))
+                    if first["r_doc"] == last["r_doc"] and last["r_start"] + SEED - first["r_start"] == e - s:
+                        out.append((*ref, 0, *ref, True, e - s + x[1] + y[1]))
+                    else:
+                        out.append((*ref, 0, *ref, True, x[1] + SEED))
+                        out.append((last["r_doc"], last["r_start"], 0, last["r_doc"], last["r_start"], True, SEED + y[1]))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "paragraph", "ref_doc", "ref_start", "kept", "words"])
+
+    of_text = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "low", "high", "left", "right")).alias("w"))
     rows = of_text.join(_texts(docs), "doc_id").select("doc_id", "text_key", "text", "w")
-    return rows.mapInArrow(tidied(extend), "doc_id bigint, start int, paragraph bigint, cluster bigint, kept boolean, words int").distinct()
+    return rows.mapInArrow(tidied(extend), "doc_id bigint, start int, paragraph bigint, ref_doc bigint, ref_start int, kept boolean, words int").distinct()
 
 
 def widest(n: int, before: list[tuple[int, int, int]], behind: list[tuple[int, int, int]], threshold: float = THRESHOLD, shingle: int = SHINGLE) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
@@ -389,21 +429,25 @@ def span_hash(hashes: np.ndarray, begin: int, end: int) -> int:
 
 
 def passages(docs: DataFrame, threshold: float = THRESHOLD, least: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, start, paragraph, cluster, kept, words) of whole passages of at least so many words that occur again."""
+    """(doc_id, start, paragraph, ref_doc, ref_start, kept, words) of whole passages of at least so many words that occur again."""
     found = written(seeds(docs, least, shingle), "seeds")
     again = written(runs(found), "runs")
     discard(found)
-    n = (F.col("end") - F.col("start")).alias("n")
-    around = written(contexts(docs, again.select("r_doc", "r_key", "r_start", n).distinct()), "contexts")
-    rows = again.select("*", n).join(around, ["r_doc", "r_key", "r_start", "n"])
+    around = written(contexts(docs, again.select("low.*").unionByName(again.select("high.*")).distinct()), "contexts")
+
+    def beside(end: str, side: str) -> DataFrame:
+        place = F.struct("r_doc", "r_key", "r_start").alias(end)
+        return around.select(place, side)
+
+    rows = again.join(beside("low", "left"), "low").join(beside("high", "right"), "high")
     out = written(extended(docs, rows, least, threshold, shingle), "passages-found")
     discard(again, around)
     return out
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, step: int = STEP, shingle: int = SHINGLE, large: int = LARGE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, start, paragraph, cluster, kept, words) of every paragraph that occurs again, equal or similar, and of the
-    whole passages; paragraph is a hash of the words of the place."""
+    """(doc_id, start, paragraph, ref_doc, ref_start, kept, words) of every paragraph that occurs again, equal or similar, and of
+    the whole passages; paragraph is a hash of the words of the place, ref_doc and ref_start the place of the first occurrence."""
     parts = Paragraphs(size, step, shingle, bands_for(threshold))
     found = written(occurrences(docs, parts), "paragraphs")
     distinct = written(distinct_paragraphs(found, size), "distinct")
@@ -417,23 +461,40 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     return out.unionByName(passages(docs, threshold, size, shingle))
 
 
-def spans(found: DataFrame, size: int = SIZE) -> DataFrame:
+def spans(found: DataFrame) -> DataFrame:
     """Runs of words that the duplicates cover: doc_id, start_word, end_word (behind the last), kept,
-    passage, passages and paragraphs. Kept and removed runs are apart; a run of several passages has the least as passage. A passage is a component of the clusters
-    whose paragraphs overlap in some text, so all texts that hold it, or parts of it, name it alike."""
+    passage, passages and paragraphs. Kept and removed runs are apart; a run of several passages has the least as passage.
+
+    A passage is a run of kept places of one text; what is removed is named by the run that holds its first occurrence, so all
+    texts that repeat a passage, or parts of it, name it alike; and where kept places overlap removed ones, as a passage of one
+    text is part of another's, the two are one (components). Kept places inside removed passages are not listed."""
     end = F.col("start") + F.col("words")
-    order = Window.partitionBy("doc_id").orderBy("start", "paragraph", "cluster")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("doc_id").orderBy("start", F.desc("words"))
+        past = order.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("new", F.coalesce(F.col("start") > F.max(end).over(past), F.lit(True)).cast("int"))
+        return rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    kept = numbered(found.filter("kept").select("doc_id", "start", "words").distinct())
+    kept = kept.withColumn("passage", F.xxhash64("doc_id", F.min("start").over(Window.partitionBy("doc_id", "run"))))
+    named = kept.groupBy(F.col("doc_id").alias("ref_doc"), F.col("start").alias("ref_start")).agg(F.min("passage").alias("passage"))
+    removed = found.filter("not kept").select("doc_id", "start", "words", "ref_doc", "ref_start").distinct()
+    removed = removed.join(named, ["ref_doc", "ref_start"]).select("doc_id", "start", "words", "passage", F.lit(False).alias("kept"))
     # What lies in a removed passage is no kept place, though it is the first of its own words.
+    both = written(kept.select("doc_id", "start", "words", "passage", F.lit(True).alias("kept")).unionByName(removed), "span-parts")
+    before = Window.partitionBy("doc_id").orderBy("start", "kept", F.desc("words"), "passage").rowsBetween(Window.unboundedPreceding, -1)
+    other = F.struct(end.alias("end"), "passage")
+    other = F.when(F.col("kept"), F.max(F.when(~F.col("kept"), other)).over(before)).otherwise(F.max(F.when(F.col("kept"), other)).over(before))
+    alike = both.withColumn("other", other).filter((F.col("other.end") > F.col("start")) & (F.col("other.passage") != F.col("passage")))
+    alike = written(alike.select(F.col("passage").alias("a"), F.col("other.passage").alias("b")).distinct(), "alike")
+    names = written(components(alike), "passage-names").withColumnRenamed("vertex", "passage")
+    both = both.join(names, "passage", "left").withColumn("passage", F.coalesce("component", "passage")).drop("component")
     gone = F.max(F.when(~F.col("kept"), end)).over(Window.partitionBy("doc_id").orderBy("start"))
-    found = found.withColumn("kept", F.col("kept") & F.coalesce(gone < end, F.lit(True)))
-    pairs = found.select("cluster", F.lag("cluster").over(order).alias("other"), (F.col("start") < F.max(end).over(past)).alias("overlap"))
-    passages = components(pairs.filter("overlap and cluster <> other").select(F.col("cluster").alias("a"), F.col("other").alias("b")).distinct())
-    passages = written(passages, "passages")
-    rows = found.join(passages.withColumnRenamed("vertex", "cluster"), "cluster", "left").withColumn("passage", F.coalesce("component", "cluster"))
-    order = Window.partitionBy("doc_id", "kept").orderBy("start", "paragraph", "cluster")
+    both = both.withColumn("gone", gone).filter(~F.col("kept") | F.coalesce(F.col("gone") < end, F.lit(True)))
+    order = Window.partitionBy("doc_id", "kept").orderBy("start", F.desc("words"), "passage")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("new", F.coalesce(F.col("start") > F.max(end).over(past), F.lit(True)).cast("int"))
+    rows = both.withColumn("new", F.coalesce(F.col("start") > F.max(end).over(past), F.lit(True)).cast("int"))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start_word"), F.max(end).alias("end_word"), F.min("passage").alias("passage"), F.array_sort(F.collect_set("passage")).alias("passages"), F.count("*").alias("paragraphs"))
     return out.select(F.when(F.col("doc_id") < NO_IDS, F.col("doc_id")).alias("doc_id"), "start_word", "end_word", "kept", "passage", "passages", "paragraphs")

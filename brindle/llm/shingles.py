@@ -15,7 +15,7 @@ _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,6 +70,21 @@ def _words(text: bytes, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return starts + offset, ends + offset, hashes
 
 
+def batched(texts: list[bytes], target: int = 1 << 19):
+    """(first text, hashes, offsets) of stretches of texts of about so many bytes, a longer text alone: the hashes of all their words, and
+    the place of each text's first word in them, with the number of words last. Short texts share the costs of a call."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) < target):
+            size += len(texts[to]) + 1
+            to += 1
+        starts, _, hashes = words(b"\n".join(texts[at:to]))
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts[at:to]])
+        yield at, hashes, np.searchsorted(starts, begins)
+        at = to
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of so many words, in order; one of all words if there are fewer."""
     n = len(hashes)

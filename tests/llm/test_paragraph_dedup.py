@@ -30,6 +30,20 @@ def test_places_by_brute_force():
             assert set(got.tolist()) == want
 
 
+def test_places_of_many_texts_are_those_of_each():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        sizes = r.integers(0, 60, r.integers(1, 9))
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        hashes = r.integers(0, r.choice([4, 1 << 60]), int(offsets[-1])).astype(np.uint64)
+        got = pd_.places_of_texts(windows(hashes, 5), offsets, 9, 6).tolist() if len(hashes) >= 9 else []
+        want = []
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            if b - a >= 9:
+                want += (pd_.places(windows(hashes[a:b], 5), 9, 6, 5) + a).tolist()
+        assert got == want
+
+
 def test_shared_passages_share_a_paragraph():
     parts = pd_.Paragraphs()
     for _ in range(60):
