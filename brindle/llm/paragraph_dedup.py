@@ -12,7 +12,7 @@ holds a group of unbounded size and no pair of a band is dropped. Verified links
 first occurrence (least doc_id, then place) stays and the others are removals.
 
 Bands are tuned to the threshold: as many bands of ROWS values as it takes to meet a pair at the threshold with RECALL
-(three bands of two values: 1 - (1 - 0.8**2)**3 = 0.953); equal paragraphs meet for certain. A passage of a hundred words
+(two bands of one value: 1 - (1 - 0.8)**2 = 0.96); equal paragraphs meet for certain. A passage of a hundred words
 holds about seven paragraphs, each with its own chance.
 
 Paragraphs alone would miss the ends of a passage. So texts are also winnowed for seeds, runs of SEED words of which
@@ -48,8 +48,8 @@ from brindle.llm.groups import dealt, forest, grouped, in_cells, similar, tidied
 from brindle.llm.shingles import SHINGLE, batched, coefficients, mixed, windows, windows_at, words
 
 SIZE, STEP = 24, 26
-SEED, SEED_STEP, AROUND, CONTEXT, GAP = 12, 11, 10, 96, 8
-THRESHOLD, RECALL, ROWS = 0.8, 0.95, 2
+SEED, SEED_STEP, AROUND, CONTEXT, GAP = 8, 15, 14, 96, 8
+THRESHOLD, RECALL, ROWS = 0.8, 0.95, 1
 LARGE, BLOCK = 2048, 512
 NO_IDS = 1 << 62  # rows without an id are named from here on
 
@@ -268,76 +268,89 @@ def _key(text: bytes) -> int:
 
 
 def surroundings(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Three bits of each of the AROUND words before and behind the seeds at these places, nearest word lowest."""
-    bits, out = np.concatenate((np.zeros(AROUND, np.uint64), hashes >> np.uint64(61), np.zeros(AROUND, np.uint64))), np.zeros(len(at), np.uint64)
+    """Two bits of each of the AROUND words before and behind the seeds at these places, nearest word lowest."""
+    bits, out = np.concatenate((np.zeros(AROUND, np.uint64), hashes >> np.uint64(62), np.zeros(AROUND, np.uint64))), np.zeros(len(at), np.uint64)
     for k in range(AROUND):
-        out |= bits[at + AROUND - 1 - k] << np.uint64(3 * k)
-        out |= bits[at + AROUND + SEED + k] << np.uint64(3 * (AROUND + k))
+        out |= bits[at + AROUND - 1 - k] << np.uint64(2 * k)
+        out |= bits[at + AROUND + SEED + k] << np.uint64(2 * (AROUND + k))
     return out.view(np.int64)
 
 
 def agreeing_around(a: Column, b: Column) -> Column:
     """Words that agree around two seeds, by their surroundings, at most AROUND on each side; never too few."""
     differ = a.bitwiseXOR(b)
-    mask = lambda k, by: F.lit(((1 << 3 * k) - 1) << by)
-    return sum((F.when(differ.bitwiseAND(mask(k, by)) == 0, 1).otherwise(0) for by in (0, 3 * AROUND) for k in range(1, AROUND + 1)), F.lit(0))
+    mask = lambda k, by: F.lit(((1 << 2 * k) - 1) << by)
+    return sum((F.when(differ.bitwiseAND(mask(k, by)) == 0, 1).otherwise(0) for by in (0, 2 * AROUND) for k in range(1, AROUND + 1)), F.lit(0))
+
+
+TEXT_BITS = 4 * AROUND  # from here on a few bits of the text itself, which part texts of one id
 
 
 def seeds(docs: DataFrame, least: int, shingle: int) -> DataFrame:
-    """(doc_id, text_key, start, seed, around) of the seeds of every text that can hold a passage."""
+    """(doc_id, start, seed, around) of the seeds of every text that can hold a passage."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), _texts_of(batch)
-            keys = np.array([_key(t) for t in texts], np.int64)
+            tags = np.array([_key(t) for t in texts], np.int64) & ((1 << (63 - TEXT_BITS)) - 1)
             for first, hashes, offsets in batched(texts):
                 if len(hashes) < least:
                     continue
                 at = places_of_texts(windows(hashes, shingle), offsets, SEED, SEED_STEP)
                 text = np.searchsorted(offsets, at, "right") - 1
                 at, text = (x[(np.diff(offsets) >= least)[text]] for x in (at, text))
-                columns = [ids[first + text], keys[first + text], (at - offsets[text]).astype(np.int32), windows_at(hashes, at, SEED).view(np.int64), surroundings(hashes, at)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_key", "start", "seed", "around"])
+                columns = [ids[first + text], (at - offsets[text]).astype(np.int32), windows_at(hashes, at, SEED).view(np.int64), surroundings(hashes, at) | tags[first + text] << TEXT_BITS]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "seed", "around"])
 
-    return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, text_key bigint, start int, seed bigint, around bigint")
+    return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, start int, seed bigint, around bigint")
 
 
 def runs(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, low, high): stretches of a text covered by seeds that occurred before, with the first
-    occurrences of the first seed (low: r_doc, r_key, r_start) and of the last one (high). Only seeds in a stretch of SEED + AROUND
-    words or more that agree: every passage holds one of those."""
-    at = F.struct("doc_id", "start", "text_key", "around")
+    """(doc_id, start, end, low, high): stretches of a text covered by seeds that occurred before, with the first occurrences of
+    the first seed (low: r_doc, r_start, seed) and of the last one (high). Only seeds in a stretch of SEED + AROUND words or
+    more that agree: every passage holds one of those."""
+    at = F.struct("doc_id", "start", "around")
     firsts = found.groupBy("seed").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(apart(F.col("first"), F.col("last"), SEED))
     rows = found.join(firsts.select("seed", "first"), "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
     rows = rows.filter(agreeing_around(F.col("around"), F.col("first.around")) >= AROUND)
-    place = F.struct(F.col("first.doc_id").alias("r_doc"), F.col("first.text_key").alias("r_key"), F.col("first.start").alias("r_start"))
-    rows = rows.select("doc_id", "text_key", "start", place.alias("place"))
-    order = Window.partitionBy("doc_id", "text_key").orderBy("start")
+    place = F.struct(F.col("first.doc_id").alias("r_doc"), F.col("first.start").alias("r_start"), "seed")
+    rows = rows.select("doc_id", F.shiftright("around", TEXT_BITS).alias("text"), "start", place.alias("place"))
+    order = Window.partitionBy("doc_id", "text").orderBy("start")
     rows = rows.withColumn("new", F.coalesce((F.lag("start").over(order) + SEED < F.col("start")).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy("doc_id", "text_key", "run").agg(F.min(F.struct("start", "place")).alias("a"), F.max(F.struct("start", "place")).alias("z"))
-    return ends.select("doc_id", "text_key", F.col("a.start").alias("start"), (F.col("z.start") + SEED).alias("end"), F.col("a.place").alias("low"), F.col("z.place").alias("high"))
+    ends = rows.groupBy("doc_id", "text", "run").agg(F.min(F.struct("start", "place")).alias("a"), F.max(F.struct("start", "place")).alias("z"))
+    return ends.select("doc_id", F.col("a.start").alias("start"), (F.col("z.start") + SEED).alias("end"), F.col("a.place").alias("low"), F.col("z.place").alias("high"))
+
+
+def holds(hashes: np.ndarray, start: int, seed: int) -> bool:
+    """True if a text has that seed at that place."""
+    return start + SEED <= len(hashes) and int(windows_at(hashes, np.array([start]), SEED).view(np.int64)[0]) == seed
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(r_doc, r_key, r_start, left, right): the words (32 bits of each hash) before and behind the seeds at first occurrences."""
+    """(r_doc, r_start, seed, left, right): the words (32 bits of each hash) before and behind the seeds at first occurrences."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["r_doc", "r_key", "r_start", "left", "right"]
+        names = ["r_doc", "r_start", "seed", "left", "right"]
         for batch in batches:
             out: list[tuple] = []
-            for doc, key, text, starts in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if _key(text or b"") != key:
-                    continue
-                hashes = words(text)[2].astype(np.uint32)
-                out += [(doc, key, s, hashes[max(0, s - CONTEXT) : s].tobytes(), hashes[s + SEED : s + SEED + CONTEXT].tobytes()) for s in starts]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            for doc, text, starts, seeds_ in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                hashes = words(text or b"")[2]
+                at = np.array(starts)
+                inside = at + SEED <= len(hashes)
+                right_ones = np.zeros(len(at), bool)
+                right_ones[inside] = windows_at(hashes, at[inside], SEED).view(np.int64) == np.array(seeds_, np.int64)[inside]
+                low = hashes.astype(np.uint32)
+                for k in np.flatnonzero(right_ones).tolist():
+                    s = starts[k]
+                    out.append((doc, s, seeds_[k], low[max(0, s - CONTEXT) : s].tobytes(), low[s + SEED : s + SEED + CONTEXT].tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    of_text = wanted.groupBy("r_doc", "r_key").agg(F.collect_list("r_start").alias("starts"))
-    rows = of_text.join(_texts(docs).withColumnRenamed("doc_id", "r_doc"), "r_doc").select("r_doc", "r_key", "text", "starts")
-    found = rows.mapInArrow(tidied(cut), "r_doc bigint, r_key bigint, r_start int, left binary, right binary")
-    return found.dropDuplicates(["r_doc", "r_key", "r_start"])
+    of_text = wanted.groupBy("r_doc").agg(F.collect_list(F.struct("r_start", "seed")).alias("w"))
+    rows = of_text.join(_texts(docs).withColumnRenamed("doc_id", "r_doc"), "r_doc").select("r_doc", "text", "w.r_start", "w.seed")
+    found = rows.mapInArrow(tidied(cut), "r_doc bigint, r_start int, seed bigint, left binary, right binary")
+    return found.dropDuplicates(["r_doc", "r_start", "seed"])
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> int:
@@ -380,13 +393,13 @@ def extended(docs: DataFrame, found: DataFrame, least: int, threshold: float, sh
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, key, text, rows in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if _key(text or b"") != key:
-                    continue
-                hashes = words(text)[2]
+            for doc, text, rows in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                hashes = words(text or b"")[2]
                 low = hashes.astype(np.uint32)
                 for r in rows:
                     s, e, first, last = r["start"], r["end"], r["low"], r["high"]
+                    if not (holds(hashes, s, first["seed"]) and holds(hashes, e - SEED, last["seed"])):
+                        continue  # a run of another text under this id
                     # Within one text the first occurrence stays whole.
                     room = min(CONTEXT, s, s - first["r_start"] - SEED) if first["r_doc"] == doc else min(CONTEXT, s)
                     back, left = low[s - room : s][::-1], np.frombuffer(r["left"], "<u4")[::-1]
@@ -407,8 +420,8 @@ def extended(docs: DataFrame, found: DataFrame, least: int, threshold: float, sh
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "paragraph", "ref_doc", "ref_start", "kept", "words"])
 
-    of_text = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "low", "high", "left", "right")).alias("w"))
-    rows = of_text.join(_texts(docs), "doc_id").select("doc_id", "text_key", "text", "w")
+    of_text = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "low", "high", "left", "right")).alias("w"))
+    rows = of_text.join(_texts(docs), "doc_id").select("doc_id", "text", "w")
     return rows.mapInArrow(tidied(extend), "doc_id bigint, start int, paragraph bigint, ref_doc bigint, ref_start int, kept boolean, words int").distinct()
 
 
@@ -436,7 +449,7 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD, least: int = SIZE, s
     around = written(contexts(docs, again.select("low.*").unionByName(again.select("high.*")).distinct()), "contexts")
 
     def beside(end: str, side: str) -> DataFrame:
-        place = F.struct("r_doc", "r_key", "r_start").alias(end)
+        place = F.struct("r_doc", "r_start", "seed").alias(end)
         return around.select(place, side)
 
     rows = again.join(beside("low", "left"), "low").join(beside("high", "right"), "high")
