@@ -25,21 +25,19 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 LINE_END = r"[.!?:;,…\"'”’»)\]]$"
 BOILERPLATE = (
-    "all rights reserved",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "cookie policy",
-    "accept cookies",
-    "enable javascript",
-    "subscribe to our",
-    "sign up for",
-    "click here",
-    "powered by",
-    "lorem ipsum",
-    "skip to content",
-    "share this",
-)
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "enable javascript",
+    "subscribe to our", "sign up for", "click here", "powered by", "lorem ipsum", "skip to content", "share this",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "hier klicken", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "accepter les cookies", "cliquez ici", "abonnez-vous", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "aceptar cookies", "haga clic aquí", "haz clic aquí", "suscríbete", "saltar al contenido",
+)
+# Words of menus, and beginnings of links.
+MENU = (
+    "home", "about", "contact", "login", "register", "search", "menu", "sitemap", "faq", "help", "blog", "shop", "cart", "news",
+    "startseite", "kontakt", "impressum", "anmelden", "suche", "warenkorb", "hilfe",
+    "accueil", "connexion", "recherche", "panier", "aide", "inicio", "contacto", "buscar", "acceso", "carrito", "ayuda",
+)
+LINK = ("http://", "https://", "www.")
 WINDOW = 8
 
 
@@ -97,7 +95,9 @@ def line_fails(line: Column, words: Column) -> Column:
     distinct = F.size(F.array_distinct(words)).cast("bigint")
     punctuation = (symbols * 2 > n) | ((shouts >= 4) & (shouts * 4 > n)) | (~line.rlike(r"\p{Ll}") & (F.regexp_count(line, F.lit(r"\p{Lu}")) >= 10))
     fragment = (n < 4) & ~line.rlike(LINE_END)
-    navigation = (bars >= 3) & (bars * 4 > n)
+    menu = F.size(F.filter(words, lambda w: F.lower(w).isin(*MENU)))
+    links = F.size(F.filter(words, lambda w: F.exists(F.array(*map(F.lit, LINK)), lambda k: F.lower(w).startswith(k))))
+    navigation = ((bars >= 3) & (bars * 4 > n)) | ((menu >= 3) & (menu * 2 > n)) | (links * 2 > n)
     return punctuation | fragment | navigation | ((n <= 30) & phrase) | ((n >= 10) & (distinct * distinct < n))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import plain_table
 from brindle.llm.license_rules import scan
 from brindle.llm.packing import pack
-from brindle.llm.quality_rules import BOILERPLATE, judge
+from brindle.llm.quality_rules import BOILERPLATE, LINK, MENU, judge
 from brindle.llm.record_files import records_of
 from brindle.llm.registry import query
 from brindle.llm.rule_ensemble import score, train
@@ -60,13 +60,14 @@ m AS (
          length(line) - length(translate(line, '#*$%&|<>', '')) AS sym,
          length(line) - length(translate(line, '|»›', '')) AS bars,
          length(line) - length(translate(line, '!', '')) AS shouts,
-         length(regexp_replace(line, '[^\p{Lu}]', '', 'g')) AS caps
+         length(regexp_replace(line, '[^\p{Lu}]', '', 'g')) AS caps,
+         len(list_filter(lw, lambda x: lower(x) IN (MENU))) AS menu, len(list_filter(lw, lambda x: LINKS)) AS links
   FROM l WHERE len(lw) > 0),
 b AS (
   SELECT *, (sym * 2 > n) OR (shouts >= 4 AND shouts * 4 > n)
          OR (NOT regexp_matches(line, '\p{Ll}') AND caps >= 10)
          OR (n < 4 AND NOT regexp_matches(line, '[.!?:;,…"''”’»)\]]$'))
-         OR (bars >= 3 AND bars * 4 > n)
+         OR (bars >= 3 AND bars * 4 > n) OR (menu >= 3 AND menu * 2 > n) OR (links * 2 > n)
          OR (n <= 30 AND (PHRASES))
          OR (n >= 10 AND dist * dist < n) AS bad
   FROM m),
@@ -85,7 +86,9 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        NOT base_failed AND lost * 100 <= chars * 30 AND kept_words >= 20 AS kept,
        failed::BIGINT AS n_failed_lines, lost::BIGINT AS lost_chars
 FROM v
-""".replace("PHRASES", " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE))
+"""
+QUALITY_SQL = QUALITY_SQL.replace("PHRASES", " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)).replace("(MENU)", "(" + ", ".join(f"'{w}'" for w in MENU) + ")")
+QUALITY_SQL = QUALITY_SQL.replace("LINKS", " OR ".join(f"starts_with(lower(x), '{k}')" for k in LINK))
 
 
 @query("op3_quality_rules", QUALITY_SQL)

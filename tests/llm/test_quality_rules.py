@@ -37,6 +37,9 @@ def test_rules(spark):
     r = one(spark, good)
     assert r.kept and not r.base_failed and r.cleaned == good and r.n_failed_lines == 0
     bad_lines = ["Home | About | News | Shop | Help", "a$$$ b%%% c&&& d###", "BUY NOW THIS THING TODAY", "Click here to go on.", "Menu", "Oh! No! Why! Ha! Go!", "na " * 12]
+    others = ["Startseite Kontakt Impressum Suche und anderes mehr.", "Voir https://a.example et www.b.example www.c.example.", "Tous droits réservés par nous.", "Haga clic aquí para ver."]
+    r = one(spark, good + "\n" + "\n".join(others))
+    assert r.n_failed_lines == len(others) and r.kept and r.cleaned == good
     r = one(spark, good + "\n" + "\n".join(bad_lines))
     assert r.n_failed_lines == len(bad_lines) and r.kept and r.cleaned == good
     r = one(spark, "\n".join(bad_lines * 3) + "\n" + good[:330])
