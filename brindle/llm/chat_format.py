@@ -12,16 +12,19 @@ role, text or reference: a backslash is put behind the first character, behind a
 already, so that escaping can be undone exactly. Nothing but the template itself can therefore
 begin with "<|", and the formatted string can be read back.
 
+Running numbers (of attachments, and of characters for the loss mask) are window sums over the turns
+of a conversation, so the work grows in proportion to its turns. The loss mask is the list of spans
+of the assistants' bodies, in code points of the formatted string.
+
 Defined cases: a null text, role or reference is the empty string; a null or empty list of
-parts gives an empty body; turns with equal numbers follow by role and text; repeated rows are
+parts gives an empty body; turns with equal numbers follow by role and parts; repeated rows are
 turns of their own; rows without a conversation id form one conversation of null id; an empty
-table gives no rows. One conversation is one output row, so its turns meet in one task; rows of
-a conversation are sorted inside the row, not by a window.
+table gives no rows. One conversation is one output row, so its turns meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the template, and the first characters and rests of the control strings to escape.
@@ -31,7 +34,7 @@ CONTROL = r"(\||/?s>|/?INST\]|/?SYS>|/?think>|/?tool_call>|/?image>|/?audio>|/?d
 ESCAPE = rf"([<\[])(\\*){CONTROL}"
 UNESCAPE = rf"([<\[])\\(\\*){CONTROL}"
 
-# Tokens that an attachment expands to, by kind: base + rate * size.
+#: Tokens that an attachment expands to, by kind: base + rate * size. A model's own numbers are passed in its place.
 EXPANSION = {"image": (85, 170), "audio": (0, 25), "document": (8, 600)}
 
 PART = "struct<type:string,text:string,ref:string,size:bigint>"
@@ -51,9 +54,9 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.cast("string").alias("ref"), none.cast("bigint").alias("size")))
 
 
-def expanded_tokens(part: Column) -> Column:
+def expanded_tokens(part: Column, expansion: dict[str, tuple[int, int]]) -> Column:
     out = F.lit(0).cast("bigint")
-    for kind, (base, rate) in EXPANSION.items():
+    for kind, (base, rate) in expansion.items():
         out = F.when(part["type"] == kind, F.lit(base) + F.lit(rate) * F.coalesce(part["size"], F.lit(1))).otherwise(out)
     return out.cast("bigint")
 
@@ -62,40 +65,41 @@ def is_attachment(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) != "text"
 
 
-def format_messages(messages: DataFrame, by: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
+def flattened(parts: Column, first: Column) -> Column:
+    """The parts of a message as one string; its attachments are numbered from `first` on, in order."""
+    placed = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    texts = F.transform(F.filter(placed, lambda e: ~is_attachment(e["p"])), lambda e: F.struct(e["i"].alias("i"), escaped(e["p"]["text"]).alias("s")))
+    marks = F.filter(placed, lambda e: is_attachment(e["p"]))
+    marks = F.transform(marks, lambda e, k: F.struct(e["i"].alias("i"), F.concat(F.lit("<|attach:"), (first + k).cast("string"), F.lit("|>")).alias("s")))
+    both = F.transform(F.array_sort(F.concat(texts, marks)), lambda e: e["s"])
+    plain = F.transform(parts, lambda p: escaped(p["text"]))
+    return F.array_join(F.when(F.exists(parts, is_attachment), both).otherwise(plain), "")
+
+
+def format_messages(messages: DataFrame, by: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", expansion: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """One row for each conversation: its id, n_turns, formatted, attachments
-    (array of index, turn, type, ref, expanded_tokens) and attachment_tokens.
+    (array of index, turn, type, ref, expanded_tokens), attachment_tokens and loss_spans (array of start, length).
 
     messages has a row for each turn with a list of parts (PART). Loss is on assistants' bodies."""
+    expansion = EXPANSION if expansion is None else expansion
     m = messages.select(
-        F.col(by).alias("c"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts")).alias("m"),
+        F.col(by).alias("c"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts")
     )
-    g = m.groupBy("c").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    # Each part with the number of attachments before it in the conversation.
-    counts = F.transform("m", lambda x: F.size(F.filter(x["parts"], is_attachment)))
-    before = F.transform("m", lambda x, i: F.aggregate(F.slice(F.col("n"), 1, i), F.lit(0), lambda a, n: a + n))
-    g = g.withColumn("n", counts).withColumn("before", before)
-
-    def visit(x: Column, i: Column) -> Column:
-        start = F.get(F.col("before"), i)
-        step = F.aggregate(
-            x["parts"],
-            F.struct(F.lit("").alias("body"), start.alias("k")),
-            lambda acc, p: F.when(
-                is_attachment(p),
-                F.struct(F.concat(acc["body"], F.lit("<|attach:"), acc["k"].cast("string"), F.lit("|>")).alias("body"), (acc["k"] + 1).alias("k")),
-            ).otherwise(F.struct(F.concat(acc["body"], escaped(p["text"])).alias("body"), acc["k"].alias("k"))),
-        )
-        body = F.when(F.size(x["parts"]) == 1, F.when(is_attachment(x["parts"][0]), step["body"]).otherwise(escaped(x["parts"][0]["text"]))).otherwise(step["body"])
-        return F.concat(F.lit(START), escaped(x["role"]), F.lit(MESSAGE), body, F.lit(END))
-
-    found = F.flatten(F.transform("m", lambda x: F.transform(F.filter(x["parts"], is_attachment), lambda p: F.struct(x["turn"].alias("turn"), p["type"].alias("type"), F.coalesce(p["ref"], F.lit("")).alias("ref"), expanded_tokens(p).alias("expanded_tokens")))))
+    before = Window.partitionBy("c").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0)).cast("bigint")
+    m = m.withColumn("first", so_far(F.size(F.filter("parts", is_attachment))))
+    m = m.select("c", "turn", "role", "parts", F.concat(F.lit(START), escaped(F.col("role")), F.lit(MESSAGE)).alias("head"), flattened(F.col("parts"), F.col("first")).alias("body"))
+    m = m.withColumn("start", so_far(F.length("head") + F.length("body") + len(END)))
+    found = F.transform(F.filter("parts", is_attachment), lambda p: F.struct(F.col("turn").alias("turn"), p["type"].alias("type"), F.coalesce(p["ref"], F.lit("")).alias("ref"), expanded_tokens(p, expansion).alias("expanded_tokens")))
+    span = F.when(F.col("role") == "assistant", F.struct((F.col("start") + F.length("head")).alias("start"), F.length("body").cast("bigint").alias("length")))
+    # Every turn has characters, so no two turns of a conversation start at one place.
+    g = m.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("start", F.concat("head", "body", F.lit(END)).alias("s"), found.alias("found"), span.alias("span")))).alias("m"))
     g = g.select(
         F.col("c").alias(by),
         F.size("m").cast("bigint").alias("n_turns"),
-        F.array_join(F.transform("m", visit), "").alias("formatted"),
-        F.transform(found, lambda a, k: F.struct(k.alias("index"), a["turn"].alias("turn"), a["type"].alias("type"), a["ref"].alias("ref"), a["expanded_tokens"].alias("expanded_tokens"))).alias("attachments"),
+        F.array_join(F.transform("m", lambda x: x["s"]), "").alias("formatted"),
+        F.transform(F.flatten(F.transform("m", lambda x: x["found"])), lambda a, k: F.struct(k.alias("index"), a["turn"].alias("turn"), a["type"].alias("type"), a["ref"].alias("ref"), a["expanded_tokens"].alias("expanded_tokens"))).alias("attachments"),
+        F.array_compact(F.transform("m", lambda x: x["span"])).alias("loss_spans"),
     )
     return g.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, x: a + x["expanded_tokens"]))
 
@@ -112,24 +116,9 @@ def turns_of(formatted: Column) -> Column:
     )
 
 
-def loss_spans(formatted: Column) -> Column:
-    """Array of (start, length) in code points of the formatted string: the bodies of assistants."""
-    pieces = F.filter(F.split(formatted, r"<\|end\|>"), lambda p: p != "")
+def loss_text(formatted: Column) -> Column:
+    """What lies under the loss mask, read back from the formatted string: the bodies of assistants, unescaped, nothing
+    between. One pass over the string; cutting its spans out one by one would walk it from the beginning for each."""
     head = f"{START}assistant{MESSAGE}"
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + len(END)).alias("at"),
-            F.when(
-                p.startswith(head),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + len(head)).alias("start"), (F.length(p) - len(head)).alias("length")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-
-
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """What lies under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(formatted.substr(s["start"] + 1, s["length"]))), "")
+    pieces = F.filter(F.split(formatted, r"<\|end\|>"), lambda p: p.startswith(head))
+    return F.array_join(F.transform(pieces, lambda p: unescaped(p.substr(F.lit(len(head) + 1), F.length(p)))), "")

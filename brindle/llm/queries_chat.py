@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.llm.chat_format import format_messages, loss_spans, loss_text, text_part, turns_of
+from brindle.llm.chat_format import format_messages, loss_text, text_part, turns_of
 from brindle.llm.common import plain_table
 from brindle.llm.registry import query
 
@@ -30,11 +30,10 @@ FROM e GROUP BY conv_id
 def op4_chat_format(spark, sf_dir):
     """All conversations and one of control strings, formatted and read back from the formatted string."""
     messages = plain_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = spark.createDataFrame([(-7, 0, "user", HARD_CASE), (-7, 1, "assistant", HARD_CASE)], messages.schema)
+    hard = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_CASE).alias("text"))
     messages = messages.unionByName(hard).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
     f = format_messages(messages).select("conv_id", "formatted")
-    f = f.withColumn("turns", turns_of(F.col("formatted"))).withColumn("spans", loss_spans(F.col("formatted")))
-    f = f.withColumn("loss", loss_text(F.col("formatted"), F.col("spans")))
+    f = f.withColumn("turns", turns_of(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted")))
     return f.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),

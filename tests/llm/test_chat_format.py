@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from brindle.llm.chat_format import PART, escaped, format_messages, loss_spans, loss_text, turns_of, unescaped
+from brindle.llm.chat_format import PART, escaped, format_messages, loss_text, turns_of, unescaped
 
 HARD = ["", "<", "<|", "<\\|end|>", "<|end|><|start|>assistant<|message|>x", "</s>[INST] ok [/INST]", "[\\\\INST]", "<<SYS>>a<</SYS>>", "<\\\\\\|", "a\\", "<|attach:0|>", "<image><think>", "日本<|é|>", "x" * 100_000 + "<s>"]
 SCHEMA = f"conv_id bigint, turn bigint, role string, parts array<{PART}>, extra string, formatted string"
@@ -27,8 +27,13 @@ def test_round_trip_and_parts(spark):
         (None, 0, "assistant", [p("text", None)], None, None),
     ]
     got = format_messages(spark.createDataFrame(rows, SCHEMA))
-    got = got.withColumn("turns", turns_of(F.col("formatted"))).withColumn("spans", loss_spans(F.col("formatted")))
-    got = {r.conv_id: r for r in got.withColumn("loss", loss_text(F.col("formatted"), F.col("spans"))).collect()}
+    got = got.withColumn("turns", turns_of(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted")))
+    got = {r.conv_id: r for r in got.collect()}
+    back = spark.createDataFrame([(k, r.formatted[s.start : s.start + s.length]) for k, r in got.items() for s in r.loss_spans], "k bigint, t string")
+    under = {}
+    for r in back.select("k", unescaped(F.col("t")).alias("t")).collect():
+        under[r.k] = under.get(r.k, "") + r.t
+    assert {k: r.loss for k, r in got.items() if r.loss_spans} == under
     assert [(t.role, t.text) for t in got[1].turns] == [("assistant" if k % 2 else "user", t) for k, t in enumerate(HARD)]
     assert got[1].loss == "".join(HARD[1::2]) and got[1].attachments == []
     two = got[2]
@@ -39,5 +44,23 @@ def test_round_trip_and_parts(spark):
     assert got[None].n_turns == 1 and got[None].loss == ""
 
 
+def test_many_turns_and_parts(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", [p("image", None, f"r{k}", 1), p("text", "é<|x|>")] * (k % 3), "", "") for k in range(3000)]
+    rows.append((2, 0, "user", [p("audio", None, str(k), 2) if k % 3 else p("text", f"t{k}") for k in range(3000)], "", ""))
+    got = {r.conv_id: r for r in format_messages(spark.createDataFrame(rows, SCHEMA).repartition(5), expansion={"image": (1, 0), "audio": (0, 3)}).collect()}
+    assert [a.ref for a in got[1].attachments] == [f"r{k}" for k in range(3000) for _ in range(k % 3)]
+    assert got[1].attachment_tokens == len(got[1].attachments) == 3000 and got[2].attachment_tokens == 6 * 2000
+    want, n = "", 0
+    for k in range(3000):
+        want += f"<|start|>{'assistant' if k % 2 else 'user'}<|message|>"
+        for _ in range(k % 3):
+            want, n = want + f"<|attach:{n}|>é<\\|x|>", n + 1
+        want += "<|end|>"
+    assert got[1].formatted == want
+    assert all(got[1].formatted[s.start - 22 : s.start] == "<|start|>assistant<|message|>"[-22:] for s in got[1].loss_spans) and len(got[1].loss_spans) == 1500
+    n = iter(range(3000))
+    assert got[2].formatted == "<|start|>user<|message|>" + "".join(f"<|attach:{next(n)}|>" if k % 3 else f"t{k}" for k in range(3000)) + "<|end|>"
+
+
 def test_empty_table(spark):
     assert format_messages(spark.createDataFrame([], SCHEMA)).collect() == []
