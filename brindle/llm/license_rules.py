@@ -4,7 +4,8 @@ A text is normalised as a whole: lower case, words and version numbers only, lin
 marks as spaces. Known sentences get an identifier wherever they stand in it at word bounds, across line
 ends and behind the holder and years of a copyright line too. A document is then a sequence of identifiers, and ordered rules say which runs of them
 make a licence: rules are tried from specific to general, each place belongs to the first rule that takes
-it, and identifiers of a rule may have other known sentences between them.
+it, and identifiers of a rule may have other known sentences between them. Most rules are of one sentence that names a
+licence; those sentences are made of its names and the forms in which licences are named.
 
 Defined cases: null and empty texts hold nothing; repeated rows are scanned each; a sentence may
 be of any length; an empty table gives no rows; extra columns are not read.
@@ -13,6 +14,7 @@ be of any length; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,58 +22,147 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Known licence sentences by identifier, already in plain words.
+# Known licence sentences by identifier.
 SENTENCES = {
-    "mit.name": ("released under the MIT License", "licensed under the MIT License", "this project is licensed under the terms of the MIT license", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"),
     "mit.grant": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",),
     "mit.notice": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",),
     "as.is": ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",),
+    "isc.grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "0bsd.grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "author.disclaims": ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",),
     "bsd.use": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "bsd.source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
     "bsd.binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",),
-    "bsd.endorse": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",),
-    "bsd.name": ("released under the BSD License", "licensed under the BSD 3-Clause License", "licensed under the BSD 2-Clause License"),
-    "apache.name": ("Licensed under the Apache License, Version 2.0", "released under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "bsd.endorse": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "bsd.advert": ("All advertising materials mentioning features or use of this software must display the following acknowledgement",),
     "apache.comply": ("you may not use this file except in compliance with the License",),
     "apache.copy": ("You may obtain a copy of the License at",),
-    "gpl3.name": ("This work is licensed under the GNU General Public License, version 3", "licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    "gpl2.name": ("licensed under the GNU General Public License, version 2",),
-    "gpl.free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",),
-    "gpl.later": ("either version 3 of the License, or (at your option) any later version",),
-    "lgpl.name": ("licensed under the GNU Lesser General Public License",),
-    "ccby.name": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "ccbysa.name": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "ccbync.name": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "cc0.name": ("dedicated to the public domain under CC0 1.0", "Licensed under CC0 1.0"),
+    "apache.as.is": ("distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",),
+    "gpl.free": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    ),
+    "lgpl.free": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    ),
+    "agpl.free": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    ),
+    "v2.later": ("either version 2 of the License, or (at your option) any later version",),
+    "v2.1.later": ("either version 2.1 of the License, or (at your option) any later version",),
+    "v3.later": ("either version 3 of the License, or (at your option) any later version",),
+    "gpl.receive": ("You should have received a copy of the GNU General Public License along with this program",),
+    "mpl.subject": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "mpl.copy": ("If a copy of the MPL was not distributed with this file, You can obtain one at",),
+    "epl.made": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"),
+    "unlicense.free": ("This is free and unencumbered software released into the public domain",),
+    "unlicense.anyone": ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",),
+    "boost.grant": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "zlib.held": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",),
+    "zlib.origin": ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software",),
+    "wtfpl.do": ("You just DO WHAT THE FUCK YOU WANT TO",),
+    "cc0.waive": ("dedicated to the public domain under CC0 1.0", "has waived all copyright and related or neighboring rights to this work"),
     "reserved": ("All rights reserved",),
     "proprietary": ("Unauthorized copying of this file, via any medium, is strictly prohibited", "Proprietary and confidential"),
 }
 
-# Ordered rules, (licence, kind, identifiers in their order).
-RULES = (
+# Licences by identifier of their name: (licence, kind, names, the short name of file headers).
+NAMES = {
+    "mit.name": ("MIT", "permissive", ("MIT License",), "MIT"),
+    "isc.name": ("ISC", "permissive", ("ISC License",), "ISC"),
+    "bsd3.name": ("BSD-3-Clause", "permissive", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"), "BSD-3-Clause"),
+    "bsd2.name": ("BSD-2-Clause", "permissive", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"), "BSD-2-Clause"),
+    "bsd.name": ("BSD", "permissive", ("BSD License",), None),
+    "apache.name": ("Apache-2.0", "permissive", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "Apache-2.0"),
+    "agpl3.name": ("AGPL-3.0", "copyleft", ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"), "AGPL-3.0-only"),
+    "agpl3.later.name": ("AGPL-3.0-or-later", "copyleft", (), "AGPL-3.0-or-later"),
+    "gpl3.name": ("GPL-3.0", "copyleft", ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3"), "GPL-3.0-only"),
+    "gpl3.later.name": ("GPL-3.0-or-later", "copyleft", (), "GPL-3.0-or-later"),
+    "gpl2.name": ("GPL-2.0", "copyleft", ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2"), "GPL-2.0-only"),
+    "gpl2.later.name": ("GPL-2.0-or-later", "copyleft", (), "GPL-2.0-or-later"),
+    "lgpl3.name": ("LGPL-3.0", "copyleft", ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"), "LGPL-3.0-only"),
+    "lgpl2.name": ("LGPL-2.1", "copyleft", ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"), "LGPL-2.1-only"),
+    "lgpl.name": ("LGPL", "copyleft", ("GNU Lesser General Public License",), None),
+    "gpl.name": ("GPL", "copyleft", ("GNU General Public License",), None),
+    "mpl.name": ("MPL-2.0", "copyleft", ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"), "MPL-2.0"),
+    "epl.name": ("EPL-2.0", "copyleft", ("Eclipse Public License, Version 2.0", "Eclipse Public License 2.0"), "EPL-2.0"),
+    "boost.name": ("BSL-1.0", "permissive", ("Boost Software License, Version 1.0", "Boost Software License 1.0"), "BSL-1.0"),
+    "zlib.name": ("Zlib", "permissive", ("zlib License",), "Zlib"),
+    "unlicense.name": ("Unlicense", "permissive", ("Unlicense",), "Unlicense"),
+    "wtfpl.name": ("WTFPL", "permissive", (), "WTFPL"),
+    "ccbyncsa.name": ("CC-BY-NC-SA-4.0", "restricted", ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"), "CC-BY-NC-SA-4.0"),
+    "ccbyncnd.name": ("CC-BY-NC-ND-4.0", "restricted", ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"), "CC-BY-NC-ND-4.0"),
+    "ccbync.name": ("CC-BY-NC-4.0", "restricted", ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"), "CC-BY-NC-4.0"),
+    "ccbynd.name": ("CC-BY-ND-4.0", "restricted", ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"), "CC-BY-ND-4.0"),
+    "ccbysa.name": ("CC-BY-SA-4.0", "copyleft", ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"), "CC-BY-SA-4.0"),
+    "ccby.name": ("CC-BY-4.0", "permissive", ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"), "CC-BY-4.0"),
+    "cc0.name": ("CC0-1.0", "permissive", ("CC0 1.0", "CC0 1.0 Universal"), "CC0-1.0"),
+}
+# Sentences that name a licence, and the line of a file's header. A sentence is made for each pair of name and form.
+FORMS = ("licensed under {}", "licensed under the {}", "licensed under a {}", "licensed under the terms of the {}", "released under {}", "released under the {}", "released under the terms of the {}", "distributed under the {}", "distributed under the terms of the {}", "available under the {}", "published under the {}")
+HEADER = "SPDX-License-Identifier: {}"
+TITLES = {"mit.name": ("The MIT License (MIT)",)}
+
+# Ordered rules of several sentences, (licence, kind, identifiers in their order); more come from NAMES.
+TEXTS = (
     ("MIT", "permissive", ("mit.grant", "mit.notice", "as.is")),
+    ("BSD-4-Clause", "permissive", ("bsd.use", "bsd.source", "bsd.binary", "bsd.advert")),
     ("BSD-3-Clause", "permissive", ("bsd.use", "bsd.source", "bsd.binary", "bsd.endorse")),
     ("BSD-2-Clause", "permissive", ("bsd.use", "bsd.source", "bsd.binary")),
+    ("ISC", "permissive", ("isc.grant", "author.disclaims")),
+    ("0BSD", "permissive", ("0bsd.grant", "author.disclaims")),
+    ("Apache-2.0", "permissive", ("apache.name", "apache.comply", "apache.copy", "apache.as.is")),
     ("Apache-2.0", "permissive", ("apache.name", "apache.comply", "apache.copy")),
-    ("GPL-3.0-or-later", "copyleft", ("gpl.free", "gpl.later")),
-    ("MIT", "permissive", ("mit.name",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl.free", "v3.later")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl.free", "v3.later")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl.free", "v2.1.later")),
+    ("GPL-3.0-or-later", "copyleft", ("gpl.free", "v3.later", "gpl.receive")),
+    ("GPL-3.0-or-later", "copyleft", ("gpl.free", "v3.later")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl.free", "v2.later", "gpl.receive")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl.free", "v2.later")),
+    ("MPL-2.0", "copyleft", ("mpl.subject", "mpl.copy")),
+    ("Unlicense", "permissive", ("unlicense.free", "unlicense.anyone")),
+    ("Zlib", "permissive", ("zlib.held", "zlib.origin")),
+)
+ALONE = (
     ("MIT", "permissive", ("mit.grant",)),
-    ("BSD", "permissive", ("bsd.name",)),
-    ("Apache-2.0", "permissive", ("apache.name",)),
-    ("GPL-3.0", "copyleft", ("gpl3.name",)),
-    ("GPL-2.0", "copyleft", ("gpl2.name",)),
+    ("ISC", "permissive", ("isc.grant",)),
+    ("BSL-1.0", "permissive", ("boost.grant",)),
+    ("AGPL", "copyleft", ("agpl.free",)),
+    ("LGPL", "copyleft", ("lgpl.free",)),
     ("GPL", "copyleft", ("gpl.free",)),
-    ("LGPL", "copyleft", ("lgpl.name",)),
-    ("CC-BY-NC-4.0", "restricted", ("ccbync.name",)),
-    ("CC-BY-SA-4.0", "copyleft", ("ccbysa.name",)),
-    ("CC-BY-4.0", "permissive", ("ccby.name",)),
-    ("CC0-1.0", "permissive", ("cc0.name",)),
+    ("MPL-2.0", "copyleft", ("mpl.subject",)),
+    ("EPL-2.0", "copyleft", ("epl.made",)),
+    ("Unlicense", "permissive", ("unlicense.free",)),
+    ("Zlib", "permissive", ("zlib.origin",)),
+    ("WTFPL", "permissive", ("wtfpl.do",)),
+    ("CC0-1.0", "permissive", ("cc0.waive",)),
     ("Proprietary", "restricted", ("proprietary",)),
     ("All-Rights-Reserved", "restricted", ("reserved",)),
 )
-# The order of kinds from lenient to strict; words without which no known sentence is complete.
+# The order of kinds from lenient to strict.
 KINDS = ("permissive", "copyleft", "restricted")
-HINTS = ("licen", "reserved", "permission", "redistribution", "warranty", "public", "copyright", "copying", "proprietary", "promote", "any later version")
+
+
+def known_sentences() -> dict[str, tuple[str, ...]]:
+    """SENTENCES, and those that name a licence of NAMES."""
+    out = dict(SENTENCES)
+    for key, (_, _, names, short) in NAMES.items():
+        said = [form.format(name) for name in names for form in FORMS]
+        out[key] = (*said, *([HEADER.format(short)] if short else []), *TITLES.get(key, ()))
+    return out
+
+
+RULES = (*TEXTS, *((licence, kind, (key,)) for key, (licence, kind, _, _) in NAMES.items()), *ALONE)
 
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
@@ -81,19 +172,35 @@ def normalised(sentence: str) -> str:
     return " ".join(WORD.findall(sentence.lower()))
 
 
+def hints(sentences: list[str]) -> list[str]:
+    """Words of which every one of the normalised sentences holds one: the word that most sentences hold, then the one that
+    most of the others hold, and so on. A text that holds none of them holds no sentence."""
+    left, out = [set(t.split()) for t in sentences if t], []
+    while left:
+        count = Counter(w for words in left for w in words)
+        best = max(count, key=lambda w: (count[w] * (len(w) > 2), len(w), w))
+        out.append(best)
+        left = [words for words in left if best not in words]
+    return out
+
+
 class Scanner:
-    def __init__(self, sentences=None, rules=RULES):
+    """Finds known sentences and the rules that their sequence fits."""
+
+    def __init__(self, sentences: dict[str, tuple[str, ...]] | None = None, rules=RULES):
         self.inside = ahocorasick.Automaton()
-        for name, forms in (sentences or SENTENCES).items():
-            for text in map(normalised, forms):
+        forms = {normalised(t): name for name, texts in (sentences or known_sentences()).items() for t in texts}
+        for text, name in forms.items():
+            if text:
                 self.inside.add_word(f" {text} ", (len(text) + 2, name))
         self.inside.make_automaton()
+        self.hints = hints(list(forms))
         self.rules = rules
 
     def identifiers(self, text: str) -> list[str]:
         """Identifiers of the known sentences of a text, in order."""
         low = text.lower()
-        if not any(h in low for h in HINTS):
+        if not any(h in low for h in self.hints):
             return []
         out, end = [], -1
         # Of known sentences that overlap, the one that begins first, then the longest.

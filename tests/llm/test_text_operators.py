@@ -1,3 +1,4 @@
+import itertools
 import random
 import textwrap
 
@@ -148,7 +149,13 @@ def test_wrapped_licences(width):
         "MIT": ("mit.grant", "mit.notice", "as.is"),
         "BSD-3-Clause": ("bsd.use", "bsd.source", "bsd.binary", "bsd.endorse"),
         "BSD-2-Clause": ("bsd.use", "bsd.source", "bsd.binary"),
-        "GPL-3.0-or-later": ("gpl.free", "gpl.later"),
+        "GPL-3.0-or-later": ("gpl.free", "v3.later"),
+        "LGPL-2.1-or-later": ("lgpl.free", "v2.1.later"),
+        "AGPL-3.0-or-later": ("agpl.free", "v3.later"),
+        "MPL-2.0": ("mpl.subject", "mpl.copy"),
+        "ISC": ("isc.grant", "author.disclaims"),
+        "Zlib": ("zlib.held", "zlib.origin"),
+        "Unlicense": ("unlicense.free", "unlicense.anyone"),
     }
     for licence, names in texts.items():
         text = "Copyright (c) 2024 Some Holder. " + ". ".join(license_rules.SENTENCES[k][0] for k in names)
@@ -157,6 +164,57 @@ def test_wrapped_licences(width):
     assert look("Copyright (c) 2024 X, All rights reserved") == ["All-Rights-Reserved"]
 
 
+def test_licences_by_brute_force():
+    """Sentences by search in the normalised text, rules by trying all places."""
+    s, known, rng = license_rules.Scanner(), license_rules.known_sentences(), random.Random(6)
+    forms = [(license_rules.normalised(t), name) for name, texts in known.items() for t in texts]
+
+    def identifiers(text):
+        padded, found = f" {license_rules.normalised(text)} ", []
+        for form, name in forms:
+            at = padded.find(f" {form} ")
+            while at >= 0:
+                found.append((at, -len(form), name))
+                at = padded.find(f" {form} ", at + 1)
+        out, end = [], -1
+        for at, n, name in sorted(found):
+            if at >= end:
+                out.append(name)
+                end = at - n + 1
+        return out
+
+    def licences(ids):
+        left, out = list(range(len(ids))), []
+        for licence, kind, wanted in license_rules.RULES:
+            while True:
+                fits = [c for c in itertools.combinations(left, len(wanted)) if tuple(ids[k] for k in c) == wanted]
+                if not fits:
+                    break
+                left = [k for k in left if k not in min(fits)]
+                if (licence, kind) not in out:
+                    out.append((licence, kind))
+        return out
+
+    names, texts = list(known), list(known.values())
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 7)):
+            words = rng.choice(rng.choice(texts) or ("x",)).split()
+            if rng.random() < 0.2:
+                words = words[: len(words) // 2]
+            if rng.random() < 0.5:
+                words = [w.upper() if rng.random() < 0.5 else w for w in words]
+            parts.append(rng.choice([" ", "\n# ", "\n"]).join(words) + rng.choice([".", "", " and", ";"]))
+        text = rng.choice(["\n", " "]).join(parts)
+        ids = identifiers(text)
+        assert s.identifiers(text) == ids and s.licences(ids) == licences(ids)
+    for name, listed in known.items():
+        for t in listed:
+            assert s.identifiers(f"Some words. {t}, more words") == [name] and name in names
+    own = license_rules.Scanner({"a": ("zebras may graze here",), "b": ("zebras are free",)}, (("Z", "restricted", ("a", "b")),))
+    assert own.licences(own.identifiers("Zebras may graze\nhere; zebras are free!")) == [("Z", "restricted")]
+
+
 def test_licence_table(spark):
     rows = [(1, None, "a"), (2, "All rights reserved.", "b"), (2, "All rights reserved.", "b"), (3, "x " * 50_000 + "Released under the MIT License.", "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, licences string")
