@@ -1,20 +1,21 @@
 """Order-preserving packing of token streams by dynamic programming.
 
 Documents follow each other in ascending order of their ids; a sequence is a window of that
-stream, so packing means choosing the cuts. Places for a cut are document ends, ends of
+stream, so packing means choosing the cuts. Places for a cut are document ends, all ends of
 sentences, and, where two of those lie far apart, places between. The cost of a choice is
 
     sum over sequences of padding(length) + penalty(cut)
 
 with padding 0 at a full window or at a power of two, and a penalty that is 0 at a document
-end, small at a sentence end and large elsewhere. For position j the best predecessor i lies
-within one window and minimises best[i] + i, so a monotone queue of predecessors gives each
-transition in constant time on average.
+end, small at a sentence end and large elsewhere. For position j the best predecessor i is either
+one that lies within one window and minimises best[i] + i, where a monotone queue of predecessors
+gives each transition in constant time on average, or one that lies a power of two before j,
+if there is a place for a cut.
 
 A range of documents (one task) is solved in blocks of tokens: a block's windows are fixed
 but for its last, whose tokens open the next block, so memory is bounded by the block and a
 block's end costs no padding. What is left at the end of a range is cut at powers of two
-where that is cheaper than padding it.
+where that is cheaper than padding it. Ranges are bounded by rows and by bytes.
 
 Defined cases: a null text is the empty text (its end id alone); documents longer than a
 window are cut over several; repeated ids are packed each, in order of text; rows without an
@@ -38,9 +39,8 @@ from brindle.llm.groups import tidied
 from brindle.llm.record_files import by_id_ranges
 from brindle.llm.token_ids import encoder
 
-ROWS_PER_RANGE = 16_384
+ROWS_PER_RANGE, BYTES_PER_RANGE = 16_384, 32 << 20
 BLOCK_TOKENS = 1 << 20
-SENTENCE_SPACING = 32
 SENTENCE_ENDS = (".", "!", "?")
 SENTENCE_PENALTY, HARD_PENALTY = 8.0, 128.0
 
@@ -50,23 +50,36 @@ def padding(length: int, window: int) -> int:
     return 0 if length & (length - 1) == 0 else window - length
 
 
-def candidates(sentence_ends: np.ndarray, doc_ends: np.ndarray, total: int, window: int, spacing: int = SENTENCE_SPACING) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a cut may lie, ascending, and their penalties. Of the sentence ends in each
-    stretch of `spacing` tokens the last one stays; gaps of over an eighth of a window get places between."""
-    ends = sentence_ends
-    if len(ends):
-        ends = ends[np.append(ends[1:] // spacing != ends[:-1] // spacing, True)]
-    at = np.union1d(ends, doc_ends)
-    at = at[(at > 0) & (at <= total)]
+def candidates(sentence_ends: np.ndarray, doc_ends: np.ndarray, total: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where a cut may lie, ascending, and their penalties: all ends of sentences and documents; gaps of over an
+    eighth of a window get places between."""
+    kind = np.zeros(total + 1, np.int8)  # 0: no place, 1: a place between, 2: a sentence end, 3: a document end
+    kind[sentence_ends] = 2
+    kind[doc_ends] = 3
+    kind[0] = 0
     step = max(1, window // 8)
-    bounds = np.concatenate(([0], at, [total]))
-    wide = np.flatnonzero(np.diff(bounds) > step)
-    if len(wide):
-        at = np.union1d(at, np.concatenate([np.arange(bounds[k] + step, bounds[k + 1], step) for k in wide]))
-    penalty = np.full(len(at), HARD_PENALTY)
-    penalty[np.isin(at, ends)] = SENTENCE_PENALTY
-    penalty[np.isin(at, doc_ends)] = 0.0
-    return at, penalty
+    bounds = np.concatenate(([0], np.flatnonzero(kind), [total]))
+    for k in np.flatnonzero(np.diff(bounds) > step).tolist():
+        kind[bounds[k] + step : bounds[k + 1] : step] = 1
+    at = np.flatnonzero(kind)
+    return at, np.array([0.0, HARD_PENALTY, SENTENCE_PENALTY, 0.0])[kind[at]]
+
+
+def powers_before(places: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """(j, i) of all pairs of places, as indices, that are a power of two below the window apart; ascending j."""
+    index = np.full(int(places[-1]) + 1, -1, np.int64)
+    index[places] = np.arange(len(places))
+    found_j, found_i = [], []
+    power = 1
+    while power < window:
+        j = np.flatnonzero(places >= power)
+        i = index[places[j] - power]
+        found_j.append(j[i >= 0])
+        found_i.append(i[i >= 0])
+        power *= 2
+    j, i = np.concatenate(found_j or [index[:0]]), np.concatenate(found_i or [index[:0]])
+    order = np.argsort(j, kind="stable")
+    return j[order].tolist(), i[order].tolist()
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -75,6 +88,9 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     if not len(at):
         return []
     places, costs = [0, *at.tolist()], [0.0, *penalty.tolist()]
+    exact_j, exact_i = powers_before(np.append(0, at), window)
+    exact_j.append(len(places))
+    k = 0
     best, before = [0.0] * len(places), [0] * len(places)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (best + position, index), values ascending
     last = len(places) - 1
@@ -88,7 +104,12 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
             best[j], before[j] = value, -i
             break
         value, i = queue[0]
-        value += window - here + costs[j]
+        value += window - here
+        while exact_j[k] == j:
+            if best[exact_i[k]] < value:
+                value, i = best[exact_i[k]], exact_i[k]
+            k += 1
+        value += costs[j]
         best[j], before[j] = value, i
         key = value + here
         while queue and queue[-1][0] >= key:
@@ -169,7 +190,7 @@ class RangePacker:
 _FIELDS = "doc_id start length ids_crc32 doc_tokens local offset".split()
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, rows_per_range: int = ROWS_PER_RANGE, block: int = BLOCK_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, rows_per_range: int = ROWS_PER_RANGE, bytes_per_range: int = BYTES_PER_RANGE, block: int = BLOCK_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Ranges of ids are packed each in one task; sequence numbers follow the ranges' order."""
 
@@ -196,7 +217,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
         if rows:
             yield batch_of(rows)
 
-    rows = by_id_ranges(docs, rows_per_range, id_column, text_column)
+    rows = by_id_ranges(docs, rows_per_range, bytes_per_range, id_column, text_column)
     pieces = written(rows.mapInArrow(tidied(packed), "shard bigint, " + ", ".join(f"{f} bigint" for f in _FIELDS)), "packed-pieces")
     # Sequences of the ranges before: a row for each range only.
     ranges = pieces.groupBy("shard").agg((F.max("local") + 1).alias("n"))

@@ -9,8 +9,8 @@ number of ids), so that a reader can take records in any order. All integers are
 little-endian. A masked checksum is the CRC rotated right by 15 bits plus a constant,
 so that a file that holds checksums can be checksummed itself.
 
-Rows are dealt by ranges of document ids, each range is one shard file written in
-ascending order, and shard numbers follow the ranges; a shard's place in the whole is the
+Rows are dealt by ranges of document ids (and of the beginnings of texts, where an id repeats),
+as many as rows and bytes call for; each range is one shard file written in ascending order, and shard numbers follow the ranges; a shard's place in the whole is the
 sum of the shards before it, found from one row a shard. Files are published by a move
 under a name that is the same for each attempt.
 
@@ -41,7 +41,7 @@ MASK_DELTA = 0xA282EAD8
 NO_ID = -(1 << 63)
 HEADER, INDEX = struct.Struct("<qB3xI"), struct.Struct("<qqq")
 
-ROWS_PER_SHARD = 16_384
+ROWS_PER_SHARD, BYTES_PER_SHARD = 16_384, 32 << 20
 
 
 def masked(data: bytes) -> int:
@@ -92,14 +92,16 @@ def read_record(data_uri: str, offset: int) -> tuple[int, np.ndarray]:
         return ids_of(payload)
 
 
-def by_id_ranges(docs: DataFrame, rows_per_shard: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text as bytes) in ranges of ids, ascending in each; the number of ranges follows the rows."""
-    shards = max(1, -(-docs.count() // rows_per_shard))
+def by_id_ranges(docs: DataFrame, rows_per_shard: int, bytes_per_shard: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, text as bytes) in ranges of ids, ascending in each, then by text; the number of ranges follows rows and bytes."""
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("text"))
-    return rows.repartitionByRange(shards, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-size["rows"] // rows_per_shard), -(-size["bytes"] // bytes_per_shard))
+    # A repeated id is dealt by the beginnings of its texts; bounds of ranges are kept on the driver, so they are short.
+    return rows.repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
 
 
-def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None, rows_per_shard: int = ROWS_PER_SHARD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None, rows_per_shard: int = ROWS_PER_SHARD, bytes_per_shard: int = BYTES_PER_SHARD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Write docs as record files under folder; returns the manifest, a row for each shard:
     shard, data and index URIs, records, tokens, start (tokens in all shards before it)."""
 
@@ -130,7 +132,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int | N
         if totals[0]:
             yield pa.RecordBatch.from_pylist([{"shard": shard, "data": data, "index": index, "records": totals[0], "tokens": totals[1]}], schema=pa.schema([("shard", pa.int64()), ("data", pa.string()), ("index", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())]))
 
-    rows = by_id_ranges(docs, rows_per_shard, id_column, text_column)
+    rows = by_id_ranges(docs, rows_per_shard, bytes_per_shard, id_column, text_column)
     shards = rows.mapInArrow(tidied(write), "shard bigint, data string, index string, records bigint, tokens bigint")
     shards = written(shards, "record-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard only

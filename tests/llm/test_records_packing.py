@@ -94,7 +94,7 @@ def brute(at, penalty, window):
         for cuts in itertools.combinations(range(len(at) - 1), k):
             places = [0, *[at[c] for c in cuts], at[-1]]
             if max(np.diff(places)) <= window:
-                cost = sum(window - (b - a) for a, b in zip(places[:-2], places[1:-1])) + sum(penalty[c] for c in cuts)
+                cost = sum(packing.padding(b - a, window) for a, b in zip(places[:-2], places[1:-1])) + sum(penalty[c] for c in cuts)
                 best = cost if best is None else min(best, cost)
     return best
 
@@ -108,10 +108,18 @@ def test_against_brute_force():
         cuts = packing.best_cuts(at, penalty, 10)
         places = [0, *cuts]
         assert max(np.diff(places)) <= 10 and cuts[-1] == at[-1]
-        cost = sum(10 - (b - a) for a, b in zip(places[:-2], places[1:-1])) + sum(penalty[list(at).index(c)] for c in cuts[:-1])
+        cost = sum(packing.padding(b - a, 10) for a, b in zip(places[:-2], places[1:-1])) + sum(penalty[list(at).index(c)] for c in cuts[:-1])
         assert cost == brute(at.tolist(), penalty, 10)
 
 
+def test_candidates():
+    at, penalty = packing.candidates(np.array([3, 4, 9, 60]), np.array([9, 70]), 70, 64)
+    ends, docs = {3, 4, 9, 60}, {9, 70}
+    want = {3, 4, 9, 17, 25, 33, 41, 49, 57, 60, 68, 70}
+    assert set(at.tolist()) == want and at.tolist() == sorted(want)
+    assert penalty.tolist() == [0.0 if p in docs else packing.SENTENCE_PENALTY if p in ends else packing.HARD_PENALTY for p in at.tolist()]
+
+
 def test_tail():
     assert packing.tail_cuts(4096, 4096) == [4096]
     for n in (1, 7, 100, 1300, 4095):
@@ -121,7 +129,9 @@ def test_tail():
 
 
 def check_pieces(got, rows, window):
-    by_doc, seqs = {}, {}
+    """Every id of every row lies in exactly one piece, and pieces fill their sequences from 0 on. Rows of equal id and
+    equally many tokens are told apart by their order in the sequences."""
+    by_doc, seqs, texts = {}, {}, {}
     for r in got:
         by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
         seqs.setdefault(r.sequence_id, []).append(r)
@@ -130,9 +140,20 @@ def check_pieces(got, rows, window):
         parts.sort(key=lambda r: r.offset)
         assert [r.offset for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
         assert sum(r.length for r in parts) <= window
-    assert sum(r.length for r in got) == sum(len(truth(t)) + 1 for _, t in rows)
-    for r in got:
-        assert r.length > 0 and r.start + r.length <= r.doc_tokens
+    for doc_id, text in rows:
+        ids = [*truth(text), 2]
+        texts.setdefault((doc_id, len(ids)), []).append(ids)
+    assert set(texts) == set(by_doc)
+    for key, listed in texts.items():
+        pieces, want = sorted(by_doc[key], key=lambda r: (r.sequence_id, r.offset)), iter(listed)
+        at, ids = 0, None
+        for r in pieces:
+            if r.start == 0:
+                assert ids is None or at == len(ids)
+                at, ids = 0, next(want)
+            assert r.length > 0 and r.start == at and crc(ids[at : at + r.length]) == r.ids_crc32
+            at += r.length
+        assert at == len(ids) and next(want, None) is None
     return seqs
 
 
@@ -140,10 +161,17 @@ def test_pack_table(docs):
     for per_range, block in ((100, 1 << 20), (2, 300)):
         got = packing.pack(docs, PATH, window=64, rows_per_range=per_range, block=block).collect()
         check_pieces(got, ordered(), 64)
-        nine = sorted((r for r in got if r.doc_id == 9), key=lambda r: r.start)
-        ids = [*truth("long " * 3000), 2]
-        assert [r.start for r in nine] == [sum(x.length for x in nine[:k]) for k in range(len(nine))]
-        assert all(crc(ids[r.start : r.start + r.length]) == r.ids_crc32 for r in nine)
+
+
+def test_a_repeated_id_is_dealt_over_ranges(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(7, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60)))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for sizes in ({"rows_per_range": 20}, {"bytes_per_range": 1000}):
+        got = packing.pack(df, PATH, window=64, **sizes).collect()
+        check_pieces(got, sorted(rows, key=lambda r: r[1].encode()), 64)
+    manifest = record_files.write_records(df, PATH, f"file://{tmp_path}/r", 2, bytes_per_shard=1000).collect()
+    assert len(manifest) > 5 and sum(r.records for r in manifest) == 300 and max(r.records for r in manifest) < 100
 
 
 def test_pack_data(spark):
