@@ -6,11 +6,13 @@ most weights become zero, and the rest are compiled to a Spark column expression
 one projection in the JVM over all rows.
 
 Only the fit looks at a sample: at most MAX_LABELLED labelled rows, those with the lowest hash of
-their ids, so that the same rows are taken at any partitioning.
+their ids, so that the same rows are taken at any partitioning; and each tree at most BOOTSTRAP_ROWS
+of those, drawn with replacement. Both bounds are parameters.
 
 Defined cases: a null text is the empty text and is scored as such; rows without a label, or with a
 null one, are not learned from; without labelled rows of both kinds the score is their share of ones
-(0.5 if there are none); repeated rows are scored each; extra columns are not read.
+(0.5 if there are none); repeated rows are scored each; an id with several labels, or several texts,
+is learned from once for each pair of them, within the bound; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.quality_rules import let, occurrences, words_of
 
-MAX_LABELLED = 20_000
+MAX_LABELLED, BOOTSTRAP_ROWS = 20_000, 4_000
 TREES, DEPTH, LEAST_LEAF = 24, 3, 5
 PENALTY = 2e-3
 
@@ -148,7 +150,7 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
     return b, w
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_LEAF, penalty: float = PENALTY, seed: int = 7) -> Rules:
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_LEAF, penalty: float = PENALTY, bootstrap: int = BOOTSTRAP_ROWS, seed: int = 7) -> Rules:
     """Fit on rows of statistics and labels 0 or 1."""
     if len(y) == 0 or y.min() == y.max():
         p = 0.5 if len(y) == 0 else float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
@@ -156,7 +158,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
     rng = np.random.default_rng(seed)
     paths: dict[tuple[Condition, ...], None] = {}
     for _ in range(trees):
-        rows = rng.integers(0, len(y), min(len(y), 4_000))
+        rows = rng.integers(0, len(y), min(len(y), bootstrap))
         for path in tree_paths(x[rows], y[rows].astype(float), rng, depth, least):
             paths.setdefault(path)
     # Rules that hold for the same rows are one rule; the shortest stays.
@@ -176,8 +178,9 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, learn_from: Column
     chosen = labels.filter(learn_from & F.col(target).isNotNull()).select("doc_id", F.col(target).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # At most `most` rows of two numbers go to every task.
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", statistics(F.col("text")).alias("s"), "y")
+    # At most `most` rows of two numbers go to every task; repeated ids can make more of them, so the bound holds again.
+    joined = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("h"), statistics(F.col("text")).alias("s"), "y")
+    return joined.orderBy("h", "doc_id", "y").limit(most).select("doc_id", "s", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str, learn_from: Column, most: int = MAX_LABELLED, **fit) -> Rules:

@@ -31,7 +31,7 @@ from brindle.llm.groups import tidied
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 
-MAX_REMEMBERED = 500_000
+MAX_REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -107,7 +107,7 @@ class MergeCounter:
             n = known.get(piece)
             if n is None:
                 n = self.merge_count(piece.encode("utf-8"))
-                if len(piece) <= 64:
+                if len(piece) <= LONGEST_REMEMBERED:
                     if len(known) >= self.max_remembered:
                         known.clear()
                     known[piece] = n
@@ -124,13 +124,14 @@ class MergeCounter:
         rest = chunks[1:]
         counts = list(map(known.get, rest))
         if None in counts:
+            long: dict[str, int] = {}  # of this text alone: what is remembered is bounded in length, too
             for c in set(c for c, n in zip(rest, counts) if n is None):
                 if not c or c[0].isspace() or c[-1].isspace() or c[0] in "\x1c\x1d\x1e\x1f":
                     return self._pretokens(text)  # runs of white space: cut by the pattern alone
                 if len(known) >= self.max_remembered:
                     known.clear()
-                known[c] = self._pretokens(" " + c)
-            counts = [known[c] if c in known else self._pretokens(" " + c) for c in rest]
+                (known if len(c) <= LONGEST_REMEMBERED else long)[c] = self._pretokens(" " + c)
+            counts = [long[c] if c in long else known[c] if c in known else self._pretokens(" " + c) for c in rest]
         first = chunks[0]
         if not first or first[-1].isspace():
             return self._pretokens(text)
