@@ -12,7 +12,7 @@ holds a group of unbounded size and no pair of a band is dropped. Verified links
 first occurrence (least doc_id, then place) stays and the others are removals.
 
 Bands are tuned to the threshold: as many bands of ROWS values as it takes to meet a pair at the threshold with RECALL
-(two bands of one value: 1 - (1 - 0.8)**2 = 0.96); equal paragraphs meet for certain. A passage of a hundred words
+(three bands of two values: 1 - (1 - 0.8**2)**3 = 0.953); equal paragraphs meet for certain. A passage of a hundred words
 holds about seven paragraphs, each with its own chance.
 
 Paragraphs alone would miss the ends of a passage. So texts are also winnowed for seeds, runs of SEED words of which
@@ -34,6 +34,7 @@ no rows; extra columns pass by.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -49,7 +50,7 @@ from brindle.llm.shingles import SHINGLE, batched, coefficients, mixed, windows,
 
 SIZE, STEP = 24, 26
 SEED, SEED_STEP, AROUND, CONTEXT, GAP = 8, 15, 14, 96, 8
-THRESHOLD, RECALL, ROWS = 0.8, 0.95, 1
+THRESHOLD, RECALL, ROWS = 0.8, 0.95, 2
 LARGE, BLOCK = 2048, 512
 NO_IDS = 1 << 62  # rows without an id are named from here on
 
@@ -160,14 +161,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def distinct_paragraphs(found: DataFrame, size: int) -> DataFrame:
-    """(paragraph, bands, doc_id, start, again): each different paragraph with one of its places; again: it occurs at two
-    places that are in different documents or do not overlap. Plain numbers only, which are aggregated without a sort."""
+    """(paragraph, band_0, band_1, ..., doc_id, start, again): each different paragraph with its least document and a place; again: it
+    occurs at two places that are in different documents or do not overlap. Plain numbers only, which are aggregated without a sort."""
     bands = [c for c in found.columns if c.startswith("band_")]
-    # Equal paragraphs have equal bands, so any of them gives the bands.
+    # Equal paragraphs have equal bands, so the least of each are theirs.
     ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
-    g = found.groupBy("paragraph").agg(*[F.first(c).alias(c) for c in (*bands, "doc_id", "start")], *ends)
+    g = found.groupBy("paragraph").agg(*[F.min(c).alias(c) for c in bands], *ends)
     again = (F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + size)
-    return g.select("paragraph", F.array(*bands).alias("bands"), "doc_id", "start", again.alias("again"))
+    return g.select("paragraph", *bands, F.col("a_doc_id").alias("doc_id"), F.col("a_start").alias("start"), again.alias("again"))
 
 
 def apart(first, last, size: int):
@@ -175,38 +176,43 @@ def apart(first, last, size: int):
     return (last["doc_id"] != first["doc_id"]) | (last["start"] >= first["start"] + size)
 
 
-def collisions(distinct: DataFrame, size: int) -> DataFrame:
-    """(band, paragraph) of the different paragraphs that share a band with another one elsewhere. Neighbours in one
-    text, which overlap, do not count by themselves: they repeat only as that text's passage repeats."""
-    rows = distinct.select(F.explode("bands").alias("band"), "paragraph", "doc_id", "start")
-    bounds = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
-    shared = rows.groupBy("band").agg(*bounds)
-    shared = shared.filter((F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + size)).select("band")
-    return rows.select("band", "paragraph").join(shared, "band")
+def collisions(distinct: DataFrame, size: int) -> list[DataFrame]:
+    """Written tables (band, paragraph) of the different paragraphs that share a band with another one elsewhere, a table for each
+    band, so that no more than one of them is shuffled at a time. Neighbours in one text, which overlap, do not count by
+    themselves: they repeat only as that text's passage repeats."""
+    out = []
+    for name in (c for c in distinct.columns if c.startswith("band_")):
+        rows = distinct.select(F.col(name).alias("band"), "paragraph", "doc_id", "start")
+        bounds = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
+        shared = rows.groupBy("band").agg(*bounds)
+        shared = shared.filter((F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + size)).select("band")
+        out.append(written(rows.select("band", "paragraph").join(shared, "band"), "band-members"))
+    return out
 
 
 def shingle_lists(docs: DataFrame, wanted: DataFrame, parts: Paragraphs) -> DataFrame:
-    """(paragraph, shingles) of the wanted paragraphs (paragraph, doc_id, start), from the texts."""
+    """(paragraph, shingles) of the wanted paragraphs (paragraph, doc_id), from the texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, lists = [], []
-            for text, starts, paragraphs in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, paragraphs in zip(batch.column(0), batch.column(1).to_pylist()):
                 hashes = words(text.as_py() or b"")[2]
                 if len(hashes) < parts.size:
                     continue
-                shingles, at = windows(hashes, parts.shingle), np.array(starts)
-                whole = windows_at(hashes, np.minimum(at, len(hashes) - parts.size), parts.size).view(np.int64).tolist()
-                for start, here, paragraph in zip(starts, whole, paragraphs):
-                    if here == paragraph and start + parts.size <= len(hashes):
+                shingles, whole = windows(hashes, parts.shingle), windows(hashes, parts.size).view(np.int64)
+                order = np.argsort(whole, kind="stable")
+                asked = np.array(paragraphs, np.int64)
+                at = np.minimum(np.searchsorted(whole, asked, sorter=order), len(whole) - 1)
+                for start, paragraph in zip(order[at].tolist(), paragraphs):
+                    if whole[start] == paragraph:
                         names.append(paragraph)
                         lists.append(np.unique(shingles[start : start + parts.size - parts.shingle + 1]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.binary())], names=["paragraph", "shingles"])
 
-    # A document's wanted places are bounded by its own length.
-    of_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "paragraph")).alias("w"))
-    of_doc = of_doc.select("doc_id", F.col("w.start").alias("starts"), F.col("w.paragraph").alias("paragraphs"))
-    rows = _texts(docs).join(of_doc, "doc_id").select("text", "starts", "paragraphs")
+    # A document's wanted paragraphs are bounded by its own length.
+    of_doc = wanted.groupBy("doc_id").agg(F.collect_list("paragraph").alias("paragraphs"))
+    rows = _texts(docs).join(of_doc, "doc_id").select("text", "paragraphs")
     return rows.mapInArrow(tidied(cut), "paragraph bigint, shingles binary").dropDuplicates(["paragraph"])
 
 
@@ -309,9 +315,12 @@ def runs(found: DataFrame) -> DataFrame:
     """(doc_id, start, end, low, high): stretches of a text covered by seeds that occurred before, with the first occurrences of
     the first seed (low: r_doc, r_start, seed) and of the last one (high). Only seeds in a stretch of SEED + AROUND words or
     more that agree: every passage holds one of those."""
-    at = F.struct("doc_id", "start", "around")
-    firsts = found.groupBy("seed").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(apart(F.col("first"), F.col("last"), SEED))
-    rows = found.join(firsts.select("seed", "first"), "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
+    # Plain numbers first, which say what repeats at all; the place of the first occurrence is looked up among that.
+    ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
+    again = found.groupBy("seed").agg(*ends).filter((F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + SEED))
+    rows = found.join(again.select("seed", F.col("a_doc_id").alias("least")), "seed")
+    firsts = rows.filter("doc_id = least").groupBy("seed").agg(F.min(F.struct("doc_id", "start", "around")).alias("first"))
+    rows = rows.join(firsts, "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
     rows = rows.filter(agreeing_around(F.col("around"), F.col("first.around")) >= AROUND)
     place = F.struct(F.col("first.doc_id").alias("r_doc"), F.col("first.start").alias("r_start"), "seed")
     rows = rows.select("doc_id", F.shiftright("around", TEXT_BITS).alias("text"), "start", place.alias("place"))
@@ -464,13 +473,15 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     parts = Paragraphs(size, step, shingle, bands_for(threshold))
     found = written(occurrences(docs, parts), "paragraphs")
     distinct = written(distinct_paragraphs(found, size), "distinct")
-    pairs = written(collisions(distinct, size), "band-members")
-    wanted = distinct.join(pairs.select("paragraph").distinct(), "paragraph", "left_semi").select("paragraph", "doc_id", "start")
+    by_band = collisions(distinct, size)
+    pairs = reduce(DataFrame.unionByName, by_band)
+    wanted = distinct.join(pairs.select("paragraph").distinct(), "paragraph", "left_semi").select("paragraph", "doc_id")
     lists = written(shingle_lists(docs, wanted, parts), "shingle-lists")
     edges = near_edges(pairs, lists, threshold, large, block)
+    discard(*by_band, lists)
     labels = written(components(edges), "labels")
     out = repeated(found, distinct, labels, size)
-    discard(pairs, lists, labels, distinct, found)
+    discard(edges, labels, distinct, found)
     return out.unionByName(passages(docs, threshold, size, shingle))
 
 
