@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -36,3 +39,23 @@ def register_tables(spark: SparkSession, sf_dir: str, names: list[str] | None =
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     return names
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (spark.checkpoint.dir). In local mode one is made where it is unset; on a
+    cluster that would be a folder of each machine's own, so it is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="brindle-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df through a table in the shared folder: what is read several times is computed once, and lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/brindle-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
