@@ -70,8 +70,10 @@ def plans(spark) -> DataFrame:
 
 
 def with_plan(messages: DataFrame, plan: DataFrame, analysis: Column, table_stats: Column, community: Column) -> DataFrame:
-    """messages (with intent) and their plans, scores of a half or more switching a branch on."""
-    d = messages.join(F.broadcast(plan), "intent", "left")  # seven rows
+    """messages (with intent) and their plans, scores of a half or more switching a branch on. An intent that has no plan of
+    its own takes that of general_qa."""
+    known = F.when(F.col("intent").isin(*PLANS), F.col("intent")).otherwise("general_qa")
+    d = messages.withColumn("__plan", known).join(F.broadcast(plan.withColumnRenamed("intent", "__plan")), "__plan", "left").drop("__plan")  # seven rows
     return (
         d.withColumn("inject_data_analysis", F.coalesce("inject_data_analysis", F.lit(False)) | (analysis >= 0.5))
         .withColumn("inject_table_stats", F.coalesce("inject_table_stats", F.lit(False)) | (table_stats >= 0.5))
@@ -121,9 +123,15 @@ def resolved(message: Column, reply: Column, pointers: list[str] | None = None,
     return F.when(points, F.concat(message, F.lit(" "), F.array_join(extra, " "))).otherwise(message)
 
 
+# The numbered works that a question may name, and phrases of questions that name nothing.
+WORKS = r"(?:开发复垦|整治地块)\s*\d+#?"
+ASKING = "什么是 怎么样 有没有 是不是 能不能 请问下 帮我看 请问你 帮我查 告诉我 有哪些 是什么 怎么做 为什么 可以吗 是否有 多少个 主要有".split()
+
+
 def query_entities(message: Column, most: int = 8) -> Column:
-    nouns = F.regexp_extract_all(message, F.lit("[一-龥]{3,10}"), 0)
-    return F.slice(F.array_distinct(F.concat(F.regexp_extract_all(message, F.lit(CODE), 0), nouns)), 1, most)
+    """Names that a question may mean, where no index of names is at hand: numbered works, then runs of three to ten characters."""
+    nouns = F.filter(F.regexp_extract_all(message, F.lit("[一-龥]{3,10}"), 0), lambda v: ~v.isin(ASKING))
+    return F.slice(F.concat(F.regexp_extract_all(message, F.lit(WORKS), 0), nouns), 1, most)
 
 
 def form_fields(text: Column, fields: dict[str, str] | None = None) -> Column:
@@ -141,21 +149,44 @@ def valid_record(text: Column, kinds: tuple[str, ...] = ("罚款", "警告", "
     return r.withField("fine_amount_yuan", F.coalesce(r["fine_amount_yuan"], F.lit(0.0))), F.coalesce(ok, F.lit(False))
 
 
+SLOTS = "array<struct<old:string,new:string,type:string>>"
+# What stands for a new value and a type that an answer leaves out.
+SLOT_MISSING, SLOT_UNKNOWN = "[待补充]", "未知"
+
+
 def slots(text: Column) -> Column:
-    """Array of (old, new, type) from the JSON of a slot answer."""
-    found = F.from_json(text, "array<struct<old:string,new:string,type:string>>")
-    return F.filter(F.coalesce(found, F.array().cast("array<struct<old:string,new:string,type:string>>")), lambda s: (s["old"] != "") & (s["old"] != s["new"]))
+    """Array of (old, new, type) from the JSON of a slot answer, {"slots": [...]} or a bare list, out of thoughts and code
+    fences; slots without an old or a new value are left out, a missing type is unknown. An answer that is no JSON gives none."""
+    from brindle.functions.text import json_body
+
+    body = json_body(text)
+    inner = F.coalesce(F.from_json(body, f"struct<slots:{SLOTS}>")["slots"], F.from_json(F.when(body.startswith("["), body), SLOTS), F.array().cast(SLOTS))
+    tidy = F.transform(inner, lambda s: F.struct(F.trim(s["old"]).alias("old"), F.trim(s["new"]).alias("new"), F.coalesce(s["type"], F.lit(SLOT_UNKNOWN)).alias("type")))
+    return F.filter(tidy, lambda s: (F.coalesce(s["old"], F.lit("")) != "") & s["new"].isNotNull())
 
 
 def filled(text: Column, found: Column) -> Column:
-    return F.aggregate(found, text, lambda acc, s: F.replace(acc, s["old"], F.coalesce(s["new"], F.lit(""))))
+    """A text with the old value of each slot replaced by the new one, in order."""
+    return F.aggregate(found, text, lambda acc, s: F.replace(acc, s["old"], F.coalesce(s["new"], F.lit(SLOT_MISSING))))
+
+
+# What is asked where a form gives no words.
+FORM_QUESTION = "表格填写背景资料与事实信息"
 
 
 def table_words(html: Column, most: int = 30) -> Column:
-    """Words to look up for filling a form: cells, and what stands before a colon."""
-    cells = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", "")))
-    labels = F.regexp_extract_all(html, F.lit(r"([\w一-龥]+)[：:]"), 1)
-    return F.slice(F.filter(F.array_distinct(F.concat(cells, labels)), lambda w: F.length(w) >= 2), 1, most)
+    """Words to look up for filling a form, each once: cells of 2 to 99 characters, then what stands before a colon (：) in
+    paragraphs and spans, 2 to 19 characters; underscores are blanks to fill in."""
+    bare = lambda c: F.regexp_replace(c, "<[^>]+>", "")
+    cells = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<(?:td|th)[^>]*>(.*?)</(?:td|th)>"), 1), lambda c: F.trim(F.regexp_replace(bare(c), r"[_＿\s]+", " ")))
+    cells = F.filter(cells, lambda w: F.length(w).between(2, 99))
+    lines = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<(?:p|span)[^>]*>(.*?)</(?:p|span)>"), 1), lambda c: F.trim(F.regexp_replace(bare(c), "[_＿]+", "")))
+    labels = F.transform(F.filter(lines, lambda c: c.contains("：")), lambda c: F.trim(F.substring_index(c, "：", 1)))
+    return F.slice(F.array_distinct(F.concat(cells, F.filter(labels, lambda w: F.length(w).between(2, 19)))), 1, most)
+
+
+def form_question(words: Column) -> Column:
+    return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(FORM_QUESTION)
 
 
 def judged(score: Column) -> Column:
@@ -169,7 +200,21 @@ def judged_documents(column: Column) -> Column:
     return F.when(column.rlike(r"^\s*\["), F.coalesce(found, F.array(column))).otherwise(F.array(column))
 
 
+# Codes that stand in cells: stations, and words of letters and digits of 4 to 20 characters.
+CELL_CODE = r"[a-zA-Z]?\d+\+\d+(?:\.\d+)?|(?=[a-zA-Z0-9_-]*[a-zA-Z])(?=[a-zA-Z0-9_-]*\d)[a-zA-Z0-9_-]{4,20}"
+
+
 def cell_codes(cells: Column, most: int = 50) -> Column:
-    """Distinct codes of a table's cells, to search it by."""
-    codes = F.flatten(F.transform(cells, lambda c: F.regexp_extract_all(c, F.lit(CODE), 0)))
+    """Distinct codes of a table's cells, in order, to search it by."""
+    codes = F.flatten(F.transform(cells, lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CELL_CODE), 0)))
     return F.slice(F.array_distinct(codes), 1, most)
+
+
+def instant(text: Column) -> Column:
+    """A time stamp of an ISO text: with Z or an offset that moment, without one as it stands in the session's zone; null if it is none."""
+    return text.try_cast("timestamp")
+
+
+def in_zone(at: Column, zone: str = "Asia/Shanghai") -> Column:
+    """What the clock of a zone shows at a moment."""
+    return F.from_utc_timestamp(F.to_utc_timestamp(at, F.current_timezone()), zone)

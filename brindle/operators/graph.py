@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import same_entity_candidate
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """df through a table in the shared folder, so that iterations do not grow the lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="brindle-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from brindle.session import stored
 
 
 def merged_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,24 +26,35 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "relation"))
 
 
-def hops(edges: DataFrame, seeds: DataFrame, most: int = 2, most_paths: int | None = None) -> DataFrame:
-    """(seed, node, distance, nodes, relations): paths from seeds, no edge used twice. One join for each step; with
-    most_paths only a seed's first paths are reported (nearest, then by name)."""
+def hops(edges: DataFrame, seeds: DataFrame, most: int = 2, most_paths: int | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """(seed, node, distance, nodes, relations): paths from seeds, no edge used twice. One join for each step.
+
+    With most_paths only a seed's first paths are found, nearest first, then by name: a seed goes on only while it lacks some,
+    from no more paths than it lacks. With ranks (node, pagerank) all paths are found, and a seed's first ones are those that end at
+    the highest ranks."""
     e = both_ways(edges)
-    path = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<bigint>").alias("used"))
+    path = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<bigint>").alias("used"), F.lit(0).alias("before"))
+    bounded = most_paths is not None and ranks is None
+    first = Window.partitionBy("seed").orderBy("nodes", "relations")
     out = None
     for _ in range(most):
         step = path.alias("p").join(e.alias("e"), F.col("p.node") == F.col("e.src")).filter(~F.array_contains("p.used", F.col("e.edge_id")))
         path = step.select(
             "p.seed", F.col("e.dst").alias("node"), (F.col("p.distance") + 1).alias("distance"), F.concat("p.nodes", F.array("e.dst")).alias("nodes"),
-            F.concat("p.relations", F.array("e.relation")).alias("relations"), F.concat("p.used", F.array("e.edge_id")).alias("used"),
+            F.concat("p.relations", F.array("e.relation")).alias("relations"), F.concat("p.used", F.array("e.edge_id")).alias("used"), "p.before",
         )
-        out = path if out is None else out.unionByName(path)
-    out = out.drop("used")
-    if most_paths:
+        if bounded:  # paths of one step have one length: what is kept of them is what a longer one could follow
+            path = path.withColumn("r", F.row_number().over(first)).filter(F.col("r") + F.col("before") <= most_paths)
+            path = path.withColumn("before", F.col("before") + F.count("*").over(Window.partitionBy("seed"))).drop("r")
+        found = path.drop("before", "used")
+        out = found if out is None else out.unionByName(found)
+        if bounded:
+            path = path.filter(F.col("before") < most_paths)
+    if ranks is not None:
         from brindle.operators.search import top_k
 
-        out = top_k(out, "seed", most_paths, F.asc("distance"), F.asc("nodes"), F.asc("relations"))
+        out = out.join(ranks.select("node", "pagerank"), "node", "left")
+        return top_k(out, "seed", most_paths or 1 << 30, F.desc_nulls_last("pagerank"), F.asc("distance"), F.asc("nodes"), F.asc("relations"))
     return out
 
 
@@ -67,47 +64,80 @@ def rendered(nodes: Column, relations: Column) -> Column:
     return F.concat(F.get(nodes, F.lit(0)), F.array_join(tail, ""))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, save_each: int = 5) -> DataFrame:
-    """(node, pagerank) of the undirected simple graph, by a fixed number of rounds of joins. Parallel edges count once."""
+def pagerank(edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, save_each: int = 5, most_rounds: int = 500) -> DataFrame:
+    """(node, pagerank) of the undirected simple graph, by rounds of joins until a round changes the ranks by less than tolerance a
+    node on average; parallel edges count once. RuntimeError if that takes more than most_rounds."""
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
     e = e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     degree = e.groupBy("src").agg(F.count("*").alias("degree"))
-    links = _saved(e.join(degree, "src"))
-    nodes = _saved(degree.select(F.col("src").alias("node")))
-    n = max(1, nodes.count())
-    rank = nodes.withColumn("pagerank", F.lit(1.0 / n))
-    for k in range(rounds):
-        flow = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("pagerank") / F.col("degree")).alias("in"))
-        rank = flow.select(F.col("dst").alias("node"), (F.lit((1 - damping) / n) + damping * F.col("in")).alias("pagerank"))
-        if (k + 1) % save_each == 0 and k + 1 < rounds:
-            rank = _saved(rank)
+    links = stored(e.join(degree, "src"))
+    nodes = stored(degree.select(F.col("src").alias("node")))
+    n = nodes.count()
+    rank = nodes.withColumn("pagerank", F.lit(1.0 / max(1, n)))
+    rounds, changed = 0, n > 0
+    while changed:
+        if rounds >= most_rounds:
+            raise RuntimeError(f"ranks still change after {rounds} rounds")
+        for _ in range(save_each):
+            before = rank
+            flow = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("pagerank") / F.col("degree")).alias("in"))
+            rank = flow.select(F.col("dst").alias("node"), (F.lit((1 - damping) / n) + damping * F.col("in")).alias("pagerank"))
+        both = stored(rank.join(before.withColumnRenamed("pagerank", "was"), "node"))
+        changed = both.agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0] >= n * tolerance
+        rank, rounds = both.select("node", "pagerank"), rounds + save_each
     return rank.withColumn("pagerank", F.round("pagerank", 6))
 
 
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): the least name that a node reaches. Each round hands labels on and jumps to the label's own label."""
+def connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(node, component): the least name that a node reaches. Each round hands labels on and jumps to the label's own label;
+    RuntimeError if labels still change after most_rounds."""
     e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = _saved(e)
+    e = stored(e)
     label = e.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
-    label, before = _saved(label), None
+    label, before = stored(label), None
     for _ in range(most_rounds):
         near = e.join(label, e.dst == label.node).groupBy("src").agg(F.min("component").alias("m"))
         following = label.join(near, label.node == near.src, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = following.select(F.col("node").alias("c"), F.col("c").alias("jumped"))
-        label = _saved(following.join(jump, "c", "left").select("node", F.coalesce("jumped", "c").alias("component")))
+        label = stored(following.join(jump, "c", "left").select("node", F.coalesce("jumped", "c").alias("component")))
         state = label.agg(F.sum(F.xxhash64("node", "component") % 1_000_003)).first()[0]
         if state == before:
-            break
+            return label
         before = state
-    return label
+    raise RuntimeError(f"components still change after {most_rounds} rounds")
+
+
+COMMUNITY_SIZE, COMMUNITY_LEAST, GRAPH_LEAST = 15, 3, 5
+
 
+def communities(edges: DataFrame, least: int = COMMUNITY_LEAST, project: str = "p", most: int | None = None, graph_least: int = GRAPH_LEAST) -> DataFrame:
+    """(community_id, members) of graphs of enough nodes: connected components with enough members, or, with most, parts of them
+    of at most so many; the id is a hash of the sorted names.
 
-def communities(edges: DataFrame, least: int = 3, project: str = "p") -> DataFrame:
-    """(community_id, members) of components with enough members; the id is a hash of the sorted names."""
+    Parts: each node follows the neighbour of the highest degree that is above its own (then the least name), so nodes gather around local hubs; a hub's
+    part that is still too large is dealt in order of degree and name."""
     from brindle.functions.identity import community_id
 
-    g = connected(edges).groupBy("component").agg(F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))
-    return g.filter(F.size("members") >= least).select(community_id(F.lit(project), F.col("members")).alias("community_id"), "members")
+    part = connected(edges) if most is None else _parts(edges, most)
+    size = part.agg(F.count("*").alias("nodes"))
+    g = part.groupBy("component").agg(F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))
+    g = g.join(F.broadcast(size)).filter((F.size("members") >= least) & (F.col("nodes") >= graph_least))  # a single number
+    return g.select(community_id(F.lit(project), F.col("members")).alias("community_id"), "members")
+
+
+def _parts(edges: DataFrame, most: int) -> DataFrame:
+    """(node, component) with at most so many nodes to a component."""
+    e = edges.filter("src <> dst")
+    e = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    degree = stored(e.groupBy("src").agg(F.count("*").alias("degree")))
+    near = e.join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("d")), "dst").join(degree, "src")
+    best = near.groupBy("src", "degree").agg(F.min(F.struct((-F.col("d")).alias("d"), "dst")).alias("b"))
+    # A neighbour of equal degree is followed only if its name is less, so no two nodes follow each other.
+    up = (-F.col("b.d") > F.col("degree")) | ((-F.col("b.d") == F.col("degree")) & (F.col("b.dst") < F.col("src")))
+    label = connected(best.select("src", F.when(up, F.col("b.dst")).otherwise(F.col("src")).alias("dst")))
+    order = Window.partitionBy("component").orderBy(F.desc("degree"), "node")
+    d = label.join(degree.withColumnRenamed("src", "node"), "node").withColumn("r", F.row_number().over(order))
+    return d.select("node", F.concat("component", F.lit("#"), F.floor((F.col("r") - 1) / most).cast("string")).alias("component"))
 
 
 def community_changes(now: DataFrame, stored: DataFrame, key: str = "community_id") -> DataFrame:
@@ -131,15 +161,31 @@ def resolved_entities(vertices: DataFrame, edges: DataFrame, pairs: DataFrame) -
 
 
 def candidate_pairs(names: DataFrame, block: str = "type") -> DataFrame:
-    """(block, a, b) of names of one type that may mean one thing. Names meet on a shared pair of characters, not all with all."""
-    from brindle.operators.relational import pairs_of
+    """(block, a, b) of names of one type that may mean one thing. Names meet on a shared pair of characters, not all with all;
+    pairs of characters that many names hold are dealt over several tasks."""
+    from brindle.operators.relational import pairs_of, salted_join
 
     n = names.select(block, "name").distinct()
-    g = n.select(block, "name", F.explode(pairs_of(F.lower("name"))).alias("g"))
-    met = g.alias("x").join(g.withColumnRenamed("name", "b").alias("y"), [block, "g"]).filter("name < b").select(block, F.col("name").alias("a"), "b").distinct()
+    g = n.select(F.col(block), "name", F.explode(pairs_of(F.lower("name"))).alias("g")).withColumn("at", F.xxhash64(block, "g"))
+    met = salted_join(g.select(block, "g", "at", F.col("name").alias("a")), g.select(F.col("at"), F.col(block).alias("__block"), F.col("g").alias("__g"), F.col("name").alias("b")), "at", "a")
+    met = met.filter((F.col("a") < F.col("b")) & F.col(block).eqNullSafe(F.col("__block")) & (F.col("g") == F.col("__g"))).select(block, "a", "b").distinct()
     return met.filter(same_entity_candidate(F.col("a"), F.col("b")))
 
 
+def sampled_edges(edges: DataFrame, most: int = 150) -> DataFrame:
+    """The first edges of a graph, in order of their ends and relation, for a picture of it."""
+    return edges.select("src", "relation", "dst").orderBy("src", "relation", "dst").limit(most)
+
+
+def communities_of(triples: DataFrame, entities: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, relation, dst, s_type, o_type, community_id): triples with the types of their ends, where known, and the communities that
+    hold the subject; triples of no community stay, without one."""
+    kind = lambda side, name: entities.select(F.col("name").alias(side), F.col("type").alias(name))
+    d = triples.select("src", "relation", "dst").join(kind("src", "s_type"), "src", "left").join(kind("dst", "o_type"), "dst", "left")
+    d = d.join(members.select("community_id", F.col("node").alias("src")), "src", "left")
+    return d.select("src", "relation", "dst", "s_type", "o_type", "community_id")
+
+
 def entities_holding(entities: DataFrame, words: DataFrame, name: str = "name") -> DataFrame:
     """(word, name) of entities whose name holds a word; words are a bounded list of query terms."""
     from brindle.operators.search import small
@@ -160,10 +206,15 @@ def statistics(edges: DataFrame) -> DataFrame:
     return ends.agg(F.countDistinct("n").alias("n_nodes")).join(edges.agg(F.count("*").alias("n_edges"), (F.count("*") * 2).alias("n_seen")))
 
 
-def inner_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(community_id, src, relation, dst) of edges with both ends in one community (members: community_id, node)."""
+def inner_edges(edges: DataFrame, members: DataFrame, most: int | None = None) -> DataFrame:
+    """(community_id, src, relation, dst) of edges with both ends in one community (members: community_id, node); with most, the
+    first so many of each, in their order, as the context of a summary takes them."""
     a = edges.join(members.select("community_id", F.col("node").alias("src")), "src")
-    return a.join(members.select("community_id", F.col("node").alias("dst")), ["community_id", "dst"]).select("community_id", "src", "relation", "dst")
+    found = a.join(members.select("community_id", F.col("node").alias("dst")), ["community_id", "dst"]).select("community_id", "src", "relation", "dst")
+    if most is None:
+        return found
+    order = Window.partitionBy("community_id").orderBy("src", "relation", "dst")
+    return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).drop("__r")
 
 
 def document_tree(chunks: DataFrame, fields: Column) -> DataFrame:

@@ -28,25 +28,65 @@ def stale(updated: Column, now: Column, seconds: int = 1800) -> Column:
     return F.timestamp_diff("SECOND", updated, now) > seconds
 
 
-def retryable(status: Column, message: Column, retries: Column, faults: tuple[str, ...] = ("timeout", "connection", "memory", "unavailable", "refused"), most: int = 3) -> Column:
-    return (status == "failed") & F.lower(message).rlike("|".join(faults)) & (F.coalesce(retries, F.lit(0)) < most)
+# Words of messages of faults that are worth another try, suffixes that are taken in, bounds of sizes in bytes.
+FAULTS = ("超时", "意外终止", "server busy", "connection", "ConnectError")
+SUFFIXES = "txt md csv log json xml html htm pdf doc docx xlsx xls pptx caj dwg dxf shp dbf gdb mdb jpg jpeg png bmp tiff tif webp mp3 wav mp4 mov".split()
+TOO_LARGE, SLOW, SLOW_SHEET = 1.5 * 1024**3, 2 * 1024**2, 1024**2
+# States of files that do not count, with the reason a report gives.
+EXCLUDED = {"empty_text": "未提取到文本 (可能是纯图扫描件)", "unsupported_format": "不支持的格式", "too_large": "文件体积过大", "failed": "解析过程失败"}
 
 
-def admission(size: Column, name: Column, suffixes: tuple[str, ...] = ("txt", "md", "csv", "json", "xml", "html", "xlsx", "xls", "docx", "doc", "pdf", "pptx")) -> Column:
+def retryable(status: Column, message: Column, retries: Column, faults: tuple[str, ...] = FAULTS, most: int = 3) -> Column:
+    """Failed jobs whose message holds a word of a passing fault, and that were not tried again too often."""
+    hit = reduce(lambda a, b: a | b, [F.coalesce(message, F.lit("")).contains(f) for f in faults])
+    return (status == "failed") & hit & (F.coalesce(retries, F.lit(0)) < most)
+
+
+def admission(size: Column, name: Column, suffixes: list[str] | tuple[str, ...] = tuple(SUFFIXES)) -> Column:
     """too_large, unsupported_format, slow or fast: where an uploaded file goes."""
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     return (
-        F.when(size > 1_500_000_000, "too_large")
+        F.when(size > int(TOO_LARGE), "too_large")
         .when(~suffix.isin(*suffixes), "unsupported_format")
-        .when((size > 2_000_000) | (suffix.isin("xlsx", "xls") & (size > 1_000_000)), "slow")
+        .when((size > SLOW) | (suffix.isin("xlsx", "xls") & (size > SLOW_SHEET)), "slow")
         .otherwise("fast")
     )
 
 
+def counted(jobs: DataFrame, status: str = "status") -> DataFrame:
+    """Jobs that count as files: those of no excluded state. A null state counts."""
+    return matching(jobs, must_not={status: list(EXCLUDED)})
+
+
+def excluded(jobs: DataFrame, status: str = "status") -> DataFrame:
+    """(status, reason, n) of the jobs that do not count."""
+    reason = F.create_map(*[F.lit(x) for pair in EXCLUDED.items() for x in pair])
+    g = jobs.filter(F.col(status).isin(*EXCLUDED)).groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
+    return g.select("status", reason[F.col("status")].alias("reason"), "n")
+
+
 def is_total_row(first: Column) -> Column:
     return first.rlike(r"^(合计|总计|小计)$") | first.rlike(r"^-+$") | first.rlike(r"^[（(]\d+[）)]$") | first.rlike(r"^(说明|注[：:])")
 
 
+def row_class(cells: Column) -> Column:
+    """empty, rule (dashes and colons only), index (（1）（2）...), note, total or data: what a row of a table is, by its filled cells."""
+    full = F.filter(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
+
+    def of(f: Column) -> Column:
+        first = F.get(f, F.lit(0))
+        return (
+            F.when(F.size(f) == 0, "empty")
+            .when(F.forall(f, lambda c: c.rlike(r"^[-:]*$")), "rule")
+            .when(F.forall(f, lambda c: c.rlike(r"^[（(]\d+[）)]$")), "index")
+            .when(first.rlike(r"^(说明|注[：:])"), "note")
+            .when(first.isin("合计", "总计", "小计"), "total")
+            .otherwise("data")
+        )
+
+    return F.element_at(F.transform(F.array(full), of), 1)  # a list of one binds the filled cells
+
+
 def plot_variants(query: Column, pattern: str = r"地块\s*(\d+)#?") -> Column:
     """The numbers a query names, as they stand, without leading zeros, and with three digits."""
     raw = F.regexp_extract_all(query, F.lit(pattern), 1)
@@ -90,11 +130,14 @@ def split_by(df: DataFrame, members: DataFrame, key: str) -> tuple[DataFrame, Da
 
 
 def references(refs: DataFrame, files: DataFrame, empty_is_all: bool = True) -> DataFrame:
-    """(ref_id, library, file_id): listed files of each reference; an empty list means all files of the library, or none."""
-    kinds = F.explode_outer("file_ids") if empty_is_all else F.explode("file_ids")
-    r = refs.select("ref_id", "library", kinds.alias("wanted"))
-    f = files.select("library", "file_id")
-    return r.join(f, "library").filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("file_id"))).select("ref_id", "library", "file_id").distinct()
+    """(ref_id, library, file_id): listed files of each reference; an empty (or null) list means all files of the library, or
+    none. Lists meet files on library and id; only references to whole libraries meet all files of theirs."""
+    f = files.select("library", "file_id").distinct()
+    listed = refs.select("ref_id", "library", F.explode("file_ids").alias("file_id")).distinct().join(f, ["library", "file_id"]).select("ref_id", "library", "file_id")
+    if not empty_is_all:
+        return listed
+    whole = refs.filter(F.coalesce(F.size("file_ids"), F.lit(0)) <= 0).select("ref_id", "library").distinct()
+    return listed.unionByName(whole.join(f, "library").select("ref_id", "library", "file_id")).distinct()
 
 
 def without_ids(refs: DataFrame, gone: list[str]) -> DataFrame:
@@ -113,15 +156,38 @@ def deleted_pairs(old: DataFrame, new: DataFrame, key: str, order: str, by: str)
 
 def best_titles(wanted: DataFrame, have: DataFrame, least: int = 1) -> DataFrame:
     """For each wanted title the one at hand with the most common pairs of characters, then the nearest length. Titles meet on
-    a shared pair, so nothing is compared that has none."""
+    a shared pair, so nothing is compared that has none; pairs that many titles hold are dealt over SALTS tasks."""
     pairs = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: t.substr(i, F.lit(2))))
     a = wanted.select("wanted_id", F.col("title").alias("a"), F.explode(pairs(F.col("title"))).alias("g"))
     b = have.select("have_id", F.col("title").alias("b"), F.explode(pairs(F.col("title"))).alias("g"))
-    both = a.join(b, "g").groupBy("wanted_id", "have_id", "a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    both = salted_join(b, a, "g", "have_id").groupBy("wanted_id", "have_id", "a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     order = Window.partitionBy("wanted_id").orderBy(F.desc("shared"), F.abs(F.length("a") - F.length("b")), "have_id")
     return both.withColumn("r", F.row_number().over(order)).filter("r = 1").select("wanted_id", "have_id", "shared")
 
 
+def titles_for(wanted: DataFrame, have: DataFrame, least: int = 2, characters: int = 3) -> DataFrame:
+    """(wanted_id, have_id, by): the title at hand for each wanted one: by common pairs of characters, else the one of the same
+    place (column `place`), else one that shares so many different characters, most first, then the least id."""
+    pairs = best_titles(wanted, have, least).select("wanted_id", "have_id", F.lit(1).alias("rank"), F.lit("pairs").alias("by"))
+    place = wanted.select("wanted_id", "place").join(have.select("have_id", "place"), "place").select("wanted_id", "have_id", F.lit(2).alias("rank"), F.lit("place").alias("by"))
+    letters = lambda d, key: d.select(key, F.explode(F.array_distinct(F.split("title", ""))).alias("ch")).filter("trim(ch) <> ''")
+    both = salted_join(letters(have, "have_id"), letters(wanted, "wanted_id"), "ch", "have_id").groupBy("wanted_id", "have_id").agg(F.count("*").alias("n")).filter(F.col("n") >= characters)
+    best = Window.partitionBy("wanted_id").orderBy(F.desc("n"), "have_id")
+    shared = both.withColumn("r", F.row_number().over(best)).filter("r = 1").select("wanted_id", "have_id", F.lit(3).alias("rank"), F.lit("characters").alias("by"))
+    rows = pairs.unionByName(place).unionByName(shared)
+    return rows.groupBy("wanted_id").agg(F.min(F.struct("rank", "have_id", "by")).alias("t")).select("wanted_id", "t.have_id", "t.by")
+
+
+SALTS = 16
+
+
+def salted_join(large: DataFrame, small: DataFrame, on: str, spread: str) -> DataFrame:
+    """Inner join on a column of which some values are frequent: rows of `large` are dealt over SALTS tasks by `spread`, and
+    those of `small` go to each of them."""
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    return large.withColumn("__salt", F.pmod(F.xxhash64(F.lit(11), spread), F.lit(SALTS)).cast("int")).join(small.withColumn("__salt", salts), [on, "__salt"]).drop("__salt")
+
+
 # --- aggregates ---------------------------------------------------------------------------------
 def histogram(df: DataFrame, value: Column, edges: list[int]) -> DataFrame:
     """(bucket, n) over half-open buckets between edges, the last without end; empty buckets are there with 0."""
@@ -157,8 +223,16 @@ def long_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return cells.filter("value is not null and trim(value) not in ('', '-', '—', '/')")
 
 
-def profile_numeric(df: DataFrame, columns: list[str], share: float = 0.5) -> DataFrame:
-    """One row for each column of which more than half the filled cells are numbers. One pass over all columns."""
+def profile_numeric(df: DataFrame, columns: list[str], share: float = 0.5, stated: Column | None = None) -> DataFrame:
+    """One row for each column of which more than half the filled cells are numbers. One pass over all columns.
+
+    stated: marks total rows; they are left out of the figures, and the number that one states for a column (the greatest,
+    if there are several: subtotals are less) is its stated_total, which wins over the computed sum (total)."""
+    if stated is not None:
+        marked = df.withColumn("__total", F.coalesce(stated, F.lit(False)))
+        given = long_cells(marked.filter("__total"), columns).groupBy("column").agg(F.max(F.expr("try_cast(value as double)")).alias("stated_total"))
+        computed = profile_numeric(marked.filter("not __total").drop("__total"), columns, share)
+        return computed.join(given, "column", "left").withColumn("total", F.coalesce("stated_total", "total"))
     cells = long_cells(df, columns).withColumn("number", F.expr("try_cast(value as double)"))
     p = cells.groupBy("column").agg(
         F.count("*").alias("filled"),
@@ -180,10 +254,82 @@ def profile_categories(df: DataFrame, columns: list[str], top: int = 10) -> Data
     return d.filter(F.col("place") <= top)
 
 
-def auto_summary(df: DataFrame, categories: list[str], measure: str, most: int = 100) -> DataFrame:
-    """Sum of a measure by the first two categories, largest first: a top-k report."""
-    by = categories[:2]
-    return df.groupBy(*by).agg(F.round(F.sum(measure), 2).alias("total"), F.count("*").alias("n")).orderBy(F.desc("total"), *by).limit(most)
+# Words of column names that make a category or a measure worth summing, a measure of business or of area, and names of mere keys.
+GROUP_WORDS = ("地类", "类型", "名称", "DLMC", "XZQMC", "权属", "LX", "分类", "类别")
+SUM_WORDS = ("面积", "AREA", "MJ", "TBDLMQ", "金额", "长度", "LENGTH")
+AREA_WORDS = ("面积", "AREA", "MJ", "TBDLMQ")
+KEY_NAMES = ("BSM", "OBJECTID", "FID", "SHAPE")
+SQUARE_METRES_PER_HECTARE, MU_PER_HECTARE = 10_000.0, 15.0
+
+
+def named_like(columns: list[str], words: tuple[str, ...]) -> list[str]:
+    """The columns whose name, in either case, holds one of the words."""
+    return [c for c in columns if any(w in c or w in c.upper() for w in words)]
+
+
+def with_area_units(value: Column, is_area: Column) -> Column:
+    """A number as text; a large area in square metres with hectares and mu beside it."""
+    two = lambda v: F.format_string("%.2f", v.cast("double"))
+    hectares = value / SQUARE_METRES_PER_HECTARE
+    wide = F.concat(two(value), F.lit(" (约 "), two(hectares), F.lit(" 公顷 / "), two(hectares * MU_PER_HECTARE), F.lit(" 亩)"))
+    return F.when(is_area & (value > SQUARE_METRES_PER_HECTARE), wide).otherwise(two(value))
+
+
+def auto_summary(df: DataFrame, categories: list[str] | None = None, measure: str | None = None, most: int = 100) -> DataFrame:
+    """(category, value, total, n, shown): the sum of a measure by each of the first two categories, the largest groups of each: a
+    top-k report. Categories and measure are chosen by their names unless given. Rows without a category are left out."""
+    kinds = dict(df.dtypes)
+    numbers = [c for c, t in kinds.items() if t.startswith(("int", "bigint", "smallint", "tinyint", "float", "double", "decimal"))]
+    categories = (categories or named_like([c for c in df.columns if kinds[c] == "string"], GROUP_WORDS))[:2]
+    measure = measure or next(iter(named_like(numbers, SUM_WORDS)), None)
+    if not categories or not measure:
+        return df.sparkSession.createDataFrame([], "category string, value string, total double, n bigint, shown string")
+    cells = df.select(*[F.col(c).cast("string").alias(c) for c in categories], F.col(measure).cast("double").alias("__m"))
+    cells = cells.unpivot(["__m"], categories, "category", "value").filter("value is not null")
+    g = cells.groupBy("category", "value").agg(F.round(F.sum("__m"), 2).alias("total"), F.count("*").alias("n"))
+    order = Window.partitionBy("category").orderBy(F.desc("total"), "value")
+    g = g.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r")
+    return g.withColumn("shown", with_area_units(F.col("total"), F.lit(bool(named_like([measure], AREA_WORDS)))))
+
+
+def business_profile(df: DataFrame, words: tuple[str, ...], many: int = 200, top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(numeric columns named by business words: column, n, total, most, mean; text columns but keys: column, n_distinct,
+    value, n, place): the most frequent values of a text column, or none of them where it has too many different ones."""
+    kinds = dict(df.dtypes)
+    numbers = named_like([c for c, t in kinds.items() if t.startswith(("int", "bigint", "smallint", "tinyint", "float", "double", "decimal"))], words)
+    texts = [c for c, t in kinds.items() if t == "string" and c.upper() not in KEY_NAMES]
+    spark = df.sparkSession
+    if numbers:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "column", "value").filter("value is not null and not isnan(value)")
+        numeric = long.groupBy("column").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("most"), F.round(F.avg("value"), 4).alias("mean"))
+    else:
+        numeric = spark.createDataFrame([], "column string, n bigint, total double, most double, mean double")
+    if not texts:
+        return numeric, spark.createDataFrame([], "column string, n_distinct bigint, value string, n bigint, place bigint")
+    counts = df.select(*texts).unpivot([], texts, "column", "value").filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("column")
+    d = counts.withColumn("n_distinct", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "value")).cast("bigint"))
+    shown = F.col("n_distinct") <= many
+    d = d.filter(F.when(shown, F.col("place") <= top).otherwise(F.col("place") == 1))
+    return numeric, d.select("column", "n_distinct", F.when(shown, F.col("value")).alias("value"), F.when(shown, F.col("n")).alias("n"), F.when(shown, F.col("place")).alias("place"))
+
+
+# The three scores that a judge gives an answer.
+JUDGED = ("context_relevance", "groundedness", "answer_relevance")
+
+
+def daily_scores(traces: DataFrame, at: str = "created_at", scores: tuple[str, ...] = JUDGED) -> DataFrame:
+    """(day, n, mean of each score): scores are numbers or text, kept within 0 and 1, a half where there is no number."""
+    from brindle.functions.nlp import judged
+
+    means = [F.round(F.avg(judged(F.col(s).cast("string"))), 6).alias(s) for s in scores]
+    return traces.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("n"), *means)
+
+
+def chunk_stats(chunks: DataFrame, key: str = "doc_id", kind: str = "chunk_type", left_out: tuple[str, ...] = ("doc_summary",), full: int = 512) -> DataFrame:
+    """(key, chunks, chars, has_full) of each file, without chunks of kinds that only stand for the file."""
+    g = matching(chunks, must_not={kind: list(left_out)}).groupBy(key)
+    return g.agg(F.count("*").alias("chunks"), F.sum(F.length("document")).alias("chars"), F.bool_or(F.length("document") >= full).alias("has_full"))
 
 
 def rolled_up(jobs: DataFrame, by: list[str], status: str, at: str) -> DataFrame:
@@ -224,6 +370,29 @@ def ttl_hits(df: DataFrame, key: list[str], at: str, seconds: int) -> DataFrame:
     return df.withColumn("hit", F.coalesce(F.timestamp_diff("SECOND", before, F.col(at)) <= seconds, F.lit(False)))
 
 
+# Seconds that answers stay in each cache; entries that a small cache holds, and how many of the oldest go when it is full.
+TTL = {"retrieval": 1800, "answer": 3600, "model": 86_400, "rewrite": 300, "intent": 300}
+CACHE_ENTRIES, CACHE_EVICTED = 200, 100
+
+
+def cache_entries(entries: DataFrame, now: Column, cache: Column, key: str = "key", at: str = "ts", entries_kept: int = CACHE_ENTRIES, evicted: int = CACHE_EVICTED) -> DataFrame:
+    """Entries of caches (cache names one of TTL) that are still there: within their time to live, the last of each key, and
+    where a cache grew past its bound, without those that went as the oldest each time it did."""
+    ttl = F.create_map(*[F.lit(x) for pair in TTL.items() for x in pair])
+    d = entries.withColumn("__cache", cache).withColumn("__r", F.row_number().over(Window.partitionBy(cache, key).orderBy(F.desc(at)))).filter("__r = 1")
+    # With n entries in order of age, every `evicted` past the bound lets as many of the oldest go.
+    w = Window.partitionBy("__cache")
+    d = d.withColumn("__n", F.count("*").over(w)).withColumn("__age", F.row_number().over(w.orderBy(F.asc(at), F.asc(key))))
+    gone = F.greatest(F.ceil((F.col("__n") - entries_kept) / evicted), F.lit(0)) * evicted
+    d = d.filter(F.col("__age") > gone).filter(F.timestamp_diff("SECOND", F.col(at), now) <= ttl[F.col("__cache")])
+    return d.drop("__cache", "__r", "__n", "__age")
+
+
+def invalidated(entries: DataFrame, gone: DataFrame, project: str = "project_id") -> DataFrame:
+    """Entries without those of projects whose files changed."""
+    return entries.join(gone.select(project).distinct(), project, "left_anti")
+
+
 # --- sets ---------------------------------------------------------------------------------------
 def unsupported_numbers(answer: Column, sources: Column, least: float = 10, most: int = 3, severe: float = 1000) -> Column:
     """Array of (number, severe) that an answer states and no source does; days, years and round numbers are common knowledge."""
@@ -267,6 +436,13 @@ def deferred(jobs: DataFrame, projects: DataFrame) -> DataFrame:
     return j.filter(F.coalesce("is_paused", F.lit(False)) | (F.col("busy") & (F.coalesce("priority", F.lit(2)) != 1))).select(*jobs.columns)
 
 
+def head_rows(df: DataFrame, key: str, order: str, rows: int = 15, columns: int = 8) -> DataFrame:
+    """The first rows and columns of each group: the sample that stands for a sheet. The group's key and order stay with it."""
+    w = Window.partitionBy(key).orderBy(order)
+    shown = [c for c in df.columns if c not in (key, order)][:columns]
+    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= rows).select(key, order, *shown)
+
+
 def spread_rows(df: DataFrame, key: str, order: str, most: int = 15) -> DataFrame:
     """A sample of each group's rows for a summary: evenly spaced in their order, the first one included."""
     w = Window.partitionBy(key)

@@ -9,12 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 10_000
+from brindle.session import stored
 
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 8 << 20
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has few rows (counted); else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if df has few rows and few bytes; no more than the bound of rows is looked at."""
+    size = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return size["n"] <= most and size["b"] <= most_bytes
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it is small, in rows and in bytes; else as it is."""
+    return F.broadcast(df) if is_small(df, most, most_bytes) else df
+
+
+def in_blocks(queries: DataFrame, search, query: str = "query_id", most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """search(block) over blocks of the queries that are small enough to be sent to all tasks; a stated set of queries is
+    one block as a rule. The blocks part the queries by a hash of their ids."""
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    n = max(1, -(-2 * size["n"] // most) if size["n"] > most else 1, -(-2 * size["b"] // most_bytes) if size["b"] > most_bytes else 1)
+    parts = [queries if n == 1 else queries.filter(F.pmod(F.xxhash64(query), F.lit(n)) == k) for k in range(n)]
+    out = None
+    for part in parts:
+        found = search(F.broadcast(part))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,12 +57,16 @@ def top_k(df: DataFrame, query: str, k: int, *order: Column) -> DataFrame:
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
     """(query, item, score, rank0): the k nearest items by dot product of unit vectors; only scores above least, if given.
 
-    Queries are a bounded set: they go to all tasks where they are few, and each item is scored where it lies."""
-    q = small(queries.select(query, F.col(vector).alias("qv")))
-    scored = corpus.select(item, vector).join(q).select(query, item, dot(F.col("qv"), F.col(vector)).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") > least)
-    return top_k(scored, query, k, F.desc("score"), F.asc(item))
+    Queries are a stated set: they go to all tasks in blocks, each item is scored where it lies, and each task keeps its own
+    first k of a query before anything is shuffled."""
+
+    def block(q: DataFrame) -> DataFrame:
+        scored = corpus.select(item, vector).crossJoin(q).select(query, item, dot(F.col("qv"), F.col(vector)).alias("score"))
+        if least is not None:
+            scored = scored.filter(F.col("score") > least)
+        return top_k(scored, query, k, F.desc("score"), F.asc(item))
+
+    return in_blocks(queries.select(query, F.col(vector).alias("qv")), block, query)
 
 
 def terms(text: Column) -> Column:
@@ -49,19 +74,51 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, length): the inverted index of a table of texts."""
+def postings(docs: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, length): the inverted index of a table of texts; with `only` (term), a small table, of those terms alone, and then
+    no other term is shuffled."""
     d = docs.select(key, terms(F.col(text)).alias("t"))
-    return d.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    d = d.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    if only is not None:
+        d = d.join(small(only.select("term").distinct()), "term", "left_semi")
+    return d.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+    return queries.select(query, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
 
 
 def sparse_search(queries: DataFrame, index: DataFrame, n_docs: int, k: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
-    """(query, key, score, rank0): the k best by the sum over common terms of idf * (1 + ln tf), idf = ln(1 + n / df)."""
-    wanted = queries.select(query, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    used = index.join(small(wanted.select("term").distinct()), "term", "left_semi")
+    """(query, key, score, rank0): the k best by the sum over common terms of idf * (1 + ln tf), idf = ln(1 + n / df). The part of
+    the index that holds the queries' terms is stored, as it is read twice."""
+    wanted = query_terms(queries, query)
+    used = stored(index.join(small(wanted.select("term").distinct()), "term", "left_semi").select("term", key, "tf"))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = used.join(df, "term").select("term", key, ((1 + F.log("tf")) * F.log1p(F.lit(float(n_docs)) / F.col("df"))).alias("w"))
-    scores = weighted.join(wanted, "term").groupBy(query, key).agg(F.round(F.sum("w"), 6).alias("score"))
+    weighted = used.join(small(df), "term").select("term", key, ((1 + F.log("tf")) * F.log1p(F.lit(float(n_docs)) / F.col("df"))).alias("w"))
+    scores = weighted.join(small(wanted), "term").groupBy(query, key).agg(F.round(F.sum("w"), 6).alias("score"))
+    return top_k(scores, query, k, F.desc("score"), F.asc(key))
+
+
+# Tokens of a model that carry no meaning, and the entry of a text without any other.
+SPECIAL_TOKENS, NO_TOKEN, NO_WEIGHT = (0, 1, 2), 1, 0.01
+
+
+def sparse_vectors(tokens: DataFrame, key: str = "key", token: str = "token", weight: str = "weight") -> DataFrame:
+    """(key, token, weight): the greatest weight of each token of a text, of those above zero; a text without such tokens gets
+    one entry, so that it has a vector. tokens has a row for each place of a text."""
+    real = (F.col(weight) > 0) & ~F.col(token).isin(*SPECIAL_TOKENS)
+    g = tokens.groupBy(key, F.when(real, F.col(token)).alias("t")).agg(F.max(F.when(real, F.col(weight))).alias("w"))
+    with_any = g.filter("t is not null")
+    alone = g.groupBy(key).agg(F.count("t").alias("n")).filter("n = 0")
+    none = alone.select(key, F.lit(NO_TOKEN).cast(tokens.schema[token].dataType).alias("t"), F.lit(NO_WEIGHT).alias("w"))
+    return with_any.select(key, "t", "w").unionByName(none).select(key, F.col("t").alias(token), F.col("w").cast("double").alias(weight))
+
+
+def sparse_dot(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "key", token: str = "token", weight: str = "weight") -> DataFrame:
+    """(query, key, score, rank0): the k best by the dot product of sparse vectors, rows of (query or key, token, weight)."""
+    q = queries.select(query, token, F.col(weight).alias("__wq"))
+    met = vectors.select(key, token, weight).join(small(q), token)
+    scores = met.groupBy(query, key).agg(F.round(F.sum(F.col("__wq") * F.col(weight)), 6).alias("score"))
     return top_k(scores, query, k, F.desc("score"), F.asc(key))
 
 
@@ -73,17 +130,28 @@ def sanitised(query: Column) -> Column:
 
 
 def phrase_search(queries: DataFrame, docs: DataFrame, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, key): documents that hold the whole query as one phrase of terms."""
-    spaced = lambda t: F.concat(F.lit(" "), F.array_join(terms(t), " "), F.lit(" "))
-    q = queries.select(query, spaced(sanitised(F.col("text"))).alias("phrase")).filter(F.length("phrase") > 2)
-    d = docs.select(key, spaced(F.col(text)).alias("body"))
-    return d.join(small(q), F.col("body").contains(F.col("phrase"))).select(query, key)
+    """(query, key): documents that hold the whole query as one phrase of terms. A document meets only the phrases whose
+    longest term it holds, and those are then looked for in it."""
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    q = queries.select(query, terms(sanitised(F.col("text"))).alias("t")).filter(F.size("t") > 0)
+    anchor = F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    q = q.select(query, spaced(F.col("t")).alias("phrase"), anchor.alias("anchor"))
+    d = docs.select(key, terms(F.col(text)).alias("t"))
+
+    def block(some: DataFrame) -> DataFrame:
+        anchors = some.agg(F.collect_set("anchor").alias("anchors"))  # one row, of a block's terms
+        met = d.crossJoin(F.broadcast(anchors)).select(key, spaced(F.col("t")).alias("body"), F.explode(F.array_intersect("t", "anchors")).alias("anchor"))
+        return met.join(some, "anchor").filter(F.col("body").contains(F.col("phrase"))).select(query, key)
+
+    return in_blocks(q, block, query)
 
 
 def contains_search(queries: DataFrame, docs: DataFrame, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, key): the fallback, documents that hold the query as it stands."""
+    """(query, key): the fallback, documents that hold the query as it stands. Each text is searched once for each query of
+    a stated set, in blocks."""
     q = queries.select(query, F.col("text").alias("needle")).filter("needle <> ''")
-    return docs.select(key, F.col(text).alias("body")).join(small(q), F.col("body").contains(F.col("needle"))).select(query, key)
+    d = docs.select(key, F.col(text).alias("body"))
+    return in_blocks(q, lambda some: d.join(some, F.col("body").contains(F.col("needle"))).select(query, key), query)
 
 
 def fused(lists: list[DataFrame], query: str, keys: list[str], k: int = 61) -> DataFrame:
@@ -180,7 +248,7 @@ def lexical_order(hits: DataFrame, queries: DataFrame, query: str = "query_id",
 
 def prefiltered(summaries: DataFrame, files: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """The files to search: the best by their summary's rank, more of them where there are many files."""
-    return summaries.filter(F.col("rank0") < F.when(F.lit(files > 50), 12).otherwise(8)).select(query, key)
+    return summaries.filter(F.col("rank0") < (12 if files > 50 else 8)).select(query, key)
 
 
 def pool_size(k: int, files: int) -> int:
@@ -188,20 +256,102 @@ def pool_size(k: int, files: int) -> int:
     return max(k * (4 if files <= 5 else 6 if files > 50 else 5), 30)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, width: int = 1, query: str = "query_id") -> DataFrame:
-    """Sparse and full-text lists fused, expanded by neighbours, merged, near copies removed: the k best passages of
-    each query. chunks: doc_id, chunk_index, document. One lazy plan over all queries."""
-    keyed = chunks.withColumn("key", F.struct("doc_id", "chunk_index"))
-    pool = pool_size(k, 51)
-    index = postings(keyed.withColumnRenamed("document", "text"), "key")
-    sparse = sparse_search(queries, index, max(1, chunks.count()), pool, query, "key")
-    phrase = top_k(phrase_search(queries, keyed.withColumnRenamed("document", "text"), query, "key"), query, pool, F.asc("key"))
-    lists = [d.select(query, F.col("key.doc_id").alias("doc_id"), F.col("key.chunk_index").alias("chunk_index"), "rank0") for d in (sparse, phrase)]
-    hits = top_k(fused(lists, query, ["doc_id", "chunk_index"]), query, k, F.desc("score"), F.asc("doc_id"), F.asc("chunk_index"))
-    wide = merged(expanded(hits.drop("rank0"), chunks, width, query), query)
+# Spellings of questions put right, the files beyond which summaries are searched first, the rows that a
+# ranker sees, the inner constant of fusion, words of parameters, and words of questions that ask for figures.
+TYPOS = {"地型": "地形", "田形": "田型"}
+FILES_SEARCHED, RERANK_POOL, FUSION, RESERVE = 20, 15, 2, 5
+BOOST_WORDS = "高程 标高 管径 坡比 造价 金额 投资 单价 任务量 指标 定额".split()
+DATA_WORDS = "多少 参数 造价 指标 标准 投资 单价 定额 高程 管径 厚度 深度".split()
+
+
+def asks_for_data(question: Column) -> Column:
+    return question.rlike("|".join(DATA_WORDS))
+
+
+def holds_parameter(question: Column, text: Column) -> Column:
+    """True for texts with a digit and a word of parameters, one of the question's own if it has such words."""
+    own = F.filter(F.array(*map(F.lit, BOOST_WORDS)), lambda w: question.contains(w))
+    related = (F.size(own) == 0) | F.exists(own, lambda w: text.contains(w))
+    return text.rlike("|".join(BOOST_WORDS)) & text.rlike(r"\d") & related
+
+
+def hybrid_lists(queries: DataFrame, chunks: DataFrame, pool: int, query: str, allowed: DataFrame | None = None) -> list[DataFrame]:
+    """Dense and sparse lists (query, doc_id, chunk_index, rank0) of the pool's size over chunks with document and embedding
+    (null: not in the dense list); with allowed (query, doc_id) each query sees its own documents only."""
+    rows = chunks.select(F.struct("doc_id", "chunk_index").alias("key"), F.col("document").alias("text"), "embedding")
+    lists = []
+    if "embedding" in queries.columns:
+        dense = queries.filter("embedding is not null").select(query, "embedding")
+        found = rows.filter("embedding is not null")
+        if allowed is None:
+            lists.append(dense_search(dense, found, pool, query, "key"))
+        else:
+            met = found.withColumn("doc_id", F.col("key.doc_id")).join(small(allowed), "doc_id").join(small(dense.withColumnRenamed("embedding", "qv")), query)
+            lists.append(top_k(met.select(query, "key", dot(F.col("qv"), F.col("embedding")).alias("score")), query, pool, F.desc("score"), F.asc("key")))
+    wanted = query_terms(queries, query)
+    index = stored(postings(rows, "key", only=wanted).select("key", "term", "tf"))
+    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log1p(F.lit(float(max(1, chunks.count()))) / F.col("df"))
+    met = index.join(small(wanted.join(frequency, "term").select(query, "term", idf.alias("idf"))), "term")
+    if allowed is not None:
+        met = met.withColumn("doc_id", F.col("key.doc_id")).join(small(allowed), [query, "doc_id"], "left_semi")
+    scores = met.groupBy(query, "key").agg(F.round(F.sum((1 + F.log("tf")) * F.col("idf")), 6).alias("score"))
+    lists.append(top_k(scores, query, pool, F.desc("score"), F.asc("key")))
+    return [d.select(query, F.col("key.doc_id").alias("doc_id"), F.col("key.chunk_index").alias("chunk_index"), "rank0") for d in lists]
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, k: int = 5, width: int = 1, query: str = "query_id", ranker=None) -> DataFrame:
+    """The k best passages of each query: (query, rank0, doc_id, chunk_index, score, document).
+
+    queries: query, text[, embedding]; chunks and summaries (one chunk for each document that has one): doc_id, chunk_index,
+    document, embedding. The stages: spelling; the summaries' best documents, where there are more than FILES_SEARCHED;
+    dense and sparse lists of chunks, fused; of the first RERANK_POOL those that hold a parameter, for questions that ask for
+    figures, before the others as ranker(hits, queries) orders them (default: by shared terms); neighbours; runs of neighbours
+    joined; near copies left out. Scores are those of the fusion, neighbours' less."""
+    queries = queries.withColumn("text", _spelled(F.col("text")))
+    files = chunks.select("doc_id").distinct().count()
+    allowed = None
+    if summaries is not None and files > FILES_SEARCHED:
+        best = 12 if files > 50 else 8
+        lists = hybrid_lists(queries, summaries, best, query)
+        first = top_k(fused(lists, query, ["doc_id", "chunk_index"], FUSION), query, best, F.desc("score"), F.asc("doc_id"), F.asc("chunk_index"))
+        allowed = stored(prefiltered(first, files, query).distinct())
+        files = best
+    pool = pool_size(k, files)
+    lists = hybrid_lists(queries, chunks, pool, query, allowed)
+    hits = top_k(fused(lists, query, ["doc_id", "chunk_index"], FUSION), query, pool, F.desc("score"), F.asc("doc_id"), F.asc("chunk_index"))
+    hits = hits.filter(F.col("rank0") < RERANK_POOL + RESERVE)
+    hits = stored(hits.join(chunks.select("doc_id", "chunk_index", "document"), ["doc_id", "chunk_index"]))
+    found = ordered_hits(hits, queries, k, query, ranker)
+    wide = merged(expanded(found.select(query, "doc_id", "chunk_index", "score"), chunks, width, query), query)
     return accepted(wide, k, query)
 
 
+def _spelled(text: Column) -> Column:
+    for wrong, right in TYPOS.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return text
+
+
+def ordered_hits(hits: DataFrame, queries: DataFrame, k: int, query: str = "query_id", ranker=None) -> DataFrame:
+    """Hits (query, rank0, document, ...) of the pool: those that hold a parameter the question asks for, in their order, then
+    as many of the others as make 2 k, as ranked. Where the whole pool is of the first kind, the reserve behind it is ranked."""
+    q = queries.select(query, F.col("text").alias("__question"))
+    d = hits.join(small(q), query)
+    boosted = (F.col("rank0") < RERANK_POOL) & asks_for_data(F.col("__question")) & holds_parameter(F.col("__question"), F.col("document"))
+    d = d.withColumn("__boosted", boosted)
+    w = Window.partitionBy(query)
+    others = F.sum(((F.col("rank0") < RERANK_POOL) & ~F.col("__boosted")).cast("int")).over(w)
+    d = d.withColumn("__others", others).withColumn("__ahead", F.sum(F.col("__boosted").cast("int")).over(w))
+    normal = ~F.col("__boosted") & F.when(F.col("__others") > 0, F.col("rank0") < RERANK_POOL).otherwise(F.col("rank0") >= RERANK_POOL)
+    ahead, rest = d.filter("__boosted"), d.filter(normal)
+    places = (ranker or lexical_order)(rest.select(query, "rank0", "document"), queries).select(query, "rank0", F.col("place").alias("__place"))
+    rest = rest.join(places, [query, "rank0"], "left")
+    rest = ranked(rest, query, F.asc_nulls_last("__place"), F.asc("rank0"), into="__at").filter(F.col("__at") < F.greatest(F.lit(2 * k) - F.col("__ahead"), F.lit(1)))
+    extra = ("__question", "__boosted", "__others", "__ahead", "__place", "__at")
+    return ahead.drop(*extra).unionByName(rest.drop(*extra))
+
+
 def recommended_files(hits: DataFrame, query: str = "query_id", key: str = "doc_id", rows: int = 40, files: int = 10) -> DataFrame:
     """Files by the sum of 1 / (60 + rank) over a query's first rows."""
     s = hits.filter(F.col("rank0") < rows).groupBy(query, key).agg(F.round(F.sum(1 / (F.lit(60.0) + F.col("rank0"))), 9).alias("score"), F.count("*").alias("n_rows"))
@@ -209,13 +359,22 @@ def recommended_files(hits: DataFrame, query: str = "query_id", key: str = "doc_
 
 
 def cached_answers(questions: DataFrame, least: float = 0.96, scope: str = "scope", at: str = "ts", item: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(item, answered_by, similarity): the earlier question of the same scope that is most alike, above the least similarity."""
-    earlier = questions.select(scope, F.col(at).alias("t"), F.col(item).alias("answered_by"), F.col(vector).alias("v"))
-    pairs = questions.join(earlier, scope).filter(F.col("t") < F.col(at))
-    pairs = pairs.select(item, "answered_by", dot(F.col(vector), F.col("v")).alias("similarity")).filter(F.col("similarity") >= least)
+    """(item, answered_by, similarity): the earlier question of the same scope that is most alike, above the least similarity.
+    A scope's questions meet in blocks of BLOCK each, so that one with many of them is dealt over many tasks."""
+    size = questions.groupBy(scope).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
+    q = questions.select(F.col(scope), F.col(at).alias("__t"), item, F.col(vector).alias("__v")).join(small(size), scope)
+    q = q.withColumn("__block", F.pmod(F.xxhash64(item), F.col("__blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    asked = q.withColumn("__other", every)  # meets each block of earlier questions once
+    earlier = q.select(F.col(scope), F.col("__t").alias("__e"), F.col(item).alias("answered_by"), F.col("__v").alias("__w"), F.col("__block").alias("__other"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
+    pairs = asked.join(earlier, [scope, "__block", "__other"]).filter(F.col("__e") < F.col("__t"))
+    pairs = pairs.select(item, "answered_by", dot(F.col("__v"), F.col("__w")).alias("similarity")).filter(F.col("similarity") >= least)
     return top_k(pairs, item, 1, F.desc("similarity"), F.asc("answered_by")).drop("rank0")
 
 
+BLOCK = 2048
+
+
 def in_priority(parts: DataFrame, priority: dict[str, int], query: str = "query_id", kind: str = "kind", exact: tuple[str, ...] = ("sql", "cross_filter", "graph_qa"), limit: int = 25_000) -> DataFrame:
     """Parts of a context in order of priority, cut at the first part that does not fit the limit. Where SQL answered, only exact kinds stay."""
     p = F.lit(len(priority))
@@ -237,9 +396,23 @@ def table_search(hits: DataFrame, most: int, least: float = 0.35, gone: list | N
     return top_k(d, query, most, F.desc("score"), F.asc(table))
 
 
+# What is asked for the figures of a whole project.
+GLOBAL_QUESTIONS = ("面积 价格 数据 统计 区片", "地价 标准 耕地 建设用地", "变化 幅度 修订 调整")
+
+
+def global_questions(projects: DataFrame, project: str = "project_id", name: str = "name") -> DataFrame:
+    """(project, question_no, text): the fixed questions of each project, with its name before them if it has one."""
+    each = F.posexplode(F.array(*map(F.lit, GLOBAL_QUESTIONS)))
+    d = projects.select(project, F.coalesce(F.col(name), F.lit("")).alias("__n"), each.alias("question_no", "text"))
+    return d.select(project, "question_no", F.trim(F.concat_ws(" ", F.nullif("__n", F.lit("")), "text")).alias("text"))
+
+
 def global_context(hits: DataFrame, rows: int = 3, most: int = 4, characters: int = 2000, project: str = "project_id") -> DataFrame:
-    """(project, context): the first rows of each fixed question, equal chunks once, the best of them cut to a length."""
-    first = hits.filter(F.col("rank0") < rows).groupBy(project, "doc_id", "chunk_index").agg(F.max("score").alias("score"), F.max("document").alias("document"))
-    best = top_k(first, project, most, F.desc("score"), F.asc("doc_id"), F.asc("chunk_index"))
-    parts = F.array_sort(F.collect_list(F.struct("rank0", "document")))
-    return best.groupBy(project).agg(F.array_join(F.transform(parts, lambda p: p["document"]), "\n\n").substr(1, characters).alias("context"))
+    """(project, context): the first rows of each fixed question, equal chunks once (as the first question found them), the
+    best of them by score, each behind its source's name (filename), cut to a length."""
+    w = Window.partitionBy(project, "doc_id", "chunk_index").orderBy("question_no", "rank0")
+    first = hits.filter(F.col("rank0") < rows).withColumn("__r", F.row_number().over(w)).filter("__r = 1")
+    best = top_k(first.drop("rank0"), project, most, F.desc("score"), F.asc("doc_id"), F.asc("chunk_index"))
+    part = F.concat(F.lit("[来源: "), F.coalesce("filename", F.lit("未知")), F.lit("]\n"), "document")
+    parts = F.array_sort(F.collect_list(F.struct("rank0", part.alias("part"))))
+    return best.groupBy(project).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").substr(1, characters).alias("context"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import holding_any, is_total_row, once_per_block
 
-# Words of header rows.
-HEADER_WORDS = ("序号", "编号", "名称", "项目", "单位", "数量", "面积", "备注", "合计", "类型", "规格", "金额")
+# Words of rows of titles, of units and of headers.
+TITLE_WORDS = "汇总表 统计表 一览表 明细表 计算表 成果表 调查表 情况表".split()
+UNIT_WORD, UNITS = "单位", "公顷 亩 平方 万元 元 吨 kg".split()
+HEADER_WORDS = "行政区域 名称 代码 面积 编号 序号 类型 地类 用途 权属 坐落 单位名称 乡镇 项目 产量 产值 数量".split()
 
 
 def cells_of(matrices: DataFrame, key: str = "table_id", rows: str = "rows") -> DataFrame:
@@ -55,41 +57,64 @@ def filled_cells(row: Column) -> Column:
     return F.size(F.filter(row, lambda v: v != ""))
 
 
-def row_kind(row: Column, words: tuple[str, ...] = HEADER_WORDS) -> Column:
-    """empty, title (one value all along), unit, header or data."""
-    full = F.filter(row, lambda v: v != "")
-    hits = F.size(F.filter(full, lambda v: v.rlike("|".join(words))))
+def row_kind(row: Column, words: list[str] | None = None) -> Column:
+    """empty, title, unit (at most three filled cells), header, merged (a header word, but one value all along) or other."""
+    full = F.filter(F.transform(row, lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    said = F.array_join(F.filter(row, lambda v: v.isNotNull()), " ")
     return (
         F.when(F.size(full) == 0, "empty")
-        .when((F.size(full) <= 3) & F.exists(full, lambda v: v.rlike("^单位|单位[:：]")), "unit")
-        .when((F.size(F.array_distinct(full)) == 1) & (F.size(row) > 1), "title")
-        .when((hits >= 2) & ~F.exists(full, lambda v: v.rlike(r"^-?[\d.,]+$")), "header")
-        .otherwise("data")
+        .when(said.rlike("|".join(TITLE_WORDS)), "title")
+        .when(said.contains(UNIT_WORD) & said.rlike("|".join(UNITS)) & (F.size(full) <= 3), "unit")
+        .when(~said.rlike("|".join(words or HEADER_WORDS)), "other")
+        .when(F.size(F.array_distinct(full)) == 1, "merged")
+        .otherwise("header")
     )
 
 
 def with_headers(rows: DataFrame, key: str = "table_id", within: int = 20) -> DataFrame:
-    """(key, headers, unit, title, first): header rows among the first rows, joined to one name for each column: its
-    different parts, the last two of them, with an underscore."""
+    """(key, headers, columns, unit, title, first) of the tables. Header rows are looked for among the first rows, from the first one to the last
+    before a row of another kind; without any, the first filled one of the first five rows is the header. The names in a column, each
+    once, are joined with an underscore, the last two of them. Columns without a name are left out; columns holds the places of the others.
+    Title and unit (empty if there is none) are those found last before the search ends."""
     d = rows.filter(F.col("r") < within).withColumn("kind", row_kind(F.col("row")))
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("r", "row"))))
-    g = d.groupBy(key).agg(of("header").alias("h"), of("unit").alias("u"), of("title").alias("t"), F.min(F.when(F.col("kind") == "data", F.col("r"))).alias("first_data"))
-    head = F.filter("h", lambda h: h["r"] < F.coalesce(F.col("first_data"), F.lit(1 << 30)))
-    g = g.withColumn("h", head)
-    width = F.array_max(F.transform("h", lambda h: F.size(h["row"])))
-    parts = F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.filter(F.array_distinct(F.transform("h", lambda h: F.get(h["row"], c))), lambda v: v != ""))
-    names = F.transform(parts, lambda p: F.array_join(F.slice(p, F.greatest(F.size(p) - 1, F.lit(1)), 2), "_"))
-    value = lambda c: F.get(F.filter(F.get(F.col(c), F.lit(0))["row"], lambda v: v != ""), F.lit(0))
-    return g.select(key, F.when(F.size("h") > 0, names).alias("headers"), value("u").alias("unit"), value("t").alias("title"), F.coalesce(F.array_max(F.transform("h", lambda h: h["r"])) + 1, F.lit(0)).alias("first"))
+    g = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "kind", "row"))).alias("a"))
+    least = lambda of: F.array_min(F.transform(of, lambda x: x["r"]))
+    g = g.withColumn("begin", least(F.filter("a", lambda x: x["kind"] == "header")))
+    g = g.withColumn("stop", F.coalesce(least(F.filter("a", lambda x: (x["kind"] == "other") & (x["r"] > F.col("begin")))), F.lit(within)))
+    g = g.withColumn("end", F.array_max(F.transform(F.filter("a", lambda x: (x["kind"] == "header") & (x["r"] < F.col("stop"))), lambda x: x["r"])))
+    plain = F.coalesce(least(F.filter("a", lambda x: (x["r"] < 5) & (x["kind"] != "empty"))), F.lit(0))
+    g = g.withColumn("begin", F.coalesce("begin", plain)).withColumn("end", F.coalesce("end", "begin"))
+    g = g.withColumn("h", F.transform(F.filter("a", lambda x: x["r"].between(F.col("begin"), F.col("end"))), lambda x: x["row"]))
+    width = F.greatest(F.coalesce(F.array_max(F.transform("h", F.size)), F.lit(1)), F.lit(1))
+    tidy = lambda v: F.trim(F.replace(F.coalesce(v, F.lit("")), F.lit("\n"), F.lit("")))
+    parts = F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.filter(F.array_distinct(F.transform("h", lambda h: tidy(F.get(h, c)))), lambda v: v != ""))
+    names = F.transform(parts, lambda p, c: F.struct(F.array_join(F.slice(p, F.greatest(F.size(p) - 1, F.lit(1)), 2), "_").alias("name"), c.alias("c")))
+    g = g.withColumn("n", F.filter(names, lambda n: n["name"] != ""))
+
+    def said(kind: str) -> Column:
+        row = F.element_at(F.filter("a", lambda x: (x["kind"] == kind) & (x["r"] < F.col("stop"))), -1)["row"]
+        return F.coalesce(F.get(F.filter(F.transform(row, lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != ""), F.lit(0)), F.lit(""))
+
+    with_any = lambda kind: F.when(F.exists("a", lambda x: (x["kind"] == kind) & (x["r"] < F.col("stop"))), said(kind)).otherwise("")
+    return g.select(key, F.transform("n", lambda n: n["name"]).alias("headers"), F.transform("n", lambda n: n["c"]).alias("columns"), with_any("unit").alias("unit"), with_any("title").alias("title"), (F.col("end") + 1).alias("first"))
 
 
 def data_rows(rows: DataFrame, heads: DataFrame, key: str = "table_id", least: int = 2) -> DataFrame:
-    """Rows below the header that are not empty, of tables with enough of them."""
-    d = rows.join(heads.select(key, "first"), key).filter((F.col("r") >= F.col("first")) & (filled_cells(F.col("row")) > 0)).drop("first")
+    """Rows below the header, their named columns only, that are not empty, of tables with enough of them. nan and none are empty cells."""
+    value = lambda v: F.when(F.lower(F.trim(v)).isin("nan", "none"), "").otherwise(F.coalesce(F.trim(v), F.lit("")))
+    d = rows.join(heads.select(key, "first", "columns"), key).filter(F.col("r") >= F.col("first"))
+    d = d.withColumn("row", F.transform("columns", lambda c: value(F.get("row", c)))).drop("first", "columns").filter(filled_cells(F.col("row")) > 0)
     enough = d.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return d.join(enough.select(key), key, "left_semi")
 
 
+def merged_names(heads: DataFrame, ranges: DataFrame, key: str = "table_id") -> DataFrame:
+    """(key, names): names of the columns that a vertical merge covers, in order, each once."""
+    named = heads.select(key, F.explode(F.arrays_zip("columns", "headers")).alias("z")).select(key, F.col("z.columns").alias("c"), F.col("z.headers").alias("name"))
+    met = named.join(merged_column_numbers(ranges, key), [key, "c"]).groupBy(key, "name").agg(F.min("c").alias("c"))
+    return met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "name"))), lambda x: x["name"]).alias("names"))
+
+
 def row_text(headers: Column, row: Column) -> Column:
     """header: value | ... of the cells that are filled."""
     parts = F.zip_with(headers, row, lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.coalesce(h, F.lit("")), F.lit(": "), v)))
@@ -140,13 +165,25 @@ def typed(df: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame | None
     return df.select(*[number(c).alias(c) if r[c] > share else F.col(c) for c in df.columns])
 
 
-def schema_summary(df: DataFrame) -> DataFrame:
-    """(column, type, n, filled, n_distinct) for each column of a table."""
+def schema_summary(df: DataFrame, group: str | None = None, sample: int = 0) -> DataFrame:
+    """(column, type, n, filled, n_distinct) for each column of a table; with a group column also merged (it repeats one value
+    within most groups, so plain sums count it too often), with a sample its first values, in order of value."""
+    from brindle.operators.relational import merged_columns
+
     t = dict(df.dtypes)
     cells = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column", "value")
     kind = F.create_map(*[F.lit(x) for c in df.columns for x in (c, t[c])])
     g = cells.groupBy("column").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.countDistinct("value").alias("n_distinct"))
-    return g.select("column", kind[F.col("column")].alias("type"), "n", "filled", "n_distinct")
+    out = g.select("column", kind[F.col("column")].alias("type"), "n", "filled", "n_distinct")
+    if sample:
+        first = cells.filter("value is not null").distinct().withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter(F.col("r") <= sample)
+        first = first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("sample"))
+        out = out.join(first, "column", "left")
+    if group:
+        numbers = [c for c in df.columns if c != group and t[c] in ("int", "bigint", "float", "double")]
+        flags = merged_columns(df, numbers, group).select("column", "merged") if numbers else df.sparkSession.createDataFrame([], "column string, merged boolean")
+        out = out.join(flags, "column", "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
+    return out
 
 
 def cross_filter(rows: DataFrame, id_column: str, variants: list[str], words: list[str], value: str, block: str | None) -> DataFrame:
@@ -162,17 +199,30 @@ def cross_filter(rows: DataFrame, id_column: str, variants: list[str], words: li
     return once_per_block(d, value, block)
 
 
+def first_answer(tables: list[tuple[str, DataFrame]], id_column: str, variants: list[str], words: list[str], value: str, block: str | None) -> tuple[str | None, DataFrame | None]:
+    """(name, total) of the first table, in their order, that has rows for a question; (None, None) if none has."""
+    for name, rows in tables:
+        found = cross_filter(rows, id_column, variants, words, value, block if block in rows.columns else None)
+        if found.filter("total is not null").head(1):
+            return name, found
+    return None, None
+
+
+# The number before a table's title, places in it, and the least characters of a title to match by.
+TITLE_NUMBER = r"^[续附]?表[\d\-.]*\s*"
+TITLE_PLACE = "[一-龥]{1,8}(?:省|市|县|区|镇|乡|村|街道|社区)"
+TITLE_CHARACTERS = 3
+
+
 def title_core(title: Column) -> Column:
-    """A table's title without its number, places in brackets and blanks."""
-    t = F.regexp_replace(title, r"^(附?表|图)\s*[\d.\-—]+\s*", "")
-    t = F.regexp_replace(t, r"[（(][^）)]*[）)]", "")
-    t = F.regexp_replace(t, r"^[一-龥]{2,6}(省|市|县|区|镇|乡|村)", "")
-    return F.regexp_replace(t, r"\s+", "")
+    """A table's title without its number, places, what is in brackets and blanks."""
+    t = F.regexp_replace(F.regexp_replace(title, TITLE_NUMBER, ""), TITLE_PLACE, "")
+    return F.regexp_replace(F.regexp_replace(t, "[（(][^）)]*[）)]", ""), r"\s+", "")
 
 
 def matched_titles(wanted: DataFrame, have: DataFrame, by: str = "project_id", least: float = 0.55) -> DataFrame:
-    """(by, wanted_id, have_id, ratio): in order of wanted_id each title takes the most alike one that is still free. The
-    order matters within a project only, so each project is one group."""
+    """(by, wanted_id, have_id, ratio): in order of wanted_id each title takes the most alike one that is still free. Cores of
+    under three characters match nothing. The order matters within a project only, so each project is one group."""
 
     def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         free, out = dict(zip(b["have_id"], b["title"])), []
@@ -183,7 +233,7 @@ def matched_titles(wanted: DataFrame, have: DataFrame, by: str = "project_id", l
                 del free[scores[0][1]]
         return pd.DataFrame(out, columns=[by, "wanted_id", "have_id", "ratio"])
 
-    core = lambda d, c: d.select(by, c, title_core(F.col("title")).alias("title"))
+    core = lambda d, c: d.select(by, c, title_core(F.col("title")).alias("title")).filter(F.length("title") >= TITLE_CHARACTERS)
     kinds = {f.name: f.dataType.simpleString() for f in [*wanted.schema, *have.schema]}
     schema = f"{by} {kinds[by]}, wanted_id {kinds['wanted_id']}, have_id {kinds['have_id']}, ratio double"
     return core(wanted, "wanted_id").groupBy(by).cogroup(core(have, "have_id").groupBy(by)).applyInPandas(match, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -80,6 +83,86 @@ def _paragraphs(xml: bytes) -> list[str]:
     return [t for t in out if t]
 
 
+def office_tables(xml: bytes) -> list[list[list[str]]]:
+    """Matrices of the tables of an Office XML part, in order. A cell over several columns stands in each of them, and a cell
+    that goes on a vertical merge has the text of the one above."""
+    out = []
+
+    def text(node) -> str:
+        return "\n".join(filter(None, ("".join(t.text or "" for t in p.iter() if _spread(t.tag) == "t").strip() for p in node.iter() if _spread(p.tag) == "p")))
+
+    def attribute(node, name: str, otherwise: str | None = None) -> str | None:
+        return next((v for k, v in node.attrib.items() if _spread(k) == name), otherwise)
+
+    for table in (e for e in ElementTree.fromstring(xml).iter() if _spread(e.tag) == "tbl"):
+        rows: list[list[str]] = []
+        for tr in (c for c in table if _spread(c.tag) == "tr"):
+            row: list[str] = []
+            for tc in (c for c in tr if _spread(c.tag) == "tc"):
+                marks = {_spread(e.tag): e for e in tc.iter() if _spread(e.tag) in ("gridSpan", "vMerge")}
+                span = int(attribute(marks["gridSpan"], "val", "1")) if "gridSpan" in marks else 1
+                goes_on = "vMerge" in marks and attribute(marks["vMerge"], "val", "continue") == "continue"
+                above = rows[-1][len(row)] if goes_on and rows and len(row) < len(rows[-1]) else ""
+                row += [above if goes_on else text(tc)] * span
+            rows.append(row)
+        if any(any(r) for r in rows):
+            out.append(rows)
+    return out
+
+
+def _parts(kind: str, z: zipfile.ZipFile) -> list[str]:
+    if kind in WORD:
+        return ["word/document.xml"]
+    return sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
+def file_tables(kind: str, data: bytes) -> list[tuple[str, list[list[str]], list[tuple[int, int, int, int]]]]:
+    """(name, rows, merged ranges) of the tables of a file; none where its kind holds none or it can't be read."""
+    try:
+        if kind in SHEETS:
+            return sheet_matrices(data)
+        if kind in WORD + SLIDES:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                return [(p.rsplit("/", 1)[-1].removesuffix(".xml"), rows, []) for p in _parts(kind, z) for rows in office_tables(z.read(p))]
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError):
+        return []
+    return []
+
+
+def marked_text(kind: str, data: bytes) -> str | None:
+    """Text with marks of roles: ## before titles, - before items of lists, [表格] before tables. Other kinds, and files without
+    such structure, have their plain text."""
+    out: list[str] = []
+
+    def line(p) -> str:
+        return "".join(t.text or "" for t in p.iter() if _spread(t.tag) == "t").strip()
+
+    def walk(node, title: bool) -> None:
+        for child in node:
+            tag = _spread(child.tag)
+            if tag == "tbl":
+                rows = [" | ".join(line(c) for c in tr if _spread(c.tag) == "tc") for tr in child if _spread(tr.tag) == "tr"]
+                out.append("[表格]\n" + "\n".join(rows))
+            elif tag == "p":
+                marks = {_spread(e.tag): e for e in child.iter() if _spread(e.tag) in ("pStyle", "numPr")}
+                style = next((v for k, v in marks["pStyle"].attrib.items() if _spread(k) == "val"), "") if "pStyle" in marks else ""
+                said = line(child)
+                if said:
+                    out.append(f"## {said}" if title or style.startswith(("Heading", "Title")) else f"- {said}" if "numPr" in marks or style.startswith("List") else said)
+            else:
+                kinds = [e.attrib.get("type", "") for e in child.iter() if _spread(e.tag) == "ph"] if tag == "sp" else []
+                walk(child, title or bool({"title", "ctrTitle"} & set(kinds)))
+
+    try:
+        if kind in WORD + SLIDES:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for p in _parts(kind, z):
+                    walk(ElementTree.fromstring(z.read(p)), False)
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError):
+        out = []
+    return "\n\n".join(out) if out else document_text(kind, data)
+
+
 def document_text(kind: str, data: bytes) -> str | None:
     """Text of a file; None if its kind is not supported or it can't be read, empty if it holds none."""
     try:
@@ -89,38 +172,108 @@ def document_text(kind: str, data: bytes) -> str | None:
             return "\n".join(" | ".join(v for v in row if v) for _, rows, _ in sheet_matrices(data) for row in rows if any(row))
         if kind in WORD + SLIDES:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                parts = ["word/document.xml"] if kind in WORD else sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-                return "\n".join(t for p in parts for t in _paragraphs(z.read(p)))
+                return "\n".join(t for p in _parts(kind, z) for t in _paragraphs(z.read(p)))
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError):
         return None
     return None
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, kind, text) of the files below a folder; hidden and lock files are skipped."""
+def read_files(spark: SparkSession, path: str, marked: bool = False) -> DataFrame:
+    """(path, size, kind, text) of the files below a folder; hidden and lock files are skipped. marked: with marks of roles."""
+    text_of = marked_text if marked else document_text
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.filter(~F.col("path").rlike(r"/(\.|~\$)[^/]*$")).select("path", F.col("length").alias("size"), suffix(F.col("path")).alias("kind"), "content")
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["text"] = [document_text(k, c) for k, c in zip(f["kind"], f["content"])]
+            f["text"] = [text_of(k, c) for k, c in zip(f["kind"], f["content"])]
             yield f[["path", "size", "kind", "text"]]
 
     return files.mapInPandas(texts, "path string, size bigint, kind string, text string")
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, table_id, rows, merged) of the sheets below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    """(path, sheet, table_id, rows, merged) of the sheets and tables of the files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xlsx,docx,pptx}").load(path).select("path", suffix(F.col("path")).alias("kind"), "content")
 
     def sheets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(p, name, f"{p}#{k}", rows, [list(m) for m in merged]) for p, c in zip(f["path"], f["content"]) for k, (name, rows, merged) in enumerate(sheet_matrices(c))]
+            out = [(p, name, f"{p}#{n}", rows, [list(m) for m in merged]) for p, k, c in zip(f["path"], f["kind"], f["content"]) for n, (name, rows, merged) in enumerate(file_tables(k, c))]
             yield pd.DataFrame(out, columns=["path", "sheet", "table_id", "rows", "merged"])
 
     return files.mapInPandas(sheets, "path string, sheet string, table_id string, rows array<array<string>>, merged array<array<int>>")
 
 
+# Encodings that are tried for the text of attribute tables, in this order.
+ENCODINGS = ("utf-8", "gbk", "gb18030", "latin-1")
+
+
+def dbf_fields(data: bytes) -> tuple[int, int, int, list[tuple[str, str, int]]]:
+    """(records, length of the header, length of a record, fields (name, type, width)) of a DBF file's header."""
+    n, header, length = struct.unpack_from("<IHH", data, 4)
+    fields, at = [], 32
+    while at + 32 <= min(header, len(data)) and data[at] != 0x0D:
+        fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), chr(data[at + 11]), data[at + 16]))
+        at += 32
+    return n, header, length, fields
+
+
+def dbf_rows(data: bytes) -> Iterator[list[str | None]]:
+    """Records of a DBF file that are not deleted, as text; null where a cell is blank. The first encoding in which the whole
+    table can be read is taken."""
+    n, header, length, fields = dbf_fields(data)
+    body = data[header : header + n * length]
+    encoding = next(e for e in ENCODINGS if _decodes(body, e))
+    for at in range(0, len(body) - length + 1, length):
+        if body[at] == 0x2A:
+            continue
+        row, place = [], at + 1
+        for _, _, width in fields:
+            row.append(body[place : place + width].split(b"\0")[0].decode(encoding, errors="replace").strip() or None)
+            place += width
+        yield row
+
+
+def _decodes(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def read_dbf(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record, values) of the attribute tables below a folder: values is a map from field to text. A table of any size
+    is read by one task, batch by batch; what is made of it afterwards is distributed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dbf").load(path).select("path", "content")
+
+    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, data in zip(f["path"], f["content"]):
+                names = [name for name, _, _ in dbf_fields(data)[3]]
+                rows = enumerate(dbf_rows(data))
+                while part := list(itertools.islice(rows, 10_000)):
+                    yield pd.DataFrame({"path": p, "record": [k for k, _ in part], "values": [dict(zip(names, r)) for _, r in part]})
+
+    return files.mapInPandas(records, "path string, record bigint, values map<string,string>")
+
+
+def dbf_table(spark: SparkSession, path: str) -> DataFrame:
+    """The attribute tables below a folder as columns: path, record and each field; numbers as doubles. The headers say which
+    fields there are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dbf").load(path).select("content")
+
+    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, name, kind) for data in f["content"] for k, (name, kind, _) in enumerate(dbf_fields(data)[3])]
+            yield pd.DataFrame(rows, columns=["place", "name", "kind"])
+
+    # A row for each different field only; a name that is text in one table is text in all.
+    fields = files.mapInPandas(heads, "place int, name string, kind string").groupBy("name").agg(F.min("place").alias("place"), F.bool_and(F.col("kind").isin("N", "F")).alias("number")).orderBy("place", "name").collect()
+    d = read_dbf(spark, path)
+    return d.select("path", "record", *[(F.col("values")[r["name"]].try_cast("double") if r["number"] else F.col("values")[r["name"]]).alias(r["name"]) for r in fields])
+
+
 def listing(files: DataFrame, web: DataFrame) -> DataFrame:
     """(path, size, kind): files by path, the parts of a shape file folded into its .shp with their sizes summed, a .gdb
     folder as one entry, and web sources added."""
@@ -137,6 +290,17 @@ def is_scanned(pages: DataFrame, file: str = "file_id", text: str = "text", leas
     return pages.groupBy(file).agg((F.coalesce(F.avg(F.length(F.trim(F.coalesce(F.col(text), F.lit(""))))), F.lit(0.0)) < least).alias("scanned"))
 
 
+def page_documents(pages: DataFrame, file: str = "file_id", page: str = "page_no", least: int = 50, scanned_least: int = 80) -> DataFrame:
+    """(file, route, text) of files whose pages were read: text of each page, or what recognition made of it (column ocr) where
+    the page has hardly any; its tables (column tables, an array of markdown) behind it. Scanned files go the slow way."""
+    own = F.trim(F.coalesce("text", F.lit("")))
+    seen = F.when((F.length(own) < least) & (F.coalesce("ocr", F.lit("")) != ""), F.col("ocr")).otherwise(own)
+    body = F.array_join(F.filter(F.concat(F.array(seen), F.coalesce("tables", F.array().cast("array<string>"))), lambda t: t != ""), "\n\n")
+    rows = pages.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), body.alias("body")))).alias("a"))
+    text = F.array_join(F.filter(F.transform("a", lambda x: x["body"]), lambda t: t != ""), "\n\n")
+    return rows.select(file, text.alias("text")).join(is_scanned(pages, file, "text", scanned_least), file).select(file, F.when(F.col("scanned"), "slow").otherwise("fast").alias("route"), "text")
+
+
 def web_sources(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, text, source_type) of raw pages."""
     return pages.select("page_id", "url", page_title(F.col("html"), F.col("url")).alias("title"), page_text(F.col("html")).alias("text"), F.lit("web").alias("source_type"))
@@ -153,9 +317,46 @@ def job_states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
 
 
-def delimited(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Exported tables: bad lines skipped, system tables left out, null characters removed."""
-    df = spark.read.option("header", "true").option("mode", "DROPMALFORMED").option("encoding", encoding).csv(path)
+# Encodings that Spark's reader of delimited text takes.
+SPARK_ENCODINGS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
+# Beginnings of names of tables that a database keeps for itself.
+SYSTEM_TABLES = ("GDB_", "Selections", "SelectedObjects", "MSys")
+
+
+def is_system_table(name: Column) -> Column:
+    return name.rlike("^(" + "|".join(SYSTEM_TABLES) + ")")
+
+
+def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Exported tables in an encoding that Spark's own reader does not take; rows of another width than the header are bad lines."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for data in f["content"]:
+                found = csv.reader(io.StringIO(data.decode(encoding, errors="replace"), newline=""))
+                head = next(found, [])
+                kept = (dict(zip(head, r)) for r in found if len(r) == len(head))
+                while part := list(itertools.islice(kept, 10_000)):
+                    yield pd.DataFrame({"head": [head] * len(part), "cells": part})
+
+    found = files.mapInPandas(rows, "head array<string>, cells map<string,string>")
+    head = found.select("head").first()
+    return found.select(*[F.nullif(F.col("cells")[c], F.lit("")).alias(c) for c in (head["head"] if head else [])])
+
+
+def delimited(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Exported tables: bad lines skipped, geometry left out, null characters removed. Without an encoding it is UTF-8, or GBK
+    where that leaves characters that can't be read."""
+    read = lambda e: spark.read.option("header", "true").option("mode", "DROPMALFORMED").option("encoding", e).csv(path)
+    if encoding and encoding.lower() not in SPARK_ENCODINGS:
+        df = _decoded(spark, path, encoding)
+    else:
+        df = read(encoding or "UTF-8")
+        if encoding is None:
+            odd = F.exists(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]), lambda v: v.contains("\ufffd")) if df.columns else F.lit(False)
+            if any("\ufffd" in c for c in df.columns) or df.filter(odd).limit(1).count():
+                df = _decoded(spark, path, "gbk")
     return df.select(*[F.replace(F.col(f"`{c}`"), F.lit("\0"), F.lit("")).alias(c) for c in df.columns if c.upper() != "SHAPE"])
 
 

@@ -24,6 +24,24 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str
     return {name: without(df, gone, key) for name, df in tables.items()}
 
 
+def delete_files(stores: dict[str, DataFrame], edges: DataFrame, vertices: DataFrame, gone: DataFrame, key: str = "file_id") -> dict[str, DataFrame]:
+    """Every store (chunks, postings, tables, states ...) and the graph without some files: rows of the files go, edges of theirs, and
+    vertices that no edge holds any more. The tables to write in the place of the old ones, by name."""
+    from brindle.operators.graph import without_file
+
+    e, v = without_file(edges, vertices, gone)
+    return {**cascade(stores, gone, key), "edges": e, "vertices": v}
+
+
+def cloned(chunks: DataFrame, clones: DataFrame) -> DataFrame:
+    """Chunks of files that are copied under new ids: clones has file_id and new_file_id (files of an equal content hash); texts
+    and vectors are taken over, ids are made anew from the new file and the place."""
+    from brindle.functions.identity import chunk_id
+
+    d = chunks.join(clones.select("file_id", "new_file_id"), "file_id").withColumn("file_id", F.col("new_file_id")).drop("new_file_id")
+    return d.withColumn("chunk_id", chunk_id(F.col("file_id"), F.col("chunk_index")))
+
+
 def merged_daily(stored: DataFrame, new: DataFrame, day: str = "day") -> DataFrame:
     """Daily reports: a day of the new ones replaces the stored one."""
     return stored.join(new.select(day), day, "left_anti").unionByName(new)

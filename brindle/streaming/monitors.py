@@ -38,6 +38,10 @@ def one_pass(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(value).alias("n"), F.round(F.sum(value), 2).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+# Chunks beyond which a text is for the slow queue, seconds that a job of a lower priority waits, tries of a failed job.
+SLOW_CHUNKS, DEFERRED_SECONDS, MOST_TRIES = 300, 30, 3
+
+
 def routed(files: DataFrame) -> DataFrame:
     """Files with the queue they go to."""
     from brindle.operators.relational import admission
@@ -45,6 +49,49 @@ def routed(files: DataFrame) -> DataFrame:
     return files.withColumn("queue", admission(F.col("size"), F.col("name")))
 
 
+def rerouted(jobs: DataFrame, slow_chunks: int = SLOW_CHUNKS) -> DataFrame:
+    """Jobs (queue, kind, scanned, estimate) with next: what becomes of them once their file has been looked at. Scanned pages and
+    texts of many chunks leave the fast queue for the slow one; others stay."""
+    slow = (F.col("queue") != "slow") & (((F.col("kind") == "pdf") & F.coalesce("scanned", F.lit(False))) | (F.coalesce("estimate", F.lit(0)) > slow_chunks))
+    return jobs.withColumn("next", F.when(slow, "slow").otherwise(F.col("queue")))
+
+
+def due(jobs: DataFrame, projects: DataFrame, now, most: int = MOST_TRIES, wait: int = DEFERRED_SECONDS) -> DataFrame:
+    """Jobs (project_id, status, message, tries, updated_at) with action and at: run now; retry, each failure for a passing fault
+    after twice the wait of the one before; defer, while another project goes first; or give_up."""
+    from brindle.operators.relational import deferred, retryable
+
+    held = deferred(jobs.select("job_id", "project_id"), projects).select("job_id", F.lit(True).alias("held"))
+    d = jobs.join(held, "job_id", "left")
+    fault = retryable(F.col("status"), F.col("message"), F.col("tries"), most=most)
+    backoff = F.lit(wait) * F.pow(F.lit(2), F.coalesce("tries", F.lit(0)))
+    action = F.when(fault, "retry").when(F.col("status") == "failed", "give_up").when(F.coalesce("held", F.lit(False)), "defer").otherwise("run")
+    at = F.when(fault, F.timestamp_add("SECOND", backoff.cast("int"), F.col("updated_at"))).when(F.coalesce("held", F.lit(False)) & (F.col("status") != "failed"), F.timestamp_add("SECOND", F.lit(wait), now)).otherwise(now)
+    return d.withColumn("action", action).withColumn("at", at).drop("held")
+
+
+# Jobs that run by the clock: every so many seconds, or once a day at an hour.
+SCHEDULE = {"judge": ("daily", 3 * 3600), "recover_faults": ("every", 300), "snapshots": ("every", 600)}
+
+
+def trigger_of(job: str) -> dict[str, object]:
+    """The trigger of a stream that runs on a schedule: an interval, or all that is there for a daily job that the clock starts."""
+    kind, seconds = SCHEDULE[job]
+    return {"processingTime": f"{seconds} seconds"} if kind == "every" else {"availableNow": True}
+
+
+def next_runs(spark, now, zone: str = "Asia/Shanghai") -> DataFrame:
+    """(job, kind, seconds, at): when each job of the schedule runs next after a moment; daily ones by the clock of a zone."""
+    rows = spark.createDataFrame([(k, *v) for k, v in SCHEDULE.items()], "job string, kind string, seconds int")
+    utc = F.to_utc_timestamp(now, F.current_timezone())
+    local = F.from_utc_timestamp(utc, zone)
+    today = F.timestamp_add("SECOND", F.col("seconds"), F.date_trunc("day", local))
+    daily = F.when(today > local, today).otherwise(F.timestamp_add("DAY", F.lit(1), today))
+    daily = F.from_utc_timestamp(F.to_utc_timestamp(daily, zone), F.current_timezone())
+    step = F.floor(F.unix_timestamp(now) / F.col("seconds")) + 1
+    return rows.withColumn("at", F.when(F.col("kind") == "daily", daily).otherwise(F.timestamp_seconds(step * F.col("seconds"))))
+
+
 OPEN, CLOSE = "<think>", "</think>"
 
 
@@ -106,10 +153,25 @@ def unfinished(sections: DataFrame, done: DataFrame, key: str = "section_id") ->
 
 
 def latest_sink(path: str, key: str):
-    """A foreachBatch function that keeps the last row of each key under path."""
+    """A foreachBatch function that keeps the last row of each key (column version) under path. Each batch is merged with the newest
+    table into a table of its own epoch; read it with latest_table. A batch that is run again writes the same table."""
     from brindle.operators.relational import latest
 
     def write(batch: DataFrame, epoch: int) -> None:
-        latest(batch, key, F.col("version")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        before = latest_table(batch.sparkSession, path, epoch)
+        rows = batch if before is None else before.unionByName(batch)
+        latest(rows, key, F.col("version")).write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
 
     return write
+
+
+def latest_table(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The table of the newest finished epoch of a latest_sink (below an epoch, if given); None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    done = [f.getPath() for f in system.listStatus(where) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    epochs = {int(p.getName().split("=")[1]): p.toString() for p in done if p.getName().startswith("epoch=")}
+    epochs = {k: v for k, v in epochs.items() if before is None or k < before}
+    return spark.read.parquet(epochs[max(epochs)]) if epochs else None
