@@ -47,13 +47,13 @@ def entity_merge_types(spark, sf_dir):
 
 @query("n_hop_paths", f"""
 WITH {EDGES}, b AS (SELECT src || relation || dst AS id, src, dst, relation FROM e UNION ALL SELECT src || relation || dst, dst, src, relation FROM e),
-h1 AS (SELECT 's' || s_suppkey AS seed, b.dst AS node, ['s' || s_suppkey, b.dst] AS nodes, [b.relation] AS rels, [b.id] AS used FROM supplier JOIN b ON b.src = 's' || s_suppkey WHERE s_suppkey % 10 = 0),
+h1 AS (SELECT 's' || s_suppkey AS seed, b.dst AS node, ['s' || s_suppkey, b.dst] AS nodes, [b.relation] AS rels, [b.id] AS used FROM supplier JOIN b ON b.src = 's' || s_suppkey),
 h2 AS (SELECT seed, b.dst AS node, list_append(nodes, b.dst) AS nodes, list_append(rels, b.relation) AS rels, list_append(used, b.id) AS used FROM h1 JOIN b ON b.src = node WHERE NOT list_contains(used, b.id)),
 h3 AS (SELECT seed, b.dst AS node, list_append(nodes, b.dst) AS nodes, list_append(rels, b.relation) AS rels, list_append(used, b.id) AS used FROM h2 JOIN b ON b.src = node WHERE NOT list_contains(used, b.id)),
 a AS (SELECT seed, node, 1 AS distance, nodes, rels FROM h1 UNION ALL SELECT seed, node, 2, nodes, rels FROM h2 UNION ALL SELECT seed, node, 3, nodes, rels FROM h3)
 SELECT seed, node, distance, nodes[1] || array_to_string([ '（' || rels[i] || '）' || nodes[i + 1] FOR i IN range(1, len(nodes))], '') AS path FROM a""")
 def n_hop_paths(spark, sf_dir):
-    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    seeds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
     h = G.hops(edges(spark, sf_dir), seeds, 3)
     return h.select("seed", "node", "distance", G.rendered(F.col("nodes"), F.col("relations")).alias("path"))
 
@@ -81,35 +81,45 @@ def community_changes(spark, sf_dir):
 
 
 @query("intra_community_edges", f"""
-WITH {EDGES}, m AS (SELECT n_regionkey AS community_id, 'n' || n_nationkey AS node FROM nation UNION ALL SELECT n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0)
+WITH {EDGES}, m AS (SELECT n_regionkey AS community_id, 'n' || n_nationkey AS node FROM nation UNION ALL SELECT n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT a.community_id, e.src, e.relation, e.dst FROM e JOIN m a ON e.src = a.node JOIN m b ON e.dst = b.node AND a.community_id = b.community_id""")
 def intra_community_edges(spark, sf_dir):
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("node")
     a = n.select(F.col("n_regionkey").alias("community_id"), name("n", "n_nationkey"))
-    b = s.filter("s_suppkey % 2 = 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("community_id"), name("s", "s_suppkey"))
+    b = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("community_id"), name("s", "s_suppkey"))
     return G.inner_edges(edges(spark, sf_dir), a.unionByName(b))
 
 
 @query("entity_candidates", """
-WITH n AS (SELECT DISTINCT p_type AS type, p_name AS name FROM part WHERE p_partkey % 4 = 0),
+WITH n AS (SELECT DISTINCT p_type AS type, p_name AS name FROM part),
 p AS (SELECT x.type, x.name AS a, y.name AS b FROM n x JOIN n y ON x.type = y.type AND x.name < y.name),
 g AS (SELECT *, list_distinct([substr(a, i, 2) FOR i IN range(1, length(a))]) AS ga, list_distinct([substr(b, i, 2) FOR i IN range(1, length(b))]) AS gb,
    len(list_intersect(list_distinct([substr(lower(a), i, 2) FOR i IN range(1, length(a))]), list_distinct([substr(lower(b), i, 2) FOR i IN range(1, length(b))]))) AS met FROM p),
 d AS (SELECT *, len(list_filter(list_concat(list_filter(ga, lambda x: NOT list_contains(gb, x)), list_filter(gb, lambda x: NOT list_contains(ga, x))), lambda x: regexp_matches(x, '[0-9]'))) AS digits FROM g)
 SELECT type, a, b FROM d WHERE met > 0 AND digits = 0 AND ((contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) >= 2 OR levenshtein(lower(a), lower(b)) <= least(length(a), length(b)) // 2)""")
 def entity_candidates(spark, sf_dir):
-    n = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select(F.col("p_type").alias("type"), F.col("p_name").alias("name"))
+    n = table(spark, sf_dir, "part").select(F.col("p_type").alias("type"), F.col("p_name").alias("name"))
     return G.candidate_pairs(n)
 
 
-@query("entity_resolution")
+@query("entity_resolution", """
+SELECT 's' || s_suppkey AS src, 'in' AS relation, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'n' || n_nationkey, 'of', 'r' || n_regionkey FROM nation
+UNION SELECT 's' || s_suppkey, 'sells in', 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def entity_resolution(spark, sf_dir):
-    """Confirmed pairs merged through components; iterative, tested on small graphs."""
-    e = edges(spark, sf_dir)
+    """Each supplier under its long name and its short one, confirmed to be one: edges of the long names go to the short ones."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    short, long = (F.concat(F.lit(p), F.col("s_suppkey").cast("string")) for p in ("s", "supplier "))
+    far = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(long.alias("src"), F.lit("sells in").alias("relation"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"))
+    e = edges(spark, sf_dir).unionByName(far)
     v = e.select(F.col("src").alias("name")).unionByName(e.select(F.col("dst").alias("name"))).distinct()
-    pairs = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("s_suppkey") + 1).cast("string")).alias("b"))
-    return G.resolved_entities(v, e, pairs)[2]
+    return G.resolved_entities(v, e, s.select(long.alias("a"), short.alias("b")))[2]
+
+
+@query("bounded_communities")
+def bounded_communities(spark, sf_dir):
+    """Parts of at most fifteen nodes around local hubs; tested on small graphs."""
+    return G.communities(edges(spark, sf_dir), most=G.COMMUNITY_SIZE).select("community_id", F.size("members").cast("bigint").alias("n"))
 
 
 @query("orphan_cleanup", """
@@ -136,11 +146,11 @@ def entities_by_word(spark, sf_dir):
 
 
 @query("best_title_match", """
-WITH w AS (SELECT n_nationkey AS wanted_id, n_name AS a FROM nation), h AS (SELECT s_suppkey AS have_id, s_name AS b FROM supplier WHERE s_suppkey < 30 UNION ALL SELECT 1000 + n_nationkey, n_name || ' table' FROM nation WHERE n_nationkey % 2 = 0),
+WITH w AS (SELECT n_nationkey AS wanted_id, n_name AS a FROM nation), h AS (SELECT s_suppkey AS have_id, s_name AS b FROM supplier UNION ALL SELECT 1000000000 + n_nationkey, n_name || ' table' FROM nation),
 g AS (SELECT *, len(list_intersect(list_distinct([substr(a, i, 2) FOR i IN range(1, greatest(length(a), 2))]), list_distinct([substr(b, i, 2) FOR i IN range(1, greatest(length(b), 2))]))) AS shared FROM w, h)
 SELECT wanted_id, have_id, shared::BIGINT AS shared FROM g WHERE shared >= 1 QUALIFY row_number() OVER (PARTITION BY wanted_id ORDER BY shared DESC, abs(length(a) - length(b)), have_id) = 1""")
 def best_title_match(spark, sf_dir):
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    have = s.filter("s_suppkey < 30").select(F.col("s_suppkey").cast("bigint").alias("have_id"), F.col("s_name").alias("title"))
-    have = have.unionByName(n.filter("n_nationkey % 2 = 0").select((F.col("n_nationkey") + 1000).cast("bigint").alias("have_id"), F.concat("n_name", F.lit(" table")).alias("title")))
+    have = s.select(F.col("s_suppkey").cast("bigint").alias("have_id"), F.col("s_name").alias("title"))
+    have = have.unionByName(n.select((F.col("n_nationkey") + 1_000_000_000).cast("bigint").alias("have_id"), F.concat("n_name", F.lit(" table")).alias("title")))
     return R.best_titles(n.select(F.col("n_nationkey").alias("wanted_id"), F.col("n_name").alias("title")), have)

@@ -126,10 +126,12 @@ def mode_progress(spark, sf_dir):
 
 
 @query("judge_daily_avg", """
-SELECT CAST(ts AS DATE) AS day, round(avg(greatest(0.0, least(1.0, value / 100))), 6) AS mean_score, count(*) AS n FROM events GROUP BY 1""")
+WITH s AS (SELECT CAST(ts AS DATE) AS day, value / 100 AS a, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 50 END AS b, 1 - value / 100 AS c FROM events)
+SELECT day, count(*) AS n, round(avg(greatest(0.0, least(1.0, coalesce(a, 0.5)))), 6) AS context_relevance, round(avg(greatest(0.0, least(1.0, coalesce(b, 0.5)))), 6) AS groundedness,
+       round(avg(greatest(0.0, least(1.0, coalesce(c, 0.5)))), 6) AS answer_relevance FROM s GROUP BY 1""")
 def judge_daily_avg(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 100)))
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("s"), 6).alias("mean_score"), F.count("*").alias("n"))
+    e = table(spark, sf_dir, "events").select("ts", (F.col("value") / 100).alias("context_relevance"), F.when(F.col("event_id") % 3 == 0, "none").otherwise((F.col("value") / 50).cast("string")).alias("groundedness"), (1 - F.col("value") / 100).alias("answer_relevance"))
+    return R.daily_scores(e, "ts")
 
 
 @query("daily_upsert", """
@@ -198,8 +200,8 @@ def retryable_faults(spark, sf_dir):
 
 
 @query("admission_routes", """
-SELECT CASE WHEN n_chars * 100000 > 1500000000 THEN 'too_large' WHEN source IN ('src0', 'src1') THEN 'unsupported_format'
-            WHEN n_chars * 100000 > 2000000 OR (source = 'src2' AND n_chars * 100000 > 1000000) THEN 'slow' ELSE 'fast' END AS queue, count(*) AS n
+SELECT CASE WHEN n_chars * 100000 > 1610612736 THEN 'too_large' WHEN source IN ('src0', 'src1') THEN 'unsupported_format'
+            WHEN n_chars * 100000 > 2097152 OR (source = 'src2' AND n_chars * 100000 > 1048576) THEN 'slow' ELSE 'fast' END AS queue, count(*) AS n
 FROM documents WHERE n_chars IS NOT NULL GROUP BY 1""")
 def admission_routes(spark, sf_dir):
     kind = F.when(F.col("source").isin("src0", "src1"), "exe").when(F.col("source") == "src2", "xlsx").otherwise("txt")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.operators import search as S
 from brindle.plans.registry import query
 from brindle.plans.text_queries import WINDOWS, chunks
-from brindle.session import table
+from brindle.session import stored, table
 
 # The queries of a search are the rows whose id is divisible by 100, against all rows.
 DOT = "list_sum([a[i]::DOUBLE * b[i]::DOUBLE FOR i IN range(1, len(a) + 1)])"
@@ -47,12 +47,13 @@ def semantic_cache_lookup(spark, sf_dir):
 
 
 TERMS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-PHRASES = rf"""q AS (SELECT item_id AS query_id, ' ' || trim(regexp_replace(regexp_replace(array_to_string(({TERMS.format('text')})[1:6], ' '), '(?i)\b(AND|OR|NOT|NEAR)\b', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS phrase FROM benchmark),
+SANITISED = r"regexp_replace(coalesce(text, ''), '(?i)\b(AND|OR|NOT|NEAR)\b', ' ', 'g')"
+PHRASES = rf"""q AS (SELECT item_id AS query_id, ' ' || array_to_string({TERMS.format(SANITISED)}, ' ') || ' ' AS phrase FROM benchmark),
 d AS (SELECT doc_id, ' ' || array_to_string({TERMS.format('text')}, ' ') || ' ' AS body FROM documents)"""
 
 
 def phrase_queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(S.terms(F.col("text")), 1, 6), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("fts_phrase", f"WITH {PHRASES} SELECT query_id, doc_id FROM q JOIN d ON contains(body, phrase) WHERE length(phrase) > 2")
@@ -60,10 +61,9 @@ def fts_phrase(spark, sf_dir):
     return S.phrase_search(phrase_queries(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-@query("fts_like_fallback", "SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 25))")
+@query("fts_like_fallback", "SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def fts_like_fallback(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 25).alias("text"))
-    return S.contains_search(q, table(spark, sf_dir, "documents"))
+    return S.contains_search(phrase_queries(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 @query("query_sanitiser", r"""
@@ -82,9 +82,8 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def sparse(spark, sf_dir, k=10):
-    d = table(spark, sf_dir, "documents")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return S.sparse_search(q, S.postings(d, "doc_id"), d.count(), k)
+    d, q = table(spark, sf_dir, "documents"), phrase_queries(spark, sf_dir)
+    return S.sparse_search(q, S.postings(d, "doc_id", only=S.query_terms(q)), d.count(), k)
 
 
 @query("sparse_topk", f"WITH {SPARSE} SELECT query_id, doc_id, round(score, 4) AS score, rank0 FROM sparse")
@@ -123,12 +122,13 @@ def prefiltered_files(spark, sf_dir):
     return S.prefiltered(sparse(spark, sf_dir), 20)
 
 
-HITS = f"{WINDOWS}, h AS (SELECT doc_id % 10 AS query_id, doc_id, k, 1.0::DOUBLE / (k + 1) AS score FROM w WHERE (doc_id + k) % 4 = 0)"
+# Hits: every chunk with a figure in it, for one of ten queries.
+HITS = f"{WINDOWS}, h AS (SELECT doc_id % 10 AS query_id, doc_id, k, 1.0::DOUBLE / (k + 1) AS score FROM w WHERE regexp_matches(document, '[0-9]'))"
 
 
 def hits(spark, sf_dir):
     c = chunks(spark, sf_dir).drop("total_chunks")
-    h = c.filter((F.col("doc_id") + F.col("chunk_index")) % 4 == 0).select((F.col("doc_id") % 10).alias("query_id"), "doc_id", "chunk_index", (1.0 / (F.col("chunk_index") + 1)).alias("score"))
+    h = c.filter(F.col("document").rlike("[0-9]")).select((F.col("doc_id") % 10).alias("query_id"), "doc_id", "chunk_index", (1.0 / (F.col("chunk_index") + 1)).alias("score"))
     return h, c
 
 
@@ -152,9 +152,11 @@ def adjacent_merge(spark, sf_dir):
 
 
 @query("keyword_boost", f"""
-WITH {SPARSE} SELECT query_id, doc_id, (doc_id % 3 = 0) AS boosted, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id % 3 = 0) DESC, rank0) - 1 AS place FROM sparse""")
+WITH {SPARSE}, x AS (SELECT query_id, sp.doc_id, rank0, coalesce(regexp_matches(text, '[0-9]'), false) AS boosted FROM sparse sp JOIN documents dd ON dd.doc_id = sp.doc_id)
+SELECT query_id, doc_id, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rank0) - 1 AS place FROM x""")
 def keyword_boost(spark, sf_dir):
-    return S.boosted_first(sparse(spark, sf_dir), F.col("doc_id") % 3 == 0).select("query_id", "doc_id", "boosted", "place")
+    s = sparse(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return S.boosted_first(s, F.col("text").rlike("[0-9]")).select("query_id", "doc_id", "boosted", "place")
 
 
 @query("rerank_fill", f"""
@@ -223,9 +225,15 @@ def context_by_priority(spark, sf_dir):
 
 @query("hybrid_search")
 def hybrid_search(spark, sf_dir):
-    """Passages for every benchmark text: the whole chain as one plan; its parts are checked one by one."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = S.hybrid_search(q, chunks(spark, sf_dir).drop("total_chunks"))
+    """Passages for every benchmark text by the whole chain. Vectors stand in for an encoder's: a chunk has that of its
+    document's id, a question that of its own; the chain is tested against its definition on a small fixture."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    c = chunks(spark, sf_dir).drop("total_chunks").join(v, "doc_id", "left")
+    head = F.col("chunk_index") < 3
+    s = c.filter(head).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "document"))).alias("a"))
+    s = s.filter(F.size("a") > 1).select("doc_id", F.lit(0).alias("chunk_index"), F.array_join(F.transform("a", lambda x: x["document"]), "\n\n").substr(1, 1500).alias("document")).join(v, "doc_id", "left")
+    q = phrase_queries(spark, sf_dir).join(v.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+    found = S.hybrid_search(q, stored(c), s, k=5)
     return found.select("query_id", "rank0", "doc_id", "chunk_index", F.round("score", 9).alias("score"), F.length("document").alias("n_chars"))
 
 

@@ -130,9 +130,12 @@ def column_profile_categorical_top10(spark, sf_dir):
 
 
 @query("auto_group_summary", """
-SELECT p_type, p_size, round(sum(p_retailprice), 2) AS total, count(*) AS n FROM part GROUP BY ALL ORDER BY total DESC, p_type, p_size LIMIT 100""")
+WITH u AS (SELECT 'p_type' AS category, p_type AS value, p_retailprice AS m FROM part UNION ALL SELECT 'p_name', p_name, p_retailprice FROM part),
+g AS (SELECT category, value, round(sum(m), 2) AS total, count(*) AS n FROM u WHERE value IS NOT NULL GROUP BY ALL)
+SELECT *, printf('%.2f', total) AS shown FROM g QUALIFY row_number() OVER (PARTITION BY category ORDER BY total DESC, value) <= 100""")
 def auto_group_summary(spark, sf_dir):
-    return R.auto_summary(table(spark, sf_dir, "part"), ["p_type", "p_size"], "p_retailprice")
+    """Each of two categories on its own, largest sums first."""
+    return R.auto_summary(table(spark, sf_dir, "part"), ["p_type", "p_name", "p_size"], "p_retailprice")
 
 
 @query("schema_summary", """

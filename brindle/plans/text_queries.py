@@ -146,8 +146,10 @@ def chunk_length_histogram(spark, sf_dir):
 @query("file_chunk_stats", f"""
 WITH {WINDOWS} SELECT doc_id, count(*) AS chunks, sum(length(document))::BIGINT AS chars, bool_or(length(document) >= 512) AS has_full FROM w GROUP BY 1""")
 def file_chunk_stats(spark, sf_dir):
-    g = chunks(spark, sf_dir).groupBy("doc_id")
-    return g.agg(F.count("*").alias("chunks"), F.sum(F.length("document")).alias("chars"), F.bool_or(F.length("document") >= 512).alias("has_full"))
+    """Chunks of texts; a summary that stands for each file beside them does not count."""
+    c = chunks(spark, sf_dir).select("doc_id", "document", F.lit("text").alias("chunk_type"))
+    summaries = c.groupBy("doc_id").agg(F.first("document").alias("document")).withColumn("chunk_type", F.lit("doc_summary"))
+    return R.chunk_stats(c.unionByName(summaries))
 
 
 @query("exact_dup_docs", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -201,9 +203,9 @@ def file_listing(spark, sf_dir):
     return readers.listing(files, table(spark, sf_dir, "pages").withColumnRenamed("html", "text"))
 
 
-@query("scanned_files", "SELECT source AS file_id, coalesce(avg(length(trim(coalesce(text, '')))), 0) < 2400 AS scanned FROM documents GROUP BY 1")
+@query("scanned_files", "SELECT source AS file_id, coalesce(avg(length(trim(coalesce(text, '')))), 0) < 80 AS scanned FROM documents GROUP BY 1")
 def scanned_files(spark, sf_dir):
-    return readers.is_scanned(table(spark, sf_dir, "documents").withColumnRenamed("source", "file_id"), least=2400)
+    return readers.is_scanned(table(spark, sf_dir, "documents").withColumnRenamed("source", "file_id"))
 
 
 @query("history_budget", """
