@@ -16,8 +16,8 @@ Bands are tuned to the threshold: as many bands of ROWS values as it takes to me
 holds about seven paragraphs, each with its own chance.
 
 Paragraphs alone would miss the ends of a passage. So texts are also winnowed for seeds, runs of SEED words of which
-any SEED + SEED_STEP - 1 = 22 equal words hold one. Seeds that occur again, in a row on one diagonal, are a run; each run
-is compared word by word with the first occurrence and goes on to both sides as far as the words agree, and past edits of
+any SEED + SEED_STEP - 1 = 22 equal words hold one. Seeds that occur again, in a row, are a run; each run
+is compared word by word with the first occurrences of its ends and goes on to both sides as far as the words agree, and past edits of
 up to GAP words while the whole passage keeps a similarity of at least the threshold (over the places of its shingles; it
 begins and ends with a shared shingle, within CONTEXT words of a run). Passages of at least SIZE words are reported and cut
 whole. At 0.8 a passage of n words with changed words has at most (n - 4) / 45 edits inside, so one of its agreeing
@@ -49,7 +49,9 @@ from brindle.llm.groups import dealt, forest, grouped, in_cells, similar, tidied
 from brindle.llm.shingles import SHINGLE, batched, coefficients, mixed, windows, windows_at, words
 
 SIZE, STEP = 24, 26
-SEED, SEED_STEP, AROUND, CONTEXT, GAP = 8, 15, 14, 96, 8
+# A step is shorter than a seed, so the seeds of a stretch of equal words leave no word between them.
+SEED, SEED_STEP, AROUND, CONTEXT, GAP = 12, 11, 10, 48, 8
+SEED_PARTS = 3  # seeds are looked up a part at a time, which bounds the disk that their shuffle takes
 THRESHOLD, RECALL, ROWS = 0.8, 0.95, 2
 LARGE, BLOCK = 2048, 512
 NO_IDS = 1 << 62  # rows without an id are named from here on
@@ -311,10 +313,9 @@ def seeds(docs: DataFrame, least: int, shingle: int) -> DataFrame:
     return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, start int, seed bigint, around bigint")
 
 
-def runs(found: DataFrame) -> DataFrame:
-    """(doc_id, start, end, low, high): stretches of a text covered by seeds that occurred before, with the first occurrences of
-    the first seed (low: r_doc, r_start, seed) and of the last one (high). Only seeds in a stretch of SEED + AROUND words or
-    more that agree: every passage holds one of those."""
+def repeated_seeds(found: DataFrame) -> DataFrame:
+    """(doc_id, text, start, place) of seeds that occurred before, place: r_doc, r_start, seed of the first occurrence. Only seeds in
+    a stretch of SEED + AROUND words or more that agree: every passage holds one of those."""
     # Plain numbers first, which say what repeats at all; the place of the first occurrence is looked up among that.
     ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
     again = found.groupBy("seed").agg(*ends).filter((F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + SEED))
@@ -323,7 +324,12 @@ def runs(found: DataFrame) -> DataFrame:
     rows = rows.join(firsts, "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
     rows = rows.filter(agreeing_around(F.col("around"), F.col("first.around")) >= AROUND)
     place = F.struct(F.col("first.doc_id").alias("r_doc"), F.col("first.start").alias("r_start"), "seed")
-    rows = rows.select("doc_id", F.shiftright("around", TEXT_BITS).alias("text"), "start", place.alias("place"))
+    return rows.select("doc_id", F.shiftright("around", TEXT_BITS).alias("text"), "start", place.alias("place"))
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """(doc_id, start, end, low, high): stretches of a text covered by seeds that occurred before, with the first occurrences of
+    the first seed (low: r_doc, r_start, seed) and of the last one (high)."""
     order = Window.partitionBy("doc_id", "text").orderBy("start")
     rows = rows.withColumn("new", F.coalesce((F.lag("start").over(order) + SEED < F.col("start")).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -337,29 +343,27 @@ def holds(hashes: np.ndarray, start: int, seed: int) -> bool:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(r_doc, r_start, seed, left, right): the words (32 bits of each hash) before and behind the seeds at first occurrences."""
+    """(r_doc, r_start, seed, before, beside): the words (32 bits of each hash) before or behind the seeds at first occurrences."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["r_doc", "r_start", "seed", "left", "right"]
+        names = ["r_doc", "r_start", "seed", "before", "beside"]
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, starts, seeds_ in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for doc, text, rows in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 hashes = words(text or b"")[2]
-                at = np.array(starts)
-                inside = at + SEED <= len(hashes)
-                right_ones = np.zeros(len(at), bool)
-                right_ones[inside] = windows_at(hashes, at[inside], SEED).view(np.int64) == np.array(seeds_, np.int64)[inside]
                 low = hashes.astype(np.uint32)
-                for k in np.flatnonzero(right_ones).tolist():
-                    s = starts[k]
-                    out.append((doc, s, seeds_[k], low[max(0, s - CONTEXT) : s].tobytes(), low[s + SEED : s + SEED + CONTEXT].tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                for r in rows:
+                    s = r["r_start"]
+                    if holds(hashes, s, r["seed"]):
+                        near = low[max(0, s - CONTEXT) : s] if r["before"] else low[s + SEED : s + SEED + CONTEXT]
+                        out.append((doc, s, r["seed"], r["before"], near.tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    of_text = wanted.groupBy("r_doc").agg(F.collect_list(F.struct("r_start", "seed")).alias("w"))
-    rows = of_text.join(_texts(docs).withColumnRenamed("doc_id", "r_doc"), "r_doc").select("r_doc", "text", "w.r_start", "w.seed")
-    found = rows.mapInArrow(tidied(cut), "r_doc bigint, r_start int, seed bigint, left binary, right binary")
-    return found.dropDuplicates(["r_doc", "r_start", "seed"])
+    of_text = wanted.groupBy("r_doc").agg(F.collect_list(F.struct("r_start", "seed", "before")).alias("w"))
+    rows = of_text.join(_texts(docs).withColumnRenamed("doc_id", "r_doc"), "r_doc").select("r_doc", "text", "w")
+    found = rows.mapInArrow(tidied(cut), "r_doc bigint, r_start int, seed bigint, before boolean, beside binary")
+    return found.dropDuplicates(["r_doc", "r_start", "seed", "before"])
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> int:
@@ -453,15 +457,17 @@ def span_hash(hashes: np.ndarray, begin: int, end: int) -> int:
 def passages(docs: DataFrame, threshold: float = THRESHOLD, least: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, start, paragraph, ref_doc, ref_start, kept, words) of whole passages of at least so many words that occur again."""
     found = written(seeds(docs, least, shingle), "seeds")
-    again = written(runs(found), "runs")
+    parts = [written(repeated_seeds(found.filter(F.pmod("seed", F.lit(SEED_PARTS)) == k)), "repeated-seeds") for k in range(SEED_PARTS)]
     discard(found)
-    around = written(contexts(docs, again.select("low.*").unionByName(again.select("high.*")).distinct()), "contexts")
+    again = written(runs(reduce(DataFrame.unionByName, parts)), "runs")
+    discard(*parts)
+    wanted = again.select("low.*", F.lit(True).alias("before")).unionByName(again.select("high.*", F.lit(False).alias("before"))).distinct()
+    around = written(contexts(docs, wanted), "contexts")
 
-    def beside(end: str, side: str) -> DataFrame:
-        place = F.struct("r_doc", "r_start", "seed").alias(end)
-        return around.select(place, side)
+    def beside(end: str, before: bool, side: str) -> DataFrame:
+        return around.filter(F.col("before") == before).select(F.struct("r_doc", "r_start", "seed").alias(end), F.col("beside").alias(side))
 
-    rows = again.join(beside("low", "left"), "low").join(beside("high", "right"), "high")
+    rows = again.join(beside("low", True, "left"), "low").join(beside("high", False, "right"), "high")
     out = written(extended(docs, rows, least, threshold, shingle), "passages-found")
     discard(again, around)
     return out
