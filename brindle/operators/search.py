@@ -6,8 +6,13 @@ completed by keys, so results do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.session import stored
 
@@ -57,14 +62,34 @@ def top_k(df: DataFrame, query: str, k: int, *order: Column) -> DataFrame:
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
     """(query, item, score, rank0): the k nearest items by dot product of unit vectors; only scores above least, if given.
 
-    Queries are a stated set: they go to all tasks in blocks, each item is scored where it lies, and each task keeps its own
-    first k of a query before anything is shuffled."""
+    Queries are a stated set: they go to all tasks in blocks of a checked size. A batch of items is scored against a block by one product of
+    matrices, and only the first k of each query leave it (with those that tie with the last), so n items never become n rows
+    for each query. Scores are rounded to 12 places, as the order of a sum may differ in the last one. Items without a vector
+    are left out."""
+    kind = to_arrow_type(queries.schema[query].dataType)
+    names = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{item}` {corpus.schema[item].dataType.simpleString()}, score double"
+    items = corpus.filter(F.col(vector).isNotNull()).select(item, F.col(vector).cast("array<double>").alias("v"))
 
     def block(q: DataFrame) -> DataFrame:
-        scored = corpus.select(item, vector).crossJoin(q).select(query, item, dot(F.col("qv"), F.col(vector)).alias("score"))
-        if least is not None:
-            scored = scored.filter(F.col("score") > least)
-        return top_k(scored, query, k, F.desc("score"), F.asc(item))
+        rows = q.filter("qv is not null").collect()  # bounded by in_blocks
+        sent = q.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
+            ids = pa.array(ids, kind)
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                scores = np.round(x @ matrix.T, 12)
+                bound = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else scores.min(axis=0)
+                kept = scores >= bound
+                if least is not None:
+                    kept &= scores > least
+                i, j = np.nonzero(kept)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), batch.column(0).take(pa.array(i)), pa.array(scores[i, j])], names=[query, item, "score"])
+
+        return top_k(items.mapInArrow(score, names), query, k, F.desc("score"), F.asc(item))
 
     return in_blocks(queries.select(query, F.col(vector).alias("qv")), block, query)
 
