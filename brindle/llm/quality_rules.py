@@ -96,7 +96,9 @@ def line_fails(line: Column, words: Column) -> Column:
     punctuation = (symbols * 2 > n) | ((shouts >= 4) & (shouts * 4 > n)) | (~line.rlike(r"\p{Ll}") & (F.regexp_count(line, F.lit(r"\p{Lu}")) >= 10))
     fragment = (n < 4) & ~line.rlike(LINE_END)
     menu = F.size(F.filter(words, lambda w: F.lower(w).isin(*MENU)))
-    links = F.size(F.filter(words, lambda w: F.exists(F.array(*map(F.lit, LINK)), lambda k: F.lower(w).startswith(k))))
+    begins = lambda w: F.lower(w).startswith(LINK[0]) | F.lower(w).startswith(LINK[1]) | F.lower(w).startswith(LINK[2])
+    some = low.contains(LINK[0]) | low.contains(LINK[1]) | low.contains(LINK[2])  # words are looked at only where there is a link
+    links = F.when(some, F.size(F.filter(words, begins))).otherwise(0)
     navigation = ((bars >= 3) & (bars * 4 > n)) | ((menu >= 3) & (menu * 2 > n)) | (links * 2 > n)
     return punctuation | fragment | navigation | ((n <= 30) & phrase) | ((n >= 10) & (distinct * distinct < n))
 
