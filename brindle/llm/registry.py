@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from brindle.llm import queries_chat, queries_dedup, queries_text  # noqa: E402,F401
+from brindle.llm import queries_audit, queries_chat, queries_dedup, queries_text  # noqa: E402,F401
