@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from brindle.session import stored
+from brindle.session import stored, stored_bytes
 
 BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 8 << 20
 
@@ -25,9 +25,12 @@ def is_small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADC
     return size["n"] <= most and size["b"] <= most_bytes
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if it is small, in rows and in bytes; else as it is."""
-    return F.broadcast(df) if is_small(df, most, most_bytes) else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES, part_of: DataFrame | None = None) -> DataFrame:
+    """df marked for broadcast if it is small; else as it is. A stored table (or df as a part of one) is small by the size of its
+    files, where an eighth of the bytes is allowed as they are packed; of any other table rows and bytes are counted."""
+    size = stored_bytes(df if part_of is None else part_of)
+    fits = is_small(df, most, most_bytes) if size is None else size <= most_bytes // 8
+    return F.broadcast(df) if fits else df
 
 
 def in_blocks(queries: DataFrame, search, query: str = "query_id", most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:

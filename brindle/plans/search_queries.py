@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators import search as S
+from brindle.operators import text_index as X
 from brindle.plans.registry import query
 from brindle.plans.text_queries import WINDOWS, chunks
 from brindle.session import stored, table
@@ -56,9 +57,22 @@ def phrase_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def document_index(spark, sf_dir):
+    """The positional index of the documents, written once in an application."""
+    return X.index_of(spark, sf_dir, lambda: X.build_index(table(spark, sf_dir, "documents")))
+
+
+@query("text_index_terms", f"""
+WITH t AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
+SELECT term, count(*) AS df, max(tf)::INT AS most FROM tf GROUP BY term""")
+def text_index_terms(spark, sf_dir):
+    """The dictionary of the stored index: documents that hold a term, and its greatest count."""
+    return document_index(spark, sf_dir).dictionary()
+
+
 @query("fts_phrase", f"WITH {PHRASES} SELECT query_id, doc_id FROM q JOIN d ON contains(body, phrase) WHERE length(phrase) > 2")
 def fts_phrase(spark, sf_dir):
-    return S.phrase_search(phrase_queries(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return X.phrase_matches(phrase_queries(spark, sf_dir), document_index(spark, sf_dir))
 
 
 @query("fts_like_fallback", "SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -82,8 +96,7 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def sparse(spark, sf_dir, k=10):
-    d, q = table(spark, sf_dir, "documents"), phrase_queries(spark, sf_dir)
-    return S.sparse_search(q, S.postings(d, "doc_id", only=S.query_terms(q)), d.count(), k)
+    return X.best_by_weight(phrase_queries(spark, sf_dir), document_index(spark, sf_dir), k)
 
 
 @query("sparse_topk", f"WITH {SPARSE} SELECT query_id, doc_id, round(score, 4) AS score, rank0 FROM sparse")
@@ -97,7 +110,7 @@ fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (K + rank0)), 9) AS s
 
 
 def fusion(spark, sf_dir, k):
-    phrase = S.top_k(S.phrase_search(phrase_queries(spark, sf_dir), table(spark, sf_dir, "documents")), "query_id", 10, F.asc("doc_id"))
+    phrase = S.top_k(X.phrase_matches(phrase_queries(spark, sf_dir), document_index(spark, sf_dir)), "query_id", 10, F.asc("doc_id"))
     return S.fused([sparse(spark, sf_dir), phrase], "query_id", ["doc_id"], k)
 
 

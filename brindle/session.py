@@ -53,9 +53,34 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/brindle-tables/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df through a table in the shared folder: what is read several times is computed once, and lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/brindle-tables/{uuid.uuid4().hex}"
+    path = scratch(spark, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brindle_path = path
+    return out
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Size of the files of a frame made by stored(); None for other frames."""
+    path = getattr(df, "_brindle_path", None)
+    if not path:
+        return None
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Delete the tables of frames made by stored() that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_brindle_path", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
