@@ -66,14 +66,16 @@ def is_attachment(part: Column) -> Column:
 
 
 def flattened(parts: Column, first: Column) -> Column:
-    """The parts of a message as one string; its attachments are numbered from `first` on, in order."""
-    placed = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    texts = F.transform(F.filter(placed, lambda e: ~is_attachment(e["p"])), lambda e: F.struct(e["i"].alias("i"), escaped(e["p"]["text"]).alias("s")))
-    marks = F.filter(placed, lambda e: is_attachment(e["p"]))
-    marks = F.transform(marks, lambda e, k: F.struct(e["i"].alias("i"), F.concat(F.lit("<|attach:"), (first + k).cast("string"), F.lit("|>")).alias("s")))
-    both = F.transform(F.array_sort(F.concat(texts, marks)), lambda e: e["s"])
-    plain = F.transform(parts, lambda p: escaped(p["text"]))
-    return F.array_join(F.when(F.exists(parts, is_attachment), both).otherwise(plain), "")
+    """The parts of a message as one string; its attachments are numbered from `first` on, in order. Neighbouring texts are joined
+    before they are escaped, so no control string forms across a border of parts."""
+    texts = lambda some: escaped(F.array_join(F.transform(some, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+    marks = F.filter(F.transform(parts, lambda p, i: F.when(is_attachment(p), i + 1)), lambda i: i.isNotNull())  # places from 1
+    # Run k lies between attachment k - 1 and attachment k, and is followed by that.
+    bounds = F.concat(F.array(F.lit(0)), marks, F.array(F.size(parts) + 1))
+    between = lambda k: F.slice(parts, F.get(bounds, k) + 1, F.get(bounds, k + 1) - F.get(bounds, k) - 1)
+    mark = lambda k: F.when(k + 2 < F.size(bounds), F.concat(F.lit("<|attach:"), (first + k).cast("string"), F.lit("|>"))).otherwise("")
+    both = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: F.concat(texts(between(k)), mark(k)))
+    return F.when(F.exists(parts, is_attachment), F.array_join(both, "")).otherwise(texts(parts))
 
 
 def format_messages(messages: DataFrame, by: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", expansion: dict[str, tuple[int, int]] | None = None) -> DataFrame:

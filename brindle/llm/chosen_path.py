@@ -318,13 +318,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def thinned(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", leaf: int = LEAF, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row of each class, with the columns of docs; rows without words are alone and all stay."""
+    """One row of each class, with the columns of docs; rows without words are alone and all stay. Of rows of one id and one text
+    that differ in other columns the least by all columns stays."""
     _, of_node, sketched = classes_of(docs, threshold, recall, shingle, id_column, text_column, leaf, block, block_tokens)
     kept = of_node.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key"))
     kept = written(kept, "kept-rows")
     discard(sketched, of_node)
     keyed = docs.withColumn("__kept_id", F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID))).withColumn("__kept_key", F.xxhash64(F.col(text_column).cast("binary")))
     # Rows of equal id and text become one in their own tasks first; the join then needs no other exchange of the texts.
-    one = keyed.dropDuplicates(["__kept_id", "__kept_key"]).join(kept, ["__kept_id", "__kept_key"], "left_semi").select(*docs.columns)
+    one = keyed.groupBy("__kept_id", "__kept_key").agg(F.min(F.struct(*docs.columns)).alias("__one"))
+    one = one.join(kept, ["__kept_id", "__kept_key"], "left_semi").select("__one.*")
     blank = ~F.coalesce(F.col(text_column), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return one.unionByName(docs.filter(blank))

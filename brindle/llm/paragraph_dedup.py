@@ -24,11 +24,10 @@ whole. At 0.8 a passage of n words with changed words has at most (n - 4) / 45 e
 stretches has 22 words or more and holds a seed: nothing is left to the chance of the bands. A seed is compared with
 its first occurrence only.
 
-Defined cases: null, blank and shorter texts hold no paragraph and stay as they are; rows without
-doc_id come last in the order of occurrences, each different text of them being a document of its own
-(they are named by a hash of it inside); rows with equal ids count as one document, and a
-removal is made only in a text that holds the paragraph at that place; an empty table gives
-no rows; extra columns pass by.
+Defined cases: null, blank and shorter texts hold no paragraph and stay as they are; rows are judged, not ids: rows
+without doc_id, and rows that share one, are documents of their own and come last in the order of occurrences (they
+are named by a hash of id and text inside); of rows of one id and one text all but one go whole, if the text has SIZE words; a
+removal is made only in a text that holds the paragraph at that place; an empty table gives no rows; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -54,7 +53,7 @@ SEED, SEED_STEP, AROUND, CONTEXT, GAP = 12, 11, 10, 48, 8
 SEED_PARTS = 3  # seeds are looked up a part at a time, which bounds the disk that their shuffle takes
 THRESHOLD, RECALL, ROWS = 0.8, 0.95, 2
 LARGE, BLOCK = 2048, 512
-NO_IDS = 1 << 62  # rows without an id are named from here on
+NO_IDS = 1 << 62  # rows without an id of their own are named from here on
 
 
 def bands_for(threshold: float, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -152,14 +151,25 @@ def occurrences(docs: DataFrame, parts: Paragraphs) -> DataFrame:
     return _texts(docs).mapInArrow(tidied(cut), "doc_id bigint, start int, paragraph bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def _document(docs: DataFrame) -> Column:
-    """The id of a row's document; a name made of its text where there is none."""
-    name = F.xxhash64(docs["text"].cast("binary")).bitwiseAND(F.lit(NO_IDS - 1)) + F.lit(NO_IDS)
-    return F.coalesce(docs["doc_id"].cast("bigint"), name)
+def _shared_ids(docs: DataFrame) -> DataFrame | None:
+    """(shared): ids of several rows, and null if there are rows without one; None if each row has an id of its own."""
+    found = docs.groupBy(F.col("doc_id").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1 or shared is null").select("shared")
+    return None if found.isEmpty() else found
+
+
+def _named(docs: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """docs with __row: a row's own id, or where that is shared or absent a name made of id and text, behind all ids. Rows of one id
+    and one text have one name, and are no different rows."""
+    if shared is None:
+        return docs.withColumn("__row", F.col("doc_id").cast("bigint"))
+    made = F.xxhash64(F.col("doc_id"), F.col("text").cast("binary")).bitwiseAND(F.lit(NO_IDS - 1)) + F.lit(NO_IDS)
+    rows = docs.join(shared.withColumn("__shared", F.lit(True)), docs["doc_id"].eqNullSafe(F.col("shared")), "left")
+    return rows.withColumn("__row", F.when(F.col("__shared"), made).otherwise(F.col("doc_id").cast("bigint"))).drop("shared", "__shared")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(_document(docs).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    """(doc_id, text) of rows whose doc_id is a name of their own."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def distinct_paragraphs(found: DataFrame, size: int) -> DataFrame:
@@ -475,7 +485,11 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD, least: int = SIZE, s
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, step: int = STEP, shingle: int = SHINGLE, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, start, paragraph, ref_doc, ref_start, kept, words) of every paragraph that occurs again, equal or similar, and of
-    the whole passages; paragraph is a hash of the words of the place, ref_doc and ref_start the place of the first occurrence."""
+    the whole passages; paragraph is a hash of the words of the place, ref_doc and ref_start the place of the first occurrence.
+    doc_id and ref_doc are the names of rows (ids, if each row has its own), by which spans() and remove() know them."""
+    shared = _shared_ids(docs)
+    docs = _named(docs.select("doc_id", "text"), shared).select(F.col("__row").alias("doc_id"), "text")
+    docs = docs if shared is None else docs.dropDuplicates(["doc_id"])
     parts = Paragraphs(size, step, shingle, bands_for(threshold))
     found = written(occurrences(docs, parts), "paragraphs")
     distinct = written(distinct_paragraphs(found, size), "distinct")
@@ -491,9 +505,10 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     return out.unionByName(passages(docs, threshold, size, shingle))
 
 
-def spans(found: DataFrame) -> DataFrame:
-    """Runs of words that the duplicates cover: doc_id, start_word, end_word (behind the last), kept,
-    passage, passages and paragraphs. Kept and removed runs are apart; a run of several passages has the least as passage.
+def spans(found: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Runs of words that the duplicates of docs cover: doc_id, start_word, end_word (behind the last), kept,
+    passage, passages and paragraphs. Kept and removed runs are apart; a run of several passages has the least as passage. Of rows of
+    one id and one text all but one are removals whole.
 
     A passage is a run of kept places of one text; what is removed is named by the run that holds its first occurrence, so all
     texts that repeat a passage, or parts of it, name it alike; and where kept places overlap removed ones, as a passage of one
@@ -527,7 +542,22 @@ def spans(found: DataFrame) -> DataFrame:
     rows = both.withColumn("new", F.coalesce(F.col("start") > F.max(end).over(past), F.lit(True)).cast("int"))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start_word"), F.max(end).alias("end_word"), F.min("passage").alias("passage"), F.array_sort(F.collect_set("passage")).alias("passages"), F.count("*").alias("paragraphs"))
-    return out.select(F.when(F.col("doc_id") < NO_IDS, F.col("doc_id")).alias("doc_id"), "start_word", "end_word", "kept", "passage", "passages", "paragraphs")
+    out = out.select("doc_id", "start_word", "end_word", "kept", "passage", "passages", "paragraphs")
+    shared = _shared_ids(docs)
+    if shared is None:
+        return out
+    rows = _named(docs.select("doc_id", "text"), shared).filter(F.col("__row") >= NO_IDS)
+    rows = written(rows.groupBy("__row").agg(F.max("doc_id").alias("id"), F.count("*").alias("n"), F.max(_count_of_words(F.col("text"))).alias("n_words")), "named-rows")
+    real = F.when(F.col("__row").isNull(), F.col("doc_id")).otherwise(F.col("id"))
+    out = out.join(rows.select("__row", "id"), F.col("doc_id") == F.col("__row"), "left").withColumn("doc_id", real).drop("__row", "id")
+    again = rows.filter((F.col("n") > 1) & (F.col("n_words") >= size)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    passage = F.xxhash64(F.lit("copies"), F.col("__row"))
+    again = again.select(F.col("id").alias("doc_id"), F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), (F.col("copy") == 1).alias("kept"), passage.alias("passage"), F.array(passage).alias("passages"), F.lit(1).cast("bigint").alias("paragraphs"))
+    return out.unionByName(again)
+
+
+def _count_of_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
 def remove(docs: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame:
@@ -550,7 +580,13 @@ def remove(docs: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame:
 
     gone = found.filter("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "paragraph", "words")).alias("w"))
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("w.start").alias("__starts"), F.col("w.paragraph").alias("__paragraphs"), F.col("w.words").alias("__words"))
-    rows = docs.join(gone, _document(docs) == F.col("__gone"), "left").drop("__gone")
+    shared = _shared_ids(docs)
+    rows = _named(docs, shared)
+    if shared is not None:
+        copies = (F.col("__row") >= NO_IDS) & (_count_of_words(F.col("text")) >= size)
+        one = rows.filter(copies).groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*", "__row")
+        rows = one.unionByName(rows.filter(~copies))
+    rows = rows.join(gone, F.col("__row") == F.col("__gone"), "left").drop("__gone", "__row")
     return rows.mapInArrow(tidied(cut), docs.schema)
 
 

@@ -17,4 +17,5 @@ def op2_jaccard_join(spark, sf_dir):
 @query("op5_paragraph_dedup")
 def op5_paragraph_dedup(spark, sf_dir):
     """Passages that occur again, in runs of words; those not kept are removals. Tested against brute force."""
-    return spans(duplicates(plain_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = plain_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans(duplicates(docs), docs)

@@ -109,7 +109,8 @@ def op8_rule_ensemble(spark, sf_dir):
     """Quality scores of every document by rules learned from rows that are not held out; tested on those held out."""
     docs = plain_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = plain_table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    # Rows without an id have no labels to learn from: they are held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     rules = train(docs, labels, "quality", ~held_out)
     scored = score(docs, rules)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

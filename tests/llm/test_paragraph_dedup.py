@@ -71,7 +71,7 @@ def test_passages(spark, corpus, sizes):
     passage, rows = corpus
     df = spark.createDataFrame(rows, "doc_id bigint, text string, start string").repartition(4)
     found = pd_.duplicates(df, **sizes)
-    got = pd_.spans(found).collect()
+    got = pd_.spans(found, df).collect()
     flagged = {r.doc_id for r in got}
     assert {*range(50, 60), 70, 71, None} <= flagged and not flagged & {*range(40), 80, 81, 82, 83, 90}
     assert {r.doc_id for r in got if r.kept} >= {50, 70} and not any(r.kept for r in got if r.doc_id in (51, 59, None))
@@ -136,7 +136,7 @@ def test_paragraphs_by_brute_force(spark):
 
 def test_empty_and_cut(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert pd_.spans(pd_.duplicates(df)).collect() == []
+    assert pd_.spans(pd_.duplicates(df), df).collect() == []
     text = " ".join(prose(80))
     whole = windows(words(text.encode())[2], 24).view(np.int64).tolist()
     assert pd_.without(text, [0, 10], [whole[0], whole[10]], 24) == " ".join(text.split()[34:])
@@ -151,7 +151,7 @@ def test_exact_copies_go_whole(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     found = pd_.duplicates(df)
     out, texts = {r.doc_id: r.text for r in pd_.remove(df, found).collect()}, dict(rows)
-    got = {(r.doc_id, r.kept): (r.start_word, r.end_word) for r in pd_.spans(found).collect()}
+    got = {(r.doc_id, r.kept): (r.start_word, r.end_word) for r in pd_.spans(found, df).collect()}
     for k, p in enumerate(passages):
         assert out[2 * k] == texts[2 * k]
         start, end = got[2 * k + 1, False]
@@ -176,7 +176,7 @@ def test_edited_passages_at_every_place(spark):
         places[2 * k + 1] = (23 + max([e + 1 for e in edits if e < 5], default=0), 23 + min([e for e in edits if n - e <= 5], default=n))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     gone = {}
-    for r in pd_.spans(pd_.duplicates(df)).filter("not kept").collect():
+    for r in pd_.spans(pd_.duplicates(df), df).filter("not kept").collect():
         gone.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert {k for k, (a, b) in places.items() if not set(range(a, b)) <= gone.get(k, set())} == set()
     assert all(k % 2 for k in gone)
@@ -194,3 +194,23 @@ def test_large_bands_keep_every_pair(spark):
     pairs = lists.selectExpr("7L band", "paragraph")
     got = {tuple(sorted(e)) for e in pd_.near_edges(pairs, lists, 0.8, 100, 64).collect()}
     assert got == {(2 * k, 2 * k + 1) for k in range(300)}
+
+
+def test_rows_are_judged_not_ids(spark):
+    """Rows that share an id or have none, at any distance of the passage's places; equal rows go whole but for one."""
+    passage = prose(80)
+    for at in (0, 3, 5, 12, 23, 24, 60):
+        rows = [(4, " ".join(prose(10) + passage + prose(30)), "a"), (4, " ".join(prose(10 + at) + passage + prose(30)), "b")]
+        rows += [(9, " ".join(prose(50)), "c")]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        found = pd_.duplicates(df)
+        out = {r.lang: r.text for r in pd_.remove(df, found).collect()}
+        left = [len(out[k].split()) for k in "ab"]
+        assert sorted(x - n for x, n in zip(left, (40, 40 + at))) == [0, 80] and out["c"] == rows[2][1]
+        assert sorted((r.doc_id, r.kept, r.end_word - r.start_word) for r in pd_.spans(found, df).collect()) == [(4, False, 80), (4, True, 80)]
+    same = " ".join(prose(120))
+    rows = [(None, same, "y"), (None, same, "x"), (None, same, "z"), (None, "few words", "p"), (None, "few words", "q"), (7, " ".join(prose(40)), "r")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    found = pd_.duplicates(df)
+    assert sorted(r.lang for r in pd_.remove(df, found).collect()) == ["p", "q", "r", "x"]
+    assert sorted((r.doc_id, r.kept, r.start_word, r.end_word) for r in pd_.spans(found, df).collect()) == [(None, False, 0, 120), (None, False, 0, 120), (None, True, 0, 120)]
