@@ -50,7 +50,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur again are cut from all documents but the first that holds them.
 
     Null and blank texts, and those of fewer than 24 words, stay as they are; a text of which nothing is left goes; rows
-    without an id come last in the order of occurrence, and those that share an id count as one document."""
+    without an id, and rows that share one, are documents of their own and come last in the order of occurrence."""
     return _measured(remove(docs, duplicates(docs)))
 
 
