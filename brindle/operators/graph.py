@@ -111,35 +111,18 @@ COMMUNITY_SIZE, COMMUNITY_LEAST, GRAPH_LEAST = 15, 3, 5
 
 
 def communities(edges: DataFrame, least: int = COMMUNITY_LEAST, project: str = "p", most: int | None = None, graph_least: int = GRAPH_LEAST) -> DataFrame:
-    """(community_id, members) of graphs of enough nodes: connected components with enough members, or, with most, parts of them
-    of at most so many; the id is a hash of the sorted names.
-
-    Parts: each node follows the neighbour of the highest degree that is above its own (then the least name), so nodes gather around local hubs; a hub's
-    part that is still too large is dealt in order of degree and name."""
+    """(community_id, members) of graphs of enough nodes: connected components with enough members, or, with most, communities by
+    modularity of at most so many, connected each; the id is a hash of the sorted names."""
     from brindle.functions.identity import community_id
+    from brindle.operators.communities import communities_within
 
-    part = connected(edges) if most is None else _parts(edges, most)
+    part = connected(edges) if most is None else communities_within(edges, most).withColumnRenamed("label", "component")
     size = part.agg(F.count("*").alias("nodes"))
     g = part.groupBy("component").agg(F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))
     g = g.join(F.broadcast(size)).filter((F.size("members") >= least) & (F.col("nodes") >= graph_least))  # a single number
     return g.select(community_id(F.lit(project), F.col("members")).alias("community_id"), "members")
 
 
-def _parts(edges: DataFrame, most: int) -> DataFrame:
-    """(node, component) with at most so many nodes to a component."""
-    e = edges.filter("src <> dst")
-    e = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    degree = stored(e.groupBy("src").agg(F.count("*").alias("degree")))
-    near = e.join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("d")), "dst").join(degree, "src")
-    best = near.groupBy("src", "degree").agg(F.min(F.struct((-F.col("d")).alias("d"), "dst")).alias("b"))
-    # A neighbour of equal degree is followed only if its name is less, so no two nodes follow each other.
-    up = (-F.col("b.d") > F.col("degree")) | ((-F.col("b.d") == F.col("degree")) & (F.col("b.dst") < F.col("src")))
-    label = connected(best.select("src", F.when(up, F.col("b.dst")).otherwise(F.col("src")).alias("dst")))
-    order = Window.partitionBy("component").orderBy(F.desc("degree"), "node")
-    d = label.join(degree.withColumnRenamed("src", "node"), "node").withColumn("r", F.row_number().over(order))
-    return d.select("node", F.concat("component", F.lit("#"), F.floor((F.col("r") - 1) / most).cast("string")).alias("component"))
-
-
 def community_changes(now: DataFrame, stored: DataFrame, key: str = "community_id") -> DataFrame:
     """(key, change): new and obsolete communities."""
     new = now.select(key).join(stored, key, "left_anti").withColumn("change", F.lit("new"))

@@ -118,7 +118,7 @@ def entity_resolution(spark, sf_dir):
 
 @query("bounded_communities")
 def bounded_communities(spark, sf_dir):
-    """Parts of at most fifteen nodes around local hubs; tested on small graphs."""
+    """Communities of at most fifteen nodes by modularity, in rounds; tested against a sequential run."""
     return G.communities(edges(spark, sf_dir), most=G.COMMUNITY_SIZE).select("community_id", F.size("members").cast("bigint").alias("n"))
 
 

@@ -1,7 +1,6 @@
-"""Queries over small literal tables, with the vocabulary and thresholds that the operators ship with.
-
-The tables of the other queries hold no Chinese text, no matrices and no answers of a model, so the rules for those are shown
-on rows written here; the oracle of each is the rows that the rules give, worked out by hand.
+"""Cases for rules of Chinese text, sheets, model answers and jobs: small literal tables, with the vocabulary and thresholds that
+the operators ship with, and the rows that the rules give, worked out by hand. They are tests, not queries: nothing here reads a
+given table.
 """
 
 from __future__ import annotations
@@ -15,11 +14,23 @@ from brindle.operators import graph as G
 from brindle.operators import relational as R
 from brindle.operators import search as S
 from brindle.operators import tables as T
-from brindle.plans.registry import query
 from brindle.sources import readers
 from brindle.streaming import monitors as M
 
 
+CASES, EXPECTED = {}, {}
+
+
+def query(name: str, oracle: str):
+    """Register a case under a name, with the rows that it gives as SQL."""
+
+    def add(function):
+        CASES[name], EXPECTED[name] = function, oracle
+        return function
+
+    return add
+
+
 def spark_literal(v) -> str:
     if v is None:
         return "NULL"
