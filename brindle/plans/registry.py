@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from brindle.plans import graph_queries, report_queries, search_queries, table_queries, text_queries  # noqa: E402,F401
+from brindle.plans import graph_queries, report_queries, rule_queries, search_queries, table_queries, text_queries  # noqa: E402,F401
