@@ -144,14 +144,17 @@ def resolved_entities(vertices: DataFrame, edges: DataFrame, pairs: DataFrame) -
 
 
 def candidate_pairs(names: DataFrame, block: str = "type") -> DataFrame:
-    """(block, a, b) of names of one type that may mean one thing. Names meet on a shared pair of characters, not all with all;
-    pairs of characters that many names hold are dealt over several tasks."""
+    """(block, a, b) of names of one type that may mean one thing. Names meet on a shared pair of characters, not all with all, and
+    only if their pairs with a digit are the same, as no candidates differ in one; pairs of characters that many names hold
+    are dealt over several tasks."""
     from brindle.operators.relational import pairs_of, salted_join
 
+    digits = F.array_sort(F.filter(pairs_of(F.col("name")), lambda g: g.rlike("[0-9]")))
     n = names.select(block, "name").distinct()
-    g = n.select(F.col(block), "name", F.explode(pairs_of(F.lower("name"))).alias("g")).withColumn("at", F.xxhash64(block, "g"))
-    met = salted_join(g.select(block, "g", "at", F.col("name").alias("a")), g.select(F.col("at"), F.col(block).alias("__block"), F.col("g").alias("__g"), F.col("name").alias("b")), "at", "a")
-    met = met.filter((F.col("a") < F.col("b")) & F.col(block).eqNullSafe(F.col("__block")) & (F.col("g") == F.col("__g"))).select(block, "a", "b").distinct()
+    g = n.select(F.col(block), "name", F.explode(pairs_of(F.lower("name"))).alias("g"), digits.alias("d")).withColumn("at", F.xxhash64(block, "g", "d"))
+    met = salted_join(g.select(block, "g", "at", "d", F.col("name").alias("a")), g.select(F.col("at"), F.col(block).alias("__block"), F.col("g").alias("__g"), F.col("d").alias("__d"), F.col("name").alias("b")), "at", "a")
+    same = F.col(block).eqNullSafe(F.col("__block")) & (F.col("g") == F.col("__g")) & (F.col("d") == F.col("__d"))
+    met = met.filter((F.col("a") < F.col("b")) & same).select(block, "a", "b").distinct()
     return met.filter(same_entity_candidate(F.col("a"), F.col("b")))
 
 
@@ -170,10 +173,16 @@ def communities_of(triples: DataFrame, entities: DataFrame, members: DataFrame)
 
 
 def entities_holding(entities: DataFrame, words: DataFrame, name: str = "name") -> DataFrame:
-    """(word, name) of entities whose name holds a word; words are a bounded list of query terms."""
-    from brindle.operators.search import small
-
-    return entities.select(name).join(small(words.select("word")), F.col(name).contains(F.col("word"))).select("word", name)
+    """(word, name): entities whose name holds a word. A word is looked for where its rarest pair of characters occurs (of a word of one
+    character, that); no word meets all names. Empty words are in no name."""
+    cut = lambda t, n: F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: t.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    of_names = entities.select(F.col(name), F.explode(F.concat(cut(F.col(name), 1), cut(F.col(name), 2))).alias("gram"))
+    frequency = of_names.groupBy("gram").agg(F.count("*").alias("n"))
+    w = words.select("word").filter("word <> ''").distinct()
+    grams = w.select("word", F.explode(F.when(F.length("word") == 1, F.array("word")).otherwise(cut(F.col("word"), 2))).alias("gram"))
+    rarest = grams.join(frequency, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    met = of_names.join(rarest.filter("r.n > 0").select("word", F.col("r.gram").alias("gram")), "gram")
+    return met.filter(F.col(name).contains(F.col("word"))).select("word", name)
 
 
 def without_file(edges: DataFrame, vertices: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -77,7 +77,7 @@ def fts_phrase(spark, sf_dir):
 
 @query("fts_like_fallback", "SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def fts_like_fallback(spark, sf_dir):
-    return S.contains_search(phrase_queries(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return X.contains_matches(phrase_queries(spark, sf_dir), table(spark, sf_dir, "documents"), document_index(spark, sf_dir))
 
 
 @query("query_sanitiser", r"""

@@ -380,6 +380,26 @@ def test_bounded_paths_and_communities(spark):
     assert graph.communities(spark.createDataFrame(star[:3], "src string, relation string, dst string")).count() == 0
 
 
+def test_names_that_hold_words(spark):
+    rng = np.random.default_rng(5)
+    names = sorted({"".join(rng.choice(list("abcé1"), rng.integers(0, 9))) for _ in range(200)})
+    words = sorted({"".join(rng.choice(list("abcé1x"), rng.integers(0, 4))) for _ in range(40)})
+    got = graph.entities_holding(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    assert sorted(map(tuple, got)) == sorted((w, n) for w in words for n in names if w and w in n)
+
+
+def test_candidates_by_all_pairs(spark):
+    from brindle.operators.relational import same_entity_candidate
+
+    rng = np.random.default_rng(6)
+    names = [(str(k % 2) if k % 7 else None, "".join(rng.choice(list("abcA12"), rng.integers(1, 7)))) for k in range(120)]
+    df = spark.createDataFrame(names, "type string, name string").distinct()
+    both = df.select("type", F.col("name").alias("a")).crossJoin(df.select(F.col("type").alias("t"), F.col("name").alias("b"))).filter(F.col("type").eqNullSafe(F.col("t")) & (F.col("a") < F.col("b")))
+    pair = lambda s: {s[i : i + 2].lower() for i in range(len(s) - 1)} or {s.lower()}
+    want = sorted((r.type or "", r.a, r.b) for r in both.filter(same_entity_candidate(F.col("a"), F.col("b"))).collect() if pair(r.a) & pair(r.b))
+    assert sorted((r.type or "", r.a, r.b) for r in graph.candidate_pairs(df).collect()) == want and len(want) > 10
+
+
 def test_blocks_of_queries(spark):
     rng = np.random.default_rng(3)
     v = spark.createDataFrame([(k, rng.normal(0, 1, 4).tolist()) for k in range(60)], "item_id int, embedding array<double>")
