@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import same_entity_candidate
-from brindle.session import stored
+from brindle.session import dropped, stored
 
 
 def merged_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +74,7 @@ def pagerank(edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, s
     nodes = stored(degree.select(F.col("src").alias("node")))
     n = nodes.count()
     rank = nodes.withColumn("pagerank", F.lit(1.0 / max(1, n)))
-    rounds, changed = 0, n > 0
+    rounds, changed, last = 0, n > 0, None
     while changed:
         if rounds >= most_rounds:
             raise RuntimeError(f"ranks still change after {rounds} rounds")
@@ -83,6 +83,8 @@ def pagerank(edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, s
             flow = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("pagerank") / F.col("degree")).alias("in"))
             rank = flow.select(F.col("dst").alias("node"), (F.lit((1 - damping) / n) + damping * F.col("in")).alias("pagerank"))
         both = stored(rank.join(before.withColumnRenamed("pagerank", "was"), "node"))
+        dropped(last)
+        last = both
         changed = both.agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0] >= n * tolerance
         rank, rounds = both.select("node", "pagerank"), rounds + save_each
     return rank.withColumn("pagerank", F.round("pagerank", 6))
@@ -99,7 +101,9 @@ def connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         near = e.join(label, e.dst == label.node).groupBy("src").agg(F.min("component").alias("m"))
         following = label.join(near, label.node == near.src, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = following.select(F.col("node").alias("c"), F.col("c").alias("jumped"))
-        label = stored(following.join(jump, "c", "left").select("node", F.coalesce("jumped", "c").alias("component")))
+        jumped = stored(following.join(jump, "c", "left").select("node", F.coalesce("jumped", "c").alias("component")))
+        dropped(label)
+        label = jumped
         state = label.agg(F.sum(F.xxhash64("node", "component") % 1_000_003)).first()[0]
         if state == before:
             return label

@@ -67,22 +67,27 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int, query: str = "qu
 
     Queries are a stated set: they go to all tasks in blocks of a checked size. A batch of items is scored against a block by one product of
     matrices, and only the first k of each query leave it (with those that tie with the last), so n items never become n rows
-    for each query. Scores are rounded to 12 places, as the order of a sum may differ in the last one. Items without a vector
-    are left out."""
+    for each query. Scores are rounded to 12 places, as the order of a sum may differ in the last one. Items and queries without a
+    vector, or with a null in it, are left out; an item is compared with the queries of its size."""
     kind = to_arrow_type(queries.schema[query].dataType)
     names = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{item}` {corpus.schema[item].dataType.simpleString()}, score double"
-    items = corpus.filter(F.col(vector).isNotNull()).select(item, F.col(vector).cast("array<double>").alias("v"))
+    whole = lambda c: c.isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    items = corpus.filter(whole(F.col(vector))).select(item, F.col(vector).cast("array<double>").alias("v"))
 
     def block(q: DataFrame) -> DataFrame:
         rows = q.filter("qv is not null").collect()  # bounded by in_blocks
-        sent = q.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float)))
+        sizes = {len(r[1]) for r in rows}
+        sent = q.sparkSession.sparkContext.broadcast({n: ([r[0] for r in rows if len(r[1]) == n], np.array([r[1] for r in rows if len(r[1]) == n], float)) for n in sizes})
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
+            for whole_batch in batches:
+                lengths = np.diff(whole_batch.column(1).offsets.to_numpy())
+                for n in set(lengths.tolist()) & set(sent.value):
+                    yield from of_size(whole_batch if (lengths == n).all() else whole_batch.filter(pa.array(lengths == n)), *sent.value[n])
+
+        def of_size(batch: pa.RecordBatch, ids: list, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
             ids = pa.array(ids, kind)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
+            if batch.num_rows and len(ids):
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 scores = np.round(x @ matrix.T, 12)
                 bound = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else scores.min(axis=0)
@@ -94,7 +99,7 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int, query: str = "qu
 
         return top_k(items.mapInArrow(score, names), query, k, F.desc("score"), F.asc(item))
 
-    return in_blocks(queries.select(query, F.col(vector).alias("qv")), block, query)
+    return in_blocks(queries.filter(whole(F.col(vector))).select(query, F.col(vector).alias("qv")), block, query)
 
 
 def terms(text: Column) -> Column:
