@@ -107,7 +107,7 @@ def probed_search(queries: DataFrame, index: VectorIndex, k: int, query: str = "
 
     def block(q: DataFrame) -> DataFrame:
         rows = q.collect() if len(index.centroids) else []  # bounded by in_blocks
-        asked = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+        asked = np.array([r[1] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 1))
         cells = np.argsort(-(asked @ index.centroids.T), axis=1, kind="stable")[:, :probes] if len(rows) and len(index.centroids) else np.zeros((0, 1), int)
         of_cell = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
         sent = q.sparkSession.sparkContext.broadcast(([r[0] for r in rows], asked, of_cell))
