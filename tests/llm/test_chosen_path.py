@@ -149,3 +149,14 @@ def test_links_with_more_blocks_than_members(spark, n):
     members = spark.createDataFrame(rows, "class bigint, node bigint, copies bigint, id bigint, shingles binary")
     got = chosen_path.exact_links(members, 0.8, block_tokens=200).groupBy("node").sum("links").collect()
     assert sorted(r[1] for r in got) == [n - 1] * 8 * n
+
+
+def test_kept_row_of_equal_id_and_text_is_the_least(spark):
+    """Rows of one id and text that differ in another column: the same one stays, however they are dealt."""
+    from brindle.llm.chosen_path import thinned
+
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, lang, "node") for lang in ("fr", "de", "en")] + [(2, text, "aa", "node"), (3, "other words here that stand alone", None, "x")]
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, node string").repartition(parts)
+        assert sorted((r.doc_id, r.lang or "") for r in thinned(df).collect()) == [(1, "de"), (3, "")]
