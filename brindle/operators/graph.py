@@ -30,11 +30,13 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int = 2, most_paths: int | No
     """(seed, node, distance, nodes, relations): paths from seeds, no edge used twice. One join for each step.
 
     With most_paths only a seed's first paths are found, nearest first, then by name: a seed goes on only while it lacks some,
-    from no more paths than it lacks. With ranks (node, pagerank) all paths are found, and a seed's first ones are those that end at
-    the highest ranks."""
+    from no more paths than it lacks. With ranks (node, pagerank) too, a seed's first ones are those that end at the highest ranks,
+    as ranked_paths finds them."""
+    if ranks is not None:
+        return ranked_paths(edges, seeds, ranks, most, most_paths or 1 << 30)
     e = both_ways(edges)
     path = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<bigint>").alias("used"), F.lit(0).alias("before"))
-    bounded = most_paths is not None and ranks is None
+    bounded = most_paths is not None
     first = Window.partitionBy("seed").orderBy("nodes", "relations")
     out = None
     for _ in range(most):
@@ -50,14 +52,82 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int = 2, most_paths: int | No
         out = found if out is None else out.unionByName(found)
         if bounded:
             path = path.filter(F.col("before") < most_paths)
-    if ranks is not None:
-        from brindle.operators.search import top_k
-
-        out = out.join(ranks.select("node", "pagerank"), "node", "left")
-        return top_k(out, "seed", most_paths or 1 << 30, F.desc_nulls_last("pagerank"), F.asc("distance"), F.asc("nodes"), F.asc("relations"))
     return out
 
 
+def arcs_ahead(edges: DataFrame, ranks: DataFrame, most: int) -> DataFrame:
+    """(edge_id, src, dst, relation, neg, ahead1 .. ahead<most>): each direction of each edge with the rank of its end (negated, infinite
+    if it has none), and with the best that a walk of up to so many steps more can end at: (negated rank, steps), null if there is
+    no step. A walk does not turn back on the edge it came by, so a node hands on its two best edges; a path, which uses no edge
+    twice, ends at no better rank."""
+    a = both_ways(edges).join(ranks.select(F.col("node").alias("dst"), F.col("pagerank").cast("double").alias("rank")), "dst", "left")
+    a = a.select("edge_id", "src", "dst", "relation", F.coalesce(-F.col("rank"), F.lit(float("inf"))).alias("neg"))
+    here = F.struct("neg", F.lit(1).alias("steps"))
+    two = Window.partitionBy("src").orderBy("w", "edge_id")
+    for k in range(1, most + 1):
+        on = here if k == 1 else F.least(here, F.when(F.col(f"ahead{k - 1}").isNotNull(), F.struct(F.col(f"ahead{k - 1}.neg").alias("neg"), (F.col(f"ahead{k - 1}.steps") + 1).alias("steps"))))
+        best = a.groupBy("src", "edge_id").agg(F.min(on).alias("w")).withColumn("r", F.row_number().over(two)).filter("r <= 2")
+        best = best.groupBy(F.col("src").alias("at")).agg(F.min(F.struct("w", "edge_id")).alias("one"), F.max(F.struct("w", "edge_id")).alias("two"))
+        a = a.join(best, F.col("dst") == F.col("at"), "left")
+        a = a.withColumn(f"ahead{k}", F.when(F.col("one.edge_id") != F.col("edge_id"), F.col("one.w")).when(F.col("two.edge_id") != F.col("edge_id"), F.col("two.w"))).drop("at", "one", "two")
+    return a
+
+
+def ranked_paths(edges: DataFrame, seeds: DataFrame, ranks: DataFrame, most: int = 3, most_paths: int = 30) -> DataFrame:
+    """(node, seed, distance, nodes, relations, pagerank, rank0): of a seed's paths of up to most steps, no edge used twice, the
+    first most_paths by the rank of their end, then distance, nodes and relations.
+
+    Best first: a path's bound is the best end that it can still reach (arcs_ahead), and of each step only a seed's most_paths
+    paths of the best bounds go on, so a step has no more rows than those times the degree of their ends. That bound is met unless a
+    walk needs an edge twice; what was left behind with a better bound than the last path kept therefore goes on afterwards.
+
+    Defined cases: nodes without a rank come last; a seed without edges, null seeds and empty tables give no rows; repeated edges give
+    repeated paths; ranks are finite."""
+    from brindle.operators.search import top_k
+
+    arcs = stored(arcs_ahead(edges, ranks, most - 1))
+    order = [F.col("neg"), F.col("distance"), F.col("nodes"), F.col("relations")]
+    kept = ["seed", "node", "distance", "nodes", "relations", "neg"]
+
+    def extended(path: DataFrame, left: int) -> DataFrame:
+        bound = F.struct(F.col(f"e.ahead{left}.neg").alias("neg"), (F.col("p.distance") + 1 + F.col(f"e.ahead{left}.steps")).alias("distance")) if left else F.lit(None).cast("struct<neg:double,distance:int>")
+        step = path.alias("p").join(arcs.alias("e"), F.col("p.node") == F.col("e.src")).filter(~F.array_contains("p.used", F.col("e.edge_id")))
+        return step.select(
+            "p.seed", F.col("e.dst").alias("node"), (F.col("p.distance") + 1).alias("distance"), F.concat("p.nodes", F.array("e.dst")).alias("nodes"),
+            F.concat("p.relations", F.array("e.relation")).alias("relations"), F.concat("p.used", F.array("e.edge_id")).alias("used"), "e.neg",
+            (F.when(F.col(f"e.ahead{left}").isNotNull(), bound) if left else bound).alias("bound"),
+        )
+
+    def best(paths: DataFrame) -> DataFrame:
+        return top_k(paths.select(*kept), "seed", most_paths, *order).drop("rank0")
+
+    path = seeds.filter("seed is not null").select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<bigint>").alias("used"))
+    steps, found = [], None
+    by_bound = Window.partitionBy("seed").orderBy("bound", "nodes", "relations")
+    for k in range(1, most + 1):
+        step = stored(extended(path, most - k))
+        steps.append(step)
+        found = best(step if found is None else step.select(*kept).unionByName(found))
+        path = step.filter("bound is not null").withColumn("r", F.row_number().over(by_bound)).filter(F.col("r") <= most_paths).drop("r")
+    found = stored(found)
+    # A seed's last path is the floor; without most_paths of them nothing was left behind.
+    last = top_k(found, "seed", most_paths, *order).filter(F.col("rank0") == most_paths - 1)
+    floor = last.select("seed", F.struct("neg", "distance").alias("floor"), F.col("nodes").alias("floor_nodes"))
+
+    def hopeful(paths: DataFrame) -> DataFrame:
+        met = (F.col("bound") < F.col("floor")) | ((F.col("bound") == F.col("floor")) & (F.col("nodes") <= F.slice("floor_nodes", F.lit(1), F.size("nodes"))))
+        return paths.filter("bound is not null").join(floor, "seed").filter(met).drop("floor", "floor_nodes")
+
+    late, more = None, found
+    for k, step in enumerate(steps[:-1], 1):
+        ranked_step = step.filter("bound is not null").withColumn("r", F.row_number().over(by_bound)).filter(F.col("r") > most_paths).drop("r")
+        behind = hopeful(ranked_step if late is None else ranked_step.unionByName(late))
+        late = extended(behind, most - k - 1)
+        more = more.unionByName(late.select(*kept))
+    out = best(more).withColumn("pagerank", F.when(F.col("neg") != float("inf"), -F.col("neg")))
+    return top_k(out.select("node", "seed", "distance", "nodes", "relations", "pagerank"), "seed", most_paths, F.desc_nulls_last("pagerank"), F.asc("distance"), F.asc("nodes"), F.asc("relations"))
+
+
 def rendered(nodes: Column, relations: Column) -> Column:
     """A path as text: A（r）B（s）C."""
     tail = F.zip_with(relations, F.slice(nodes, 2, 1 << 30), lambda r, n: F.concat(F.lit("（"), r, F.lit("）"), n))

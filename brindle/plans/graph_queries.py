@@ -58,6 +58,24 @@ def n_hop_paths(spark, sf_dir):
     return h.select("seed", "node", "distance", G.rendered(F.col("nodes"), F.col("relations")).alias("path"))
 
 
+@query("ranked_paths", f"""
+WITH {EDGES}, b AS (SELECT src || relation || dst AS id, src, dst, relation FROM e UNION ALL SELECT src || relation || dst, dst, src, relation FROM e),
+g AS (SELECT src AS node, count(*)::DOUBLE AS degree FROM b GROUP BY src),
+h1 AS (SELECT 's' || s_suppkey AS seed, b.dst AS node, ['s' || s_suppkey, b.dst] AS nodes, [b.relation] AS rels, [b.id] AS used FROM supplier JOIN b ON b.src = 's' || s_suppkey),
+h2 AS (SELECT seed, b.dst AS node, list_append(nodes, b.dst) AS nodes, list_append(rels, b.relation) AS rels, list_append(used, b.id) AS used FROM h1 JOIN b ON b.src = node WHERE NOT list_contains(used, b.id)),
+h3 AS (SELECT seed, b.dst AS node, list_append(nodes, b.dst) AS nodes, list_append(rels, b.relation) AS rels, list_append(used, b.id) AS used FROM h2 JOIN b ON b.src = node WHERE NOT list_contains(used, b.id)),
+a AS (SELECT seed, node, 1 AS distance, nodes, rels FROM h1 UNION ALL SELECT seed, node, 2, nodes, rels FROM h2 UNION ALL SELECT seed, node, 3, nodes, rels FROM h3)
+SELECT seed, node, distance, degree, nodes[1] || array_to_string([ '（' || rels[i] || '）' || nodes[i + 1] FOR i IN range(1, len(nodes))], '') AS path,
+  row_number() OVER (PARTITION BY seed ORDER BY degree DESC, distance, nodes, rels) - 1 AS rank0 FROM a JOIN g USING (node) QUALIFY rank0 < 20""")
+def ranked_paths(spark, sf_dir):
+    """The twenty paths of each supplier that end at the nodes of most edges."""
+    e = edges(spark, sf_dir)
+    degree = G.both_ways(e).groupBy(F.col("src").alias("node")).agg(F.count("*").cast("double").alias("pagerank"))
+    seeds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    h = G.ranked_paths(e, seeds, degree, 3, 20)
+    return h.select("seed", "node", "distance", F.col("pagerank").alias("degree"), G.rendered(F.col("nodes"), F.col("relations")).alias("path"), "rank0")
+
+
 @query("pagerank")
 def pagerank(spark, sf_dir):
     """Ranks of the undirected graph; iterative, tested against a dense solution."""
