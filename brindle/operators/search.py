@@ -391,23 +391,6 @@ def recommended_files(hits: DataFrame, query: str = "query_id", key: str = "doc_
     return top_k(s, query, files, F.desc("score"), F.asc(key))
 
 
-def cached_answers(questions: DataFrame, least: float = 0.96, scope: str = "scope", at: str = "ts", item: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(item, answered_by, similarity): the earlier question of the same scope that is most alike, above the least similarity.
-    A scope's questions meet in blocks of BLOCK each, so that one with many of them is dealt over many tasks."""
-    size = questions.groupBy(scope).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
-    q = questions.select(F.col(scope), F.col(at).alias("__t"), item, F.col(vector).alias("__v")).join(small(size), scope)
-    q = q.withColumn("__block", F.pmod(F.xxhash64(item), F.col("__blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    asked = q.withColumn("__other", every)  # meets each block of earlier questions once
-    earlier = q.select(F.col(scope), F.col("__t").alias("__e"), F.col(item).alias("answered_by"), F.col("__v").alias("__w"), F.col("__block").alias("__other"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
-    pairs = asked.join(earlier, [scope, "__block", "__other"]).filter(F.col("__e") < F.col("__t"))
-    pairs = pairs.select(item, "answered_by", dot(F.col("__v"), F.col("__w")).alias("similarity")).filter(F.col("similarity") >= least)
-    return top_k(pairs, item, 1, F.desc("similarity"), F.asc("answered_by")).drop("rank0")
-
-
-BLOCK = 2048
-
-
 def in_priority(parts: DataFrame, priority: dict[str, int], query: str = "query_id", kind: str = "kind", exact: tuple[str, ...] = ("sql", "cross_filter", "graph_qa"), limit: int = 25_000) -> DataFrame:
     """Parts of a context in order of priority, cut at the first part that does not fit the limit. Where SQL answered, only exact kinds stay."""
     p = F.lit(len(priority))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.operators import pivot_join as P
 from brindle.operators import search as S
 from brindle.operators import text_index as X
 from brindle.operators import vector_index as V
@@ -53,7 +54,17 @@ s AS (SELECT vec_id, answered_by, {DOT} AS similarity FROM p)
 SELECT vec_id, answered_by, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, answered_by) = 1""")
 def semantic_cache_lookup(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("ts", F.col("vec_id")).withColumnRenamed("label", "scope")
-    return S.cached_answers(e, 0.3).withColumn("similarity", F.round("similarity", 6))
+    return P.cached_answers(e, 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("semantic_cache_hits", f"""
+WITH p AS (SELECT y.vec_id, x.vec_id AS answered_by, x.embedding AS a, y.embedding AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id),
+s AS (SELECT vec_id, answered_by, {DOT} AS similarity FROM p)
+SELECT vec_id, answered_by, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.96 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, answered_by) = 1""")
+def semantic_cache_hits(spark, sf_dir):
+    """All vectors as one scope, at the threshold of the shipped cache."""
+    e = table(spark, sf_dir, "embeddings").withColumn("ts", F.col("vec_id")).withColumn("scope", F.lit("all"))
+    return P.cached_answers(e).withColumn("similarity", F.round("similarity", 6))
 
 
 TERMS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"

@@ -412,13 +412,6 @@ def test_blocks_of_queries(spark):
     finally:
         search.BROADCAST_ROWS = old
     assert sorted((r[0], r[1], round(r[2], 9), r[3]) for r in got.collect()) == [(a, b, round(c, 9), d) for a, b, c, d in want]
-    c = v.select(F.col("item_id").alias("vec_id"), "embedding", F.col("item_id").alias("ts"), (F.col("item_id") % 2).alias("scope"))
-    one_block = sorted(map(tuple, search.cached_answers(c, 0.1).collect()))
-    old, search.BLOCK = search.BLOCK, 7
-    try:
-        assert sorted(map(tuple, search.cached_answers(c, 0.1).collect())) == one_block
-    finally:
-        search.BLOCK = old
 
 
 def test_search_chain_by_its_definition(spark):
