@@ -7,6 +7,10 @@ make a licence: rules are tried from specific to general, each place belongs to
 it, and identifiers of a rule may have other known sentences between them. Most rules are of one sentence that names a
 licence; those sentences are made of its names and the forms in which licences are named.
 
+Names may follow each other after one form ("under the MIT License or the Apache License, Version 2.0"), each is found; a form that is
+negated ("not licensed under") names nothing. Expressions of short names, in file headers or in brackets, are recorded as
+written and stand for the header sentences of their names (one whose brackets don't close is no expression); a line that is a licence's title stands for a sentence that names it.
+
 Defined cases: null and empty texts hold nothing; repeated rows are scanned each; a sentence may
 be of any length; an empty table gives no rows; extra columns are not read.
 """
@@ -89,6 +93,8 @@ NAMES = {
     "gpl3.later.name": ("GPL-3.0-or-later", "copyleft", (), "GPL-3.0-or-later"),
     "gpl2.name": ("GPL-2.0", "copyleft", ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2"), "GPL-2.0-only"),
     "gpl2.later.name": ("GPL-2.0-or-later", "copyleft", (), "GPL-2.0-or-later"),
+    "lgpl3.later.name": ("LGPL-3.0-or-later", "copyleft", (), "LGPL-3.0-or-later"),
+    "lgpl2.later.name": ("LGPL-2.1-or-later", "copyleft", (), "LGPL-2.1-or-later"),
     "lgpl3.name": ("LGPL-3.0", "copyleft", ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"), "LGPL-3.0-only"),
     "lgpl2.name": ("LGPL-2.1", "copyleft", ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"), "LGPL-2.1-only"),
     "lgpl.name": ("LGPL", "copyleft", ("GNU Lesser General Public License",), None),
@@ -108,9 +114,28 @@ NAMES = {
     "cc0.name": ("CC0-1.0", "permissive", ("CC0 1.0", "CC0 1.0 Universal"), "CC0-1.0"),
 }
 # Sentences that name a licence, and the line of a file's header. A sentence is made for each pair of name and form.
-FORMS = ("licensed under {}", "licensed under the {}", "licensed under a {}", "licensed under the terms of the {}", "released under {}", "released under the {}", "released under the terms of the {}", "distributed under the {}", "distributed under the terms of the {}", "available under the {}", "published under the {}")
+FORMS = ("licensed under {}", "licensed under the {}", "licensed under a {}", "licensed under the terms of the {}", "released under {}", "released under the {}", "released under the terms of the {}", "distributed under the {}", "distributed under the terms of the {}", "available under the {}", "published under the {}", "licensed under either {}", "licensed under either the {}", "licensed under either of the {}")
 HEADER = "SPDX-License-Identifier: {}"
-TITLES = {"mit.name": ("The MIT License (MIT)",)}
+TITLES = {
+    "mit.name": ("The MIT License (MIT)",),
+    "apache.name": ("Apache License Version 2.0, January 2004",),
+    "agpl3.name": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "gpl3.name": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "gpl2.name": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "lgpl3.name": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "lgpl2.name": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "epl.name": ("Eclipse Public License - v 2.0",),
+    "boost.name": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+}
+# Words between names that follow each other, and words before a form that turn it round.
+CONNECTORS = ("", "the", "and", "and a", "and the", "and under the", "or", "or a", "or the", "or under the", "and or the", "as well as the")
+NEGATION = re.compile(r" (?:not|never|no longer|nor|isn t|aren t|wasn t)(?: be| been| currently| yet| also)? $")
+# The header of an expression, its tokens, and expressions in brackets.
+EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*", re.IGNORECASE)
+SHORT_NAME = r"[A-Za-z0-9][A-Za-z0-9.\-]*\+?"
+TOKEN = re.compile(rf"[ \t]*(\(|\)|{SHORT_NAME})")
+BRACKETS = re.compile(rf"\({SHORT_NAME}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{SHORT_NAME})+\)")
+OPERATORS = ("AND", "OR", "WITH")
 
 # Ordered rules of several sentences, (licence, kind, identifiers in their order); more come from NAMES.
 TEXTS = (
@@ -184,31 +209,130 @@ def hints(sentences: list[str]) -> list[str]:
     return out
 
 
+def short_names() -> dict[str, str]:
+    """Short names as headers spell them, by any spelling of theirs in lower case: a version alone is that version only, one with a
+    plus sign that or a later one."""
+    out = {short.lower(): short for _, _, _, short in NAMES.values() if short}
+    for short in list(out.values()):
+        for ending, alias in (("-only", ""), ("-or-later", "+")):
+            if short.endswith(ending):
+                out[short.removesuffix(ending).lower() + alias] = short
+    return out
+
+
+def expression_at(text: str, at: int, known: dict[str, str]) -> tuple[int, list[str], list[str]]:
+    """(end, tokens, short names) of the longest expression that begins at a place: names joined by AND, OR and WITH, with brackets;
+    end is the place itself if none does. Names that are not known stay in the tokens as they are, as do exceptions after WITH."""
+    tokens: list[str] = []
+    names: list[tuple[int, str]] = []
+    best, depth, operand = (at, 0), 0, True  # operand: a name or an opening bracket has to follow
+    end = at
+    while token := TOKEN.match(text, end):
+        word = token[1]
+        if word == "(":
+            if not operand or (tokens and tokens[-1] == "WITH"):
+                break
+            depth += 1
+        elif word == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif word in OPERATORS:
+            if operand:
+                break
+            operand = True
+        elif not operand:
+            break
+        else:
+            exception = bool(tokens) and tokens[-1] == "WITH"
+            found = known.get(word.rstrip(".").lower())
+            if found is None and word.endswith("+"):
+                found = known.get(word[:-1].lower())
+                word = word if found is None else found + "+"
+            elif found is not None:
+                word = found
+            if found is not None and not exception:
+                names.append((len(tokens), found))
+            operand = False
+        tokens.append(word)
+        end = token.end()
+        if not operand and not depth:
+            best = (end, len(tokens))
+    return best[0], tokens[: best[1]], [name for k, name in names if k < best[1]]
+
+
 class Scanner:
     """Finds known sentences and the rules that their sequence fits."""
 
     def __init__(self, sentences: dict[str, tuple[str, ...]] | None = None, rules=RULES):
         self.inside = ahocorasick.Automaton()
+        self.named = NAMES if sentences is None else {}
+        self.short = short_names() if sentences is None else {}
         forms = {normalised(t): name for name, texts in (sentences or known_sentences()).items() for t in texts}
+        for key, (_, _, names, short) in self.named.items():
+            for name in (*names, *([short] if short else [])):
+                for connector in CONNECTORS:
+                    further = normalised(f"{connector} {name}")
+                    self.inside.add_word(f" {further} ", (len(further) + 2, key, True))
         for text, name in forms.items():
             if text:
-                self.inside.add_word(f" {text} ", (len(text) + 2, name))
+                self.inside.add_word(f" {text} ", (len(text) + 2, name, False))
         self.inside.make_automaton()
         self.hints = hints(list(forms))
         self.rules = rules
+        titles = {name for _, _, names, _ in self.named.values() for name in names if name.endswith(("License", "Universal")) or "License," in name}
+        either = "|".join(re.escape(t) for name in sorted(titles, key=lambda n: (-len(n), n)) for t in (name, name.upper()))
+        self.titles = re.compile(rf"^[ \t#*/;%-]*(?:(?:The|THE) )?({either})(?: \(\w+\))?[ \t\r.:]*$", re.MULTILINE) if titles else None
+
+    def spelled_out(self, text: str) -> tuple[str, list[str]]:
+        """(text with header sentences for its expressions and naming sentences for its title lines, the expressions)."""
+        if not self.named:
+            return text, []
+        found = []  # (start, end, tokens, short names)
+        for header in EXPRESSION.finditer(text):
+            end, tokens, names = expression_at(text, header.end(), self.short)
+            if names and not (found and header.start() < found[-1][1]):
+                found.append((header.start(), end, tokens, names))
+        if "(" in text and any(f" {o} " in text for o in OPERATORS):
+            taken = {place for start, end, _, _ in found for place in range(start, end)}
+            for match in BRACKETS.finditer(text):
+                end, tokens, names = expression_at(text, match.start(), self.short)
+                wanted = sum(t not in (*OPERATORS, "(", ")") for t in tokens) - tokens.count("WITH")
+                if match.start() not in taken and end == match.end() and len(names) == wanted:  # all names are known
+                    found.append((match.start(), end, tokens[1:-1], names))
+        parts, done = [], 0
+        for start, end, _, names in sorted(found, key=lambda f: f[0]):
+            parts += [text[done:start], " ".join(HEADER.format(name) for name in names)]
+            done = end
+        text = "".join([*parts, text[done:]])
+        expressions = [" ".join(tokens).replace("( ", "(").replace(" )", ")") for _, _, tokens, _ in sorted(found, key=lambda f: f[0])]
+        if "icense" in text or "ICENSE" in text:
+            text = self.titles.sub(lambda m: f"Licensed under the {m[1]}", text)
+        return text, expressions
 
     def identifiers(self, text: str) -> list[str]:
         """Identifiers of the known sentences of a text, in order."""
+        return self.found(text)[0]
+
+    def found(self, text: str) -> tuple[list[str], list[str]]:
+        """(identifiers of the known sentences of a text, its licence expressions), both in order."""
+        text, expressions = self.spelled_out(text)
         low = text.lower()
         if not any(h in low for h in self.hints):
-            return []
-        out, end = [], -1
-        # Of known sentences that overlap, the one that begins first, then the longest.
-        for start, n, name in sorted((stop - n + 1, -n, name) for stop, (n, name) in self.inside.iter(f" {normalised(low)} ")):
-            if start >= end:
+            return [], expressions
+        words = f" {normalised(low)} "
+        out, end, naming, turned = [], -1, False, False
+        # Of known sentences that overlap, the one that begins first, then the longest; further names only right behind one.
+        for start, n, name, further in sorted((stop - n + 1, -n, name, further) for stop, (n, name, further) in self.inside.iter(words)):
+            if start < end or (further and not (naming and start == end)):
+                continue
+            naming = name in self.named
+            if not further:
+                turned = naming and NEGATION.search(words[max(0, start - 40) : start + 1]) is not None
+            if not turned:
                 out.append(name)
-                end = start - n - 1
-        return out
+            end = start - n - 1
+        return out, expressions
 
     def licences(self, identifiers: list[str]) -> list[tuple[str, str]]:
         """(licence, kind) of the rules that match, each once, in the order of the rules."""
@@ -242,25 +366,46 @@ def scanner() -> Scanner:
     return _SCANNER[0]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licences (comma-separated, in the order of the rules), strictest kind (null: none),
-    sentences (identifiers in order, comma-separated) and their number, for every row. Nothing is shuffled."""
+def sentences_of(table: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Known sentences from a table (identifier, sentence); ValueError if there are more than MOST_SENTENCES. Rows with a null, or
+    without a word, are left out."""
+    rows = table.select("identifier", "sentence").dropna().distinct().orderBy("identifier", "sentence").limit(MOST_SENTENCES + 1).collect()
+    if len(rows) > MOST_SENTENCES:
+        raise ValueError(f"more than {MOST_SENTENCES} sentences")
+    out: dict[str, tuple[str, ...]] = {}
+    for r in rows:
+        if normalised(r["sentence"]):
+            out[r["identifier"]] = (*out.get(r["identifier"], ()), r["sentence"])
+    return out
+
+
+MOST_SENTENCES = 100_000
+
+
+def scan(docs: DataFrame, sentences: dict[str, tuple[str, ...]] | None = None, rules=RULES) -> DataFrame:
+    """doc_id, licences (comma-separated, in the order of the rules), strictest kind (null: none; alternatives of an expression
+    are counted as named), sentences (identifiers in order, comma-separated), their number, and expressions (as written, with short names
+    spelled as in headers; semicolons between), for every row. Nothing is shuffled. Own sentences, e.g. sentences_of(table),
+    and rules over their identifiers take the place of the known ones."""
+
+    shipped = sentences is None and rules is RULES
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scanner()
+        s = scanner() if shipped else Scanner(sentences, rules)
         for batch in batches:
-            names, kinds, sentences, n = [], [], [], []
+            names, kinds, known, n, said = [], [], [], [], []
             for value in batch.column(1):
-                ids = s.identifiers(value.as_py() or "")
-                rules = s.licences(ids) if ids else []
-                names.append(",".join(x for x, _ in rules))
-                kinds.append(max((k for _, k in rules), key=KINDS.index, default=None))
-                sentences.append(",".join(ids))
+                ids, expressions = s.found(value.as_py() or "")
+                matched = s.licences(ids) if ids else []
+                names.append(",".join(x for x, _ in matched))
+                kinds.append(max((k for _, k in matched), key=KINDS.index, default=None))
+                known.append(",".join(ids))
                 n.append(len(ids))
+                said.append(";".join(expressions))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(sentences, pa.string()), pa.array(n, pa.int64())],
-                names=["doc_id", "licences", "kind", "sentences", "n_sentences"],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(known, pa.string()), pa.array(n, pa.int64()), pa.array(said, pa.string())],
+                names=["doc_id", "licences", "kind", "sentences", "n_sentences", "expressions"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(found, "doc_id bigint, licences string, kind string, sentences string, n_sentences bigint")
+    return rows.mapInArrow(found, "doc_id bigint, licences string, kind string, sentences string, n_sentences bigint, expressions string")
