@@ -8,7 +8,8 @@ from brindle.operators import relational as R
 from brindle.operators import tables as T
 from brindle.plans.registry import query
 from brindle.plans.sql_endpoint import run_sql
-from brindle.session import register_tables, table
+from brindle.session import register_tables, scratch, table
+from brindle.sources.attribute_tables import AttributeTables
 
 # Each is run as it stands by both engines.
 IDIOMS = {
@@ -161,3 +162,29 @@ SELECT sum(CASE WHEN lo = hi THEN lo ELSE s END) AS total FROM (SELECT p_size, m
 def cross_filter_total(spark, sf_dir):
     d = table(spark, sf_dir, "part").select("p_name", "p_type", "p_retailprice", "p_size")
     return T.cross_filter(d, "p_name", ["1"], ["STEEL", "BRASS", "TYPE"], "p_retailprice", "p_size")
+
+
+@query("attribute_table_ranges", """
+SELECT l_orderkey AS orderkey, l_linenumber::BIGINT AS line, l_quantity AS quantity, l_extendedprice AS price, l_returnflag AS flag, l_tax > 0.04 AS taxed FROM lineitem""")
+def attribute_table_ranges(spark, sf_dir):
+    """Order lines written as attribute tables and read back by ranges of records, three columns left out of the records."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), (F.col("l_tax") > 0.04).alias("taxed"),
+    )
+    spark.dataSource.register(AttributeTables)
+    folder = scratch(spark, "attribute-tables")
+    lines.write.format("attribute_tables").mode("append").save(folder)
+    return spark.read.format("attribute_tables").option("columns", "orderkey,line,quantity,price,flag,taxed").option("records", 250_000).load(folder).drop("path", "record")
+
+
+@query("attribute_table_summary", """
+SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_extendedprice), 2) AS area, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1""")
+def attribute_table_summary(spark, sf_dir):
+    """Count, sum and bounds of a numeric field by a text field of attribute tables, of which only those two columns are cut out."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("area"), F.col("l_linestatus").alias("status"))
+    spark.dataSource.register(AttributeTables)
+    folder = scratch(spark, "attribute-tables")
+    lines.write.format("attribute_tables").mode("append").save(folder)
+    d = spark.read.format("attribute_tables").option("columns", "flag,area").load(folder)
+    return d.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"), F.min("area").alias("least"), F.max("area").alias("most"))

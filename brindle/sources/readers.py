@@ -243,8 +243,8 @@ def _decodes(data: bytes, encoding: str) -> bool:
 
 
 def read_dbf(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record, values) of the attribute tables below a folder: values is a map from field to text. A table of any size
-    is read by one task, batch by batch; what is made of it afterwards is distributed."""
+    """(path, record, values) of the attribute tables below a folder of any store that Spark reads: values is a map from field to
+    text. A table (of up to 2 GB) is read by one task; attribute_tables.AttributeTables reads larger ones by ranges of records."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dbf").load(path).select("path", "content")
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
