@@ -7,8 +7,11 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from brindle.operators.relational import holding_any, is_total_row, once_per_block
+from brindle.operators.search import small
+from brindle.session import dropped, stored
 
 # Words of rows of titles, of units and of headers.
 TITLE_WORDS = "汇总表 统计表 一览表 明细表 计算表 成果表 调查表 情况表".split()
@@ -220,20 +223,68 @@ def title_core(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "[（(][^）)]*[）)]", ""), r"\s+", "")
 
 
-def matched_titles(wanted: DataFrame, have: DataFrame, by: str = "project_id", least: float = 0.55) -> DataFrame:
-    """(by, wanted_id, have_id, ratio): in order of wanted_id each title takes the most alike one that is still free. Cores of
-    under three characters match nothing. The order matters within a project only, so each project is one group."""
-
-    def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free, out = dict(zip(b["have_id"], b["title"])), []
-        for w in a.sort_values("wanted_id").itertuples():
-            scores = sorted(((-difflib.SequenceMatcher(None, w.title, t).ratio(), h) for h, t in free.items()))
-            if scores and -scores[0][0] >= least:
-                out.append((key[0], w.wanted_id, scores[0][1], round(-scores[0][0], 6)))
-                del free[scores[0][1]]
-        return pd.DataFrame(out, columns=[by, "wanted_id", "have_id", "ratio"])
-
-    core = lambda d, c: d.select(by, c, title_core(F.col("title")).alias("title")).filter(F.length("title") >= TITLE_CHARACTERS)
-    kinds = {f.name: f.dataType.simpleString() for f in [*wanted.schema, *have.schema]}
-    schema = f"{by} {kinds[by]}, wanted_id {kinds['wanted_id']}, have_id {kinds['have_id']}, ratio double"
-    return core(wanted, "wanted_id").groupBy(by).cogroup(core(have, "have_id").groupBy(by)).applyInPandas(match, schema)
+def _bag(title: Column) -> Column:
+    """The characters of a title, each with its number among equal ones: two titles share as many as their bags of characters do."""
+    chars = F.split(title, "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 6) for x, y in zip(a, b)], dtype="float64")
+
+
+def alike_titles(wanted: DataFrame, have: DataFrame, by: str, least: float) -> DataFrame:
+    """(by, wanted_title, have_title, ratio): pairs of different spellings (by, title), distinct in each table, that are alike to the least ratio.
+
+    A pair shares at least least * both lengths / 2 characters, so at least least / (2 - least) of either title's; with characters in
+    one order, rarest first, such titles share one among the first ones of each. Only titles that do meet, and only those that share
+    enough characters in all are compared in full."""
+    share = least / (2 - least)
+    frequent = have.select(F.explode(_bag(F.col("title"))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+
+    def first_ones(titles: DataFrame, name: str) -> DataFrame:
+        c = titles.select(by, "title", F.explode(_bag(F.col("title"))).alias("c")).join(small(frequent), "c", "left")
+        c = c.groupBy(by, "title").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "c"))).alias("cs"))
+        c = c.select(by, F.col("title").alias(name), F.transform("cs", lambda x: x["c"]).alias(f"{name}_bag"))
+        n = F.size(f"{name}_bag")
+        return c.withColumn("c", F.explode(F.slice(f"{name}_bag", F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))))
+
+    met = first_ones(wanted, "wanted_title").join(first_ones(have, "have_title"), [by, "c"])
+    both = F.size("wanted_title_bag") + F.size("have_title_bag")
+    met = met.filter(2 * F.size(F.array_intersect("wanted_title_bag", "have_title_bag")) >= least * both - 1e-6)
+    return met.select(by, "wanted_title", "have_title").distinct().withColumn("ratio", _ratio("wanted_title", "have_title")).filter(F.col("ratio") >= least)
+
+
+def matched_titles(wanted: DataFrame, have: DataFrame, by: str = "project_id", least: float = 0.55, most_rounds: int = 1000) -> DataFrame:
+    """(by, wanted_id, have_id, ratio): as if in order of wanted_id each title took the most alike one that is still free.
+
+    In rounds: each title asks for the spelling it likes best; a spelling that n tables have keeps its first n askers, and turns down
+    all titles behind the last of them for good; those ask elsewhere. The titles' order is the same for all spellings, so that ends where the
+    sequence would. A round is a few joins over the pairs that are left. RuntimeError if it takes more than most_rounds.
+
+    Defined cases: cores of under three characters and null titles or ids match nothing; of spellings equally alike (to six places) the one
+    whose least have_id is least comes first; tables of one spelling are given out in order of have_id; ids are those of one
+    title in a project; empty tables give no rows."""
+    core = lambda d, c: d.select(by, c, title_core(F.col("title")).alias("title")).filter((F.length("title") >= TITLE_CHARACTERS) & F.col(c).isNotNull() & F.col(by).isNotNull())
+    w, h = stored(core(wanted, "wanted_id")), stored(core(have, "have_id"))
+    spellings = h.groupBy(by, "title").agg(F.count("*").alias("n"), F.min("have_id").alias("least_id"))
+    alike = alike_titles(w.select(by, "title").distinct(), spellings.select(by, "title"), by, least)
+    pairs = alike.join(spellings.withColumnRenamed("title", "have_title"), [by, "have_title"]).join(w.withColumnRenamed("title", "wanted_title"), [by, "wanted_title"])
+    pairs = stored(pairs.select(by, "wanted_id", "have_title", "ratio", "n", "least_id"))
+    liked = Window.partitionBy(by, "wanted_id").orderBy(F.desc("ratio"), "least_id")
+    asking = Window.partitionBy(by, "have_title").orderBy("wanted_id")
+    for _ in range(most_rounds):
+        asked = pairs.withColumn("r", F.row_number().over(liked)).filter("r = 1").withColumn("place", F.row_number().over(asking))
+        asked = stored(asked.select(by, "wanted_id", "have_title", "ratio", "n", "place"))
+        if not asked.filter("place > n").head(1):
+            break
+        last = asked.filter("place = n").select(by, "have_title", F.col("wanted_id").alias("last"))
+        left = stored(pairs.join(last, [by, "have_title"], "left").filter(F.col("last").isNull() | (F.col("wanted_id") <= F.col("last"))).drop("last"))
+        dropped(pairs, asked)
+        pairs = left
+    else:
+        raise RuntimeError(f"titles still ask after {most_rounds} rounds")
+    dropped(pairs)
+    given = h.select(by, F.col("title").alias("have_title"), "have_id", F.row_number().over(Window.partitionBy(by, "title").orderBy("have_id")).alias("place"))
+    return asked.join(given, [by, "have_title", "place"]).select(by, "wanted_id", "have_id", "ratio")

@@ -188,3 +188,12 @@ def attribute_table_summary(spark, sf_dir):
     lines.write.format("attribute_tables").mode("append").save(folder)
     d = spark.read.format("attribute_tables").option("columns", "flag,area").load(folder)
     return d.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"), F.min("area").alias("least"), F.max("area").alias("most"))
+
+
+@query("titles_one_to_one")
+def titles_one_to_one(spark, sf_dir):
+    """Parts of each brand matched one to one with tables named by part and type; a fold in order, so without SQL, tested against that fold."""
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "project_id")
+    wanted = p.select("project_id", F.col("p_partkey").alias("wanted_id"), F.col("p_name").alias("title"))
+    have = p.select("project_id", F.col("p_partkey").alias("have_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    return T.matched_titles(wanted, have)
