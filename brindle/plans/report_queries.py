@@ -64,6 +64,17 @@ def retention_30d(spark, sf_dir):
     return M.retained(e, "ts", last_moment(e)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("presence_changes", """
+WITH e AS (SELECT event_type, user_id, ts, max(ts) OVER () AS until FROM events),
+g AS (SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM e WHERE ts < until WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts))
+SELECT event_type, user_id, epoch_us(ts) AS at_us, 'joined' AS change FROM g WHERE before IS NULL OR ts - before > INTERVAL 1 DAY
+UNION ALL SELECT event_type, user_id, epoch_us(ts + INTERVAL 1 DAY), 'left' FROM g WHERE (after IS NULL OR after - ts > INTERVAL 1 DAY) AND ts + INTERVAL 1 DAY < until""")
+def presence_changes(spark, sf_dir):
+    """Users that join and leave each kind of event, away after a day; the batch twin of the stream."""
+    d = M.presence_changes(table(spark, sf_dir, "events"), ("event_type", "user_id"), seconds=86_400)
+    return d.select("event_type", "user_id", F.unix_micros("at").alias("at_us"), "change")
+
+
 @query("presence_active", """
 SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING date_diff('microsecond', max(ts), (SELECT max(ts) FROM events)) < 86401 * 1000000::BIGINT""")
 def presence_active(spark, sf_dir):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,6 +27,54 @@ def presence(events: DataFrame, now, at: str = "ts", user: str = "user_id", seco
     return events.groupBy(user).agg(F.max(at).alias("last_seen")).filter(F.timestamp_diff("SECOND", F.col("last_seen"), now) <= seconds)
 
 
+def presence_changes(events: DataFrame, keys: tuple[str, ...] = ("project_id", "user_id"), at: str = "ts", seconds: int = 120, late: str = "10 minutes", until=None) -> DataFrame:
+    """(keys, at, change): "joined" at the first heartbeat of somebody who was away, "left" so many seconds after the last one before a
+    longer gap; each once time has passed it, so in an order that does not hang on the order of arrival.
+
+    A stream tells time by its watermark (the greatest time less late): a user's state is the last heartbeat and those
+    that are ahead of the watermark, a timer tells of leaving, and who has left has no state any more. A batch is told up to the moment
+    until (its greatest time if none is given). Rows without a time, and rows that come later than the watermark, are left out."""
+    e = events.filter(F.col(at).isNotNull())
+    gap = seconds * 1_000_000
+    if not e.isStreaming:
+        e = e.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+        end = F.lit(e.agg(F.max("t")).first()[0]) if until is None else F.unix_micros(F.lit(until).cast("timestamp"))
+        e = e.withColumn("__end", end.cast("bigint")).filter("t < __end")
+        w = Window.partitionBy(*keys).orderBy("t")
+        e = e.select(*keys, "t", "__end", (F.col("t") - F.lag("t").over(w)).alias("before"), (F.lead("t").over(w) - F.col("t")).alias("after"))
+        first = F.when(F.col("before").isNull() | (F.col("before") > gap), F.struct("t", F.lit("joined").alias("change")))
+        last = F.when((F.col("after").isNull() | (F.col("after") > gap)) & (F.col("t") + gap < F.col("__end")), F.struct((F.col("t") + gap).alias("t"), F.lit("left").alias("change")))
+        told = e.select(*keys, F.explode(F.array_compact(F.array(first, last))).alias("c"))
+        return told.select(*keys, F.timestamp_micros("c.t").alias("at"), "c.change")
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, ahead = state.get if state.exists else (None, [])
+        ahead = sorted({*ahead, *(int(t) for f in frames for t in f["t"])}) if not state.hasTimedOut else sorted(ahead)
+        now = max(0, state.getCurrentWatermarkMs()) * 1000
+        out = []
+        for t in (t for t in ahead if t < now):
+            if last is None or t - last > gap:
+                out += [(last + gap, "left")] if last is not None else []
+                out.append((t, "joined"))
+            last = t
+        ahead = [t for t in ahead if t >= now]
+        if last is not None and last + gap < now and not (ahead and ahead[0] - last <= gap):
+            out.append((last + gap, "left"))
+            last = None
+        if last is None and not ahead:
+            state.remove()
+        else:
+            state.update((last, ahead))
+            state.setTimeoutTimestamp(min(([last + gap] if last is not None and last + gap >= now else []) + ahead[:1]) // 1000)
+        if out:
+            yield pd.DataFrame([(*k, *o) for o in out], columns=[*keys, "t", "change"])
+
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in keys)
+    rows = e.withWatermark(at, late).select(*keys, at, F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+    told = rows.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, t bigint, change string", "last bigint, ahead array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(*keys, F.timestamp_micros("t").alias("at"), "change")
+
+
 def visits(events: DataFrame, at: str = "ts", user: str = "user_id", gap: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
     """(user, start, end, beats): runs of heartbeats without a longer gap."""
     g = events.withWatermark(at, late).groupBy(user, F.session_window(at, gap).alias("s"))
