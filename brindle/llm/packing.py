@@ -15,10 +15,10 @@ if there is a place for a cut.
 A range of documents (one task) is solved in blocks of tokens: a block's windows are fixed
 but for its last, whose tokens open the next block, so memory is bounded by the block and a
 block's end costs no padding. What is left at the end of a range is cut at powers of two
-where that is cheaper than padding it. Ranges are bounded by rows and by bytes.
+where that is cheaper than padding it. Ranges are bounded by rows and by bytes, as record_files.ranges_for says.
 
 Defined cases: a null text is the empty text (its end id alone); documents longer than a
-window are cut over several; repeated ids are packed each, in order of text; rows without an
+window are cut over several; repeated ids are packed each, in order of the beginnings and hashes of their texts; rows without an
 id come first; an empty table gives no rows.
 """
 

@@ -9,14 +9,15 @@ number of ids), so that a reader can take records in any order. All integers are
 little-endian. A masked checksum is the CRC rotated right by 15 bits plus a constant,
 so that a file that holds checksums can be checksummed itself.
 
-Rows are dealt by ranges of document ids (and of the beginnings of texts, where an id repeats),
-as many as rows and bytes call for; each range is one shard file written in ascending order, and shard numbers follow the ranges; a shard's place in the whole is the
-sum of the shards before it, found from one row a shard. Files are published by a move
+Rows are dealt by ranges of document ids (where an id repeats, of the beginnings and then the hashes of its texts), as many as
+rows and bytes call for, and beyond MOST_RANGES of them one a gigabyte: tasks stream, so a range may be that large, and 100 TB make
+less than 100,000. A range is written in ascending order, as one shard file after another; shard numbers follow the ranges
+and the files in them; a shard's place in the whole is the sum of the shards before it, found from one row a shard. Files are published by a move
 under a name that is the same for each attempt.
 
 Defined cases: a null text is the empty text (only the end id); rows without an id come
-first, as id -2**63 in the file and null when read; repeated ids are all kept, ordered by
-text; an empty table gives no files and no rows.
+first, as id -2**63 in the file and null when read; repeated ids are all kept, ordered by the
+first 64 characters, then a hash of their texts; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ NO_ID = -(1 << 63)
 HEADER, INDEX = struct.Struct("<qB3xI"), struct.Struct("<qqq")
 
 ROWS_PER_SHARD, BYTES_PER_SHARD = 16_384, 32 << 20
+MOST_RANGES, LARGE_RANGE_BYTES, ROW_BYTES = 16_384, 1 << 30, 64
+SHARDS_IN_RANGE = 1 << 24  # numbers, not a bound of the files' sizes
 
 
 def masked(data: bytes) -> int:
@@ -92,13 +95,19 @@ def read_record(data_uri: str, offset: int) -> tuple[int, np.ndarray]:
         return ids_of(payload)
 
 
+def ranges_for(rows: int, size: int, rows_each: int, bytes_each: int) -> int:
+    """How many ranges: one for so many rows or bytes; once that makes more than MOST_RANGES, these, or one a gigabyte if that is more."""
+    wanted = max(1, -(-rows // rows_each), -(-size // bytes_each))
+    return wanted if wanted <= MOST_RANGES else max(MOST_RANGES, -(-(size + ROW_BYTES * rows) // LARGE_RANGE_BYTES))
+
+
 def by_id_ranges(docs: DataFrame, rows_per_shard: int, bytes_per_shard: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text as bytes) in ranges of ids, ascending in each, then by text; the number of ranges follows rows and bytes."""
+    """(doc_id, text as bytes) in ranges of ids, ascending in each, then by beginning and hash of the text; the number of ranges follows rows and bytes."""
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("text"))
     size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    shards = max(1, -(-size["rows"] // rows_per_shard), -(-size["bytes"] // bytes_per_shard))
-    # A repeated id is dealt by the beginnings of its texts; bounds of ranges are kept on the driver, so they are short.
-    return rows.repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # A repeated id is dealt by the beginnings and hashes of its texts; bounds of ranges are kept on the driver, so they are short.
+    order = [F.asc_nulls_first("doc_id"), F.substring("text", 1, 64).asc(), F.xxhash64("text").asc(), F.col("text").asc()]
+    return rows.repartitionByRange(ranges_for(size["rows"], size["bytes"], rows_per_shard, bytes_per_shard), *order[:3]).sortWithinPartitions(*order)
 
 
 def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None, rows_per_shard: int = ROWS_PER_SHARD, bytes_per_shard: int = BYTES_PER_SHARD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -106,31 +115,39 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int | N
     shard, data and index URIs, records, tokens, start (tokens in all shards before it)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         encode = encoder(vocabulary)
         width = encode.dtype.itemsize
         end = b"" if end_id is None else np.array([end_id], encode.dtype).tobytes()
-        entries, totals = [], [0, 0]
-        data, index = f"{folder}/shard-{shard:06d}.rec", f"{folder}/shard-{shard:06d}.idx"
 
-        def records(stream) -> None:
-            at = 0
+        def encoded() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = encode.ids(text.as_py()) + end
-                    n = len(ids) // width
-                    doc_id = NO_ID if doc_id is None else doc_id
+                    yield NO_ID if doc_id is None else doc_id, encode.ids(text.as_py()) + end
+
+        docs, k = encoded(), 0
+        following = next(docs, None)
+        while following is not None:
+            entries, tokens = [], 0
+
+            def records(stream) -> None:
+                nonlocal following, tokens
+                at = 0
+                while following is not None and (not entries or at < bytes_per_shard):
+                    doc_id, ids = following
                     record = frame(payload_of(doc_id, ids, width))
                     stream.write(record)
-                    entries.append(index_entry(doc_id, at, n))
+                    entries.append(index_entry(doc_id, at, len(ids) // width))
                     at += len(record)
-                    totals[0] += 1
-                    totals[1] += n
-
-        publish(data, records)
-        publish(index, lambda stream: stream.write(b"".join(entries)))
-        if totals[0]:
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "data": data, "index": index, "records": totals[0], "tokens": totals[1]}], schema=pa.schema([("shard", pa.int64()), ("data", pa.string()), ("index", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())]))
+                    tokens += len(ids) // width
+                    following = next(docs, None)
+
+            data, index = f"{folder}/shard-{part:06d}-{k:06d}.rec", f"{folder}/shard-{part:06d}-{k:06d}.idx"
+            publish(data, records)
+            publish(index, lambda stream: stream.write(b"".join(entries)))  # noqa: B023
+            shard = {"shard": part * SHARDS_IN_RANGE + k, "data": data, "index": index, "records": len(entries), "tokens": tokens}
+            yield pa.RecordBatch.from_pylist([shard], schema=pa.schema([("shard", pa.int64()), ("data", pa.string()), ("index", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())]))
+            k += 1
 
     rows = by_id_ranges(docs, rows_per_shard, bytes_per_shard, id_column, text_column)
     shards = rows.mapInArrow(tidied(write), "shard bigint, data string, index string, records bigint, tokens bigint")

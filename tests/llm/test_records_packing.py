@@ -181,3 +181,26 @@ def test_pack_data(spark):
     total = sum(r.length for r in got)
     pad = sum(packing.padding(sum(r.length for r in s), 4096) for s in seqs.values())
     assert pad / total < 0.02
+
+
+def test_ranges_of_large_tables():
+    assert record_files.ranges_for(0, 0, 16_384, 32 << 20) == 1
+    assert record_files.ranges_for(256_410, 510_000_000, 16_384, 32 << 20) == 16
+    assert 90_000 < record_files.ranges_for(50_000_000_000, 100 * 10**12, 16_384, 32 << 20) < 100_000
+    assert record_files.ranges_for(16_384 * 16_385, 1, 16_384, 32 << 20) == 16_384  # no jump down at the bound
+
+
+def test_shards_roll_inside_a_range_and_equal_beginnings_are_dealt(spark, tmp_path, monkeypatch):
+    rows = [(7, "x" * 80 + f" word {k}") for k in range(60)] + [(k, f"text of {k}") for k in range(8, 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dealt = record_files.by_id_ranges(docs, 16_384, 700).rdd.glom().map(lambda p: sum(r.doc_id == 7 for r in p)).collect()
+    assert sum(n > 0 for n in dealt) > 2
+    monkeypatch.setattr(record_files, "MOST_RANGES", 2)
+    manifest = record_files.write_records(docs, PATH, f"file://{tmp_path}/roll", 2, bytes_per_shard=700)
+    assert record_files.ranges_for(len(rows), sum(len(t) for _, t in rows), 16_384, 700) == 2 and manifest.count() > 2
+    got = record_files.read_records(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(k for k, _ in rows)
+    starts = [0]
+    for r in got:
+        starts.append(starts[-1] + r.n_tokens)
+    assert [r.start for r in got] == starts[:-1]
