@@ -208,9 +208,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), *columns], names=["shard", *_FIELDS])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encode.ids(text.as_py()), dtype)
-                rows = packer.add(doc_id, np.concatenate((ids, end)))
+            texts = encode.stream(text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts):
+                rows = packer.add(doc_id, np.concatenate((np.frombuffer(ids, dtype), end)))
                 if rows:
                     yield batch_of(rows)
         rows = packer.finish()

@@ -122,8 +122,9 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int | N
 
         def encoded() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield NO_ID if doc_id is None else doc_id, encode.ids(text.as_py()) + end
+                texts = encode.stream(text.as_py() for text in batch.column(1))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), texts):
+                    yield NO_ID if doc_id is None else doc_id, ids + end
 
         docs, k = encoded(), 0
         following = next(docs, None)

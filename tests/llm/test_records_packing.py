@@ -204,3 +204,39 @@ def test_shards_roll_inside_a_range_and_equal_beginnings_are_dealt(spark, tmp_pa
     for r in got:
         starts.append(starts[-1] + r.n_tokens)
     assert [r.start for r in got] == starts[:-1]
+
+
+def test_known_words_and_closing_marks_need_no_library(monkeypatch):
+    own = TokenIds(PATH)
+    own.ids(b"river stone caf\xc3\xa9 !! %%% , ?!")
+    monkeypatch.setattr(own, "_each", lambda texts: 1 / 0)
+    monkeypatch.setattr(own, "_encode", lambda chunks: 1 / 0)
+    text = "river!! Stone%%% café, river?! stone, café!!"
+    assert np.frombuffer(own.ids(text.encode()), own.dtype).tolist() == truth(text)
+
+
+def test_plain_words_pass_no_normalizer():
+    own, kept, full = TokenIds(PATH), [], []
+    plain, library = own.plain, own.library
+
+    class Watched:
+        def __init__(self, tokenizer, calls):
+            self.tokenizer, self.calls = tokenizer, calls
+
+        def encode_batch_fast(self, texts, **options):
+            self.calls += texts
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    own.plain, own.library = Watched(plain, kept), Watched(library, full)
+    text = "qorvexil Straßenlärm yøæ Σίσυφος \u00e9t\u00e9 e\u0301t\u00e9 ØRE d'or it's!! ÷a ªb xª a1b"
+    assert np.frombuffer(own.ids(text.encode()), own.dtype).tolist() == truth(text)
+    assert {"qorvexil", "straßenlärm", "yøæ", "\u00e9t\u00e9"} <= set(" ".join(kept).split())
+    assert not {"qorvexil", "yøæ"} & set(" ".join(full).split())
+
+
+def test_texts_together_give_the_ids_of_each(monkeypatch):
+    monkeypatch.setattr("brindle.llm.token_ids.GROUP_BYTES", 64)
+    own = TokenIds(PATH, max_remembered=12)
+    texts = ["", "one two three!!", "<|endoftext|> One", " ".join(f"word{k} wortä{'abcdefgh'[k % 8]}." for k in range(60)), "two\x00three,   four", "", "THREE ((( one???"] * 3
+    got = [np.frombuffer(x, own.dtype).tolist() for x in own.stream(t.encode() for t in texts)]
+    assert got == [truth(t) for t in texts]
