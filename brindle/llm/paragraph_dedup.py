@@ -194,11 +194,11 @@ def collisions(distinct: DataFrame, size: int) -> list[DataFrame]:
     themselves: they repeat only as that text's passage repeats."""
     out = []
     for name in (c for c in distinct.columns if c.startswith("band_")):
-        rows = distinct.select(F.col(name).alias("band"), "paragraph", "doc_id", "start")
+        rows = distinct.select(F.col(name).alias("band"), "paragraph", "doc_id", "start").repartition("band")  # one shuffle for both uses
         bounds = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
         shared = rows.groupBy("band").agg(*bounds)
         shared = shared.filter((F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + size)).select("band")
-        out.append(written(rows.select("band", "paragraph").join(shared, "band"), "band-members"))
+        out.append(written(rows.select("band", "paragraph").join(shared.hint("shuffle_hash"), "band"), "band-members"))
     return out
 
 
@@ -326,12 +326,14 @@ def seeds(docs: DataFrame, least: int, shingle: int) -> DataFrame:
 def repeated_seeds(found: DataFrame) -> DataFrame:
     """(doc_id, text, start, place) of seeds that occurred before, place: r_doc, r_start, seed of the first occurrence. Only seeds in
     a stretch of SEED + AROUND words or more that agree: every passage holds one of those."""
-    # Plain numbers first, which say what repeats at all; the place of the first occurrence is looked up among that.
+    # Plain numbers first, which say what repeats at all; the place of the first occurrence is looked up among that. The seeds are
+    # dealt once for all of it, and looked up by hash, as most occur once and need no sort.
+    found = found.repartition("seed")
     ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "start") for n, f in (("a", F.min), ("b", F.max))]
     again = found.groupBy("seed").agg(*ends).filter((F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("b_start") >= F.col("a_start") + SEED))
-    rows = found.join(again.select("seed", F.col("a_doc_id").alias("least")), "seed")
+    rows = found.join(again.select("seed", F.col("a_doc_id").alias("least")).hint("shuffle_hash"), "seed")
     firsts = rows.filter("doc_id = least").groupBy("seed").agg(F.min(F.struct("doc_id", "start", "around")).alias("first"))
-    rows = rows.join(firsts, "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
+    rows = rows.join(firsts.hint("shuffle_hash"), "seed").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + SEED))
     rows = rows.filter(agreeing_around(F.col("around"), F.col("first.around")) >= AROUND)
     place = F.struct(F.col("first.doc_id").alias("r_doc"), F.col("first.start").alias("r_start"), "seed")
     return rows.select("doc_id", F.shiftright("around", TEXT_BITS).alias("text"), "start", place.alias("place"))
@@ -340,10 +342,12 @@ def repeated_seeds(found: DataFrame) -> DataFrame:
 def runs(rows: DataFrame) -> DataFrame:
     """(doc_id, start, end, low, high): stretches of a text covered by seeds that occurred before, with the first occurrences of
     the first seed (low: r_doc, r_start, seed) and of the last one (high)."""
-    order = Window.partitionBy("doc_id", "text").orderBy("start")
+    order = Window.partitionBy("doc_id", "text").orderBy("start", "place")
+    rows = rows.withColumn("last", F.coalesce(F.lead("start").over(order) > F.col("start") + SEED, F.lit(True)))
     rows = rows.withColumn("new", F.coalesce((F.lag("start").over(order) + SEED < F.col("start")).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy("doc_id", "text", "run").agg(F.min(F.struct("start", "place")).alias("a"), F.max(F.struct("start", "place")).alias("z"))
+    # Only the ends of a run are gathered.
+    ends = rows.filter("new = 1 or last").groupBy("doc_id", "text", "run").agg(F.min(F.struct("start", "place")).alias("a"), F.max(F.struct("start", "place")).alias("z"))
     return ends.select("doc_id", F.col("a.start").alias("start"), (F.col("z.start") + SEED).alias("end"), F.col("a.place").alias("low"), F.col("z.place").alias("high"))
 
 
@@ -397,8 +401,13 @@ def reach(a: list[int], b: list[int], shingle: int = SHINGLE, gap: int = GAP) ->
     out = [(n, n, n)]
     i = j = won = n
     while True:
+        # A shingle can agree only where its first word does.
+        near = set(b[j : j + gap + 1])
+        firsts = [x for x, word in enumerate(a[i : i + gap + 1]) if word in near]
+        if not firsts:
+            return out
         for t in range(1, 2 * gap + 1):
-            steps = sorted(range(max(0, t - gap), min(t, gap) + 1), key=lambda x: abs(2 * x - t))
+            steps = sorted((x for x in firsts if t - gap <= x <= t), key=lambda x: abs(2 * x - t))
             x = next((x for x in steps if i + x + shingle <= len(a) and a[i + x : i + x + shingle] == b[j + t - x : j + t - x + shingle]), None)
             if x is not None:
                 break

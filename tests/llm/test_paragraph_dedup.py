@@ -214,3 +214,19 @@ def test_rows_are_judged_not_ids(spark):
     found = pd_.duplicates(df)
     assert sorted(r.lang for r in pd_.remove(df, found).collect()) == ["p", "q", "r", "x"]
     assert sorted((r.doc_id, r.kept, r.start_word, r.end_word) for r in pd_.spans(found, df).collect()) == [(None, False, 0, 120), (None, False, 0, 120), (None, True, 0, 120)]
+
+
+def test_seeds_are_dealt_once_and_looked_up_without_a_sort(spark):
+    found = spark.createDataFrame([(1, 0, 7, 0), (2, 5, 7, 0), (3, 0, 8, 0)], "doc_id bigint, start int, seed bigint, around bigint")
+    rows = pd_.repeated_seeds(found)
+    assert [(r.doc_id, r.start, tuple(r.place)) for r in rows.collect()] == [(2, 5, (1, 0, 7))]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [seed" in plan and plan.count("strategy=shuffle_hash") >= 2
+
+
+def test_runs_by_their_ends(spark):
+    place = lambda k: (9, k, 100 + k)
+    starts = [0, 5, 12, 24, 40, 52, 90]
+    rows = spark.createDataFrame([(1, 0, s, place(s)) for s in starts], "doc_id bigint, text bigint, start int, place struct<r_doc: bigint, r_start: int, seed: bigint>")
+    got = sorted((r.start, r.end, tuple(r.low), tuple(r.high)) for r in pd_.runs(rows).collect())
+    assert got == [(0, 36, place(0), place(24)), (40, 64, place(40), place(52)), (90, 102, place(90), place(90))]
