@@ -248,14 +248,17 @@ def communities_of(triples: DataFrame, entities: DataFrame, members: DataFrame)
 
 def entities_holding(entities: DataFrame, words: DataFrame, name: str = "name") -> DataFrame:
     """(word, name): entities whose name holds a word. A word is looked for where its rarest pair of characters occurs (of a word of one
-    character, that); no word meets all names. Empty words are in no name."""
+    character, that); no word meets all names. Empty words are in no name. Pairs that no word has are left out as names are cut, and
+    names with their pairs are never sent to all tasks, however small Spark takes them to be."""
+    from brindle.operators.search import small
+
     cut = lambda t, n: F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: t.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    of_names = entities.select(F.col(name), F.explode(F.concat(cut(F.col(name), 1), cut(F.col(name), 2))).alias("gram"))
-    frequency = of_names.groupBy("gram").agg(F.count("*").alias("n"))
     w = words.select("word").filter("word <> ''").distinct()
-    grams = w.select("word", F.explode(F.when(F.length("word") == 1, F.array("word")).otherwise(cut(F.col("word"), 2))).alias("gram"))
-    rarest = grams.join(frequency, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    met = of_names.join(rarest.filter("r.n > 0").select("word", F.col("r.gram").alias("gram")), "gram")
+    grams = stored(w.select("word", F.explode(F.when(F.length("word") == 1, F.array("word")).otherwise(cut(F.col("word"), 2))).alias("gram")))
+    of_names = entities.select(F.col(name), F.explode(F.concat(cut(F.col(name), 1), cut(F.col(name), 2))).alias("gram"))
+    frequency = of_names.join(small(grams.select("gram").distinct(), part_of=grams), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = stored(grams.join(frequency, "gram").groupBy("word").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")))
+    met = of_names.join(small(rarest.select("word", "gram"), part_of=rarest), "gram")
     return met.filter(F.col(name).contains(F.col("word"))).select("word", name)
 
 
