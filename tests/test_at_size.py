@@ -1,8 +1,12 @@
 """What operators send, shuffle and make on larger tables, read off plans and counts of rows on small ones."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import graph as G
+from brindle.operators import search as S
 
 
 def plan_of(df):
@@ -18,3 +22,21 @@ def test_names_are_not_sent_to_all_tasks(spark):
     assert len(rows) == len(want) and set(rows) == want
     joins = [line for line in plan_of(d).split("Initial Plan")[0].split("\n") if "Join" in line]  # as they ran
     assert joins and not any("BuildLeft" in line for line in joins)
+
+
+@pytest.mark.parametrize("dense,signs", [(1024, (1,)), (3, (1,)), (3, (1, -1, 0)), (1024, (1, -1, 0))])
+def test_sparse_vectors_make_no_row_for_each_pair(spark, monkeypatch, dense, signs):
+    monkeypatch.setattr(S, "DENSE_TOKENS", dense)
+    monkeypatch.setattr(S, "SCORES_AT_ONCE", 60)
+    rng = random.Random(dense)
+    made = lambda n, most: [(k, f"t{rng.randrange(most)}", rng.choice(signs) * rng.randrange(1, 9) / 2) for k in range(n) for _ in range(rng.randrange(5))]
+    q, v = made(20, 14), made(150, 12)
+    got = S.sparse_dot(spark.createDataFrame(q + [(3, None, 1.0)], "query_id int, token string, weight double"), spark.createDataFrame(v + [(4, None, 1.0), (5, "t1", None)], "key long, token string, weight double"), 4)
+    assert "Join" not in plan_of(got)
+    score = {}
+    for a, t, x in q:
+        for b, u, y in v:
+            if t == u:
+                score[a, b] = score.get((a, b), 0.0) + x * y
+    want = [(a, b, x, r) for a in range(20) for r, (x, b) in enumerate(sorted(((x, b) for (c, b), x in score.items() if c == a), key=lambda z: (-z[0], z[1]))[:4])]
+    assert sorted((r.query_id, r.key, r.score, r.rank0) for r in got.collect()) == sorted(want)
