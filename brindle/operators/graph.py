@@ -68,7 +68,7 @@ def arcs_ahead(edges: DataFrame, ranks: DataFrame, most: int) -> DataFrame:
         on = here if k == 1 else F.least(here, F.when(F.col(f"ahead{k - 1}").isNotNull(), F.struct(F.col(f"ahead{k - 1}.neg").alias("neg"), (F.col(f"ahead{k - 1}.steps") + 1).alias("steps"))))
         best = a.groupBy("src", "edge_id").agg(F.min(on).alias("w")).withColumn("r", F.row_number().over(two)).filter("r <= 2")
         best = best.groupBy(F.col("src").alias("at")).agg(F.min(F.struct("w", "edge_id")).alias("one"), F.max(F.struct("w", "edge_id")).alias("two"))
-        a = a.join(best, F.col("dst") == F.col("at"), "left")
+        a = a.join(best.hint("merge"), F.col("dst") == F.col("at"), "left")
         a = a.withColumn(f"ahead{k}", F.when(F.col("one.edge_id") != F.col("edge_id"), F.col("one.w")).when(F.col("two.edge_id") != F.col("edge_id"), F.col("two.w"))).drop("at", "one", "two")
     return a
 
@@ -78,52 +78,80 @@ def ranked_paths(edges: DataFrame, seeds: DataFrame, ranks: DataFrame, most: int
     first most_paths by the rank of their end, then distance, nodes and relations.
 
     Best first: a path's bound is the best end that it can still reach (arcs_ahead), and of each step only a seed's most_paths
-    paths of the best bounds go on, so a step has no more rows than those times the degree of their ends. That bound is met unless a
-    walk needs an edge twice; what was left behind with a better bound than the last path kept therefore goes on afterwards.
+    paths of the best bounds go on. That bound is met unless a walk needs an edge twice; what was left behind with a better bound than
+    the last path kept therefore goes on afterwards. A node's edges are put in order once, by their ends and by their bounds. Of one path
+    only the first of them, as many as are kept and those that it may have used, can be among a seed's first, so no step makes a row
+    for each edge of a node of many; behind those, edges lie in bands of twice as many each, and a path that was left behind
+    is joined only with bands of which the best edge is good enough.
 
     Defined cases: nodes without a rank come last; a seed without edges, null seeds and empty tables give no rows; repeated edges give
     repeated paths; ranks are finite."""
     from brindle.operators.search import top_k
 
-    arcs = stored(arcs_ahead(edges, ranks, most - 1))
+    arcs = arcs_ahead(edges, ranks, most - 1)
+    if most_paths < 1 << 30:  # more copies of an edge than paths are kept change nothing
+        arcs = arcs.withColumn("copy", F.row_number().over(Window.partitionBy("src", "edge_id", "dst").orderBy("neg"))).filter(F.col("copy") <= most_paths).drop("copy")
+    arcs = stored(arcs)
     order = [F.col("neg"), F.col("distance"), F.col("nodes"), F.col("relations")]
     kept = ["seed", "node", "distance", "nodes", "relations", "neg"]
-
-    def extended(path: DataFrame, left: int) -> DataFrame:
-        bound = F.struct(F.col(f"e.ahead{left}.neg").alias("neg"), (F.col("p.distance") + 1 + F.col(f"e.ahead{left}.steps")).alias("distance")) if left else F.lit(None).cast("struct<neg:double,distance:int>")
-        step = path.alias("p").join(arcs.alias("e"), F.col("p.node") == F.col("e.src")).filter(~F.array_contains("p.used", F.col("e.edge_id")))
+    enough = min(most_paths + most, 1 << 30)
+
+    def placed(of: DataFrame, *by: str) -> DataFrame:
+        return of.withColumn("place", F.dense_rank().over(Window.partitionBy("src").orderBy(*by, "dst", "relation", "edge_id")))
+
+    last_edges = stored(placed(arcs.select("edge_id", "src", "dst", "relation", "neg"), "neg").filter(F.col("place") <= enough).drop("place"))
+    onward, bands = {}, {}
+    for left in range(1, most):
+        on = placed(arcs.filter(f"ahead{left} is not null").select("edge_id", "src", "dst", "relation", "neg", F.col(f"ahead{left}").alias("ahead")), "ahead")
+        band = F.when(F.col("place") <= enough, 0).otherwise(F.floor(F.log2((F.col("place") - 1) / enough)) + 1).cast("int")
+        onward[left] = stored(on.withColumn("band", band).drop("place"))
+        bands[left] = onward[left].groupBy("src", "band").agg(F.min(F.struct("ahead", "dst")).alias("top"))
+
+    def extended(path: DataFrame, by: DataFrame, *more: str) -> DataFrame:
+        """Paths with one edge more, of those that by has for their node (and band)."""
+        on = (F.col("p.node") == F.col("e.src")) & ((F.col("p.band") == F.col("e.band")) if "band" in path.columns else F.lit(True))
+        step = path.alias("p").join(by.hint("merge").alias("e"), on).filter(~F.array_contains("p.used", F.col("e.edge_id")))
+        bound = F.struct("e.ahead.neg", (F.col("p.distance") + 1 + F.col("e.ahead.steps")).alias("distance")).alias("bound")
         return step.select(
             "p.seed", F.col("e.dst").alias("node"), (F.col("p.distance") + 1).alias("distance"), F.concat("p.nodes", F.array("e.dst")).alias("nodes"),
-            F.concat("p.relations", F.array("e.relation")).alias("relations"), F.concat("p.used", F.array("e.edge_id")).alias("used"), "e.neg",
-            (F.when(F.col(f"e.ahead{left}").isNotNull(), bound) if left else bound).alias("bound"),
+            F.concat("p.relations", F.array("e.relation")).alias("relations"), F.concat("p.used", F.array("e.edge_id")).alias("used"), "e.neg", *[bound] * ("ahead" in by.columns), *more,
         )
 
     def best(paths: DataFrame) -> DataFrame:
         return top_k(paths.select(*kept), "seed", most_paths, *order).drop("rank0")
 
     path = seeds.filter("seed is not null").select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<bigint>").alias("used"))
-    steps, found = [], None
+    paths, found = [path], None
     by_bound = Window.partitionBy("seed").orderBy("bound", "nodes", "relations")
     for k in range(1, most + 1):
-        step = stored(extended(path, most - k))
-        steps.append(step)
-        found = best(step if found is None else step.select(*kept).unionByName(found))
-        path = step.filter("bound is not null").withColumn("r", F.row_number().over(by_bound)).filter(F.col("r") <= most_paths).drop("r")
-    found = stored(found)
+        step = best(extended(paths[-1], last_edges))
+        found = stored(step if found is None else best(step.unionByName(found)))
+        if k < most:
+            gone = extended(paths[-1], onward[most - k].filter("band = 0")).withColumn("r", F.rank().over(by_bound)).filter(F.col("r") <= most_paths)
+            paths.append(stored(gone.drop("r")))
     # A seed's last path is the floor; without most_paths of them nothing was left behind.
     last = top_k(found, "seed", most_paths, *order).filter(F.col("rank0") == most_paths - 1)
-    floor = last.select("seed", F.struct("neg", "distance").alias("floor"), F.col("nodes").alias("floor_nodes"))
-
-    def hopeful(paths: DataFrame) -> DataFrame:
-        met = (F.col("bound") < F.col("floor")) | ((F.col("bound") == F.col("floor")) & (F.col("nodes") <= F.slice("floor_nodes", F.lit(1), F.size("nodes"))))
-        return paths.filter("bound is not null").join(floor, "seed").filter(met).drop("floor", "floor_nodes")
+    floor = stored(last.select("seed", F.struct("neg", "distance").alias("floor"), F.col("nodes").alias("floor_nodes")))
+
+    def hopeful(bound: Column, nodes: Column) -> Column:
+        return (bound < F.col("floor")) | ((bound == F.col("floor")) & (nodes <= F.slice("floor_nodes", F.lit(1), F.size(nodes))))
+
+    def left_behind(path: DataFrame, left: int, gone: DataFrame | None) -> DataFrame:
+        """Paths with one edge more that may end before the floor, of those behind the last that has gone on, if any has."""
+        d = path.drop("bound", "neg").join(floor.hint("merge"), "seed")
+        if gone is not None:
+            d = d.join(gone.groupBy("seed").agg(F.max(F.struct("bound", "nodes", "relations")).alias("gone"), F.count("*").alias("n")).filter(F.col("n") >= most_paths).drop("n"), "seed")
+        b = d.alias("d").join(bands[left].hint("merge").alias("b"), F.col("d.node") == F.col("b.src"))
+        top = F.struct("top.ahead.neg", (F.col("distance") + 1 + F.col("top.ahead.steps")).alias("distance"))
+        b = b.filter(hopeful(top, F.concat("nodes", F.array("top.dst")))).drop("src", "top")
+        x = extended(b, onward[left], "floor", "floor_nodes", *["gone"] * (gone is not None)).filter(hopeful(F.col("bound"), F.col("nodes")))
+        return (x if gone is None else x.filter(F.struct("bound", "nodes", "relations") > F.col("gone"))).drop("floor", "floor_nodes", "gone")
 
     late, more = None, found
-    for k, step in enumerate(steps[:-1], 1):
-        ranked_step = step.filter("bound is not null").withColumn("r", F.row_number().over(by_bound)).filter(F.col("r") > most_paths).drop("r")
-        behind = hopeful(ranked_step if late is None else ranked_step.unionByName(late))
-        late = extended(behind, most - k - 1)
-        more = more.unionByName(late.select(*kept))
+    for k in range(1, most):
+        behind = left_behind(paths[k - 1], most - k, paths[k])
+        late = stored(behind if late is None else behind.unionByName(left_behind(late, most - k, None)))
+        more = more.unionByName(extended(late, last_edges).select(*kept))
     out = best(more).withColumn("pagerank", F.when(F.col("neg") != float("inf"), -F.col("neg")))
     return top_k(out.select("node", "seed", "distance", "nodes", "relations", "pagerank"), "seed", most_paths, F.desc_nulls_last("pagerank"), F.asc("distance"), F.asc("nodes"), F.asc("relations"))
 

@@ -40,3 +40,19 @@ def test_sparse_vectors_make_no_row_for_each_pair(spark, monkeypatch, dense, sig
                 score[a, b] = score.get((a, b), 0.0) + x * y
     want = [(a, b, x, r) for a in range(20) for r, (x, b) in enumerate(sorted(((x, b) for (c, b), x in score.items() if c == a), key=lambda z: (-z[0], z[1]))[:4])]
     assert sorted((r.query_id, r.key, r.score, r.rank0) for r in got.collect()) == sorted(want)
+
+
+def test_ranked_paths_over_a_hub_keep_few_rows(spark, monkeypatch):
+    made, keep = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df: made.append(keep(df)) or made[-1])
+    leaves, k = 200, 4
+    edges = spark.range(leaves).select(F.format_string("s%03d", "id").alias("src"), F.lit("in").alias("relation"), F.lit("hub").alias("dst"))
+    edges = edges.union(spark.createDataFrame([("hub", "of", "top")], "src string, relation string, dst string"))
+    ranks = spark.createDataFrame([("hub", 9.0), ("top", 5.0)], "node string, pagerank double").union(spark.range(leaves).select(F.format_string("s%03d", "id"), F.lit(1.0)))
+    got = sorted(tuple(r) for r in G.ranked_paths(edges, edges.filter("src <> 'hub'").select(F.col("src").alias("seed")), ranks, 3, k).select("seed", "rank0", "nodes").collect())
+    want = []
+    for s in (f"s{i:03}" for i in range(leaves)):
+        others = [x for x in ("s000", "s001", "s002") if x != s][:2]
+        want += [(s, r, n) for r, n in enumerate([[s, "hub"], [s, "hub", "top"], *([s, "hub", x] for x in others)])]
+    assert got == want
+    assert max(d.count() for d in made) <= leaves * (k + 3)  # a row for each pair of leaves would be 39,800
