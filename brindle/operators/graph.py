@@ -26,6 +26,43 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "relation"))
 
 
+EDGES_TOGETHER = 1024  # of one node; a node of more has them in parts, and a path meets each part elsewhere
+
+
+def all_paths(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
+    """(seed, node, distance, nodes, relations, path): all paths of up to most steps from seeds, no edge used twice; path as rendered.
+
+    There are as many rows as paths, but only those that can go on (the last node has another edge than that they came by) are kept and
+    shuffled for the next step; the others are made where the result is written. No table is sent to all tasks, and
+    the edges of a node of many lie in parts of about EDGES_TOGETHER that are joined in different tasks."""
+    e = both_ways(edges)
+    nodes = e.groupBy("src").agg(F.min("edge_id").alias("lo"), F.max("edge_id").alias("hi"), F.ceil(F.count("*") / EDGES_TOGETHER).cast("int").alias("parts"))
+    nodes = stored(nodes)
+    at = lambda column: nodes.select(F.col("src").alias(column), "lo", "hi", "parts").hint("merge")
+    arcs = e.join(at("src"), "src").withColumn("part", F.pmod(F.xxhash64("edge_id", "dst"), F.col("parts")).cast("int")).drop("lo", "hi", "parts")
+    on = F.when((F.col("lo") != F.col("edge_id")) | (F.col("hi") != F.col("edge_id")), F.col("parts")).alias("parts")
+    arcs = stored(arcs.join(at("dst"), "dst", "left").select("edge_id", "src", "dst", "relation", "part", on))
+    path = seeds.select("seed", F.col("seed").alias("node")).join(at("node").select("node", "parts"), "node")
+    path = path.select("seed", "node", F.lit(0).alias("distance"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<bigint>").alias("used"), F.col("seed").alias("path"), "parts")
+
+    def extended(by: DataFrame) -> DataFrame:
+        p = path.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        step = p.alias("p").join(by.hint("merge").alias("e"), (F.col("p.node") == F.col("e.src")) & (F.col("p.part") == F.col("e.part"))).filter(~F.array_contains("p.used", F.col("e.edge_id")))
+        said = F.coalesce(F.concat(F.lit("（"), "e.relation", F.lit("）"), "e.dst"), F.lit(""))
+        return step.select(
+            "p.seed", F.col("e.dst").alias("node"), (F.col("p.distance") + 1).alias("distance"), F.concat("p.nodes", F.array("e.dst")).alias("nodes"),
+            F.concat("p.relations", F.array("e.relation")).alias("relations"), F.concat("p.used", F.array("e.edge_id")).alias("used"), F.concat("p.path", said).alias("path"), "e.parts",
+        )
+
+    out = None
+    for k in range(1, most + 1):
+        found = extended(arcs).drop("used", "parts")
+        out = found if out is None else out.unionByName(found)
+        if k < most:
+            path = stored(extended(arcs.filter("parts is not null")))
+    return out
+
+
 def hops(edges: DataFrame, seeds: DataFrame, most: int = 2, most_paths: int | None = None, ranks: DataFrame | None = None) -> DataFrame:
     """(seed, node, distance, nodes, relations): paths from seeds, no edge used twice. One join for each step.
 
@@ -34,9 +71,10 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int = 2, most_paths: int | No
     as ranked_paths finds them."""
     if ranks is not None:
         return ranked_paths(edges, seeds, ranks, most, most_paths or 1 << 30)
+    if most_paths is None:
+        return all_paths(edges, seeds, most).drop("path")
     e = both_ways(edges)
     path = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<bigint>").alias("used"), F.lit(0).alias("before"))
-    bounded = most_paths is not None
     first = Window.partitionBy("seed").orderBy("nodes", "relations")
     out = None
     for _ in range(most):
@@ -45,13 +83,12 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int = 2, most_paths: int | No
             "p.seed", F.col("e.dst").alias("node"), (F.col("p.distance") + 1).alias("distance"), F.concat("p.nodes", F.array("e.dst")).alias("nodes"),
             F.concat("p.relations", F.array("e.relation")).alias("relations"), F.concat("p.used", F.array("e.edge_id")).alias("used"), "p.before",
         )
-        if bounded:  # paths of one step have one length: what is kept of them is what a longer one could follow
-            path = path.withColumn("r", F.row_number().over(first)).filter(F.col("r") + F.col("before") <= most_paths)
-            path = path.withColumn("before", F.col("before") + F.count("*").over(Window.partitionBy("seed"))).drop("r")
+        # Paths of one step have one length: what is kept of them is what a longer one could follow.
+        path = path.withColumn("r", F.row_number().over(first)).filter(F.col("r") + F.col("before") <= most_paths)
+        path = path.withColumn("before", F.col("before") + F.count("*").over(Window.partitionBy("seed"))).drop("r")
         found = path.drop("before", "used")
         out = found if out is None else out.unionByName(found)
-        if bounded:
-            path = path.filter(F.col("before") < most_paths)
+        path = path.filter(F.col("before") < most_paths)
     return out
 
 

@@ -54,8 +54,7 @@ a AS (SELECT seed, node, 1 AS distance, nodes, rels FROM h1 UNION ALL SELECT see
 SELECT seed, node, distance, nodes[1] || array_to_string([ '（' || rels[i] || '）' || nodes[i + 1] FOR i IN range(1, len(nodes))], '') AS path FROM a""")
 def n_hop_paths(spark, sf_dir):
     seeds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
-    h = G.hops(edges(spark, sf_dir), seeds, 3)
-    return h.select("seed", "node", "distance", G.rendered(F.col("nodes"), F.col("relations")).alias("path"))
+    return G.all_paths(edges(spark, sf_dir), seeds, 3).select("seed", "node", "distance", "path")
 
 
 @query("ranked_paths", f"""

@@ -56,3 +56,19 @@ def test_ranked_paths_over_a_hub_keep_few_rows(spark, monkeypatch):
         want += [(s, r, n) for r, n in enumerate([[s, "hub"], [s, "hub", "top"], *([s, "hub", x] for x in others)])]
     assert got == want
     assert max(d.count() for d in made) <= leaves * (k + 3)  # a row for each pair of leaves would be 39,800
+
+
+def test_paths_that_end_are_not_shuffled_again(spark, monkeypatch):
+    made, keep = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df: made.append(keep(df)) or made[-1])
+    monkeypatch.setattr(G, "EDGES_TOGETHER", 16)
+    leaves = 90
+    edges = spark.range(leaves).select(F.format_string("s%02d", "id").alias("src"), F.lit("in").alias("relation"), F.lit("hub").alias("dst"))
+    edges = edges.union(spark.createDataFrame([("hub", "of", "top"), ("top", None, "end"), ("end", "r", "end")], "src string, relation string, dst string"))
+    d = G.all_paths(edges, spark.range(leaves).select(F.format_string("s%02d", "id").alias("seed")), 3)
+    assert "BroadcastExchange" not in plan_of(d)
+    got = d.withColumn("text", G.rendered(F.col("nodes"), F.col("relations"))).collect()
+    want = [[f"s{a:02}", "hub"] for a in range(leaves)] + [[f"s{a:02}", "hub", "top"] for a in range(leaves)] + [[f"s{a:02}", "hub", "top", "end"] for a in range(leaves)]
+    want += [[f"s{a:02}", "hub", f"s{b:02}"] for a in range(leaves) for b in range(leaves) if a != b]
+    assert sorted(r.nodes for r in got) == sorted(want) and all(r.text == r.path for r in got)
+    assert max(x.count() for x in made) < 3 * leaves
