@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import graph as G
 from brindle.operators import search as S
+from brindle.session import stored
 
 
 def plan_of(df):
@@ -72,3 +73,12 @@ def test_paths_that_end_are_not_shuffled_again(spark, monkeypatch):
     want += [[f"s{a:02}", "hub", f"s{b:02}"] for a in range(leaves) for b in range(leaves) if a != b]
     assert sorted(r.nodes for r in got) == sorted(want) and all(r.text == r.path for r in got)
     assert max(x.count() for x in made) < 3 * leaves
+
+
+def test_many_rows_in_few_packed_bytes_are_not_small(spark):
+    rows = stored(spark.range(1_000_000).select((F.col("id") % 7).alias("k"), F.lit("the same words in every row").alias("text")))
+    assert S.stored_bytes(rows) <= S.BROADCAST_BYTES // 8
+    some = spark.createDataFrame([(1,)], "k long")
+    assert "BroadcastExchange" not in plan_of(some.join(S.small(rows), "k"))
+    assert "BroadcastExchange" not in plan_of(some.join(S.small(rows.filter("k > 2"), part_of=rows), "k"))
+    assert "BroadcastExchange" in plan_of(some.join(S.small(stored(some)), "k"))
