@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import graph as G
+from brindle.operators import pivot_join as P
 from brindle.operators import search as S
 from brindle.session import stored
 
@@ -82,3 +84,22 @@ def test_many_rows_in_few_packed_bytes_are_not_small(spark):
     assert "BroadcastExchange" not in plan_of(some.join(S.small(rows), "k"))
     assert "BroadcastExchange" not in plan_of(some.join(S.small(rows.filter("k > 2"), part_of=rows), "k"))
     assert "BroadcastExchange" in plan_of(some.join(S.small(stored(some)), "k"))
+
+
+@pytest.mark.parametrize("least,scale", [(0.96, 1.0), (0.2, 1.0), (-0.1, 1.0), (0.5, 1e-8)])
+def test_vectors_are_not_written_for_each_partner(spark, monkeypatch, least, scale):
+    monkeypatch.setattr(P, "PANEL", 16)
+    monkeypatch.setattr(P, "BLOCK", 7)
+    monkeypatch.setattr(P, "CELL_ROWS", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (150, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, x[:40], x[:40]]) * np.sqrt(scale)
+    rows = [(k, k // 2, "all" if k % 5 else f"s{k % 3}", x[k].tolist()) for k in range(len(x))]
+    got = P.cached_answers(spark.createDataFrame(rows, "vec_id int, ts int, scope string, embedding array<double>"), least * scale)
+    assert "CartesianProduct" in plan_of(got) and "BroadcastNestedLoopJoin" not in plan_of(got)
+    want = []
+    for i, t, s, v in rows:
+        found = [(-round(float(np.dot(v, w)), 12), j) for j, u, z, w in rows if z == s and u < t]
+        want += [(i, min(found)[1], -min(found)[0])] if found and -min(found)[0] >= least * scale else []
+    assert sorted((a, b, round(c, 11)) for a, b, c in map(tuple, got.collect())) == [(a, b, round(c, 11)) for a, b, c in want] and want
