@@ -19,7 +19,7 @@ from brindle.operators.search import small, top_k
 from brindle.operators.vector_index import usable
 from brindle.session import stored
 
-PIVOTS, CELL_ROWS, BLOCK = 256, 256, 2048
+PIVOTS, CELL_ROWS, BLOCK = 256, 256, 1024
 PANEL = 4096  # vectors that are handed on together; BLOCK of them are multiplied at once
 SLACK = 1e-6  # radians, for the rounding of angles
 
